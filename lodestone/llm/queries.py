@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, rules
 
-QUERIES = {"op10_mixing": mixing.op10_mixing}
+QUERIES = {"op9_rules": rules.op9_rules, "op10_mixing": mixing.op10_mixing}
 ORACLES = {"op10_mixing": mixing.OP10_SQL}
