@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, rules, secrets, toxicity
+from . import mixing, quality, rules, secrets, toxicity
 
-QUERIES = {"op1_secrets": secrets.op1_secrets, "op2_toxicity": toxicity.op2_toxicity, "op9_rules": rules.op9_rules, "op10_mixing": mixing.op10_mixing}
+QUERIES = {"op1_secrets": secrets.op1_secrets, "op2_toxicity": toxicity.op2_toxicity, "op8_quality": quality.op8_quality, "op9_rules": rules.op9_rules, "op10_mixing": mixing.op10_mixing}
 ORACLES = {"op10_mixing": mixing.OP10_SQL}
