@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Separators of a word `[^\x20\x09-\x0D]+`, as a Java regex.
 SPACES = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 
 _kept: list[tuple[SparkSession, str]] = []
 
@@ -85,7 +86,8 @@ def text_of(col: Column | str) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text that isn't null, in order."""
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    inner = F.btrim(text, F.lit(BLANKS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACES))
 
 
 def n_words_of(text: Column) -> Column:

@@ -11,80 +11,82 @@ from pyspark.sql import functions as F
 from .common import durable, let, read, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The ratios that conditions of a rule test.
-FEATURES = ("mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "shout_ratio", "pipe_ratio", "digit_ratio", "distinct_ratio", "stop_ratio", "words_per_line", "log_words")
-
-
-def _count(text: Column, characters: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+FEATURES = ("mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "shout_ratio", "pipe_ratio", "digit_ratio", "distinct_ratio", "words_per_line", "log_words")
 
 
 def repeat_words(words: Column) -> Column:
     """Words in 3-word windows that occur twice or more among ``words``, first ones included.
 
-    Windows are sorted by a 64-bit hash, so that equal ones are neighbours; windows of one
-    text are few enough for that hash to be theirs alone.
+    Each window is one number, the upper bits of its 64-bit hash above the bits of its
+    position, so that sorting numbers makes equal windows neighbours; neighbours are then
+    held against each other by the whole hash.  Texts whose windows all differ stop before.
     """
 
     def windows(w: Column) -> Column:
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("p"))))
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+
+    def twice(h: Column) -> Column:
+        room = F.element_at(F.array(*[F.lit((1 << b) - 1).cast("long") for b in (10, 13, 16, 20, 31)]), F.when(F.size(h) < 1 << 10, 1).when(F.size(h) < 1 << 13, 2).when(F.size(h) < 1 << 16, 3).when(F.size(h) < 1 << 20, 4).otherwise(5))
+
+        def found(mask: Column) -> Column:
+            def pick(s: Column) -> Column:
+                at = lambda x: x.bitwiseAND(mask).cast("int")
+                same = lambda x, y: F.coalesce((x.bitwiseXOR(y) <= mask) & (x.bitwiseXOR(y) >= 0) & (F.get(h, at(x)) == F.get(h, at(y))), F.lit(False))
+                return F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1))), at))
+
+            return let(F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))), pick)
 
-    def twice(s: Column) -> Column:
-        same = lambda x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
-        return F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["p"]))
+        return let(room, found)
 
     def covered(p: Column) -> Column:
         start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
         return F.aggregate(p, start, lambda a, x: F.struct((x + 3).alias("end"), (a["n"] + x + 3 - F.greatest(x, a["end"])).alias("n")), lambda a: a["n"])
 
-    return F.when(F.size(words) >= 3, let(let(windows(words), twice), covered)).otherwise(F.lit(0).cast("long"))
+    none = F.lit(0).cast("long")
+    some = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(twice(h), covered)).otherwise(none)
+    return F.when(F.size(words) >= 3, let(windows(words), some)).otherwise(none)
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and FEATURES of each row, in one pass without shuffle."""
     t = F.col("t")
+    left = lambda s, keep: F.length(F.regexp_replace(s, f"[^{keep}]+", "")).cast("long")
+    signs = lambda s: F.struct(left(s, SYMBOLS).alias("symbols"), left(s, "A-Z").alias("upper"), left(s, "!?").alias("shout"), left(s, "|").alias("pipes"), left(s, "0-9").alias("digits"))
     counted = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t")).select(
         "doc_id",
-        F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
-        _count(t, SYMBOLS).alias("n_symbols"),
-        _count(t, UPPER).alias("n_upper"),
-        _count(t, "!?").alias("n_shout"),
-        _count(t, "|").alias("n_pipes"),
-        _count(t, "0123456789").alias("n_digits"),
+        let(F.regexp_replace(t, f"[^A-Z0-9!?{SYMBOLS}]+", ""), signs).alias("signs"),
         let(
-            F.filter(F.split(t, "\n"), lambda x: F.translate(x, BLANKS, "") != ""),
+            F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
             lambda x: F.struct(F.size(x).cast("long").alias("all"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")),
         ).alias("lines"),
         let(
             words_of(t),
             lambda w: F.struct(
                 F.size(w).cast("long").alias("all"),
+                F.length(F.array_join(w, "")).cast("long").alias("chars"),
                 F.size(F.array_distinct(w)).cast("long").alias("distinct"),
-                F.size(F.filter(w, lambda x: F.length(x) <= 3)).cast("long").alias("short"),
                 repeat_words(w).alias("repeat"),
             ),
         ).alias("words"),
     )
-    n, chars, lines = F.greatest(F.col("words.all"), F.lit(1)), F.greatest("word_chars", F.lit(1)), F.greatest(F.col("lines.all"), F.lit(1))
+    n, chars, lines = F.greatest(F.col("words.all"), F.lit(1)), F.greatest("words.chars", F.lit(1)), F.greatest(F.col("lines.all"), F.lit(1))
     return counted.select(
         "doc_id",
         F.col("words.all").alias("n_words"),
-        "word_chars",
-        "n_symbols",
+        F.col("words.chars").alias("word_chars"),
+        F.col("signs.symbols").alias("n_symbols"),
         F.col("lines.dup").alias("n_dup_lines"),
         F.col("words.repeat").alias("n_repeat_words"),
-        (F.col("word_chars") / n).alias("mean_word"),
-        (F.col("n_symbols") / n).alias("symbol_ratio"),
+        (F.col("words.chars") / n).alias("mean_word"),
+        (F.col("signs.symbols") / n).alias("symbol_ratio"),
         (F.col("lines.dup") / lines).alias("dup_line_ratio"),
         (F.col("words.repeat") / n).alias("repeat_ratio"),
-        (F.col("n_upper") / chars).alias("upper_ratio"),
-        (F.col("n_shout") / n).alias("shout_ratio"),
-        (F.col("n_pipes") / n).alias("pipe_ratio"),
-        (F.col("n_digits") / chars).alias("digit_ratio"),
+        (F.col("signs.upper") / chars).alias("upper_ratio"),
+        (F.col("signs.shout") / n).alias("shout_ratio"),
+        (F.col("signs.pipes") / n).alias("pipe_ratio"),
+        (F.col("signs.digits") / chars).alias("digit_ratio"),
         (F.col("words.distinct") / n).alias("distinct_ratio"),
-        (F.col("words.short") / n).alias("stop_ratio"),
         (F.col("words.all") / lines).alias("words_per_line"),
         F.log1p(F.col("words.all").cast("double")).alias("log_words"),
     )
