@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, ngram_join, quality, rules, secrets, substrings, toxicity
+from . import decontamination, mixing, ngram_join, quality, rules, secrets, substrings, surrogates, toxicity
 
-QUERIES = {"op1_secrets": secrets.op1_secrets, "op2_toxicity": toxicity.op2_toxicity, "op3_substrings": substrings.op3_substrings, "op4_ngram_join": ngram_join.op4_ngram_join, "op6_decontamination": decontamination.op6_decontamination, "op8_quality": quality.op8_quality, "op9_rules": rules.op9_rules, "op10_mixing": mixing.op10_mixing}
+QUERIES = {"op1_secrets": secrets.op1_secrets, "op2_toxicity": toxicity.op2_toxicity, "op3_substrings": substrings.op3_substrings, "op4_ngram_join": ngram_join.op4_ngram_join, "op5_surrogates": surrogates.op5_surrogates, "op6_decontamination": decontamination.op6_decontamination, "op8_quality": quality.op8_quality, "op9_rules": rules.op9_rules, "op10_mixing": mixing.op10_mixing}
 ORACLES = {"op6_decontamination": decontamination.OP6_SQL, "op10_mixing": mixing.OP10_SQL}
