@@ -119,6 +119,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 10, slop: in
     ).select("*", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, size: int = 10) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and more) in which no window of ``items`` occurs, whole."""
+    words = keyed_words(docs, "doc_id", "text")
+    windows, _ = test_windows(items, size)
+    rare = rarest_terms(words, windows)
+    found = candidates(postings(words, rare.select(F.explode("terms.term").alias("term"))), rare, 0)
+    hit = durable(phrase_matches(words, found, windows).select(F.col("doc").alias("hit")), "contaminated")
+    key = F.struct(F.col("doc_id"), F.xxhash64(text_of("text")).alias("text_hash"))
+    return docs.join(hit, key == F.col("hit"), "left_anti")
+
+
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 

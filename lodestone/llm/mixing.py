@@ -73,6 +73,18 @@ def hash_thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return edge.select("source", (F.col("prefix") + F.when((F.col("left") > 0) & (F.col("left") * 2 >= F.col("n")), 1).otherwise(0)).alias("threshold"))
 
 
+def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
+    """p_source, source_size, target, whole, threshold: how often a source is taken whole, and which keys once more."""
+    plan = durable(source_targets(sized, weights, max_repeat).select("*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("whole")), "mixing-targets")
+    cut = hash_thresholds(sized, plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
+    plan = plan.join(cut.withColumnRenamed("source", "c_source"), plan["source"].eqNullSafe(F.col("c_source")))
+    return plan.select(F.col("source").alias("p_source"), "source_size", "target", "whole", "threshold")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return durable(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words_of(text_of(text_col)).alias("size"), sample_key(F.col(id_col)).alias("key")), "mixing-sizes")
+
+
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of each row of ``docs``.
 
@@ -84,14 +96,19 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     words.  Repeated rows and rows with one id count one by one and share their fate.  An
     empty table gives no rows.  Other columns aren't read, whatever their names.
     """
-    sized = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words_of(text_of(text_col)).alias("size"), sample_key(F.col(id_col)).alias("key")), "mixing-sizes")
-    plan = durable(source_targets(sized, weights, max_repeat).select("*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("whole")), "mixing-targets")
-    cut = hash_thresholds(sized, plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
-    plan = plan.join(cut.withColumnRenamed("source", "c_source"), plan["source"].eqNullSafe(F.col("c_source"))).drop("c_source").withColumnRenamed("source", "p_source")
+    sized = _sized(docs, id_col, text_col, source_col)
+    plan = mixing_plan(sized, weights, max_repeat)
     copies = F.col("whole") + F.when(F.col("key") < F.col("threshold"), 1).otherwise(0)
     return sized.join(plan, sized["source"].eqNullSafe(plan["p_source"])).select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
+def take_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with copies, how often it takes them."""
+    plan = durable(mixing_plan(_sized(docs, "doc_id", "text", "source"), **options), "mixing-plan")
+    copies = (F.col("whole") + F.when(sample_key(F.col("doc_id")) < F.col("threshold"), 1).otherwise(0)).cast("long")
+    return docs.join(plan, docs["source"].eqNullSafe(plan["p_source"])).select(*[docs[c] for c in docs.columns], copies.alias("copies")).where("copies > 0")
+
+
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

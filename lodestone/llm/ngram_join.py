@@ -202,11 +202,16 @@ def tiled(sets: DataFrame, comp: DataFrame) -> DataFrame:
     return c.select("doc", "node", "copies", F.concat(own, higher, lower).alias("tiles"))
 
 
-def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links of each row: its class is what links of ``threshold`` or more connect.
+def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with doc, which tells rows apart that share an id but not a text, and takes null ids."""
+    return docs.withColumn("doc", F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash")))
 
-    class_id is the least doc_id of the class, n_links the number of other rows of that
-    similarity.  Rows of one shingle set are a node, by the 64-bit hash of the set, and are not
+
+def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, first, class_id, n_links of each row: its class is what links of ``threshold`` or more connect.
+
+    first is the least doc of the class, class_id its least doc_id, n_links the number of other
+    rows of that similarity.  Rows of one shingle set are a node, by the 64-bit hash of the set, and are not
     compared.  Nodes that share a band of MinHash values are candidates; within what candidates
     connect, pairs are compared tile by tile: MinHash values STEP at a time, dropping pairs
     whose posterior probability of reaching ``threshold`` is under ``tolerance``, and exactly in
@@ -219,7 +224,7 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, toleran
     """
     text = text_of(text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("doc"), text.alias("text"))
+    keyed = with_key(docs.select(id_col, text_col), id_col, text_col).select("doc", text.alias("text"))
     key = f"struct<doc_id:{kind},text_hash:bigint>"
     seen = durable(keyed.mapInArrow(_sketch(n), f"doc {key}, node long, size int, bands array<long>"), "jaccard-sketches")
     sets = durable(seen.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.min("doc.doc_id").alias("least"), F.first("size").alias("size"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "jaccard-sets")
@@ -232,10 +237,21 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, toleran
     links = durable(dealt.mapInPandas(_tiles(threshold, tolerance), "node long, other long, links long"), "jaccard-links")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("node").alias("u"), F.col("other").alias("v")), "jaccard-classes")
-    node = sets.select("node", "least", "copies").join(roots, "node", "left").join(counts, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    least = node.groupBy("root").agg(F.min("least").alias("class_id"))
-    node = node.join(least, "root").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return seen.select("doc", "node").join(node, "node", "left").select(F.col("doc.doc_id").alias("doc_id"), F.coalesce("class_id", "doc.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    node = sets.select("node", "doc", "least", "copies").join(roots, "node", "left").join(counts, "node", "left").select("node", "doc", "least", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    least = node.groupBy("root").agg(F.min("least").alias("class_id"), F.min("doc").alias("first"))
+    node = node.drop("doc").join(least, "root").select("node", "first", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return seen.select("doc", "node").join(node, "node", "left").select("doc", F.coalesce("first", "doc").alias("first"), F.coalesce("class_id", "doc.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, n_links of each row, as ``jaccard_classes`` finds and defines them."""
+    return jaccard_classes(docs, **options).select("doc.doc_id", "class_id", "n_links")
+
+
+def keep_one_each(docs: DataFrame, **options) -> DataFrame:
+    """One row of each class, that of the least id; rows without words stay, but for repeated ones."""
+    first = jaccard_classes(docs, **options).where("doc = first").select("doc").distinct()
+    return with_key(docs).join(first, "doc", "left_semi").dropDuplicates(["doc"]).select(*docs.columns)
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:

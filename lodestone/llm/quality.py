@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, read, text_of
+from .common import read, text_of
 from .rules import FEATURES, text_statistics
 
 #: Hash buckets of the metadata fields.
@@ -113,16 +113,24 @@ def described(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return stats.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.source_bucket").alias("source_bucket"), F.col("doc_id.lang_bucket").alias("lang_bucket"), F.col("doc_id.log_chars").alias("log_chars"), *FEATURES, *[F.col(f"doc_id.keep_{i}").alias(f"keep_{i}") for i in range(len(carry))])
 
 
-def train(rows: DataFrame, labels: DataFrame, *, max_labelled: int = 20000, max_pool: int = 10000, **training) -> tuple[View, View, tuple[float, float, float]] | None:
-    """``co_train`` on at most ``max_labelled`` labelled rows and ``max_pool`` others, those of smallest id hash; None without labels of both kinds."""
+def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20000, max_pool: int = 10000, columns: dict[str, str] | None = None, **training) -> tuple[View, View, tuple[float, float, float]] | None:
+    """``co_train`` on at most ``max_labelled`` labelled documents and ``max_pool`` others, those of smallest id hash; None without labels of both kinds.
+
+    The bounded lists of ids are broadcast, and only their documents are described.
+    """
+    columns = columns or {}
+    id_col = columns.get("id_col", "doc_id")
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    some = rows.where("doc_id IS NOT NULL").join(known, "doc_id", "left").select("doc_id", "quality", "source_bucket", "lang_bucket", "log_chars", *FEATURES)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    take = lambda df, n: df.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5))).orderBy(*order).limit(n).toPandas()  # noqa: E731  bounded rows of numbers
-    labelled = take(some.where("quality IS NOT NULL"), max_labelled)
+    ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").distinct().join(known, "doc_id", "left")
+    some = lambda where, n: ids.where(where).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    chosen = some("quality IS NOT NULL", max_labelled).unionByName(some("quality IS NULL", max_pool)).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality"))
+    picked = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"])
+    # rows of numbers, as many as the bounds allow
+    rows = described(picked, carry=("__quality",), **columns).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5))).toPandas().drop_duplicates("doc_id").sort_values("doc_id").rename(columns={"keep_0": "quality"})
+    labelled = rows[rows["quality"].notna()]
     if labelled["quality"].nunique() < 2:
         return None
-    return co_train(labelled, take(some.where("quality IS NULL"), max_pool), **training)
+    return co_train(labelled, rows[rows["quality"].isna()], **training)
 
 
 def scores(model) -> tuple[Column, Column, Column]:
@@ -144,9 +152,15 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0
     like others.  Repeated rows score alike.  Without labels of both kinds all scores are 0.5
     and all rows are kept.  An empty table gives no rows.  Other columns aren't read.
     """
-    rows = durable(described(docs, id_col=id_col, text_col=text_col, source_col=source_col, lang_col=lang_col), "quality-fields")
-    text, meta, both = scores(train(rows, labels, **training))
-    return rows.select("doc_id", text.alias("p_text"), meta.alias("p_meta"), both.alias("score")).select("*", (F.col("score") >= threshold).alias("keep"))
+    columns = {"id_col": id_col, "text_col": text_col, "source_col": source_col, "lang_col": lang_col}
+    text, meta, both = scores(train(docs, labels, columns=columns, **training))
+    return described(docs, **columns).select("doc_id", text.alias("p_text"), meta.alias("p_meta"), both.alias("score")).select("*", (F.col("score") >= threshold).alias("keep"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **training) -> DataFrame:
+    """The rows of ``docs`` (with the columns of documents) that ``classify_quality`` keeps, whole."""
+    _, _, both = scores(train(docs, labels, **training))
+    return described(docs, carry=tuple(docs.columns)).where(both >= threshold).select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
