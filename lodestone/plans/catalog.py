@@ -2,9 +2,639 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from ..functions import sets, text
+from ..operators import budget, graph, history, lifecycle, overlay, search, similarity
+from ..sources.views import Views, sql_with
+from ..streaming import watch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    """Register a function of Views under its own name, with its SQL."""
+
+    def add(f):
+        name = f.__name__
+        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["hotspots"](spark, sf_dir)
+
+
+# history
+
+@_query(sql_with("commits changes", "SELECT path, count(*) AS touches, arg_max(revision, (ts, revision)) AS last_revision FROM changes JOIN commits USING (revision) GROUP BY path ORDER BY touches DESC, path LIMIT 20"))
+def hotspots(v: Views) -> DataFrame:
+    return history.hotspots(v.commits, v.changes)
+
+
+@_query(sql_with("commits changes", ", n AS (SELECT path, author, count(*) AS n FROM changes JOIN commits USING (revision) GROUP BY ALL) SELECT path, arg_max(author, (n, -author)) AS author, max(n) AS author_touches, sum(n)::BIGINT AS touches FROM n GROUP BY path"))
+def ownership(v: Views) -> DataFrame:
+    return history.ownership(v.commits, v.changes)
+
+
+PAIRS = ", few AS (SELECT revision FROM changes GROUP BY revision HAVING count(*) <= 100), pairs AS (SELECT a.path AS left_path, b.path AS right_path, count(*) AS n FROM few JOIN changes a USING (revision) JOIN changes b USING (revision) WHERE a.path < b.path GROUP BY ALL) "
+
+
+@_query(sql_with("changes", PAIRS + "SELECT * FROM pairs"))
+def cochange_pairs(v: Views) -> DataFrame:
+    return history.cochange_pairs(v.changes)
+
+
+@_query(sql_with("changes", PAIRS + "SELECT * FROM pairs WHERE n >= 2 AND left_path IN (SELECT 'part_' || p_partkey FROM part WHERE p_size <= 40) AND right_path IN (SELECT 'part_' || p_partkey FROM part WHERE p_size <= 40) ORDER BY n DESC, left_path, right_path LIMIT 100"))
+def cochange_edges(v: Views) -> DataFrame:
+    known = v.table("part").where("p_size <= 40").select(F.concat(F.lit("part_"), "p_partkey").alias("path"))
+    return history.cochange_edges(v.changes, known)
+
+
+@_query(sql_with("commits changes", "SELECT c.revision, author, ts, count(*) - 1 AS partners FROM changes o JOIN changes c USING (revision) JOIN commits USING (revision) WHERE o.path = 'part_7' GROUP BY ALL"))
+def path_history(v: Views) -> DataFrame:
+    return history.path_history(v.commits, v.changes, "part_7")
+
+
+@_query(sql_with("commits changes", "SELECT path, arg_min(revision, (ts, revision)) AS first_seen, arg_max(revision, (ts, revision)) AS last_modified FROM changes JOIN commits USING (revision) GROUP BY path"))
+def first_last_revision(v: Views) -> DataFrame:
+    return history.first_last_revision(v.commits, v.changes)
+
+
+@_query("""WITH o AS (SELECT 'user_' || user_id AS symbol, event_id AS revision, event_type AS body, lead(event_id) OVER w AS nxt, last_value(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT symbol, min(revision) AS first_seen_rev, max(CASE WHEN body <> now THEN revision END) AS last_modified_rev, arg_max(nxt, revision) FILTER (body <> now) AS changed_at_rev FROM o GROUP BY symbol""")
+def symbol_revisions(v: Views) -> DataFrame:
+    return history.body_changes(v.events.select(F.concat(F.lit("user_"), "user_id").alias("symbol"), F.col("event_id").alias("seq"), F.col("event_id").alias("revision"), F.col("event_type").alias("body")))
+
+
+@_query(sql_with("commits", "SELECT revision, author, ts FROM commits ORDER BY ts DESC, revision DESC LIMIT 500"))
+def recent_commits(v: Views) -> DataFrame:
+    return history.recent_commits(v.commits)
+
+
+# graph reads
+
+EDGES = "SELECT * FROM defines UNION ALL SELECT * FROM calls UNION ALL SELECT * FROM imports UNION ALL SELECT * FROM governs"
+ALL = "defines calls imports governs"
+DEGREES = f", edges AS ({EDGES}), ends AS (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges), degrees AS (SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, count(*) AS degree FROM ends GROUP BY id) "
+
+
+@_query(sql_with("nodes " + ALL, f", edges AS ({EDGES}) SELECT 'node:' || type AS what, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT 'edge:' || kind, count(*) FROM edges GROUP BY 1"))
+def graph_stats(v: Views) -> DataFrame:
+    return graph.graph_stats(v.nodes, v.edges())
+
+
+@_query(sql_with(ALL, f", edges AS ({EDGES}) SELECT src, dst, kind, greatest(count(*) OVER () - 500, 0) AS omitted FROM edges WHERE src = 'supplier_3' ORDER BY kind, src, dst LIMIT 500"))
+def outbound(v: Views) -> DataFrame:
+    return graph.edges_report(v.edges(), "supplier_3", "outbound", 500)
+
+
+@_query(sql_with(ALL, f", edges AS ({EDGES}) SELECT src, dst, kind, greatest(count(*) OVER () - 100, 0) AS omitted FROM edges WHERE dst = 'part_7' ORDER BY kind, src, dst LIMIT 100"))
+def inbound(v: Views) -> DataFrame:
+    return graph.edges_report(v.edges(), "part_7", "inbound")
+
+
+@_query(sql_with(ALL, DEGREES + "SELECT * FROM degrees"))
+def degree_map(v: Views) -> DataFrame:
+    return graph.degree_map(v.edges())
+
+
+@_query(sql_with(ALL, DEGREES + ", top AS (SELECT id, degree FROM degrees ORDER BY degree DESC, id LIMIT 25), held AS (SELECT * FROM edges WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top)) SELECT id, degree, (SELECT count(*) FROM held WHERE src = id) + (SELECT count(*) FROM held WHERE dst = id) AS induced FROM top"))
+def top_degree_overview(v: Views) -> DataFrame:
+    return graph.top_degree_overview(v.edges())
+
+
+@_query(sql_with("nodes symbols", """, t(target) AS (VALUES ('part_7'), ('ASIA'), ('Brand#1'), ('nothing here')),
+c AS (SELECT target, 1 AS tier, id FROM t JOIN nodes ON id = target UNION ALL SELECT target, 2, id FROM t JOIN nodes ON label = target
+UNION ALL SELECT target, 3, id FROM t JOIN symbols ON qualified_name = target OR display_name = target UNION ALL SELECT target, 4, id FROM t JOIN symbols ON contains(qualified_name, target))
+SELECT target, arg_min(id, (tier, id)) AS id, min(tier) AS tier FROM c GROUP BY target"""))
+def resolve_target(v: Views) -> DataFrame:
+    t = v.spark.createDataFrame([("part_7",), ("ASIA",), ("Brand#1",), ("nothing here",)], "target string")
+    return graph.resolve_targets(t, v.nodes, v.symbols)
+
+
+@_query(sql_with("calls imports", ", e AS (SELECT * FROM calls UNION ALL SELECT * FROM imports) SELECT 'inbound' AS direction, src AS id, kind FROM e WHERE dst = 'part_7' UNION ALL SELECT 'outbound', dst, kind FROM e WHERE src = 'part_7'"))
+def change_impact(v: Views) -> DataFrame:
+    return graph.change_impact(v.edges("calls", "imports"), "part_7")
+
+
+@_query(sql_with("governs", "SELECT src, dst, kind FROM governs WHERE dst NOT IN (SELECT 'part_' || p_partkey FROM part WHERE p_size <= 40)"))
+def dangling_edges(v: Views) -> DataFrame:
+    return graph.dangling(v.edges("governs"), v.table("part").where("p_size <= 40").select(F.concat(F.lit("part_"), "p_partkey").alias("id")))
+
+
+def _level(d: int) -> str:
+    return f"""n{d} AS (SELECT DISTINCT b AS id FROM ways JOIN k{d - 1} ON a = id AND depth = {d - 1} WHERE b NOT IN (SELECT id FROM k{d - 1})),
+k{d} AS (SELECT * FROM (SELECT * FROM k{d - 1} UNION ALL SELECT id, {d}, degree FROM n{d} JOIN degrees USING (id)) ORDER BY depth, degree DESC, id LIMIT 100)"""
+
+
+def _near(depth: int) -> str:
+    levels = ", ".join(_level(d) for d in range(1, depth + 1))
+    return sql_with(ALL, DEGREES + f", ways AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges), k0 AS (SELECT id, 0 AS depth, degree FROM degrees WHERE id = 'nation_3'), {levels} SELECT * FROM k{depth}")
+
+
+@_query(_near(1))
+def neighborhood_depth1(v: Views) -> DataFrame:
+    return graph.neighborhood(v.edges(), "nation_3", 1)
+
+
+@_query(_near(2))
+def neighborhood_depth2(v: Views) -> DataFrame:
+    return graph.neighborhood(v.edges(), "nation_3", 2)
+
+
+@_query(_near(3))
+def neighborhood_depth3(v: Views) -> DataFrame:
+    return graph.neighborhood(v.edges(), "nation_3", 3)
+
+
+@_query(_near(1).replace("SELECT * FROM k1", "SELECT src, dst, kind FROM edges WHERE src IN (SELECT id FROM k1) AND dst IN (SELECT id FROM k1)"))
+def neighborhood_edges(v: Views) -> DataFrame:
+    e = v.edges()
+    return graph.neighborhood_edges(e, graph.neighborhood(e, "nation_3", 1))
+
+
+@_query(sql_with("defines", ", ways AS (SELECT src AS a, dst AS b FROM defines UNION ALL SELECT dst, src FROM defines), d1 AS (SELECT b AS id FROM ways WHERE a = 'region_1'), d2 AS (SELECT b AS id FROM ways WHERE a IN (SELECT id FROM d1)) SELECT id, min(d)::INT AS distance FROM (SELECT 'region_1' AS id, 0 AS d UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2) GROUP BY id"))
+def shortest_distance_2(v: Views) -> DataFrame:
+    return graph.distances(v.edges("defines"), "region_1", 2)
+
+
+@_query(sql_with("defines calls", """, e AS (SELECT src, dst FROM defines UNION ALL SELECT src, dst FROM calls),
+s AS (SELECT src AS supplier FROM calls WHERE dst = 'part_7'), n AS (SELECT d.src AS nation, min(supplier) AS supplier FROM defines d JOIN s ON d.dst = supplier GROUP BY 1),
+r AS (SELECT d.src AS region, min(nation || '>' || supplier) AS rest FROM defines d JOIN n ON d.dst = nation GROUP BY 1) SELECT region AS entry, region || '>' || rest || '>part_7' AS path FROM r"""))
+def call_paths(v: Views) -> DataFrame:
+    return graph.call_paths(v.edges("defines", "calls"), v.table("region").select(F.concat(F.lit("region_"), "r_regionkey").alias("id")), "part_7")
+
+
+# similarity and drift
+
+DRIFT = """, sides AS (SELECT coalesce(p.file, c.file) AS file, count(p.element) AS p, count(c.element) AS c, count(*) FILTER (p.element IS NOT NULL AND c.element IS NOT NULL) AS both_n
+  FROM (SELECT * FROM fingerprints WHERE rev = 1994) p FULL JOIN (SELECT * FROM fingerprints WHERE rev = 1995) c ON p.file = c.file AND p.element = c.element GROUP BY 1),
+drift AS (SELECT file, CASE WHEN p = 0 THEN 0.0 WHEN c = 0 THEN 1.0 ELSE 1 - both_n / (p + c - both_n) END::DOUBLE AS score FROM sides), scores AS (SELECT * FROM drift WHERE score > 0) """
+
+
+def _scores(v: Views) -> DataFrame:
+    return similarity.drift(v.fingerprints(1994), v.fingerprints(1995))
+
+
+@_query(sql_with("fingerprints", DRIFT + "SELECT file, round(score, 6) AS score FROM scores"))
+def fingerprint_drift(v: Views) -> DataFrame:
+    return _scores(v).select("file", F.round("score", 6).alias("score"))
+
+
+@_query(sql_with("fingerprints", DRIFT + "SELECT file, round(score, 6) AS score, CASE WHEN score >= 1 THEN 'dead' ELSE 'drifted' END AS severity FROM scores WHERE score >= 0.7"))
+def high_drift(v: Views) -> DataFrame:
+    return similarity.high_drift(_scores(v)).withColumn("score", F.round("score", 6))
+
+
+@_query(sql_with("fingerprints defines", DRIFT + ", n AS (SELECT 'customer_' || file AS file, score FROM scores) SELECT src, dst, kind, round((coalesce(a.score, 0) + coalesce(b.score, 0)) / 2, 6) AS drift FROM defines LEFT JOIN n a ON a.file = src LEFT JOIN n b ON b.file = dst"))
+def edge_drift_join(v: Views) -> DataFrame:
+    s = _scores(v).select(F.concat(F.lit("customer_"), "file").alias("file"), "score")
+    return similarity.edge_drift(v.edges("defines"), s).withColumn("drift", F.round("drift", 6))
+
+
+@_query(sql_with("fingerprints defines", DRIFT + ", n AS (SELECT 'customer_' || file AS file, score FROM scores) SELECT src AS concept, count(*) FILTER (score >= 0.5) AS n_stale, round(max(score), 6) AS worst FROM defines LEFT JOIN n ON file = dst GROUP BY src HAVING count(*) FILTER (score >= 0.5) > 0"))
+def stale_rationale(v: Views) -> DataFrame:
+    s = _scores(v).select(F.concat(F.lit("customer_"), "file").alias("file"), "score")
+    return similarity.stale_rationale(v.edges("defines"), s).withColumn("worst", F.round("worst", 6))
+
+
+@_query(sql_with("fingerprints", DRIFT + "SELECT round(avg(score), 6) AS mean, count(*) AS n FROM scores"))
+def drift_average(v: Views) -> DataFrame:
+    return _scores(v).agg(F.round(F.avg("score"), 6).alias("mean"), F.count("*").alias("n"))
+
+
+PAIR = """, old AS (SELECT l_orderkey AS file, l_partkey AS element FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), new AS (SELECT l_orderkey AS file, l_partkey AS element FROM lineitem WHERE l_linenumber >= 2 GROUP BY ALL),
+b AS (SELECT o.file AS old, n.file AS new, count(*) AS both_n FROM old o JOIN new n USING (element) GROUP BY ALL), no AS (SELECT file, count(*) AS n FROM old GROUP BY file), nn AS (SELECT file, count(*) AS n FROM new GROUP BY file),
+pairs AS (SELECT old, new, both_n / (no.n + nn.n - both_n) AS similarity FROM b JOIN no ON no.file = old JOIN nn ON nn.file = new) """
+
+
+def _pairs(v: Views, threshold: float) -> DataFrame:
+    half = lambda c: v.table("lineitem").where(c).select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("element")).distinct()
+    return similarity.similar_pairs(half("l_linenumber <= 3"), half("l_linenumber >= 2"), threshold)
+
+
+@_query("WITH x AS (SELECT 1)" + PAIR + "SELECT old, new, round(similarity, 6) AS similarity FROM pairs WHERE similarity >= 0.4")
+def jaccard_pairs(v: Views) -> DataFrame:
+    return _pairs(v, 0.4).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query("WITH x AS (SELECT 1)" + PAIR + ", r AS (SELECT *, row_number() OVER w AS rn, lead(similarity) OVER w AS nxt FROM pairs WHERE similarity >= 0.4 WINDOW w AS (PARTITION BY old ORDER BY similarity DESC, new)) SELECT old, new, round(similarity, 6) AS similarity FROM r WHERE rn = 1 AND similarity >= 0.5 AND similarity - coalesce(nxt, 0) >= 0.15")
+def rename_candidates(v: Views) -> DataFrame:
+    return similarity.renames(_pairs(v, 0.4), 0.5).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query("WITH x AS (SELECT 1)" + PAIR + "SELECT old, array_to_string(list_sort(list(DISTINCT new)), ',') AS parts FROM pairs WHERE similarity >= 0.25 GROUP BY old HAVING count(DISTINCT new) >= 2")
+def split_candidates(v: Views) -> DataFrame:
+    return similarity.splits(_pairs(v, 0.25), 0.25).select("old", F.array_join(F.col("parts").cast("array<string>"), ",").alias("parts"))
+
+
+@_query("WITH x AS (SELECT 1)" + PAIR + "SELECT new, array_to_string(list_sort(list(DISTINCT old)), ',') AS parts FROM pairs WHERE similarity >= 0.25 GROUP BY new HAVING count(DISTINCT old) >= 2")
+def merge_candidates(v: Views) -> DataFrame:
+    return similarity.merges(_pairs(v, 0.25), 0.25).select("new", F.array_join(F.col("parts").cast("array<string>"), ",").alias("parts"))
+
+
+@_query(None)
+def identity_cascade(v: Views) -> DataFrame:
+    half = lambda c: v.table("lineitem").where(c).select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("element")).distinct()
+    return similarity.identity_cascade(half("l_linenumber <= 3"), half("l_linenumber >= 2")).select("old", "outcome", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
+
+
+@_query(sql_with("files", "SELECT a.root_id, a.path AS old_path, min(b.path) AS new_path FROM files a JOIN files b ON a.root_id = b.root_id AND a.content_hash = b.content_hash AND split_part(a.id, '_', 2)::BIGINT % 2 = 0 AND split_part(b.id, '_', 2)::BIGINT % 2 = 1 GROUP BY ALL"))
+def exact_rename(v: Views) -> DataFrame:
+    f = v.files.withColumn("odd", F.element_at(F.split("id", "_"), -1).cast("long") % 2)
+    return similarity.exact_renames(f.where("odd = 0"), f.where("odd = 1"))
+
+
+@_query("""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents), w AS (SELECT doc_id, unnest([0, least(greatest(n // 2 - 2048, 0), greatest(n - 4096, 0)), greatest(n - 4096, 0)]) AS s, text FROM t WHERE n >= 32 AND n <= 262144),
+p AS (SELECT doc_id, md5(substr(substr(text, s + 1, 4096), i * 32 + 1, 32)) AS h FROM w, unnest(range(0, length(substr(text, s + 1, 4096)) // 32)) u(i))
+SELECT doc_id, count(DISTINCT h) AS n_shingles FROM p GROUP BY doc_id UNION ALL SELECT doc_id, 0 FROM t WHERE n < 32 OR n > 262144""")
+def sampled_shingles(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", F.size(sets.sampled_shingles(F.col("text"))).cast("long").alias("n_shingles"))
+
+
+# search
+
+@_query(sql_with("lines", "SELECT root_id, path, line_number::INT AS line_number, line, strpos(line, 'password')::INT AS \"column\" FROM lines WHERE contains(line, 'password')"))
+def lexical_literal(v: Views) -> DataFrame:
+    return search.lexical(v.lines, "password", literal=True).withColumn("line_number", F.col("line_number").cast("int"))
+
+
+@_query(sql_with("lines", "SELECT root_id, path, line_number::INT AS line_number, line FROM lines WHERE regexp_matches(line, '[0-9]{3}-[0-9]{4}') AND starts_with(path, 'en/')"))
+def lexical_regex(v: Views) -> DataFrame:
+    return search.lexical(v.lines, "[0-9]{3}-[0-9]{4}", path="en/").select("root_id", "path", F.col("line_number").cast("int").alias("line_number"), "line")
+
+
+@_query(sql_with("lines", ", m AS (SELECT *, row_number() OVER (PARTITION BY root_id, path ORDER BY line_number) AS rn, CASE WHEN length(line) > 160 THEN substr(line, 1, 160) || '…' ELSE line END AS p FROM lines WHERE regexp_matches(line, '@|[0-9]{4}')) SELECT root_id, path, count(*) AS n_matches, string_agg(p, chr(10) ORDER BY rn) FILTER (rn <= 5) AS previews FROM m GROUP BY ALL"))
+def search_grouped(v: Views) -> DataFrame:
+    return search.grouped(search.lexical(v.lines, "@|[0-9]{4}"))
+
+
+@_query(sql_with("lines", "SELECT root_id, path, line_number::INT AS line_number FROM lines WHERE regexp_matches(line, 'token') ORDER BY CASE WHEN root_id = 'src3' THEN 0 ELSE 1 END, root_id, path, line_number LIMIT 50"))
+def rooted_search(v: Views) -> DataFrame:
+    return search.rooted(v.lines, "token", "src3").select("root_id", "path", F.col("line_number").cast("int").alias("line_number"))
+
+
+@_query(sql_with("lines", ", h AS (SELECT path, sum(contains(lower(line), 'token')::INT + contains(lower(line), 'password')::INT + contains(lower(line), 'email')::INT)::BIGINT AS hits FROM lines WHERE regexp_matches(lower(line), 'token|password|email') GROUP BY path) SELECT path, hits, hits * 20 AS score FROM h ORDER BY score DESC, path LIMIT 20"))
+def find_rank(v: Views) -> DataFrame:
+    return search.find_rank(v.lines, ["token", "password", "email"])
+
+
+def _probe(v: Views) -> list[float]:
+    return [1.0 if i % 3 == 0 else -0.5 if i % 3 == 1 else 0.25 for i in range(64)]
+
+
+PROBE = "[" + ", ".join(str(x) for x in (1.0 if i % 3 == 0 else -0.5 if i % 3 == 1 else 0.25 for i in range(64))) + "]::DOUBLE[]"
+
+
+@_query(sql_with("vectors", f"SELECT vec_id, round(list_cosine_similarity(v, {PROBE}), 6) AS score FROM vectors ORDER BY score DESC, vec_id LIMIT 10"))
+def vector_topk(v: Views) -> DataFrame:
+    return search.vector_topk(v.vectors, _probe(v))
+
+
+@_query(sql_with("vectors", """, x AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM vectors), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY ALL), c AS (SELECT label AS route, list(x ORDER BY i) AS c FROM m GROUP BY label),
+s AS (SELECT vec_id, label, route, round(list_cosine_similarity(v, c), 6) AS score FROM vectors, c) SELECT vec_id, label, CASE WHEN max(score) >= 0.1 THEN arg_max(route, (score, -route)) END AS route, max(score) AS score FROM s GROUP BY ALL"""))
+def semantic_route(v: Views) -> DataFrame:
+    return search.nearest_centroid(v.vectors, 0.1)
+
+
+def _ranks(v: Views) -> tuple[DataFrame, DataFrame]:
+    lex = search.find_rank(v.lines, ["the", "token", "la"], 100)
+    near = search.vector_topk(v.vectors, _probe(v), 50)
+    rank = lambda df, order, doc: df.select(doc.alias("doc"), F.row_number().over(_window(order)).alias("rank") - 1).toDF("doc", "rank")
+    return rank(lex, [F.desc("score"), F.col("path")], F.element_at(F.split("path", "/"), -1).cast("long")), rank(near, [F.desc("score"), F.col("vec_id")], F.col("vec_id"))
+
+
+def _window(order: list):
+    from pyspark.sql import Window
+
+    return Window.orderBy(*order)
+
+
+RANKS = f""", h AS (SELECT path, sum(contains(lower(line), 'the')::INT + contains(lower(line), 'token')::INT + contains(lower(line), 'la')::INT)::BIGINT AS hits FROM lines WHERE regexp_matches(lower(line), 'the|token|la') GROUP BY path),
+lex AS (SELECT split_part(path, '/', 2)::BIGINT AS doc, row_number() OVER (ORDER BY hits DESC, path) - 1 AS rank FROM h QUALIFY rank < 100),
+nea AS (SELECT vec_id AS doc, row_number() OVER (ORDER BY round(list_cosine_similarity(v, {PROBE}), 6) DESC, vec_id) - 1 AS rank FROM vectors QUALIFY rank < 50),
+u AS (SELECT doc, 'lexical' AS source, 1 / (rank + 61) AS share, rank AS best FROM lex UNION ALL SELECT doc, 'vector', 1 / (rank + 61), rank + 100 FROM nea) """
+
+
+@_query(sql_with("lines vectors", RANKS + "SELECT doc, CASE WHEN count(*) > 1 THEN 'hybrid' ELSE min(source) END AS source, round(sum(share), 6) AS score, min(best)::INT AS best FROM u GROUP BY doc ORDER BY score DESC, best, doc LIMIT 50"))
+def rrf_fused(v: Views) -> DataFrame:
+    return search.fuse(*_ranks(v), limit=50)
+
+
+@_query(sql_with("lines vectors", RANKS + "SELECT doc, source, round(share, 6) AS score, best::INT AS best FROM u ORDER BY score DESC, best, doc, source LIMIT 50"))
+def rrf_union(v: Views) -> DataFrame:
+    return search.fuse(*_ranks(v), by_document=False, limit=50)
+
+
+@_query("SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE trim(b.text) <> ''")
+def task_containment(v: Views) -> DataFrame:
+    return search.containment(v.table("benchmark"), v.table("documents"))
+
+
+@_query("WITH e AS (SELECT vec_id AS task, label FROM embeddings), r AS (SELECT task, (task * 7 + k) % 10 AS doc, k AS rank FROM e, unnest(range(10)) u(k)) SELECT count(*) AS n_tasks, round(avg(hit), 6) AS hit_rate FROM (SELECT e.task, max(CASE WHEN r.rank < 5 THEN 1 ELSE 0 END) AS hit FROM e LEFT JOIN r ON r.task = e.task AND r.doc = e.label GROUP BY e.task)")
+def bench_hit_at_k(v: Views) -> DataFrame:
+    e = v.table("embeddings").select(F.col("vec_id").alias("task"), F.col("label").cast("long").alias("doc"))
+    r = e.select("task", F.posexplode(F.sequence(F.lit(0), F.lit(9))).alias("rank", "k")).select("task", ((F.col("task") * 7 + F.col("k")) % 10).alias("doc"), "rank")
+    return search.hit_at_k(r, e)
+
+
+@_query("WITH r AS (SELECT l_orderkey AS task, l_partkey AS doc FROM lineitem GROUP BY ALL), a AS (SELECT l_orderkey AS task, l_partkey AS doc FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL) SELECT r.task, CASE WHEN r.task IN (SELECT task FROM a) THEN round(1 - count(a.doc) / count(*), 6) END AS rate FROM r LEFT JOIN a ON a.task = r.task AND a.doc = r.doc GROUP BY r.task")
+def wrong_context_rate(v: Views) -> DataFrame:
+    r = v.table("lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_partkey").alias("doc"), "l_returnflag")
+    return search.wrong_context_rate(r.select("task", "doc").distinct(), r.where("l_returnflag = 'A'").select("task", "doc").distinct())
+
+
+# risk and cards
+
+@_query(sql_with("fingerprints commits changes", DRIFT + PAIRS.replace(" pairs AS", " allpairs AS") + """, pairs AS (SELECT * FROM allpairs WHERE n >= 2), t AS (SELECT path, count(*) AS touches FROM changes JOIN commits USING (revision) GROUP BY path),
+e AS (SELECT path, count(*) AS n FROM (SELECT left_path AS path FROM pairs UNION ALL SELECT right_path FROM pairs) GROUP BY path),
+r AS (SELECT t.path, round(coalesce(d.score, 0) * 0.4 + least(coalesce(e.n, 0) / 10, 1.0) * 0.3 + least(touches / 10, 1.0) * 0.3, 6) AS score FROM t LEFT JOIN (SELECT 'part_' || file AS path, score FROM scores) d ON d.path = t.path LEFT JOIN e ON e.path = t.path)
+SELECT *, CASE WHEN score >= 0.8 THEN 'critical' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS level FROM r"""))
+def change_risk(v: Views) -> DataFrame:
+    touches = v.changes.join(v.commits, "revision").groupBy("path").agg(F.count("*").alias("touches"))
+    d = _scores(v).select(F.concat(F.lit("part_"), "file").alias("path"), "score")
+    return graph.change_risk(d, history.cochange_pairs(v.changes).where("n >= 2"), touches)
+
+
+@_query("SELECT p_brand AS module, count(*) AS n_symbols, count(*) FILTER (p_size % 3 = 0) AS n_public, count(*) FILTER (p_size % 3 = 1) AS n_restricted, count(*) FILTER (p_size % 3 = 2) AS n_private, count(DISTINCT p_type) AS n_children FROM part GROUP BY 1")
+def module_rollup(v: Views) -> DataFrame:
+    s = v.symbols
+    return s.groupBy(F.col("file").alias("module")).agg(F.count("*").alias("n_symbols"), F.count_if(F.col("visibility") == "public").alias("n_public"), F.count_if(F.col("visibility") == "crate").alias("n_restricted"), F.count_if(F.col("visibility") == "private").alias("n_private"), F.count_distinct(F.element_at(F.split("qualified_name", "::"), 2)).alias("n_children"))
+
+
+@_query(sql_with("symbols commits changes", ", t AS (SELECT path, max(ts) AS ts FROM changes JOIN commits USING (revision) GROUP BY path), m AS (SELECT max(ts) AS now FROM commits) SELECT id, visibility, coalesce(t.ts >= now - INTERVAL 30 DAY, false) AS recent FROM symbols LEFT JOIN t ON path = id, m WHERE visibility IN ('public', 'crate')"))
+def public_api(v: Views) -> DataFrame:
+    t = v.changes.join(v.commits, "revision").groupBy(F.col("path").alias("id")).agg(F.max("ts").alias("ts"))
+    now = v.commits.agg(F.max("ts").alias("now"))
+    return v.symbols.where(F.col("visibility").isin("public", "crate")).select("id", "visibility").join(t, "id", "left").join(F.broadcast(now)).select("id", "visibility", F.coalesce(F.col("ts") >= F.col("now") - F.expr("INTERVAL 30 DAYS"), F.lit(False)).alias("recent"))
+
+
+@_query("""WITH s AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'main' WHEN 1 THEN 'handle_' || page_id WHEN 2 THEN 'a::b' ELSE 'item' END AS q, CASE page_id % 7 WHEN 0 THEN 'src/main.rs' WHEN 1 THEN 'src/cmd/x.rs' WHEN 2 THEN 'src/router/x.rs' WHEN 3 THEN 'src/lib.rs' ELSE 'src/a/mod.rs' END AS p, CASE page_id % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'method' END AS k FROM pages)
+SELECT page_id, CASE WHEN q = 'main' AND p = 'src/main.rs' THEN 'binary' WHEN k = 'function' AND p = 'src/cmd/x.rs' THEN 'cli_command' WHEN starts_with(q, 'handle_') OR (p = 'src/router/x.rs' AND k IN ('function', 'method')) THEN 'http_handler' WHEN p IN ('src/lib.rs', 'src/a/mod.rs') AND k IN ('function', 'class') AND NOT contains(q, '::') THEN 'lib_root' END AS kind FROM s""")
+def entrypoint_classify(v: Views) -> DataFrame:
+    m = lambda k, *names: F.element_at(F.array(*map(F.lit, names)), (F.col("page_id") % k + 1).cast("int"))
+    q = F.when(F.col("page_id") % 5 == 1, F.concat(F.lit("handle_"), "page_id")).otherwise(m(5, "main", "", "a::b", "item", "item"))
+    s = v.table("pages").select("page_id", q.alias("q"), m(7, "src/main.rs", "src/cmd/x.rs", "src/router/x.rs", "src/lib.rs", "src/a/mod.rs", "src/a/mod.rs", "src/a/mod.rs").alias("p"), m(3, "function", "class", "method").alias("k"))
+    return s.select("page_id", text.entry_point_kind(F.col("q"), F.col("p"), F.col("k")).alias("kind"))
+
+
+@_query(sql_with("files", ", c AS (SELECT path, language, len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END AS n FROM files WHERE content <> '') SELECT path, language, n::INT AS lines, greatest(count(*) OVER () - 20, 0) AS omitted FROM c WHERE n > 10 ORDER BY n DESC, path LIMIT 20"))
+def large_files(v: Views) -> DataFrame:
+    f = v.files.select("path", "language", text.line_count(F.col("content")).alias("lines")).where((F.col("lines") > 10) & F.col("language").isNotNull() & ~text.is_test_path(F.col("path")))
+    return budget.with_omitted(f, [F.desc("lines"), F.col("path")], 20)
+
+
+@_query(sql_with("files", ", c AS (SELECT language, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END END AS n FROM files) SELECT language, count(*) AS n_files, max(n)::INT AS max_lines FROM c GROUP BY language"))
+def language_groups(v: Views) -> DataFrame:
+    return v.files.select("language", text.line_count(F.col("content")).alias("n")).groupBy("language").agg(F.count("*").alias("n_files"), F.max("n").alias("max_lines"))
+
+
+@_query(sql_with("symbols", ", m AS (SELECT file, display_name, row_number() OVER (PARTITION BY file ORDER BY display_name, id) AS rn FROM symbols WHERE doc_comment IS NULL AND visibility IN ('public', 'crate')) SELECT file, count(*) AS n_missing, string_agg(display_name, ',' ORDER BY rn) FILTER (rn <= 5) AS preview FROM m GROUP BY file"))
+def missing_docs(v: Views) -> DataFrame:
+    m = v.symbols.where("doc_comment IS NULL AND visibility IN ('public', 'crate')")
+    return m.groupBy("file").agg(F.count("*").alias("n_missing"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("display_name", "id"))), 1, 5), lambda x: x["display_name"]), ",").alias("preview"))
+
+
+# budget
+
+@_query("SELECT doc_id, greatest(octet_length(text::BLOB) // 3, 1)::BIGINT AS tokens FROM documents")
+def token_estimate(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", text.token_estimate(F.col("text")).cast("long").alias("tokens"))
+
+
+@_query("WITH t AS (SELECT source, doc_id, greatest(octet_length(text::BLOB) // 3, 1) AS c FROM documents), r AS (SELECT *, sum(c) OVER w AS spent, row_number() OVER w AS rn FROM t WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT source, doc_id, spent::BIGINT AS spent FROM r WHERE spent <= 4000 OR rn = 1")
+def prefix_budget_cut(v: Views) -> DataFrame:
+    t = v.table("documents").select("source", "doc_id", text.token_estimate(F.col("text")).cast("long").alias("c"))
+    return budget.prefix_cut(t, "source", ["doc_id"], "c", 4000).select("source", "doc_id", "spent")
+
+
+@_query("WITH c AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0) SELECT c_custkey, c_acctbal, greatest(count(*) OVER () - 25, 0) AS omitted FROM c ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
+def omitted_counts(v: Views) -> DataFrame:
+    return budget.with_omitted(v.table("customer").where("c_acctbal > 0").select("c_custkey", "c_acctbal"), [F.desc("c_acctbal"), F.col("c_custkey")], 25)
+
+
+@_query(None)
+def knapsack(v: Views) -> DataFrame:
+    few = v.table("lineitem").select(F.col("l_orderkey").alias("request"), "l_linenumber", F.col("l_quantity").cast("long").alias("cost")).groupBy("request", "l_linenumber").agg(F.max("cost").alias("cost"))
+    return budget.knapsack(few, "request", "l_linenumber", "cost", 60).select("request", "spent", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
+
+
+# overlay
+
+@_query("WITH s AS (SELECT user_id AS link, event_id AS seq, CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'pending_promotion' WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'rejected' ELSE 'active' END AS s FROM events) SELECT link, arg_max(s, seq) AS state, count(*) AS n_events FROM s GROUP BY link")
+def event_fold(v: Views) -> DataFrame:
+    return overlay.fold_links(_link_events(v))
+
+
+def _link_events(v: Views) -> DataFrame:
+    e = F.col("event_type")
+    return v.events.select(F.col("user_id").alias("link"), F.col("event_id").alias("seq"), F.when(e == "view", "generated").when(e == "click", "pending").when(e == "purchase", "promoted").when(e == "error", "rejected").otherwise("rolled_back").alias("event"))
+
+
+@_query("WITH s AS (SELECT user_id AS link, event_id AS seq, CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'pending_promotion' WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'rejected' ELSE 'active' END AS s FROM events), f AS (SELECT link, arg_max(s, seq) AS state FROM s GROUP BY link) SELECT state, count(*) AS n FROM f GROUP BY state")
+def state_counts(v: Views) -> DataFrame:
+    return overlay.state_counts(overlay.fold_links(_link_events(v)), "state")
+
+
+LINKS = """, links AS (SELECT l_orderkey * 10 + l_linenumber AS link, 'part_' || l_partkey AS path, l_returnflag AS hash, l_linestatus = 'O' AS valid, l_discount * 10 AS score, l_shipdate AS generated FROM lineitem),
+now AS (SELECT 'part_' || p_partkey AS path, CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS now FROM part WHERE p_size <= 45),
+fresh AS (SELECT links.*, CASE WHEN NOT valid THEN 'invalid' WHEN now IS NULL THEN 'source_deleted' WHEN hash = now THEN 'fresh' ELSE 'stale' END AS freshness FROM links LEFT JOIN now USING (path)) """
+
+
+def _links(v: Views) -> tuple[DataFrame, DataFrame]:
+    l = v.table("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("link"), F.concat(F.lit("part_"), "l_partkey").alias("path"), F.col("l_returnflag").alias("hash"), (F.col("l_linestatus") == "O").alias("valid"), (F.col("l_discount") * 10).alias("score"), F.col("l_shipdate").alias("generated"))
+    now = v.table("part").where("p_size <= 45").select(F.concat(F.lit("part_"), "p_partkey").alias("path"), F.when(F.col("p_size") % 3 == 0, "A").when(F.col("p_size") % 3 == 1, "N").otherwise("R").alias("now"))
+    return l, now
+
+
+@_query("WITH x AS (SELECT 1)" + LINKS + "SELECT freshness, count(*) AS n FROM fresh GROUP BY freshness")
+def link_freshness(v: Views) -> DataFrame:
+    return overlay.link_freshness(*_links(v)).groupBy("freshness").agg(F.count("*").alias("n"))
+
+
+@_query("WITH x AS (SELECT 1)" + LINKS + ", t AS (SELECT link, score, generated, freshness, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.6 THEN 'review_queue' ELSE 'below_threshold' END AS tier FROM fresh) SELECT * FROM (SELECT DISTINCT * FROM t) WHERE tier <> 'high' OR freshness = 'source_deleted' ORDER BY score DESC, generated DESC, link, freshness LIMIT 50")
+def findings(v: Views) -> DataFrame:
+    l, now = _links(v)
+    f = l.join(now, "path", "left").withColumn("freshness", overlay.freshness(F.col("hash"), F.col("now"), F.col("valid")))
+    return overlay.findings(f.select("link", "score", "generated", "freshness").distinct())
+
+
+@_query("SELECT l_orderkey AS link, round(greatest(least(avg(l_discount * 10) * 0.7 + CASE WHEN count(*) >= 2 THEN 0.2 ELSE 0.1 END + least(sum(l_quantity) / 64, 1.0) * 0.1 - least(greatest(count(*) - 5, 0), 3) * 0.1, 1.0), 0.0), 6) AS score FROM lineitem GROUP BY 1")
+def confidence_score(v: Views) -> DataFrame:
+    g = v.table("lineitem").groupBy(F.col("l_orderkey").alias("link")).agg(F.avg(F.col("l_discount") * 10).alias("m"), F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    return g.select("link", F.round(budget.confidence(F.col("m"), F.col("n"), F.col("q"), F.greatest(F.col("n") - 5, F.lit(0))), 6).alias("score"))
+
+
+@_query(sql_with("calls", "SELECT src, dst FROM calls WHERE src NOT IN (SELECT 'supplier_' || s_suppkey FROM supplier WHERE s_acctbal >= 0) OR dst NOT IN (SELECT 'part_' || p_partkey FROM part WHERE p_size <= 40)"))
+def orphan_prune(v: Views) -> DataFrame:
+    live = v.table("supplier").where("s_acctbal >= 0").select(F.concat(F.lit("supplier_"), "s_suppkey").alias("id")).unionByName(v.table("part").where("p_size <= 40").select(F.concat(F.lit("part_"), "p_partkey").alias("id")))
+    return graph.orphans(v.edges("calls"), live)
+
+
+@_query("WITH x AS (SELECT 1)" + LINKS + "SELECT link // 10 AS note, bool_or(now IS NOT NULL AND now <> hash) AS drifted, bool_or(now IS NULL) AS missing FROM links LEFT JOIN now USING (path) GROUP BY 1")
+def note_drift(v: Views) -> DataFrame:
+    l, now = _links(v)
+    return overlay.note_drift(l.select(F.floor(F.col("link") / 10).alias("note"), "path", "hash"), now)
+
+
+@_query("""WITH s AS (SELECT conv_id || ':' || turn AS id, turn AS updated, lower(text) AS t, role FROM conversations), h AS (SELECT id, updated, (CASE WHEN contains(t, 'the') THEN 5 ELSE 0 END + CASE WHEN contains(t, 'an') THEN 5 ELSE 0 END) AS held, role FROM s)
+SELECT id, (held + CASE WHEN role = 'assistant' THEN 2 ELSE 0 END + CASE WHEN role = 'user' THEN 1 ELSE 0 END)::INT AS score, updated FROM h WHERE held > 0 ORDER BY score DESC, updated DESC, id LIMIT 20""")
+def lesson_search(v: Views) -> DataFrame:
+    c = v.table("conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("claim"), (F.col("role") == "assistant").alias("fresh"), (F.col("role") == "user").alias("verified"), F.col("turn").alias("updated"))
+    return overlay.lesson_search(c, ["the", "an"])
+
+
+@_query("WITH o AS (SELECT o_orderkey AS id, o_orderdate AS ts, 'commit' AS kind FROM orders ORDER BY ts DESC, id LIMIT 50), e AS (SELECT event_id AS id, ts, 'event' AS kind FROM events ORDER BY ts DESC, id LIMIT 50) SELECT * FROM (SELECT * FROM o UNION ALL SELECT * FROM e) ORDER BY ts DESC, kind, id LIMIT 60")
+def recent_activity(v: Views) -> DataFrame:
+    kinds = [("commit", v.commits.select(F.col("revision").alias("id"), "ts")), ("event", v.events.select(F.col("event_id").alias("id"), "ts"))]
+    return overlay.recent_activity(kinds, limit=60)
+
+
+@_query(sql_with("commits changes", ", t AS (SELECT path, count(*) AS touches FROM changes JOIN commits USING (revision) GROUP BY path), p AS (SELECT path, touches, CASE WHEN touches >= 20 THEN 3 WHEN touches >= 10 THEN 2 WHEN touches >= 5 THEN 1 END AS priority FROM t) SELECT * FROM p WHERE priority IS NOT NULL ORDER BY priority DESC, touches DESC, path LIMIT 20"))
+def handoffs(v: Views) -> DataFrame:
+    return overlay.handoffs(v.changes.join(v.commits, "revision").groupBy("path").agg(F.count("*").alias("touches")))
+
+
+@_query("WITH n AS (SELECT conv_id || ':' || turn AS note, conv_id, lead(conv_id || ':' || turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) SELECT note, CASE WHEN nxt IS NULL THEN 'active' ELSE 'superseded' END AS status, nxt AS \"by\" FROM n")
+def note_supersede(v: Views) -> DataFrame:
+    return overlay.supersede(v.table("conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("note"), F.col("conv_id").alias("thread"), F.col("turn").alias("seq")))
+
+
+@_query(sql_with("symbols fingerprints", DRIFT + "SELECT 'drift' AS surface, CASE WHEN count(*) > 0 THEN 'actionable' ELSE 'clean' END AS severity, count(*) AS n FROM scores WHERE score >= 0.7 UNION ALL SELECT 'docs', CASE WHEN count(*) > 0 THEN 'report_only' ELSE 'clean' END, count(*) FROM symbols WHERE doc_comment IS NULL"))
+def repair_report(v: Views) -> DataFrame:
+    return overlay.repair_report([("drift", "actionable", similarity.high_drift(_scores(v))), ("docs", "report_only", v.symbols.where("doc_comment IS NULL"))])
+
+
+# lifecycle
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def missing_files(v: Views) -> DataFrame:
+    return lifecycle.missing(v.table("orders").select("o_orderkey"), v.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
+
+
+@_query("SELECT p_partkey, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) THEN NULL WHEN p_size % 10 = 0 THEN p_size::BIGINT ELSE 99 END AS retired_at FROM part")
+def retire_diff(v: Views) -> DataFrame:
+    stored = v.table("part").select("p_partkey", F.when(F.col("p_size") % 10 == 0, F.col("p_size")).cast("long").alias("retired_at"))
+    return lifecycle.retire(stored, v.table("lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", 99)
+
+
+@_query(sql_with("calls", ", gone AS (SELECT 'part_' || p_partkey AS id FROM part WHERE p_size % 10 = 0 AND p_size < 30) SELECT src, dst FROM calls WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)"))
+def compact_retired(v: Views) -> DataFrame:
+    rows = v.table("part").select(F.concat(F.lit("part_"), "p_partkey").alias("id"), F.when(F.col("p_size") % 10 == 0, F.col("p_size")).cast("long").alias("retired_at"))
+    return lifecycle.compact(rows, v.edges("calls"), "id", 30)[1]
+
+
+@_query("SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0")
+def incremental_sync(v: Views) -> DataFrame:
+    d = v.table("documents").select("doc_id", "text")
+    now = d.where("doc_id % 11 != 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"))
+    return lifecycle.sync(d, d.where("doc_id % 7 = 0 OR doc_id % 11 = 0"), now, "doc_id").select("doc_id", F.sha2("text", 256).alias("h"))
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'removed' WHEN p_size % 4 = 1 THEN 'modified' WHEN p_size % 4 = 2 THEN 'added' END AS change FROM part WHERE p_size % 4 < 3")
+def changed_files(v: Views) -> DataFrame:
+    p = v.table("part")
+    after = p.where("p_size % 4 != 0").select("p_partkey", F.when(F.col("p_size") % 4 == 1, F.upper("p_name")).otherwise(F.col("p_name")).alias("p_name"))
+    return lifecycle.changed(p.where("p_size % 4 != 2").select("p_partkey", F.when(F.col("p_size") % 4 == 1, F.concat(F.lit("old "), "p_name")).otherwise(F.col("p_name")).alias("p_name")), after, "p_partkey", "p_name")
+
+
+@_query("WITH u AS (SELECT o_custkey AS id, o_orderkey AS seq, o_orderstatus AS state FROM orders) SELECT id, arg_max(state, seq) AS state, max(seq) AS seq FROM u GROUP BY id")
+def upsert_latest(v: Views) -> DataFrame:
+    o = v.table("orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("state"))
+    return lifecycle.upsert(o.where("seq % 2 = 0"), o.where("seq % 2 = 1"), ["id"], "seq")
+
+
+@_query(sql_with("files", ", r(root_id, prefix) AS (VALUES ('main', ''), ('english', 'en'), ('one', 'en/1')) SELECT path, CASE WHEN path = 'en/1' THEN 'one' WHEN starts_with(path, 'en/') THEN 'english' ELSE 'main' END AS root_id FROM files"))
+def owner_root(v: Views) -> DataFrame:
+    return lifecycle.owner_root(v.files.select("path"), v.spark.createDataFrame([("main", ""), ("english", "en"), ("one", "en/1")], "root_id string, prefix string"))
+
+
+# text
+
+@_query("SELECT doc_id, CASE WHEN text = '' THEN 'skipped_empty' WHEN octet_length(text::BLOB) > 20000 THEN 'skipped_large' WHEN doc_id % 4 = 0 THEN 'supported' WHEN doc_id % 4 = 1 THEN 'markdown' WHEN doc_id % 4 = 2 THEN 'notebook' ELSE 'text' END AS class FROM documents")
+def classify_docs(v: Views) -> DataFrame:
+    path = F.concat(F.lit("x."), F.element_at(F.array(*map(F.lit, ("rs", "md", "ipynb", "txt"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    return v.table("documents").select("doc_id", text.classify_content(path, F.octet_length("text"), F.col("text"), 20000).alias("class"))
+
+
+@_query("SELECT doc_id, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END)::INT AS n FROM documents")
+def line_count(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", text.line_count(F.col("text")).alias("n"))
+
+
+STOP = "['" + "','".join(text.STOPWORDS) + "']"
+
+
+@_query(f"SELECT p_partkey, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(p_type || 'HTTPServer_' || p_name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z0-9])([A-Z][a-z])', '\\1 \\2', 'g')), '[ _\\-/.:]+'), x -> x <> '' AND NOT list_contains({STOP}, x)), ' ') AS words FROM part")
+def identifier_split(v: Views) -> DataFrame:
+    return v.table("part").select("p_partkey", F.array_join(text.split_identifier(F.concat("p_type", F.lit("HTTPServer_"), "p_name")), " ").alias("words"))
+
+
+@_query(f"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), x -> x <> '' AND NOT list_contains({STOP}, x)) AS w FROM conversations)
+SELECT conv_id, turn, len(list_distinct(list_transform(w, x -> CASE WHEN length(x) > 4 AND ends_with(x, 'ies') THEN substr(x, 1, length(x) - 3) || 'y' WHEN length(x) > 3 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN substr(x, 1, length(x) - 1) ELSE x END)))::BIGINT AS n_tokens FROM w""")
+def tokenise(v: Views) -> DataFrame:
+    return v.table("conversations").select("conv_id", "turn", F.size(text.query_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@_query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '://[^/]+/([^/?#]+)/', 1) AS route FROM pages")
+def url_routes(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "://[^/]+/([^/?#]+)/", 1).alias("route"))
+
+
+@_query(sql_with("files", "SELECT path FROM files WHERE NOT starts_with(path, 'fr/') AND NOT regexp_matches(path, '(^|/)1[^/]*$')"))
+def redaction_filter(v: Views) -> DataFrame:
+    return v.files.where(~text.redacted(F.col("path"), ("fr/**", "1*"))).select("path")
+
+
+@_query(None)
+def lcs_verify(v: Views) -> DataFrame:
+    s = v.table("part").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("quoted"), F.when(F.col("p_size") % 2 == 0, F.concat("p_type", F.lit("  "), "p_name")).otherwise(F.reverse("p_name")).alias("source"))
+    return similarity.verify_spans(s).withColumn("ratio", F.round("ratio", 6))
+
+
+@_query("WITH w AS (SELECT item_id, unnest(list_distinct(string_split_regex(text, '[^A-Za-z0-9_]+'))) AS word FROM benchmark), s AS (SELECT 'part_' || p_partkey AS symbol, string_split_regex(p_brand || '::' || p_name, '::|[.:]')[-1] AS word FROM part) SELECT DISTINCT item_id AS concept, symbol FROM w JOIN s USING (word) WHERE length(word) >= 4")
+def concept_links(v: Views) -> DataFrame:
+    return overlay.concept_links(v.table("benchmark").select(F.col("item_id").alias("concept"), F.col("text").alias("body")), v.table("part").select(F.concat(F.lit("part_"), "p_partkey").alias("symbol"), F.concat_ws("::", "p_brand", "p_name").alias("qualified_name")))
+
+
+# metrics and streams
+
+@_query("SELECT event_type AS tool, count(value) AS n, round(coalesce(sum(value), 0), 6) AS total, round(coalesce(avg(value), 0), 6) AS mean, max(value) AS worst FROM events GROUP BY 1")
+def metrics_merge(v: Views) -> DataFrame:
+    return overlay.metrics(v.events.select(F.col("event_type").alias("tool"), "value"))
+
+
+@_query("WITH d AS (SELECT ts, CASE WHEN lag(ts) OVER (ORDER BY ts) IS NULL OR ts - lag(ts) OVER (ORDER BY ts) >= INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS b FROM events), s AS (SELECT ts, sum(b) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM d) SELECT min(ts) AS start, max(ts) + INTERVAL 5 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY k")
+def debounce_sessions(v: Views) -> DataFrame:
+    return watch.sessions(v.events)
+
+
+@_query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, least(count(DISTINCT user_id), 50)::INT AS n_paths, count(DISTINCT user_id) > 50 AS overflow, least(count(*), 1000) AS n_events FROM events GROUP BY 1")
+def pending_overflow(v: Views) -> DataFrame:
+    w = watch.pending(v.events.select("ts", F.concat(F.lit("user_"), "user_id").alias("path")))
+    return w.select("start", F.col("n_paths").cast("int").alias("n_paths"), "overflow", "n_events")
+
+
+@_query("SELECT event_id AS id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.event_type = 'error' AND o.user_id = e.user_id AND e.ts >= o.ts AND epoch(e.ts) - epoch(o.ts) < 3600)")
+def suppression_ttl(v: Views) -> DataFrame:
+    e = v.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("path"), F.date_trunc("second", "ts").alias("ts"), "event_type")
+    return watch.suppress(e.select("id", "path", "ts"), e.where("event_type = 'error'").select("path", F.col("ts").alias("written")), 3600).select("id")
+
+
+@_query("WITH h AS (SELECT user_id AS branch, event_id, event_type AS head, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) SELECT branch, event_id AS ts, head FROM h WHERE b IS NULL OR b <> head")
+def head_moves(v: Views) -> DataFrame:
+    return watch.head_moves(v.events.select(F.col("user_id").alias("branch"), F.col("event_id").alias("ts"), F.col("event_type").alias("head")))
+
+
+@_query("WITH a AS (SELECT user_id AS key, event_id AS started, event_id + 5 AS finished, event_type <> 'error' AS completed FROM events), d AS (SELECT key, max(finished) AS last FROM a WHERE completed GROUP BY key) SELECT a.key, max(finished) AS finished, arg_max(completed, (finished, completed)) AS completed FROM a LEFT JOIN d USING (key) WHERE completed OR last IS NULL OR started >= last GROUP BY a.key")
+def newest_outcome(v: Views) -> DataFrame:
+    return watch.keep_newest_outcome(v.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("started"), (F.col("event_id") + 5).alias("finished"), (F.col("event_type") != "error").alias("completed")))
