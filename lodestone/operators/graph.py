@@ -55,17 +55,21 @@ def _ways(edges: DataFrame, direction: str) -> DataFrame:
 def neighborhood(edges: DataFrame, start: str, depth: int = 1, limit: int = 100, direction: str = "both") -> DataFrame:
     """id, depth, degree of at most ``limit`` nodes near ``start``: level by level, within a level by (degree descending, id).
 
-    The frontier is bounded by ``limit``, at most MAX_LIMIT rows, and so is what is broadcast.
+    What is kept is bounded by ``limit``, at most MAX_LIMIT rows; these alone go over the driver.
     """
     depth, limit = max(1, min(depth, MAX_DEPTH)), max(1, min(limit, MAX_LIMIT))
+    spark, schema = edges.sparkSession, "id string, depth int, degree long"
     ways, degree = _ways(edges, direction), degree_map(edges).select("id", "degree")
-    kept = degree.where(F.col("id") == start).select("id", F.lit(0).alias("depth"), "degree")
+    rows = [(r["id"], 0, r["degree"]) for r in degree.where(F.col("id") == start).collect()]
     for d in range(1, depth + 1):
-        front = kept.where(F.col("depth") == d - 1).select(F.col("id").alias("a"))
-        near = ways.join(F.broadcast(front), "a").select(F.col("b").alias("id")).distinct().join(F.broadcast(kept.select("id")), "id", "left_anti")
-        near = near.join(degree, "id").select("id", F.lit(d).alias("depth"), "degree")
-        kept = kept.unionByName(near).orderBy("depth", F.desc("degree"), "id").limit(limit)
-    return kept
+        front = [r[:1] for r in rows if r[1] == d - 1]
+        if not front or len(rows) >= limit:
+            break
+        seen = spark.createDataFrame([r[:1] for r in rows], "id string")
+        near = ways.join(F.broadcast(spark.createDataFrame(front, "a string")), "a").select(F.col("b").alias("id")).distinct().join(F.broadcast(seen), "id", "left_anti")
+        near = near.join(degree, "id").orderBy(F.desc("degree"), "id").limit(limit - len(rows))
+        rows += [(r["id"], d, r["degree"]) for r in near.collect()]
+    return spark.createDataFrame(rows, schema)
 
 
 def neighborhood_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:

@@ -177,12 +177,12 @@ def call_paths(v: Views) -> DataFrame:
 # similarity and drift
 
 DRIFT = """, sides AS (SELECT coalesce(p.file, c.file) AS file, count(p.element) AS p, count(c.element) AS c, count(*) FILTER (p.element IS NOT NULL AND c.element IS NOT NULL) AS both_n
-  FROM (SELECT * FROM fingerprints WHERE rev = 1994) p FULL JOIN (SELECT * FROM fingerprints WHERE rev = 1995) c ON p.file = c.file AND p.element = c.element GROUP BY 1),
+  FROM (SELECT * FROM fingerprints WHERE rev = 1996) p FULL JOIN (SELECT * FROM fingerprints WHERE rev = 1997) c ON p.file = c.file AND p.element = c.element GROUP BY 1),
 drift AS (SELECT file, CASE WHEN p = 0 THEN 0.0 WHEN c = 0 THEN 1.0 ELSE 1 - both_n / (p + c - both_n) END::DOUBLE AS score FROM sides), scores AS (SELECT * FROM drift WHERE score > 0) """
 
 
 def _scores(v: Views) -> DataFrame:
-    return similarity.drift(v.fingerprints(1994), v.fingerprints(1995))
+    return similarity.drift(v.fingerprints(1996), v.fingerprints(1997))
 
 
 @_query(sql_with("fingerprints", DRIFT + "SELECT file, round(score, 6) AS score FROM scores"))
@@ -406,12 +406,12 @@ def missing_docs(v: Views) -> DataFrame:
 
 # budget
 
-@_query("SELECT doc_id, greatest(octet_length(text::BLOB) // 3, 1)::BIGINT AS tokens FROM documents")
+@_query("SELECT doc_id, greatest(strlen(text) // 3, 1)::BIGINT AS tokens FROM documents")
 def token_estimate(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", text.token_estimate(F.col("text")).cast("long").alias("tokens"))
 
 
-@_query("WITH t AS (SELECT source, doc_id, greatest(octet_length(text::BLOB) // 3, 1) AS c FROM documents), r AS (SELECT *, sum(c) OVER w AS spent, row_number() OVER w AS rn FROM t WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT source, doc_id, spent::BIGINT AS spent FROM r WHERE spent <= 4000 OR rn = 1")
+@_query("WITH t AS (SELECT source, doc_id, greatest(strlen(text) // 3, 1) AS c FROM documents), r AS (SELECT *, sum(c) OVER w AS spent, row_number() OVER w AS rn FROM t WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT source, doc_id, spent::BIGINT AS spent FROM r WHERE spent <= 4000 OR rn = 1")
 def prefix_budget_cut(v: Views) -> DataFrame:
     t = v.table("documents").select("source", "doc_id", text.token_estimate(F.col("text")).cast("long").alias("c"))
     return budget.prefix_cut(t, "source", ["doc_id"], "c", 4000).select("source", "doc_id", "spent")
@@ -468,10 +468,10 @@ def findings(v: Views) -> DataFrame:
     return overlay.findings(f.select("link", "score", "generated", "freshness").distinct())
 
 
-@_query("SELECT l_orderkey AS link, round(greatest(least(avg(l_discount * 10) * 0.7 + CASE WHEN count(*) >= 2 THEN 0.2 ELSE 0.1 END + least(sum(l_quantity) / 64, 1.0) * 0.1 - least(greatest(count(*) - 5, 0), 3) * 0.1, 1.0), 0.0), 6) AS score FROM lineitem GROUP BY 1")
+@_query("SELECT l_orderkey AS link, round(greatest(least(avg(l_discount * 10) * 0.7 + CASE WHEN count(*) >= 2 THEN 0.2 ELSE 0.1 END + least(sum(l_quantity) / 64, 1.0) * 0.1 - least(greatest(count(*) - 5, 0), 3) * 0.1, 1.0), 0.0) + 1e-9, 6) AS score FROM lineitem GROUP BY 1")
 def confidence_score(v: Views) -> DataFrame:
     g = v.table("lineitem").groupBy(F.col("l_orderkey").alias("link")).agg(F.avg(F.col("l_discount") * 10).alias("m"), F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
-    return g.select("link", F.round(budget.confidence(F.col("m"), F.col("n"), F.col("q"), F.greatest(F.col("n") - 5, F.lit(0))), 6).alias("score"))
+    return g.select("link", F.round(budget.confidence(F.col("m"), F.col("n"), F.col("q"), F.greatest(F.col("n") - 5, F.lit(0))) + 1e-9, 6).alias("score"))
 
 
 @_query(sql_with("calls", "SELECT src, dst FROM calls WHERE src NOT IN (SELECT 'supplier_' || s_suppkey FROM supplier WHERE s_acctbal >= 0) OR dst NOT IN (SELECT 'part_' || p_partkey FROM part WHERE p_size <= 40)"))
@@ -533,10 +533,10 @@ def compact_retired(v: Views) -> DataFrame:
     return lifecycle.compact(rows, v.edges("calls"), "id", 30)[1]
 
 
-@_query("SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0")
+@_query("SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0")
 def incremental_sync(v: Views) -> DataFrame:
     d = v.table("documents").select("doc_id", "text")
-    now = d.where("doc_id % 11 != 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"))
+    now = d.where("doc_id % 11 != 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
     return lifecycle.sync(d, d.where("doc_id % 7 = 0 OR doc_id % 11 = 0"), now, "doc_id").select("doc_id", F.sha2("text", 256).alias("h"))
 
 
@@ -560,7 +560,7 @@ def owner_root(v: Views) -> DataFrame:
 
 # text
 
-@_query("SELECT doc_id, CASE WHEN text = '' THEN 'skipped_empty' WHEN octet_length(text::BLOB) > 20000 THEN 'skipped_large' WHEN doc_id % 4 = 0 THEN 'supported' WHEN doc_id % 4 = 1 THEN 'markdown' WHEN doc_id % 4 = 2 THEN 'notebook' ELSE 'text' END AS class FROM documents")
+@_query("SELECT doc_id, CASE WHEN text = '' THEN 'skipped_empty' WHEN strlen(text) > 20000 THEN 'skipped_large' WHEN doc_id % 4 = 0 THEN 'supported' WHEN doc_id % 4 = 1 THEN 'markdown' WHEN doc_id % 4 = 2 THEN 'notebook' ELSE 'text' END AS class FROM documents")
 def classify_docs(v: Views) -> DataFrame:
     path = F.concat(F.lit("x."), F.element_at(F.array(*map(F.lit, ("rs", "md", "ipynb", "txt"))), (F.col("doc_id") % 4 + 1).cast("int")))
     return v.table("documents").select("doc_id", text.classify_content(path, F.octet_length("text"), F.col("text"), 20000).alias("class"))
@@ -574,13 +574,13 @@ def line_count(v: Views) -> DataFrame:
 STOP = "['" + "','".join(text.STOPWORDS) + "']"
 
 
-@_query(f"SELECT p_partkey, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(p_type || 'HTTPServer_' || p_name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z0-9])([A-Z][a-z])', '\\1 \\2', 'g')), '[ _\\-/.:]+'), x -> x <> '' AND NOT list_contains({STOP}, x)), ' ') AS words FROM part")
+@_query(f"SELECT p_partkey, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(p_type || 'HTTPServer_' || p_name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z0-9])([A-Z][a-z])', '\\1 \\2', 'g')), '[ _\\-/.:]+'), lambda x: x <> '' AND NOT list_contains({STOP}, x)), ' ') AS words FROM part")
 def identifier_split(v: Views) -> DataFrame:
     return v.table("part").select("p_partkey", F.array_join(text.split_identifier(F.concat("p_type", F.lit("HTTPServer_"), "p_name")), " ").alias("words"))
 
 
-@_query(f"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), x -> x <> '' AND NOT list_contains({STOP}, x)) AS w FROM conversations)
-SELECT conv_id, turn, len(list_distinct(list_transform(w, x -> CASE WHEN length(x) > 4 AND ends_with(x, 'ies') THEN substr(x, 1, length(x) - 3) || 'y' WHEN length(x) > 3 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN substr(x, 1, length(x) - 1) ELSE x END)))::BIGINT AS n_tokens FROM w""")
+@_query(f"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '' AND NOT list_contains({STOP}, x)) AS w FROM conversations)
+SELECT conv_id, turn, len(list_distinct(list_transform(w, lambda x: CASE WHEN length(x) > 4 AND ends_with(x, 'ies') THEN substr(x, 1, length(x) - 3) || 'y' WHEN length(x) > 3 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN substr(x, 1, length(x) - 1) ELSE x END)))::BIGINT AS n_tokens FROM w""")
 def tokenise(v: Views) -> DataFrame:
     return v.table("conversations").select("conv_id", "turn", F.size(text.query_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 

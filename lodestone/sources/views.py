@@ -82,7 +82,7 @@ class Views:
 SQL = {
     "commits": "commits AS (SELECT o_orderkey AS revision, o_custkey AS author, o_orderdate AS ts FROM orders)",
     "changes": "changes AS (SELECT DISTINCT l_orderkey AS revision, 'part_' || l_partkey AS path FROM lineitem)",
-    "files": "files AS (SELECT 'file_' || doc_id AS id, source AS root_id, lang || '/' || doc_id AS path, text AS content, sha256(text) AS content_hash, octet_length(text::BLOB) AS size_bytes, lang AS language FROM documents)",
+    "files": "files AS (SELECT 'file_' || doc_id AS id, source AS root_id, lang || '/' || doc_id AS path, text AS content, sha256(text) AS content_hash, strlen(text) AS size_bytes, lang AS language FROM documents)",
     "lines": "lines AS (SELECT doc_id, source AS root_id, lang || '/' || doc_id AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents)",
     "nodes": "nodes AS (SELECT 'region_' || r_regionkey AS id, r_name AS label, 'region' AS type FROM region UNION ALL SELECT 'nation_' || n_nationkey, n_name, 'nation' FROM nation UNION ALL SELECT 'customer_' || c_custkey, c_name, 'customer' FROM customer UNION ALL SELECT 'supplier_' || s_suppkey, s_name, 'supplier' FROM supplier UNION ALL SELECT 'part_' || p_partkey, p_name, 'part' FROM part)",
     "defines": "defines AS (SELECT 'region_' || n_regionkey AS src, 'nation_' || n_nationkey AS dst, 'defines' AS kind FROM nation UNION ALL SELECT 'nation_' || c_nationkey, 'customer_' || c_custkey, 'defines' FROM customer UNION ALL SELECT 'nation_' || s_nationkey, 'supplier_' || s_suppkey, 'defines' FROM supplier)",
