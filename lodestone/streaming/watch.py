@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def sessions(events: DataFrame, gap: str = "5 minutes", by: tuple[str, ...] = ()) -> DataFrame:
-    """start, end, n of runs of events (ts) with less than ``gap`` between neighbours; the same for batch and, behind a watermark, for streams."""
+    """start, end, n of runs of events (ts) with less than ``gap`` between neighbours; the same for batch and, behind a watermark, for streams.
+
+    A stream needs a column in ``by``, such as the root that is watched.
+    """
     s = events.groupBy(F.session_window("ts", gap).alias("w"), *by).agg(F.count("*").alias("n"))
     return s.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 

@@ -113,10 +113,10 @@ def test_export(spark, tmp_path):
 
 
 def test_streamed_sessions_equal_batch(spark, tmp_path):
-    rows = spark.range(40).select(F.timestamp_seconds(F.col("id") * 60 + F.floor(F.col("id") / 10) * 600).alias("ts"), F.concat(F.lit("p"), F.col("id") % 7).alias("path"))
-    rows.union(spark.sql("SELECT timestamp'2030-01-01' AS ts, 'end' AS path")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = spark.range(40).select(F.timestamp_seconds(F.col("id") * 60 + F.floor(F.col("id") / 10) * 600).alias("ts"), F.concat(F.lit("p"), F.col("id") % 7).alias("path"), F.lit("r").alias("root"))
+    rows.union(spark.sql("SELECT timestamp'2030-01-01' AS ts, 'end' AS path, 'r' AS root")).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "1 minute")
-    q = watch.sessions(stream).writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = watch.sessions(stream, by=("root",)).writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(map(tuple, spark.table("sessions").collect())) == sorted(map(tuple, watch.sessions(rows).collect()))
+    assert sorted(map(tuple, spark.table("sessions").collect())) == sorted(map(tuple, watch.sessions(rows, by=("root",)).collect()))
