@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,10 +35,11 @@ def scan_text(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         found += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
-    base = list(found)
+    taken = sorted((s, e) for _, s, e, _ in found)
+    ends = list(accumulate((e for _, e in taken), max))  # of all spans up to each
     for m in GENERIC.finditer(text):
-        v = m[0]
-        if re.search("[0-9]", v) and re.search("[a-z]", v) and re.search("[A-Z]", v) and not any(s < m.end() and m.start() < e for _, s, e, _ in base):
+        v, before = m[0], bisect_left(taken, (m.end(),))  # spans that start before it ends
+        if re.search("[0-9]", v) and re.search("[a-z]", v) and re.search("[A-Z]", v) and not (before and ends[before - 1] > m.start()):
             found.append((3, m.start(), m.end(), v))
     return sorted(found, key=lambda x: (x[1], x[0]))
 
