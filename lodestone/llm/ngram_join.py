@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from .common import durable, read, text_of
 from .graph import components
-from .numbers import U64, hash_words, mix, runs
+from .numbers import U64, hash_words, mix, parts, runs
 
 #: Bands of ROWS MinHash values; two sets of Jaccard 0.8 share no band with probability 1.3e-7.
 BANDS, ROWS = 40, 5
 #: MinHash values compared before the posterior is looked at again.
 STEP = 20
 #: A tile compares blocks of at most this many sets and about this many shingles each.
-BLOCK_SETS, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 4_000_000
 
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -60,7 +60,7 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             sets = shingle_sets(b.column("text"), n)
             node = [int(mix(np.array([mix(s).sum(dtype=U64)], U64) + U64(len(s)))[0].astype(np.int64)) if len(s) else None for s in sets]
             bands = [_bands(signature(s)).astype(np.int64) if len(s) else None for s in sets]
@@ -168,7 +168,7 @@ def _tiles(threshold: float, tolerance: float):
 
 def _shingled(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             sets = pa.array([s.view(np.int64) for s in shingle_sets(b.column("text"), n)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), b.column("tiles"), sets], names=["node", "copies", "tiles", "shingles"])
 
@@ -232,7 +232,7 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tole
     shared = band.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
     comp = components(band.join(shared, "band").select(F.col("node").alias("u"), F.col("low").alias("v")), "jaccard-candidates")
     placed = durable(tiled(sets, comp), "jaccard-tiles")
-    shingled = keyed.join(placed, "doc").dropDuplicates(["node"]).select("node", "copies", "tiles", "text").mapInArrow(_shingled(n), "node long, copies long, tiles array<struct<tile:bigint,side:int>>, shingles array<long>")
+    shingled = keyed.join(placed.hint("merge"), "doc").dropDuplicates(["node"]).select("node", "copies", "tiles", "text").mapInArrow(_shingled(n), "node long, copies long, tiles array<struct<tile:bigint,side:int>>, shingles array<long>")
     dealt = shingled.select("node", "copies", "shingles", F.explode("tiles").alias("t")).select("t.tile", "node", "copies", "t.side", "shingles").repartition("tile").sortWithinPartitions("tile")
     links = durable(dealt.mapInPandas(_tiles(threshold, tolerance), "node long, other long, links long"), "jaccard-links")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,6 +44,17 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def parts(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of text, or of one row."""
+    for b in batches:
+        _, at = _bytes_of(b.column("text"))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
+            yield b.slice(i, j - i)
+            i = j
+
+
 def hash_words(texts: pa.Array, seeds: tuple[int, ...] = (11,)) -> tuple[list[np.ndarray], np.ndarray]:
     """For each seed the hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts, and the index of each text's first word, with the end.
 
