@@ -9,9 +9,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import durable, read, text_of
-from .numbers import U64, hash_words, inside, mix, runs
+from .common import drop, durable, read, text_of
+from .numbers import U64, hash_words, inside, mix, parts, runs
 
 #: A window is known in the sketch by its least run of ANCHOR words.
 ANCHOR = 8
@@ -54,7 +55,7 @@ def _sketch(size: int, per_row: int):
     """A partition's sketch by row and block: its cells as sorted numbers, one that counts two or more twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             (h,), first = hash_words(b.column("text"))
             starts, place, r = anchors(h, first, size)
             if not len(starts):
@@ -94,12 +95,32 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["row", "block", "bits"])
 
 
+def _firsts(h: np.ndarray, g: np.ndarray, row: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the windows of a batch aren't preceded in it; they come by row and start.
+
+    The same window earlier in the row precedes it, and in a row whose document ranks before.
+    """
+    order = np.lexsort((np.arange(len(h)), row, rank, g, h))
+    h, g, row, rank = h[order], g[order], row[order], rank[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    least = rank[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else rank
+    own = np.ones(len(h), bool)
+    own[1:] = new[1:] | (row[1:] != row[:-1])
+    out = np.empty(len(h), bool)
+    out[order] = own & (rank == least)
+    return out
+
+
 def _repeated(size: int, per_row: int, bits):
-    """96-bit hashes of the windows whose anchors the sketch counts twice or more."""
+    """The windows whose anchors the sketch counts twice or more.
+
+    Those preceded within the batch are known to go and need no hash; the others have 96 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = bits.value
-        for b in batches:
+        for b in parts(batches):
             (h, g), first = hash_words(b.column("text"), (11, 23))
             starts, place, r = anchors(h, first, size)
             if not len(starts):
@@ -109,10 +130,14 @@ def _repeated(size: int, per_row: int, bits):
                 ok &= (flags[k][c >> U64(3)] >> (U64(7) - (c & U64(7))).astype(np.uint8)) & 1 == 1
             starts = starts[ok]
             one, two = runs(h, size)[starts].view(np.int64), (runs(g, size, 9)[starts] >> U64(32)).astype(np.uint32).view(np.int32)
-            doc = np.searchsorted(first, starts, side="right") - 1
-            for i in range(0, len(starts), 50000):
-                part = slice(i, i + 50000)
-                yield pa.RecordBatch.from_arrays([pa.array(one[part]), pa.array(two[part]), b.column("doc").take(pa.array(doc[part])), pa.array((starts - first[doc])[part].astype(np.int32))], names=["h", "g", "doc", "start"])
+            row = np.searchsorted(first, starts, side="right") - 1
+            _, rank = np.unique(b.column("d").to_numpy(zero_copy_only=False), return_inverse=True)
+            kept = _firsts(one, two, row, rank[row])
+            one, two = np.where(kept, one, 0), np.where(kept, two, 0)
+            for i in range(0, len(starts), 100_000):
+                part = slice(i, i + 100_000)
+                at = pa.array(row[part])
+                yield pa.RecordBatch.from_arrays([pa.array(one[part]), pa.array(two[part]), b.column("d").take(at), b.column("t").take(at), pa.array((starts - first[row])[part].astype(np.int32)), pa.array(~kept[part])], names=["h", "g", "d", "t", "start", "gone"])
 
     return run
 
@@ -151,11 +176,11 @@ def _cut(size: int):
 
 
 def repeated_windows(keyed: DataFrame, size: int, *, cells: int | None = None) -> DataFrame:
-    """doc, starts of the windows in ``keyed`` (doc, text) that occur earlier; doc orders documents.
+    """d, t, starts of the windows in ``keyed`` (d, t, text) that occur earlier; d orders documents, and t tells texts apart.
 
     The sketch has about eight cells for each anchor, within its bounds.  A full sketch lets
     more windows through to the second pass and loses none.  The second pass groups hashes of
-    whole windows: the first place of each is found by partial sums, and the other places by a
+    whole windows: the least document of each is found by partial sums, and the others by a
     join that Spark can split when one window is very frequent.
     """
     spark = keyed.sparkSession
@@ -163,12 +188,16 @@ def repeated_windows(keyed: DataFrame, size: int, *, cells: int | None = None) -
         size_b = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         cells = 1 << max(LEAST_CELLS.bit_length() - 1, min(MOST_CELLS.bit_length() - 1, int(8 * size_b / 6 * 2 / (size - min(ANCHOR, size) + 2)).bit_length()))
     bits = spark.sparkContext.broadcast(count_sketch(keyed.select("text"), size, cells))
-    kind = keyed.schema["doc"].dataType.simpleString()
-    found = durable(keyed.mapInArrow(_repeated(size, max(cells // DEPTH, BLOCK), bits), f"h long, g int, doc {kind}, start int"), "substring-windows")
+    kind = keyed.schema["d"].dataType.simpleString()
+    found = durable(keyed.mapInArrow(_repeated(size, max(cells // DEPTH, BLOCK), bits), f"h long, g int, d {kind}, t long, start int, gone boolean"), "substring-windows")
     bits.unpersist()
-    first = found.groupBy("h", "g").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
-    later = found.join(first, ["h", "g"]).where(F.struct("doc", "start") != F.col("first"))
-    return later.groupBy("doc").agg(F.collect_set("start").alias("starts"))
+    here = found.where("NOT gone").select("h", "g", "d", "t", "start")
+    first = durable(here.groupBy("h", "g").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("h", "g", "first"), "substring-firsts")
+    later = here.join(first.hint("merge"), ["h", "g"]).where("d > first").select("d", "t", "start").unionByName(found.where("gone").select("d", "t", "start"))
+    starts = durable(later.groupBy("d", "t").agg(F.collect_set("start").alias("starts")), "substring-starts")
+    drop(found)
+    drop(first)
+    return starts
 
 
 def dedup_substrings(docs: DataFrame, *, size: int = 20, cells: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,14 +207,16 @@ def dedup_substrings(docs: DataFrame, *, size: int = 20, cells: int | None = Non
     of smaller id or earlier in its own.
 
     Nulls: a null text has no words; null ids come before all others.  Texts shorter than a
-    window stay whole.  Repeated rows of one id and text are one document, so they don't
-    remove each other and come out alike; texts that share an id are ordered by their hash.
-    An empty table gives no rows.  Other columns aren't read.
+    window stay whole.  Rows of one id are one document and don't remove each other's windows;
+    repeated rows come out alike.  An empty table gives no rows.  Other columns aren't read.
     """
     text = text_of(text_col)
-    keyed = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("doc"), text.alias("text"))
+    numeric = isinstance(docs.schema[id_col].dataType, IntegralType)
+    least = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) if numeric else F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), least.alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
     cut = F.pandas_udf(_cut(size), "n_words long, n_removed long, kept string")
-    return keyed.join(repeated_windows(keyed, size, cells=cells), "doc", "left").select("doc.doc_id", cut("text", "starts").alias("c")).select("doc_id", "c.n_words", "c.n_removed", "c.kept")
+    starts = repeated_windows(keyed.select("d", "t", "text"), size, cells=cells)
+    return keyed.join(starts.hint("merge"), ["d", "t"], "left").select("doc_id", cut("text", "starts").alias("c")).select("doc_id", "c.n_words", "c.n_removed", "c.kept")
 
 
 def op3_substrings(spark, sf_dir: str) -> DataFrame:
