@@ -9,9 +9,13 @@ from .common import durable, let, read, text_of
 
 #: What separates words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of a text with A-Z lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before letters are lower-cased.
+BETWEEN_ANY = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: How many of a window's rarest terms are looked up in the index.
 RAREST = 3
+#: Test vocabularies of at most so many terms are broadcast to thin out words before they are counted.
+FEW_TERMS = 200_000
 
 
 def plain_words(text: Column) -> Column:
@@ -21,10 +25,18 @@ def plain_words(text: Column) -> Column:
     return let(F.split(low, BETWEEN), lambda a: F.slice(a, first(a) + 1, F.greatest(F.size(a) - first(a) - (F.element_at(a, -1) == "").cast("int"), F.lit(0))))
 
 
-def keyed_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, words of each row; doc tells rows apart that share an id but not a text, and takes null ids."""
+def n_plain_words(text: Column) -> Column:
+    return let(F.split(text, BETWEEN_ANY), lambda a: F.greatest(F.size(a) - (a[0] == "").cast("int") - (F.element_at(a, -1) == "").cast("int"), F.lit(0))).cast("long")
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, text of each row; doc tells rows apart that share an id but not a text, and takes null ids."""
     text = text_of(text_col)
-    return docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("doc"), plain_words(text).alias("words"))
+    return docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("doc"), text.alias("text"))
+
+
+def keyed_words(texts: DataFrame) -> DataFrame:
+    return texts.select("doc", plain_words(F.col("text")).alias("words"))
 
 
 def test_windows(items: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -39,11 +51,15 @@ def test_windows(items: DataFrame, size: int, id_col: str = "item_id", text_col:
 def rarest_terms(words: DataFrame, windows: DataFrame, rarest: int = RAREST) -> DataFrame:
     """win, n, terms: the window's length and its rarest terms as (count, offset, term), rarest first.
 
-    Counts are over the whole corpus, summed before they are shuffled.  A window with a term
-    that the corpus lacks can't occur and is left out.
+    Counts are over the whole corpus, summed before they are shuffled; a vocabulary of
+    FEW_TERMS or less thins out the words before.  A window with a term that the corpus lacks
+    can't occur and is left out.
     """
-    asked = windows.select(F.explode(F.array_distinct("words")).alias("term")).distinct()
-    counts = words.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("count")).join(asked, "term")
+    asked = durable(windows.select(F.explode("words").alias("term")).distinct(), "windows-terms")
+    each = words.select(F.explode("words").alias("term"))
+    few = asked.count() <= FEW_TERMS
+    counts = (each.join(F.broadcast(asked), "term", "left_semi") if few else each).groupBy("term").agg(F.count("*").alias("count"))
+    counts = counts if few else counts.join(asked, "term", "left_semi")
     terms = windows.select("win", F.size("words").alias("n"), F.posexplode("words").alias("at", "term")).groupBy("win", "n", "term").agg(F.min("at").alias("offset"))
     found = terms.join(counts, "term", "left").groupBy("win", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "offset", "term"))).alias("terms"))
     return durable(found.where(F.col("terms")[0]["count"] > 0).select("win", "n", F.slice("terms", 1, rarest).alias("terms")), "windows-rarest")
@@ -75,12 +91,12 @@ def candidates(index: DataFrame, rare: DataFrame, slop: int) -> DataFrame:
     return durable(met.select("doc", "win", "start", "exact").unionByName(alone).distinct(), "candidates")
 
 
-def phrase_matches(words: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc, matches: (start, n, win) of the candidates whose every word stands in the document."""
+def phrase_matches(texts: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
+    """doc, matches: (start, n, win) of the candidates whose every word stands in the document (doc, text)."""
     asked = found.where("exact").join(windows, "win").groupBy("doc").agg(F.collect_list(F.struct("start", "win", F.col("words").alias("asked"))).alias("tried"))
-    held = words.join(asked, "doc").dropDuplicates(["doc"])
-    right = F.filter("tried", lambda c: F.slice("words", c["start"] + 1, F.size(c["asked"])) == c["asked"])
-    return held.select("doc", F.sort_array(F.transform(right, lambda c: F.struct(c["start"].alias("start"), F.size(c["asked"]).alias("n"), c["win"].alias("win")))).alias("matches")).where("size(matches) > 0")
+    held = texts.join(asked, "doc").dropDuplicates(["doc"])
+    right = let(plain_words(F.col("text")), lambda w: F.filter("tried", lambda c: F.slice(w, c["start"] + 1, F.size(c["asked"])) == c["asked"]))
+    return held.select("doc", F.explode(right).alias("c")).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(F.col("c.start").alias("start"), F.size("c.asked").alias("n"), F.col("c.win").alias("win")))).alias("matches"))
 
 
 def covered(matches: Column) -> Column:
@@ -102,15 +118,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 10, slop: in
     equal results, and rows that share an id are judged by their own text.  Empty tables give
     no rows or no hits.  Other columns aren't read.
     """
-    words = keyed_words(docs, id_col, text_col)
+    texts = keyed_texts(docs, id_col, text_col)
+    words = keyed_words(texts)
     windows, of_items = test_windows(items, size, item_id_col, item_text_col)
     rare = rarest_terms(words, windows)
     index = postings(words, rare.select(F.explode("terms.term").alias("term")))
     found = candidates(index, rare, slop)
-    matched = durable(phrase_matches(words, found, windows), "matches")
+    matched = durable(phrase_matches(texts, found, windows), "matches")
     named = matched.select("doc", F.explode(F.array_distinct("matches.win")).alias("win")).join(of_items, "win").groupBy("doc").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     near = found.groupBy("doc").agg(F.count_distinct("win").alias("n_near"))
-    each = words.select("doc", F.size("words").cast("long").alias("n_words"))
+    each = texts.select("doc", n_plain_words(F.col("text")).alias("n_words"))
     out = each.join(near, "doc", "left").join(matched, "doc", "left").join(named, "doc", "left")
     none = F.lit(0).cast("long")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
@@ -121,11 +138,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 10, slop: in
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, size: int = 10) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and more) in which no window of ``items`` occurs, whole."""
-    words = keyed_words(docs, "doc_id", "text")
+    texts = keyed_texts(docs, "doc_id", "text")
+    words = keyed_words(texts)
     windows, _ = test_windows(items, size)
     rare = rarest_terms(words, windows)
     found = candidates(postings(words, rare.select(F.explode("terms.term").alias("term"))), rare, 0)
-    hit = durable(phrase_matches(words, found, windows).select(F.col("doc").alias("hit")), "contaminated")
+    hit = durable(phrase_matches(texts, found, windows).select(F.col("doc").alias("hit")), "contaminated")
     key = F.struct(F.col("doc_id"), F.xxhash64(text_of("text")).alias("text_hash"))
     return docs.join(hit, key == F.col("hit"), "left_anti")
 
