@@ -169,7 +169,7 @@ def shortest_distance_2(v: Views) -> DataFrame:
 
 @_query(sql_with("defines calls", """, e AS (SELECT src, dst FROM defines UNION ALL SELECT src, dst FROM calls),
 s AS (SELECT src AS supplier FROM calls WHERE dst = 'part_7'), n AS (SELECT d.src AS nation, min(supplier) AS supplier FROM defines d JOIN s ON d.dst = supplier GROUP BY 1),
-r AS (SELECT d.src AS region, min(nation || '>' || supplier) AS rest FROM defines d JOIN n ON d.dst = nation GROUP BY 1) SELECT region AS entry, region || '>' || rest || '>part_7' AS path FROM r"""))
+r AS (SELECT d.src AS region, arg_min(nation || '>' || supplier, (nation, supplier)) AS rest FROM defines d JOIN n ON d.dst = nation GROUP BY 1) SELECT region AS entry, region || '>' || rest || '>part_7' AS path FROM r"""))
 def call_paths(v: Views) -> DataFrame:
     return graph.call_paths(v.edges("defines", "calls"), v.table("region").select(F.concat(F.lit("region_"), "r_regionkey").alias("id")), "part_7")
 
