@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,6 @@ from .common import durable, read
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Segments beyond this depth are one.
-DEPTH = 8
 
 _SPLIT = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
 
@@ -31,7 +31,7 @@ def longest_rule(rules: tuple[tuple[str, str, str], ...], host: Column, path: Co
 
 
 def segments(path: Column) -> Column:
-    """The path's segments, those that vary by their form as that form, and all beyond DEPTH as one."""
+    """The path's segments, those that vary by their form as that form."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     end = lambda s: F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1)
     form = lambda s: (
@@ -41,35 +41,41 @@ def segments(path: Column) -> Column:
         .when((F.length(s) >= 6) & s.rlike("[0-9]"), F.concat(F.lit("{id}"), end(s)))
         .otherwise(s)
     )
-    short = F.transform(F.slice(parts, 1, DEPTH), form)
-    return F.when(F.size(parts) > DEPTH, F.concat(short, F.array(F.lit("**")))).otherwise(short)
+    return F.transform(parts, form)
 
 
 def path_templates(paths: DataFrame, *, min_support: int = 5, max_children: int = 16, z: float = 1.96) -> DataFrame:
     """host, segs, template of the distinct ``paths`` (host, segs, n, labelled, good).
 
-    Goes down the trees of all hosts by level.  At a node, a child that varies by form stays.
-    One that is rare beside many others becomes ``*``.  One whose share of good labels can't be
-    told from that of its siblings merges with those like it into ``+``; others stand alone.
-    Each level sums by node and child, so a hot host arrives as its distinct children.
+    Goes down the trees of all hosts to the last segment.  At a node, a child that varies by form
+    stays.  One whose share of good labels can be told from that of its siblings stands alone,
+    however many they are.  Of the others, one of under ``min_support`` pages beside many becomes
+    ``*``, and the rest merge into ``+``.  Each round sums by node and child, so a hot host arrives
+    as its distinct children; what all paths of a node share is gone down in one round, so there are as
+    many rounds as a path has branchings.
     """
     rows = paths.withColumn("template", F.array().cast("array<string>"))
-    deepest = paths.agg(F.max(F.size("segs"))).first()[0] or 0
-    for i in range(deepest):
-        inner = rows.where(F.size("segs") > i).withColumn("child", F.col("segs")[i])
-        kids = inner.groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "good")])
+    ended = F.size("template") == F.size("segs")
+    done = [rows.where(ended)]
+    while (still := rows.where(~ended)).head(1):
+        inner = still.withColumn("rest", F.slice("segs", F.size("template") + 1, F.size("segs") - F.size("template"))).withColumn("child", F.col("rest")[0])
+        kids = inner.groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "good")], F.min("rest").alias("low"), F.max("rest").alias("high"))
         node = kids.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_l"), F.sum("good").alias("all_g"))
         rest_l, rest_g = F.col("all_l") - F.col("labelled"), F.col("all_g") - F.col("good")
         p = F.col("all_g") / F.greatest("all_l", F.lit(1))
         spread = F.sqrt(p * (1 - p) * (1 / F.greatest("labelled", F.lit(1)) + 1 / F.greatest(rest_l, F.lit(1))))
         apart = F.abs(F.col("good") / F.greatest("labelled", F.lit(1)) - rest_g / F.greatest(rest_l, F.lit(1)))
         told = (F.col("labelled") > 0) & (rest_l > 0) & (apart > spread * z)
-        rare = (F.col("kids") > max_children) & ((F.col("n") < min_support) | (F.col("n") * 100 < F.col("all_n")))
-        name = F.when(F.col("child").startswith("{") | (F.col("child") == "**") | (F.col("kids") == 1) & (F.col("n") >= min_support), F.col("child")).when(rare, "*").when(told, F.col("child")).otherwise("+")
-        names = kids.join(node, ["host", "template"]).select("host", "template", "child", name.alias("name"))
-        named = inner.join(names, ["host", "template", "child"]).withColumn("template", F.concat("template", F.array("name"))).select(rows.columns)
-        rows = durable(named.unionByName(rows.where(F.size("segs") <= i)), "url-templates")
-    return rows.select("host", "segs", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "labelled", "good")
+        rare = (F.col("kids") > max_children) & (F.col("n") < min_support)
+        name = F.when(F.col("child").startswith("{") | told, F.col("child")).when(rare, "*").otherwise("+")
+        # the least and the greatest of an only child's paths share what all of them share
+        differs = F.array_position(F.zip_with("low", "high", lambda x, y: ~x.eqNullSafe(y)), True).cast("int")
+        shared = F.slice("low", F.lit(1), F.when(differs > 0, differs - 1).otherwise(F.size("low")))
+        steps = F.when(F.col("kids") == 1, F.transform(shared, lambda s: F.when(s.startswith("{") | (F.col("n") >= min_support), s).otherwise("+"))).otherwise(F.array(name))
+        names = kids.join(node, ["host", "template"]).select("host", "template", "child", steps.alias("steps"))
+        rows = durable(inner.join(names, ["host", "template", "child"]).withColumn("template", F.concat("template", "steps")).select(rows.columns), "url-templates")
+        done.append(rows.where(ended))
+    return reduce(DataFrame.unionByName, done).select("host", "segs", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "labelled", "good")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, *, rules: tuple[tuple[str, str, str], ...] = RULES, min_purity: float = 0.5, weight: float = 10.0, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -187,6 +187,21 @@ def test_impure_templates_are_blocked(spark):
     assert all(r["verdict"] == ("block" if r["page_id"] % 2 else "allow") for r in got)
 
 
+def test_a_bad_branch_among_many_is_blocked(spark):
+    rows = [(b * 20 + k, f"http://h.org/b{b}/p{'abcdefghijklmnopqrst'[k]}") for b in range(120) for k in range(20)]
+    marks = spark.createDataFrame([(i, int(i // 20 != 60), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), marks).collect()
+    assert {r["page_id"] // 20 for r in got if r["verdict"] == "block"} == {60}
+
+
+def test_branches_below_the_eighth_segment_are_told_apart(spark):
+    rows = [(i, f"http://h.org/a/b/c/d/e/f/g/h/i/{'spam' if i % 2 else 'good'}/{i}") for i in range(80)] + [(99, "http://h.org/" + "/".join(["long"] * 300))]
+    marks = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), marks).collect()}
+    assert all(got[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(80))
+    assert got[99]["template"].count("/") == 300
+
+
 def _statistics(t):
     w = WORD.findall(t)
     c, hit, seen, dup = Counter(zip(w, w[1:], w[2:])), set(), set(), 0
