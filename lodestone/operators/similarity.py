@@ -82,35 +82,104 @@ def stale_rationale(governs: DataFrame, scores: DataFrame, at_least: float = 0.5
     return j.groupBy(F.col("src").alias("concept")).agg(F.count_if(F.col("score") >= at_least).alias("n_stale"), F.max("score").alias("worst")).where("n_stale > 0")
 
 
+def _lcs(places: dict[str, int], n: int, text: str, ends: list[int]) -> list[int]:
+    """The longest common subsequence, by bit vectors of one row, of a text of ``n`` characters (by ``_places``) with each head of ``text`` that ends at one of the rising ``ends``."""
+    full = (1 << n) - 1
+    row, at, out = full, 0, []
+    for end in ends:
+        for c in text[at:end]:
+            m = row & places.get(c, 0)
+            row = ((row + m) | (row - m)) & full
+        at = end
+        out.append(n - row.bit_count())
+    return out
+
+
+def _places(text: str) -> dict[str, int]:
+    places: dict[str, int] = {}
+    for i, c in enumerate(text):
+        places[c] = places.get(c, 0) | 1 << i
+    return places
+
+
 def lcs_ratio(a, b):
-    """Pandas function of two series: the longest common subsequence against the longer text, by bit vectors of one row."""
+    """Pandas function of two series: the longest common subsequence against the longer text."""
     import pandas as pd
 
     def one(x: str | None, y: str | None) -> float:
         x, y = x or "", y or ""
-        if not x or not y:
-            return 0.0
-        places: dict[str, int] = {}
-        for i, c in enumerate(x):
-            places[c] = places.get(c, 0) | 1 << i
-        row, full = (1 << len(x)) - 1, (1 << len(x)) - 1
-        for c in y:
-            m = row & places.get(c, 0)
-            row = ((row + m) | (row - m)) & full
-        return (len(x) - row.bit_count()) / max(len(x), len(y))
+        return _lcs(_places(x), len(x), y, [len(y)])[0] / max(len(x), len(y)) if x and y else 0.0
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def verify_spans(spans: DataFrame, min_ratio: float = 0.9) -> DataFrame:
-    """Spans (id, quoted, source): exact if the source holds the quote but for blanks and case, near if its LCS ratio is ``min_ratio``.
+def anchored_ratio(source: str, needle: str, min_ratio: float, anchor: int = 16) -> float:
+    """The best LCS ratio of the windows of ``source`` about each place of the needle's first characters; those too long for ``min_ratio`` aren't compared."""
+    best, n, places = 0.0, len(needle), _places(needle)
+    at = source.find(needle[:anchor]) if n >= anchor else -1
+    while at >= 0:
+        window = source[max(0, at - 8) : at + n + 32]
+        if min(n, len(window)) >= max(min_ratio, best) * max(n, len(window)):
+            best = max(best, _lcs(places, n, window, [len(window)])[0] / max(n, len(window)))
+        at = source.find(needle[:anchor], at + 1)
+    return best
+
 
-    The exact stage is built in; only what it leaves goes through Python.
+def windowed_ratio(source: str, needle: str, slack: int = 2) -> float:
+    """The best LCS ratio of all windows of ``source`` that have the needle's number of words, or up to ``slack`` more or less.
+
+    Windows are tried by the bound that common characters give, until none can be better.
+    """
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    n, words = len(needle), needle.count(" ") + 1
+    spans = np.array([m.span() for m in re.finditer("[^ ]+", source)], np.int64).reshape(-1, 2)
+    start, end = spans[:, 0], spans[:, 1]
+    widths = [w for w in range(max(1, words - slack), words + slack + 1) if w <= len(spans)]
+    bags = [np.zeros(len(spans) - w + 1, np.int64) for w in widths]
+    codes = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for c, k in Counter(needle).items():
+        seen = np.concatenate([[0], np.cumsum(codes == ord(c))])
+        for bag, w in zip(bags, widths):
+            bag += np.minimum(seen[end[w - 1 :]] - seen[start[: len(bag)]], k)
+    bound = np.zeros(len(spans))
+    for bag, w in zip(bags, widths):
+        bound[: len(bag)] = np.maximum(bound[: len(bag)], bag / np.maximum(end[w - 1 :] - start[: len(bag)], n))
+    best, places = 0.0, _places(needle)
+    for i in np.argsort(-bound, kind="stable"):
+        if bound[i] <= best:
+            break
+        ends = [int(end[i + w - 1] - start[i]) for w in widths if i + w <= len(spans)]
+        lengths = _lcs(places, n, source[start[i] : start[i] + ends[-1]], ends)
+        best = max(best, *[x / max(n, e) for x, e in zip(lengths, ends)])
+    return best
+
+
+def verify_spans(spans: DataFrame, min_ratio: float = 0.9, max_bytes: int = 4096) -> DataFrame:
+    """Spans (id, quoted, source): exact if the source holds the quote but for blanks and case, near if a window of it has an LCS ratio of ``min_ratio``.
+
+    The whole source is searched: about each place of the quote's first 16 characters, and, if that
+    finds nothing, by windows of the quote's number of words and two more or less.  Quotes that are
+    empty or longer than ``max_bytes`` are refused, without a ratio.  The exact stage is built in; only what it
+    leaves goes through Python.
     """
+    import pandas as pd
+
     from ..functions.text import normalised
 
-    lcs = F.pandas_udf(lcs_ratio, "double")
+    def one(needle: str | None, source: str | None) -> float:
+        if not needle or not source:
+            return 0.0
+        ratio = anchored_ratio(source, needle, min_ratio)
+        return ratio if ratio >= min_ratio else windowed_ratio(source, needle)
+
+    found = F.pandas_udf(lambda q, s: pd.Series([one(x, y) for x, y in zip(q, s)], dtype="float64"), "double")
     s = spans.select("id", normalised(F.col("quoted")).alias("q"), normalised(F.col("source")).alias("s"))
-    exact = s.where(F.expr("instr(s, q) > 0")).select("id", F.lit("exact").alias("stage"), F.lit(1.0).alias("ratio"))
-    rest = s.where(F.expr("NOT coalesce(instr(s, q) > 0, false)")).select("id", lcs(F.substring("q", 1, 4096), F.substring("s", 1, 4096)).alias("ratio"))
-    return exact.unionByName(rest.select("id", F.when(F.col("ratio") >= min_ratio, "near").otherwise("missing").alias("stage"), "ratio"))
+    over = F.coalesce((F.octet_length("q") > max_bytes) | (F.col("q") == ""), F.lit(False))
+    refused = s.where(over).select("id", F.lit("refused").alias("stage"), F.lit(None).cast("double").alias("ratio"))
+    exact = s.where(~over & F.expr("instr(s, q) > 0")).select("id", F.lit("exact").alias("stage"), F.lit(1.0).alias("ratio"))
+    rest = s.where(~over & F.expr("NOT coalesce(instr(s, q) > 0, false)")).select("id", found("q", "s").alias("ratio"))
+    return exact.unionByName(refused).unionByName(rest.select("id", F.when(F.col("ratio") >= min_ratio, "near").otherwise("missing").alias("stage"), "ratio"))

@@ -84,6 +84,25 @@ def test_lcs():
     assert list(similarity.lcs_ratio(pd.Series(["abcd", "abc", ""]), pd.Series(["abxd", "xyz", "a"]))) == [0.75, 0.0, 0.0]
 
 
+def test_quotes_are_found_deep_in_long_sources(spark):
+    source = " ".join(f"w{i * i % 7919}" for i in range(3000))
+    words = source.split()
+    near, long = words[2500:2530], words[1000:1100]
+    near[12] = "other"
+    long[40] = "other"
+    quotes = [(1, " ".join(near)), (2, " ".join(long)), (3, " ".join(words[2000:2010]).upper()), (4, "nothing of this stands anywhere"), (5, " ".join(words[:1500])), (6, " ".join(words[:20] + ["zzzzzzz"] * 20)), (7, " ")]
+    got = {r["id"]: (r["stage"], r["ratio"]) for r in similarity.verify_spans(spark.createDataFrame([(*q, source) for q in quotes], "id int, quoted string, source string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "near", 2: "near", 3: "exact", 4: "missing", 5: "refused", 6: "missing", 7: "refused"}
+    assert all(0.9 <= got[k][1] < 1 for k in (1, 2)) and got[5][1] is None
+
+
+def test_windows_by_brute_force():
+    source, needle = "the quick brown fox jumps over the lazy dog and the quick red fox sleeps", "a quick rod fox sleep"
+    words = source.split()
+    every = [" ".join(words[i : i + w]) for w in range(3, 8) for i in range(len(words) - w + 1)]
+    assert similarity.windowed_ratio(source, needle) == max(similarity.lcs_ratio(pd.Series(every), pd.Series([needle] * len(every))))
+
+
 def test_pending_promotions_recover(spark):
     links = spark.createDataFrame([(1, "a", "b", "pending_promotion"), (2, "a", "c", "pending_promotion"), (3, "x", "y", "rejected")], "link int, src string, dst string, state string")
     edges = spark.createDataFrame([("a", "b")], "src string, dst string")
