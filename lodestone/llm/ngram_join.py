@@ -107,9 +107,12 @@ def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
 
 
 def linked_pairs(sets: list[np.ndarray], side: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the sets whose Jaccard similarity is ``threshold`` at least; with both sides present, only pairs across."""
+    """Index pairs of the sets whose Jaccard similarity is ``threshold`` at least: all pairs of a block's own tile (side -1), else only pairs across, of which a tile with an empty block has none."""
+    own = side[0] < 0
+    if not own and (side == side[0]).all():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sig = np.stack([signature(s) for s in sets])
-    if side.any() and not side.all():
+    if not own:
         i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1), indexing="ij"))
     else:
         i, j = np.triu_indices(len(sets), 1)
@@ -180,7 +183,7 @@ def tiled(sets: DataFrame, comp: DataFrame) -> DataFrame:
 
     The sets of a component that is too large for a tile are classed by size, so that sets of
     the asked similarity are in one class or in neighbours, and a class is dealt into blocks;
-    a tile holds two blocks, or one.
+    a tile holds two blocks, as sides 0 and 1, or is a block's own, as side -1.
     """
     c = comp.join(sets.select("node", "doc", "size", "copies"), "node")
     total = c.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
@@ -196,7 +199,7 @@ def tiled(sets: DataFrame, comp: DataFrame) -> DataFrame:
     tile = lambda a, b, i, j: F.xxhash64("root", a, b, i, j)
     k, up = F.col("cls"), F.col("cls") + 1
     upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    own = F.transform(upto(F.col("blocks")), lambda j: F.struct(tile(k, k, F.least("block", j), F.greatest("block", j)).alias("tile"), F.when(F.col("block") > j, 1).otherwise(0).alias("side")))
+    own = F.transform(upto(F.col("blocks")), lambda j: F.struct(tile(k, k, F.least("block", j), F.greatest("block", j)).alias("tile"), F.when(F.col("block") == j, -1).when(F.col("block") > j, 1).otherwise(0).alias("side")))
     higher = F.transform(upto(F.col("above")), lambda j: F.struct(tile(k, up, F.col("block"), j).alias("tile"), F.lit(0).alias("side")))
     lower = F.transform(upto(F.col("below")), lambda j: F.struct(tile(k - 1, k, j, F.col("block")).alias("tile"), F.lit(1).alias("side")))
     return c.select("doc", "node", "copies", F.concat(own, higher, lower).alias("tiles"))

@@ -160,6 +160,13 @@ def test_tiles_agree_with_one_tile(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.jaccard_join(d).collect())) == whole
 
 
+def test_an_empty_block_adds_no_links(spark, monkeypatch):
+    rows = [(c * 10 + i, " ".join(f"v{c}x{k if k != 30 else 1000 + i}" for k in range(120))) for c in range(6) for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 150)
+    assert {r["n_links"] for r in ngram_join.jaccard_join(d).collect()} == {5}
+
+
 def test_posterior_bound():
     least = ngram_join.least_matches(0.8, 1e-9)
     assert list(least) == sorted(least) and 0 <= least[0] < 20 * 0.8 and least[-1] < 200 * 0.8
