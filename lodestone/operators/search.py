@@ -76,22 +76,25 @@ def fuse(lexical_rank: DataFrame, vector_rank: DataFrame, *, by_document: bool =
 
 
 def containment(items: DataFrame, docs: DataFrame, anchor: int = 5) -> DataFrame:
-    """(item_id, doc_id) of items whose whole text a document holds between blanks.
+    """(item_id, doc_id) of items whose whole text a document holds, as ``contains`` finds it.
 
-    Meets on the item's first ``anchor`` words, then compares the texts; items of fewer words
-    meet on all they have.
+    An item's first and last words may be parts of a document's words, as after a quote mark or
+    before a comma; those between are whole.  Meets on the first ``anchor`` of these, then compares the texts.
+    Items of fewer than three words have none and are compared with all documents; blank ones are left out.
     """
-    words = lambda c: F.split(F.trim(c), r"\s+")
-    head = items.where(F.trim("text") != "").select("item_id", "text", words(F.col("text")).alias("w")).select("item_id", "text", F.slice("w", 1, anchor).alias("run"))
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    all_words = items.where(F.trim("text") != "").select("item_id", "text", words(F.col("text")).alias("w"))
+    inner = all_words.where(F.size("w") >= 3).select("item_id", "text", F.slice("w", F.lit(2), F.greatest(F.least(F.size("w") - 2, F.lit(anchor)), F.lit(0))).alias("run"))
+    bodies = docs.select("doc_id", F.col("text").alias("body"))
     out = None
     for n in range(1, anchor + 1):
-        keys = head.where(F.size("run") == n).select("item_id", "text", F.array_join("run", " ").alias("run"))
-        runs = docs.select("doc_id", F.col("text").alias("body"), words(F.col("text")).alias("w")).where(F.size("w") >= n)
-        runs = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("run"))
+        keys = inner.where(F.size("run") == n).select("item_id", "text", F.array_join("run", " ").alias("run"))
+        runs = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= n + 2)
+        runs = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(2), F.size("w") - n), lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("run"))
         part = runs.join(keys, "run").select("item_id", "doc_id", "text")
         out = part if out is None else out.unionByName(part)
-    bodies = docs.select("doc_id", F.col("text").alias("body"))
-    return out.join(bodies, "doc_id").where(F.col("body").contains(F.col("text"))).select("item_id", "doc_id").distinct()
+    short = bodies.join(F.broadcast(all_words.where(F.size("w") < 3).select("item_id", "text")), F.col("body").contains(F.col("text")))
+    return out.join(bodies, "doc_id").where(F.col("body").contains(F.col("text"))).select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
 
 
 def hit_at_k(results: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:

@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.functions import sets, text
-from lodestone.operators import budget, graph, history, overlay, similarity
+from lodestone.operators import budget, graph, history, overlay, search, similarity
 from lodestone.sources import files
 from lodestone.streaming import watch
 
@@ -80,6 +80,13 @@ def test_identity_cascade(spark):
     assert got == {"a": ("rename", ["a2"]), "b": ("split", ["b1", "b2"]), "c": ("breakage", [])}
 
 
+def test_quoted_passages_are_contained(spark):
+    items = ["the cat sat on the mat tonight", "five words are in here", "two words", "word", "a lone wolf", "", "six is  more than five words", None]
+    texts = ['He said "the cat sat on the mat tonight".', "(five words are in here, he said)", "-two words, all wordy", "that's a lone wolf's howl", "six is more than five words", "xsix is  more than five wordsy", "the cat sat on the", None]
+    got = search.containment(spark.createDataFrame(list(enumerate(items)), "item_id int, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, d) for i, x in enumerate(items) for d, y in enumerate(texts) if x and y and x in y)
+
+
 def test_lcs():
     assert list(similarity.lcs_ratio(pd.Series(["abcd", "abc", ""]), pd.Series(["abxd", "xyz", "a"]))) == [0.75, 0.0, 0.0]
 
