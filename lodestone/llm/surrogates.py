@@ -23,6 +23,8 @@ PATTERNS = {
     "person": rf"(?<!\p{{L}}){_TITLE} \p{{Lu}}\p{{L}}{{1,40}}(?: \p{{Lu}}\p{{L}}{{1,40}})?(?!\p{{L}})",
 }
 ANY = "|".join(PATTERNS.values())
+#: From this attempt on a number gains a digit an attempt, and an address leaves its private network: its format is crowded.
+CROWDED = 6
 #: A text without any of these has no entity.
 HINT = r"@|[0-9]{2}|[0-9][.-]|(?:^|[^\p{L}])" + _TITLE + r" \p{Lu}"
 
@@ -87,13 +89,15 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     def ip(d: Column) -> Column:
         o = F.split(entity, r"\.")
         kept = F.when(o[0] == "10", 1).when((o[0] == "192") & (o[1] == "168"), 2).when((o[0] == "127"), 1).otherwise(0)
+        kept = F.when(attempt >= CROWDED, 0).otherwise(kept)
         part = lambda i: F.when(kept > i, o[i]).otherwise(((_byte(d, 2 * i) % 222 + 1) if i == 0 else _byte(d, 2 * i)).cast("string"))
         return F.concat_ws(".", *map(part, range(4)))
 
     def digits(d: Column, keep: Column) -> Column:
         """As many digits, the first ``keep`` as they are; a leading digit isn't made 0."""
         one = lambda i: F.when(i < keep, F.substring(entity, i + 1, F.lit(1))).otherwise(((_byte(d, i) * 256 + _byte(d, i + 11)) % 10).cast("string"))
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.length(entity) - 1), one), "")
+        longer = F.when(attempt >= CROWDED, F.array_join(F.transform(F.sequence(F.lit(CROWDED), attempt), lambda i: (_byte(more, i) % 10).cast("string")), "")).otherwise("")
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.length(entity) - 1), one), ""), F.when(kind == "card", "").otherwise(longer))
 
     def card(d: Column) -> Column:
         body = digits(d, F.lit(1))
@@ -127,7 +131,8 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
 
 
 def formatted(kind: Column, mention: Column, made: Column) -> Column:
-    """The replacement in the format of one mention: its separators, title and capitals."""
+    """The replacement in the format of one mention: its separators, title and capitals; digits beyond the mention's come last."""
+    surplus = F.substring(made, F.length(F.regexp_replace(mention, "[^0-9]", "")) + 1, F.length(made))
     shape = lambda keep: F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), lambda i: let(F.substring(mention, i, F.lit(1)), lambda c: F.when(c.rlike(keep), F.substring(made, F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), f"[^{keep[1:]}", "")), F.lit(1))).otherwise(c))), "")
     title = F.regexp_extract(mention, f"^({_TITLE} )", 1)
     name = F.regexp_replace(mention, f"^{_TITLE} ", "")
@@ -136,7 +141,7 @@ def formatted(kind: Column, mention: Column, made: Column) -> Column:
         .when(kind == "ip", made)
         .when(kind == "person", F.concat(title, F.when(name == F.upper(name), F.upper(made)).otherwise(made)))
         .when(kind == "iban", shape("[A-Z0-9]"))
-        .otherwise(shape("[0-9]"))
+        .otherwise(F.concat(shape("[0-9]"), surplus))
     )
 
 
@@ -152,7 +157,8 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
 
     No two entities of a kind share one and none is an entity of the corpus.  Those whose draw
     fails the check draw again by the next attempt, until all pass; the least entity of those
-    that share a draw keeps it.
+    that share a draw keeps it.  From attempt CROWDED on draws come from more values than the format
+    has, so a corpus that holds all values of a format ends too.
     """
     done, left = None, durable(entities.select("kind", "entity", F.lit(0).alias("attempt")), "surrogates-left")
     entities = left.select("kind", "entity")
@@ -171,10 +177,32 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
             return done
 
 
+def with_full_names(each: DataFrame) -> DataFrame:
+    """``each`` mention (row, at, kind, entity, made), where a titled surname takes that of the full name of its row with the same gender and surname, if any."""
+    gender, surname = F.substring("entity", 1, 1), F.substring_index("entity", " ", -1)
+    person, two = F.col("kind") == "person", F.size(F.split("entity", " ")) > 2
+    full = each.where(person & two).groupBy("row", gender.alias("gender"), surname.alias("surname")).agg(F.min_by(F.substring_index("made", " ", -1), "at").alias("part"))
+    single = each.select("*", F.when(person & ~two, gender).alias("gender"), F.when(person & ~two, surname).alias("surname"))
+    return single.join(full, ["row", "gender", "surname"], "left").withColumn("made", F.coalesce("part", "made")).drop("gender", "surname", "part")
+
+
+def bare_names(each: DataFrame) -> DataFrame:
+    """row, names: what replaces each row's names and surnames where they stand without a title, the longest first; the first mention decides."""
+    name = F.regexp_replace("mention", f"^{_TITLE} ", "")
+    cased = lambda n, made: F.struct(n.alias("name"), F.when(n == F.upper(n), F.upper(made)).otherwise(made).alias("value"))
+    last = lambda c: F.substring_index(c, " ", -1)
+    pairs = each.where("kind = 'person'").select("row", "at", F.explode(F.array(cased(name, F.col("made")), cased(last(name), last(F.col("made"))))).alias("p")).select("row", "at", "p.*")
+    first = pairs.groupBy("row", "name").agg(F.min_by("value", F.struct("at", "value")).alias("value"))
+    return first.groupBy("row").agg(F.sort_array(F.collect_list(F.struct((-F.length("name")).alias("shorter"), "name", "value"))).alias("names"))
+
+
 def replace_personal_data(docs: DataFrame, *, key: str = "lodestone", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, n_entities of each row: its text with every entity replaced by its surrogate.
+    """doc_id, text, n_entities of each row: its text with each detected entity replaced by its surrogate.
 
-    One entity has one surrogate throughout, in the format of each mention.
+    One entity has one surrogate throughout, in the format of each mention.  A person is detected by a
+    title; in the same text, the name and the surname without the title, and the title with the
+    surname alone, are replaced by the same surrogate or its surname.  Names that no title of their
+    text introduces, and first names alone, stay.
 
     Nulls: a null text stays null, with 0 entities; a null id is an id like others.  Empty
     texts and texts without entities stay as they are.  Repeated rows come out alike, and rows
@@ -187,13 +215,19 @@ def replace_personal_data(docs: DataFrame, *, key: str = "lodestone", id_col: st
     found = durable(hinted, "mentions")
     mention = durable(found.select(F.explode("mentions").alias("mention")).distinct().select("mention", kind_of(F.col("mention")).alias("kind")).select("*", canonical(F.col("kind"), F.col("mention")).alias("entity")), "mentions-kinds")
     made = surrogate_table(mention.select("kind", "entity").distinct(), key)
-    by = mention.join(made, ["kind", "entity"]).select("mention", formatted(F.col("kind"), F.col("mention"), F.col("made")).alias("instead"))
+    by = mention.join(made, ["kind", "entity"])
     row = F.struct("doc_id", "text_hash").alias("row")
-    each = found.dropDuplicates(["doc_id", "text_hash"]).select(row, F.posexplode("mentions").alias("at", "mention")).join(by, "mention")
-    lists = each.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "instead"))), lambda x: x["instead"]).alias("instead"))
-    joined = keyed.select(row, "text").join(lists, "row", "left")
-    filled = let(F.split("text", ANY), lambda p: F.array_join(F.transform(p, lambda x, i: F.concat(F.when(i > 0, F.get(F.col("instead"), i - 1)).otherwise(""), x)), ""))
-    return joined.select(F.col("row.doc_id").alias("doc_id"), F.when(F.col("instead").isNull(), F.col("text")).otherwise(filled).alias("text"), F.coalesce(F.size("instead"), F.lit(0)).cast("long").alias("n_entities")).withColumn("n_entities", F.greatest("n_entities", F.lit(0).cast("long")))
+    each = durable(found.dropDuplicates(["doc_id", "text_hash"]).select(row, F.posexplode("mentions").alias("at", "mention")).join(by, "mention"), "mentions-made")
+    each = with_full_names(each)
+    lists = each.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", formatted(F.col("kind"), F.col("mention"), F.col("made")).alias("instead")))), lambda x: x["instead"]).alias("instead"))
+    joined = keyed.select(row, "text").join(lists.join(bare_names(each), "row", "left"), "row", "left")
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform("names", lambda n: n["name"]), "|"), F.lit(r")(?!\p{L})"))
+    hits = lambda x: F.regexp_extract_all(x, pattern, F.lit(0))
+    value = lambda m: F.filter("names", lambda n: n["name"] == m)[0]["value"]
+    renamed = lambda x: F.when(F.col("names").isNull(), x).otherwise(let(hits(x), lambda h: F.array_join(F.transform(F.split(x, pattern), lambda y, k: F.concat(F.when(k > 0, value(F.get(h, k - 1))).otherwise(""), y)), "")))
+    filled = let(F.split("text", ANY), lambda p: F.array_join(F.transform(p, lambda x, i: F.concat(F.when(i > 0, F.get(F.col("instead"), i - 1)).otherwise(""), renamed(x))), ""))
+    n_bare = F.when(F.col("names").isNull(), 0).otherwise(F.aggregate(F.split("text", ANY), F.lit(0), lambda n, x: n + F.size(hits(x))))
+    return joined.select(F.col("row.doc_id").alias("doc_id"), F.when(F.col("instead").isNull(), F.col("text")).otherwise(filled).alias("text"), F.when(F.col("instead").isNull(), 0).otherwise(F.size("instead") + n_bare).cast("long").alias("n_entities"))
 
 
 def op5_surrogates(spark, sf_dir: str) -> DataFrame:

@@ -267,3 +267,21 @@ def test_surrogates_stay_distinct(spark):
     got = surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     made = {r["text"] for r in got}
     assert len(made) == 250 and not made & {t for _, t in rows}
+
+
+def test_untitled_repeats_take_the_same_surrogate(spark):
+    text = "Mr John Smith came. John Smith sat; Smith spoke to Smithers. Mr Smith left, MR. X said. Mrs Smith and Anna Smith."
+    got = surrogates.replace_personal_data(spark.createDataFrame([(1, text), (2, "Smith stays")], "doc_id long, text string")).collect()
+    new = {r["doc_id"]: (r["text"], r["n_entities"]) for r in got}
+    first, last = re.match(r"Mr (\w+) (\w+) came", new[1][0]).groups()
+    woman = re.search(r"Mrs (\w+) and", new[1][0])[1]
+    assert woman != last
+    assert new[1] == (f"Mr {first} {last} came. {first} {last} sat; {last} spoke to Smithers. Mr {last} left, MR. X said. Mrs {woman} and Anna {last}.", 6)
+    assert new[2] == ("Smith stays", 0)
+
+
+def test_a_crowded_format_ends(spark):
+    rows = [(i, f"+{i:04}") for i in range(10000)]
+    got = surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    made = {r["text"] for r in got}
+    assert len(made) == 10000 and not made & {t for _, t in rows} and all(re.fullmatch(r"\+[0-9]{5,8}", t) for t in made)
