@@ -8,159 +8,195 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_of
+from .common import durable, read, text_of
 from .rules import FEATURES, text_statistics
 
-#: Hash buckets of the metadata fields.
-SOURCE_BUCKETS, LANG_BUCKETS = 64, 16
+#: Metadata fields whose values each have a weight, and the most values of a field that are kept, the commonest of those trained on.
+VALUES = {"source": 20000, "lang": 200}
 
 
 @dataclass
 class View:
-    """An additive model: a weight for each bin of each field, and the line that calibrates its logit."""
+    """An additive model: a weight for each bin of each number and each value trained on, and the line that calibrates its logit; all other values weigh 0."""
 
     edges: dict[str, list[float]]
     weights: dict[str, list[float]]
+    values: dict[str, dict[str, float]]
     bias: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
 
+    def weighed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the weight of each value, from a broadcast table."""
+        for f, w in self.values.items():
+            table = rows.sparkSession.createDataFrame(list(w.items()), f"{f} string, weight_{f} double")
+            rows = rows.join(F.broadcast(table), f, "left")
+        return rows
+
     def logit(self) -> Column:
         out = F.lit(self.bias)
         for f, w in self.weights.items():
-            at = sum([(F.col(f) >= e).cast("int") for e in self.edges[f]], F.lit(0)) if f in self.edges else F.col(f)
+            at = sum([(F.col(f) >= e).cast("int") for e in self.edges[f]], F.lit(0))
             out = out + F.element_at(F.array(*map(F.lit, w)), at + 1)
+        for f in self.values:
+            out = out + F.coalesce(f"weight_{f}", F.lit(0.0))
         return out * self.slope + self.shift
 
+    def logits(self, rows) -> np.ndarray:
+        """The same of a pandas table, before calibration."""
+        out = np.full(len(rows), self.bias)
+        for f, w in self.weights.items():
+            out += np.array(w)[np.searchsorted(np.array(self.edges[f]), rows[f].to_numpy(float), side="right")]
+        for f, w in self.values.items():
+            out += rows[f].map(w).fillna(0.0).to_numpy(float)
+        return out
+
+
+def _matrix(rows, edges: dict[str, list[float]]) -> np.ndarray:
+    """One column for each bin."""
+    return np.concatenate([np.eye(len(e) + 1)[np.searchsorted(np.array(e), rows[f].to_numpy(float), side="right")] for f, e in edges.items()], axis=1)
 
-def _matrix(rows, fields: dict[str, int], edges: dict[str, list[float]]) -> np.ndarray:
-    """One column for each bin; ``fields`` has the number of bins of each."""
-    out = []
-    for f, n in fields.items():
-        v = rows[f].to_numpy()
-        at = np.searchsorted(np.array(edges[f]), v, side="right") if f in edges else v.astype(int)
-        out.append(np.eye(n)[at])
-    return np.concatenate(out, axis=1)
 
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, the bias first, and those of the groups (numbered from 0), by Newton steps.
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights, the bias first, by Newton steps."""
+    Each row is in one group at most (-1 is none), so the groups' part of the Hessian is diagonal and is eliminated.
+    """
     x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-    b, keep = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+    group = np.full(len(x), -1) if group is None else group
+    n = int(group.max(initial=-1)) + 2  # the last is none
+    total = lambda v: np.bincount(group % n, v, n)[:-1]
+    b, s, keep = np.zeros(x.shape[1]), np.zeros(n - 1), np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + keep, x.T @ (y - p) - keep @ b)
-        b += step
-        if np.abs(step).max() < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(x @ b + np.append(s, 0)[group], -30, 30)))
+        w = p * (1 - p) + 1e-6
+        cross, own = np.stack([total(w * c) for c in x.T]), total(w) + ridge
+        g, gs = x.T @ (y - p) - keep @ b, total(y - p) - ridge * s
+        step = np.linalg.solve(x.T @ (x * w[:, None]) + keep - (cross / own) @ cross.T, g - (cross / own) @ gs)
+        move = (gs - cross.T @ step) / own
+        b, s = b + step, s + move
+        if max(np.abs(step).max(), np.abs(move).max(initial=0)) < 1e-6:
             break
-    return b
+    return b, s
 
 
 def _cut(values: np.ndarray, bins: int) -> list[float]:
     return sorted({float(v) for v in np.quantile(values, np.arange(1, bins) / bins)})
 
 
-def co_train(labelled, pool, *, rounds: int = 3, confident: float = 0.97, per_round: int = 1000, bins: int = 10) -> tuple[View, View, tuple[float, float, float]]:
+def _fit(rows, y: np.ndarray, edges: dict[str, list[float]], fields: tuple[str, ...]) -> View:
+    """A view of ``rows``; sources, which may be many, are the groups of the fit."""
+    kept = {f: list(rows[f].value_counts().sort_index().sort_values(ascending=False, kind="stable").index[: VALUES[f]]) for f in fields}
+    x = [_matrix(rows, edges)] + [(rows[f].to_numpy()[:, None] == np.array(kept[f], object)[None, :]).astype(float) for f in fields if f != "source"]
+    at = {v: i for i, v in enumerate(kept.get("source", ()))}
+    b, s = _logistic(np.concatenate(x, axis=1), y, group=rows["source"].map(at).fillna(-1).to_numpy(int) if at else None)
+    place, weights, values = 1, {}, {}
+    for f, e in edges.items():
+        weights[f] = [float(c) for c in b[place : place + len(e) + 1]]
+        place += len(e) + 1
+    for f in fields:
+        values[f] = dict(zip(kept[f], map(float, s if f == "source" else b[place : place + len(kept[f])])))
+        place += 0 if f == "source" else len(kept[f])
+    return View(edges, weights, values, float(b[0]))
+
+
+def surest(pool: DataFrame, view: View, share: float, confident: float, per_round: int):
+    """The rows of the whole ``pool`` that a view is surest of, with mark 1 or 0, in proportion of ``share``, as a bounded pandas table."""
+    p = _chance(view.logit())
+    rated = view.weighed(pool).select(*pool.columns, p.alias("p"))
+    top = lambda mark, sure, part: rated.select("*", F.lit(mark).alias("mark")).where(sure >= confident).orderBy(sure.desc(), F.xxhash64("doc_id"), "doc_id").limit(max(1, int(per_round * part)))
+    return top(1.0, F.col("p"), share).unionByName(top(0.0, 1 - F.col("p"), 1 - share)).toPandas()
+
+
+def co_train(labelled, pool: DataFrame, *, rounds: int = 3, confident: float = 0.97, per_round: int = 1000, bins: int = 10) -> tuple[View, View, tuple[float, float, float]]:
     """Both views and the weights (bias, text, metadata) that join their calibrated logits.
 
     A fifth of the labelled rows calibrates and joins, the others train.  In each round a view
-    labels the pool rows it is surest of, for the other view to train on, as many of each kind
+    scores the whole pool and labels the rows it is surest of, for the other view to train on, as many of each kind
     as the labels' shares allow.
     """
+    import pandas as pd
+
     y = labelled["quality"].to_numpy(float)
     fit, hold = labelled["fold"].to_numpy() != 0, labelled["fold"].to_numpy() == 0
     if len(set(y[fit])) < 2 or len(set(y[hold])) < 2:
         fit = hold = np.ones(len(y), bool)
-    numeric = {"text": FEATURES, "meta": ("log_chars",)}
-    edges = {f: _cut(labelled[f].to_numpy(float), bins) for v in numeric.values() for f in v}
-    fields = {v: {f: len(edges[f]) + 1 for f in fs} for v, fs in numeric.items()}
-    fields["meta"] |= {"source_bucket": SOURCE_BUCKETS, "lang_bucket": LANG_BUCKETS}
-    x = {v: _matrix(labelled, fields[v], edges) for v in fields}
-    u = {v: _matrix(pool, fields[v], edges) for v in fields}
-    lent: dict[str, dict[int, float]] = {"text": {}, "meta": {}}  # of each view: labels that the other gave
-    coef: dict[str, np.ndarray] = {}
-    share = y[fit].mean()
+    numeric, fields = {"text": FEATURES, "meta": ("log_chars",)}, {"text": (), "meta": tuple(VALUES)}
+    edges = {v: {f: _cut(labelled[f].to_numpy(float), bins) for f in fs} for v, fs in numeric.items()}
+    lent = {v: labelled[:0].assign(mark=0.0) for v in numeric}  # of each view: rows that the other labelled
+    share, views = y[fit].mean(), {}
     for r in range(rounds + 1):
-        for v in fields:
-            rows = np.array(sorted(lent[v]), int)
-            coef[v] = _logistic(np.concatenate([x[v][fit], u[v][rows]]), np.concatenate([y[fit], [lent[v][i] for i in rows]]))
-        if r == rounds or not len(pool):
+        for v in numeric:
+            rows = pd.concat([labelled[fit], lent[v]]) if len(lent[v]) else labelled[fit]
+            views[v] = _fit(rows, np.concatenate([y[fit], lent[v]["mark"].to_numpy(float)]), edges[v], fields[v])
+        if r == rounds:
             break
         for v, other in (("text", "meta"), ("meta", "text")):
-            p = 1 / (1 + np.exp(-np.clip(coef[v][0] + u[v] @ coef[v][1:], -30, 30)))
-            for mark, sure, part in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                best = np.argsort(-sure, kind="stable")[: max(1, int(per_round * part))]
-                lent[other].update({int(i): mark for i in best if sure[i] >= confident and int(i) not in lent[other]})
-    views, joined = {}, []
-    for v in fields:
-        z = coef[v][0] + x[v][hold] @ coef[v][1:]
-        shift, slope = _logistic(z[:, None], y[hold], 0.01)
-        at, weights = 1, {}
-        for f, n in fields[v].items():
-            weights[f] = [float(c) for c in coef[v][at : at + n]]
-            at += n
-        views[v] = View({f: edges[f] for f in numeric[v]}, weights, float(coef[v][0]), float(slope), float(shift))
-        joined.append(np.clip(z * slope + shift, -30, 30))
-    both = _logistic(np.stack(joined, axis=1), y[hold], 0.1)
+            new = surest(pool, views[v], share, confident, per_round)
+            lent[other] = pd.concat([x for x in (lent[other], new) if len(x)] or [new]).drop_duplicates("doc_id")
+    joined = []
+    for v, view in views.items():
+        z = view.logits(labelled[hold])
+        view.shift, view.slope = map(float, _logistic(z[:, None], y[hold], 0.01)[0])
+        joined.append(np.clip(z * view.slope + view.shift, -30, 30))
+    both = _logistic(np.stack(joined, axis=1), y[hold], 0.1)[0]
     return views["text"], views["meta"], tuple(float(b) for b in both)
 
 
 def described(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the fields of both views, and what else is carried, in one pass without shuffle."""
-    bucket = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
-    given = docs.select(F.struct(F.col(id_col).alias("id"), bucket(source_col, SOURCE_BUCKETS).alias("source_bucket"), bucket(lang_col, LANG_BUCKETS).alias("lang_bucket"), F.log1p(F.length(text_of(text_col)).cast("double")).alias("log_chars"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(carry)]).alias("key"), F.col(text_col).alias("text"))
+    value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    given = docs.select(F.struct(F.col(id_col).alias("id"), value(source_col).alias("source"), value(lang_col).alias("lang"), F.log1p(F.length(text_of(text_col)).cast("double")).alias("log_chars"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(carry)]).alias("key"), F.col(text_col).alias("text"))
     stats = text_statistics(given, "key", "text")
-    return stats.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.source_bucket").alias("source_bucket"), F.col("doc_id.lang_bucket").alias("lang_bucket"), F.col("doc_id.log_chars").alias("log_chars"), *FEATURES, *[F.col(f"doc_id.keep_{i}").alias(f"keep_{i}") for i in range(len(carry))])
+    return stats.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.source").alias("source"), F.col("doc_id.lang").alias("lang"), F.col("doc_id.log_chars").alias("log_chars"), *FEATURES, *[F.col(f"doc_id.keep_{i}").alias(f"keep_{i}") for i in range(len(carry))])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20000, max_pool: int = 10000, columns: dict[str, str] | None = None, **training) -> tuple[View, View, tuple[float, float, float]] | None:
-    """``co_train`` on at most ``max_labelled`` labelled documents and ``max_pool`` others, those of smallest id hash; None without labels of both kinds.
+def train(rows: DataFrame, labels: DataFrame, *, max_labelled: int = 20000, **training) -> tuple[View, View, tuple[float, float, float]] | None:
+    """``co_train`` on ``described`` rows: at most ``max_labelled`` labelled ones, those of smallest id hash, and all others; None without labels of both kinds.
 
-    The bounded lists of ids are broadcast, and only their documents are described.
+    Only the labelled rows and those that a round picks come to the driver.
     """
-    columns = columns or {}
-    id_col = columns.get("id_col", "doc_id")
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").distinct().join(known, "doc_id", "left")
-    some = lambda where, n: ids.where(where).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = some("quality IS NOT NULL", max_labelled).unionByName(some("quality IS NULL", max_pool)).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality"))
-    picked = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"])
-    # rows of numbers, as many as the bounds allow
-    rows = described(picked, carry=("__quality",), **columns).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5))).toPandas().drop_duplicates("doc_id").sort_values("doc_id").rename(columns={"keep_0": "quality"})
-    labelled = rows[rows["quality"].notna()]
+    chosen = rows.join(known, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    labelled = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5))).toPandas().sort_values("doc_id")
     if labelled["quality"].nunique() < 2:
         return None
-    return co_train(labelled, rows[rows["quality"].isna()], **training)
+    return co_train(labelled, rows.join(known.select("doc_id"), "doc_id", "left_anti"), **training)
+
+
+def _clip(z: Column) -> Column:
+    return F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))
+
+
+def _chance(z: Column) -> Column:
+    return 1 / (1 + F.exp(-_clip(z)))
 
 
-def scores(model) -> tuple[Column, Column, Column]:
-    """The probability of good quality by text, by metadata and by both."""
-    p = lambda z: 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+def scored(rows: DataFrame, model) -> DataFrame:
+    """``rows`` with the probability of good quality by text (p_text), by metadata (p_meta) and by both (score)."""
     if model is None:
-        return F.lit(0.5), F.lit(0.5), F.lit(0.5)
+        return rows.select("*", *[F.lit(0.5).alias(c) for c in ("p_text", "p_meta", "score")])
     text, meta, (bias, wt, wm) = model
     zt, zm = text.logit(), meta.logit()
-    clip = lambda z: F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))
-    return p(zt), p(zm), p(bias + wt * clip(zt) + wm * clip(zm))
+    return meta.weighed(text.weighed(rows)).select("*", _chance(zt).alias("p_text"), _chance(zm).alias("p_meta"), _chance(bias + wt * _clip(zt) + wm * _clip(zm)).alias("score"))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **training) -> DataFrame:
     """doc_id, p_text, p_meta, score, keep of each row.
 
-    Nulls: a null text is empty, null metadata fall into a bucket of their own, a null id has
+    Nulls: a null text is empty, null metadata are a value of their own, a null id has
     no label.  Labels of one id are averaged, ties counting as good.  Empty texts are scored
     like others.  Repeated rows score alike.  Without labels of both kinds all scores are 0.5
     and all rows are kept.  An empty table gives no rows.  Other columns aren't read.
     """
-    columns = {"id_col": id_col, "text_col": text_col, "source_col": source_col, "lang_col": lang_col}
-    text, meta, both = scores(train(docs, labels, columns=columns, **training))
-    return described(docs, **columns).select("doc_id", text.alias("p_text"), meta.alias("p_meta"), both.alias("score")).select("*", (F.col("score") >= threshold).alias("keep"))
+    rows = durable(described(docs, id_col=id_col, text_col=text_col, source_col=source_col, lang_col=lang_col), "quality-fields")
+    return scored(rows, train(rows, labels, **training)).select("doc_id", "p_text", "p_meta", "score", (F.col("score") >= threshold).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **training) -> DataFrame:
     """The rows of ``docs`` (with the columns of documents) that ``classify_quality`` keeps, whole."""
-    _, _, both = scores(train(docs, labels, **training))
-    return described(docs, carry=tuple(docs.columns)).where(both >= threshold).select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    model = train(durable(described(docs), "quality-fields"), labels, **training)
+    return scored(described(docs, carry=tuple(docs.columns)), model).where(F.col("score") >= threshold).select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -237,6 +237,19 @@ def test_rules_learn_a_threshold(spark):
     assert sum(r["keep"] == (r["doc_id"] % 4 != 0) for r in got) >= 196
 
 
+def test_each_source_has_its_own_weight(spark):
+    rows = [(i, "the same words of every text", "en", f"s{i % 300}") for i in range(6000)]
+    d, m = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame([(i, int(i % 300 % 7 != 0)) for i in range(3000)], "doc_id long, quality int")
+    assert all((r["p_meta"] > 0.5) == (r["doc_id"] % 300 % 7 != 0) for r in quality.classify_quality(d, m).collect())
+
+
+def test_pseudo_labels_come_from_all_documents(spark):
+    rows = spark.range(30000).selectExpr("id AS doc_id", "IF(id = 29999, 'best', 'other') AS source")
+    view = quality.View({}, {}, {"source": {"best": 5.0, "other": 4.0}})
+    got = quality.surest(rows, view, 0.5, 0.97, 10)
+    assert len(got) == 5 and got["doc_id"][0] == 29999 and set(got["mark"]) == {1.0}
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, "w " * (i % 9 + 1), f"s{i % 4}") for i in range(4000)]
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
