@@ -72,15 +72,16 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("key").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def judged_spans(found: DataFrame, min_copied_owners: int = 3) -> DataFrame:
-    """row, kind, start, end, copied, specific of each candidate.
+def judged_spans(found: DataFrame, min_copied_owners: int = 3, min_spread: int = 10) -> DataFrame:
+    """row, kind, start, end, n_owners, n_repositories, copied, specific of each candidate.
 
     copied: at least ``min_copied_owners`` owners have it, so it's an example of some manual.
-    specific: one owner has it and it looks live.
+    specific: one owner has it, in fewer than ``min_spread`` repositories, and it looks live; what
+    stands in more is the owner's boilerplate.
     """
     each = found.select("row", F.explode("spans").alias("s")).select("row", "s.*")
     joined = each.join(ownership(found), "key")
-    return joined.select("row", "kind", "start", "end", (F.col("n_owners") >= min_copied_owners).alias("copied"), ((F.col("n_owners") == 1) & F.col("live")).alias("specific"))
+    return joined.select("row", "kind", "start", "end", "n_owners", "n_repositories", (F.col("n_owners") >= min_copied_owners).alias("copied"), ((F.col("n_owners") == 1) & (F.col("n_repositories") < min_spread) & F.col("live")).alias("specific"))
 
 
 def _listed(spans: Column) -> Column:
@@ -88,12 +89,13 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, *, min_copied_owners: int = 3, **columns) -> DataFrame:
+def find_secrets(docs: DataFrame, *, min_copied_owners: int = 3, min_spread: int = 10, **columns) -> DataFrame:
     """Spans of secrets of every row, and which of them the corpus shows to be examples or an owner's own.
 
-    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_copied, n_specific.  The
-    spans are those of the base patterns, and long mixed tokens (kind ``owner``) that look live
-    and that one owner alone has.
+    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_copied, n_specific,
+    span_owners, span_repositories.  The spans are those of the base patterns, and long mixed tokens
+    (kind ``owner``) that look live and that one owner alone has, in fewer than ``min_spread``
+    repositories.  The last two have the number of owners and repositories of each span.
 
     Nulls: a null text is empty and has no spans; null owners count as one owner.  Rows are
     judged one by one, so repeated rows come out alike, and repeats of one owner don't make a
@@ -101,16 +103,16 @@ def find_secrets(docs: DataFrame, *, min_copied_owners: int = 3, **columns) -> D
     empty table gives no rows.  Columns but those named aren't read.
     """
     found = candidate_spans(docs, **columns)
-    judged = judged_spans(found, min_copied_owners).groupBy("row").agg(
+    judged = judged_spans(found, min_copied_owners, min_spread).groupBy("row").agg(
         F.count_if("copied").alias("n_copied"),
         F.count_if("specific").alias("n_specific"),
-        F.sort_array(F.collect_list(F.when((F.col("kind") < 3) | F.col("specific"), F.struct("start", "kind", "end")))).alias("all"),
+        F.sort_array(F.collect_list(F.when((F.col("kind") < 3) | F.col("specific"), F.struct("start", "kind", "end", "n_owners", "n_repositories")))).alias("all"),
     )
     base = F.filter("spans", lambda x: x["kind"] < 3)
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return found.join(judged, "row", "left").select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_listed(base), 256).alias("base_sha256"), F.coalesce(_listed(F.col("all")), F.lit("")).alias("spans"), zero("n_copied"), zero("n_specific")
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_listed(base), 256).alias("base_sha256"), F.coalesce(_listed(F.col("all")), F.lit("")).alias("spans"), zero("n_copied"), zero("n_specific"), *[F.coalesce(F.transform("all", lambda x: x[c]), F.array().cast("array<long>")).alias(name) for c, name in (("n_owners", "span_owners"), ("n_repositories", "span_repositories"))]
     )
 
 
@@ -128,14 +130,14 @@ def _blank(spans: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([one(c, t) for c, t in zip(spans, texts)], dtype=object)
 
 
-def mask_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_copied_owners: int = 3, **columns) -> DataFrame:
+def mask_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_copied_owners: int = 3, min_spread: int = 10, **columns) -> DataFrame:
     """``docs`` with each secret replaced by ``[SECRET]`` but widely copied examples; all rows and columns stay.
 
     Overlapping spans are replaced together.  Null texts stay null.  Nulls, repeated rows and
     empty tables as in ``find_secrets``.
     """
     found = candidate_spans(docs, id_col=id_col, text_col=text_col, **columns)
-    cuts = judged_spans(found, min_copied_owners).where("NOT copied AND (kind < 3 OR specific)").join(found.select("row", "doc_id", "text_md5"), "row")
+    cuts = judged_spans(found, min_copied_owners, min_spread).where("NOT copied AND (kind < 3 OR specific)").join(found.select("row", "doc_id", "text_md5"), "row")
     cuts = cuts.groupBy(F.col("doc_id").alias("__cut_id"), F.col("text_md5").alias("__cut_md5")).agg(F.collect_set(F.struct("start", "end")).alias("__cuts"))
     blank = F.pandas_udf(_blank, "string")
     held = docs.join(cuts, docs[id_col].eqNullSafe(F.col("__cut_id")) & (F.md5(docs[text_col]) == F.col("__cut_md5")), "left")
