@@ -56,20 +56,41 @@ def merges(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return pairs.where(F.col("similarity") >= threshold).groupBy("new").agg(F.array_sort(F.collect_set("old")).alias("parts")).where("size(parts) >= 2")
 
 
-def identity_cascade(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old, outcome, targets of each old file: rename, else split, else merge, else breakage.
-
+def rename_scores(old: DataFrame, new: DataFrame, old_samples: DataFrame, new_samples: DataFrame) -> DataFrame:
+    """old, new, similarity of the pairs that reach the threshold of a rename: 0.8 by symbols, and 0.72 by
+    symbols or sampled content where either file has one symbol at most."""
+    count = lambda df, name: df.groupBy(F.col("file").alias(name)).agg(F.count("*").alias(f"n_{name}"))
+    both = similar_pairs(old, new, 0.0).join(similar_pairs(old_samples, new_samples, 0.0).withColumnRenamed("similarity", "sampled"), ["old", "new"], "full")
+    both = both.join(count(old, "old"), "old", "left").join(count(new, "new"), "new", "left")
+    poor = F.least(F.coalesce("n_old", F.lit(0)), F.coalesce("n_new", F.lit(0))) <= 1
+    score = F.when(poor, F.greatest("similarity", "sampled")).otherwise(F.col("similarity"))  # greatest skips nulls
+    return both.select("old", "new", score.alias("similarity"), F.when(poor, 0.72).otherwise(0.8).alias("least")).where("similarity >= least").select("old", "new", "similarity")
+
+
+def identity_cascade(old: DataFrame, new: DataFrame, old_samples: DataFrame | None = None, new_samples: DataFrame | None = None, git: DataFrame | None = None) -> DataFrame:
+    """old, outcome, targets of each old file: rename, else split, else merge, else git_rename, else breakage.
+
+    Sets are (file, element): symbols, and shingles of sampled content.  A row with a null element
+    names a file that has none.  ``git`` has git's renames (old, new); the new file must be there.
     A file that an earlier step explains is out of the later ones.
     """
+    old_samples, new_samples = old.limit(0) if old_samples is None else old_samples, new.limit(0) if new_samples is None else new_samples
+    files = lambda x, y: x.select("file").unionByName(y.select("file")).distinct()
+    old_files, new_files = files(old, old_samples), files(new, new_samples)
+    old, new, old_samples, new_samples = (x.where("element IS NOT NULL") for x in (old, new, old_samples, new_samples))
     pairs = similar_pairs(old, new, 0.4)
-    r = renames(pairs).select("old", F.lit("rename").alias("outcome"), F.array("new").alias("targets"))
+    r = renames(rename_scores(old, new, old_samples, new_samples), 0.0).select("old", F.lit("rename").alias("outcome"), F.array("new").alias("targets"))
     left = pairs.join(r.select("old"), "old", "left_anti")
     s = splits(left).select("old", F.lit("split").alias("outcome"), F.col("parts").alias("targets"))
     left = left.join(s.select("old"), "old", "left_anti")
     m = merges(left).select(F.explode("parts").alias("old"), "new").groupBy("old").agg(F.min("new").alias("new")).select("old", F.lit("merge").alias("outcome"), F.array("new").alias("targets"))
     known = r.unionByName(s).unionByName(m)
-    rest = old.select(F.col("file").alias("old")).distinct().join(known.select("old"), "old", "left_anti").select("old", F.lit("breakage").alias("outcome"), F.array().cast(r.schema["targets"].dataType).alias("targets"))
-    return known.unionByName(rest)
+    rest = old_files.select(F.col("file").alias("old")).join(known.select("old"), "old", "left_anti")
+    if git is not None:
+        g = git.join(new_files.select(F.col("file").alias("new")), "new", "left_semi").groupBy("old").agg(F.min("new").alias("new"))
+        g = rest.join(g, "old").select("old", F.lit("git_rename").alias("outcome"), F.array("new").alias("targets"))
+        known, rest = known.unionByName(g), rest.join(g.select("old"), "old", "left_anti")
+    return known.unionByName(rest.select("old", F.lit("breakage").alias("outcome"), F.array().cast(r.schema["targets"].dataType).alias("targets")))
 
 
 def high_drift(scores: DataFrame, at_least: float = 0.7) -> DataFrame:

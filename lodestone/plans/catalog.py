@@ -261,6 +261,12 @@ def sampled_shingles(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", F.size(sets.sampled_shingles(F.col("text"))).cast("long").alias("n_shingles"))
 
 
+@_query(None)
+def sampled_shingle_dups(v: Views) -> DataFrame:
+    s = v.table("documents").select(F.col("doc_id").alias("file"), F.explode(sets.sampled_shingles(F.col("text"))).alias("element"))
+    return similarity.similar_pairs(s, s, 0.72).where("old < new").withColumn("similarity", F.round("similarity", 6))
+
+
 # search
 
 @_query(sql_with("lines", "SELECT root_id, path, line_number::INT AS line_number, line, strpos(line, 'password')::INT AS \"column\" FROM lines WHERE contains(line, 'password')"))

@@ -87,6 +87,24 @@ def test_quoted_passages_are_contained(spark):
     assert sorted(map(tuple, got.collect())) == sorted((i, d) for i, x in enumerate(items) for d, y in enumerate(texts) if x and y and x in y)
 
 
+def test_cascade_by_sampled_content_and_git(spark):
+    sets_of = lambda rows: spark.createDataFrame(rows, "file string, element int")
+    old, new = sets_of([("one", 1), ("git", 5), ("git", 6)]), sets_of([("one2", 2)])
+    samples = [("none", i) for i in range(20)] + [("one", i) for i in range(50, 70)] + [("gone", None)], [("none2", i) for i in range(1, 20)] + [("one2", i) for i in range(52, 70)] + [("git2", None)]
+    git = spark.createDataFrame([("git", "git2"), ("gone", "nowhere"), ("one", "git2")], "old string, new string")
+    got = {r["old"]: (r["outcome"], r["targets"]) for r in similarity.identity_cascade(old, new, sets_of(samples[0]), sets_of(samples[1]), git).collect()}
+    assert got == {"none": ("rename", ["none2"]), "one": ("rename", ["one2"]), "git": ("git_rename", ["git2"]), "gone": ("breakage", [])}
+
+
+def test_sampled_duplicates(spark, tmp_path):
+    from lodestone.plans import catalog
+
+    text = "".join(f"{i:05}" for i in range(600))
+    rows = [(1, text), (2, text[:-40] + "x" * 40), (3, "y" * 3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r["old"], r["new"]) for r in catalog.QUERIES["sampled_shingle_dups"](spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
 def test_lcs():
     assert list(similarity.lcs_ratio(pd.Series(["abcd", "abc", ""]), pd.Series(["abxd", "xyz", "a"]))) == [0.75, 0.0, 0.0]
 
