@@ -1,4 +1,8 @@
-"""Words of Arrow batches as numbers: hashes of words and of runs of words, without a Python object a word."""
+"""Words of Arrow batches as numbers: hashes of words and of runs of words, without a Python object a word.
+
+Hashes are polynomials modulo the prime 2^61 - 1 at points drawn once for each seed, so two unlike words of n
+bytes, or runs of n words, share one with chance n / 2^61 at most, whatever the texts are.
+"""
 
 from __future__ import annotations
 
@@ -9,14 +13,18 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-PIECE = 1 << 20  # bytes hashed at a time
+PRIME = U64((1 << 61) - 1)
+#: Bytes of a word taken at a time: less than the prime whatever they hold.
+STEP = 7
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BLANK = bytes.maketrans(bytes(range(0x09, 0x0E)), b" " * 5)
 
 
-def _constants(seed: int, n: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * U64(2) + U64(1)
+@lru_cache(16)
+def _points(seed: int, n: int) -> tuple[np.uint64, ...]:
+    return tuple(U64(x) for x in np.random.default_rng([seed, 0x10DE]).integers(1 << 40, (1 << 61) - 2, n, dtype=np.uint64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -26,12 +34,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-@lru_cache(4)
-def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = int(_constants(seed, 1)[0])
-    up = np.cumprod(np.concatenate([np.ones(1, U64), np.full(n, base, U64)]), dtype=U64)
-    down = np.cumprod(np.concatenate([np.ones(1, U64), np.full(n, pow(base, -1, 1 << 64), U64)]), dtype=U64)
-    return up, down, mix(_constants(seed + 1, 256))
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> U64(61))
+    return np.minimum(x, x - PRIME)  # below the prime the difference wraps round
+
+
+def _step(a: np.ndarray, b: np.uint64, c: np.ndarray) -> np.ndarray:
+    """a * b + c modulo the prime, of numbers below it, by halves of 31 bits and in pieces that stay in the cache."""
+    out = np.empty(len(a), U64)
+    b1, b0, low = b >> U64(31), b & U64((1 << 31) - 1), U64((1 << 31) - 1)
+    for i in range(0, len(a), 1 << 14):
+        x = a[i : i + (1 << 14)]
+        x1, x0 = x >> U64(31), x & low
+        middle = x0 * b1 + x1 * b0
+        x1 *= b1 << U64(1)
+        x1 += middle >> U64(30)
+        middle &= U64((1 << 30) - 1)
+        middle <<= U64(31)
+        x0 *= b0
+        x1 += middle
+        x1 = (x1 & PRIME) + (x1 >> U64(61))
+        out[i : i + len(x)] = _reduced(x1 + x0 + c[i : i + len(x)])
+    return out
 
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,39 +79,57 @@ def parts(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa
             i = j
 
 
+class Words:
+    """The words `[^\\x20\\x09-\\x0D]+` of all texts: where each begins and ends among the bytes, and the index of each text's first word, with the end."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        self.data, at = _bytes_of(texts)
+        space = _SPACE[self.data]
+        edge = np.zeros(len(self.data) + 1, bool)
+        edge[at] = True
+        begin, end = ~space, ~space
+        begin[1:] &= space[:-1] | edge[1:-1]
+        end[:-1] &= space[1:] | edge[1:-1]
+        self.begin, self.end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        self.first = np.searchsorted(self.begin, at)
+
+    def hashes(self, seed: int = 11) -> np.ndarray:
+        """The hash of each word: its bytes, STEP at a time, and its length are the coefficients."""
+        (point,) = _points(seed, 1)
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
+        masks = np.array([(1 << 8 * k) - 1 for k in range(STEP + 1)], U64)
+        length = self.end - self.begin
+        out, at, left, live = length.astype(U64), self.begin, length, None
+        while len(at):
+            piece = eight[at] & masks[np.minimum(left, STEP)]
+            if live is None:
+                out = _step(out, point, piece)
+            else:
+                out[live] = _step(out[live], point, piece)
+            more = np.flatnonzero(left > STEP)
+            live = more if live is None else live[more]
+            at, left = at[more] + STEP, left[more] - STEP
+        return out
+
+    def windows(self, starts: np.ndarray, size: int) -> Iterator[bytes]:
+        """For each of ``starts`` the bytes of ``size`` words from there, one space between two."""
+        text, upto = self.data.tobytes().translate(_BLANK), np.concatenate([[0], np.cumsum(self.end - self.begin)])
+        a, b = self.begin[starts], self.end[starts + size - 1]
+        plain = b - a == upto[starts + size] - upto[starts] + size - 1
+        for i, j, whole in zip(a.tolist(), b.tolist(), plain.tolist()):
+            yield text[i:j] if whole else b" ".join(text[i:j].split())
+
+
 def hash_words(texts: pa.Array, seeds: tuple[int, ...] = (11,)) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each seed the hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts, and the index of each text's first word, with the end.
-
-    A word's hash is a polynomial of its bytes, from running sums over pieces of bounded size,
-    mixed with its length.
-    """
-    data, at = _bytes_of(texts)
-    if not len(data):
-        return [np.zeros(0, U64) for _ in seeds], np.zeros(len(at), np.int64)
-    space = _SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[at] = True
-    begin, end = ~space, ~space
-    begin[1:] &= space[:-1] | edge[1:-1]
-    end[:-1] &= space[1:] | edge[1:-1]
-    s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    out = [np.empty(len(s), U64) for _ in seeds]
-    i = 0
-    while i < len(s):
-        j = max(i + 1, int(np.searchsorted(s, s[i] + PIECE)))
-        lo, hi = int(s[i]), int(e[j - 1])
-        for seed, h in zip(seeds, out):
-            up, down, code = _powers(seed, 1 << max(PIECE.bit_length(), (hi - lo).bit_length()))
-            sums = np.zeros(hi - lo + 1, U64)
-            np.cumsum(code[data[lo:hi]] * up[: hi - lo], out=sums[1:])
-            h[i:j] = mix((sums[e[i:j] - lo] - sums[s[i:j] - lo]) * down[s[i:j] - lo] + (e[i:j] - s[i:j]).astype(U64))
-        i = j
-    return out, np.searchsorted(s, at)
+    """For each seed the hashes of all words, and the index of each text's first word, with the end."""
+    w = Words(texts)
+    return [w.hashes(s) for s in seeds], w.first
 
 
 def runs(h: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
-    """Hashes of each k consecutive words, by doubling; across texts too, which ``inside`` tells."""
-    factor = _constants(seed, 64)
+    """Hashes of each k consecutive words, by doubling, with a point for each step; across texts too, which ``inside`` tells."""
+    points = _points(seed, 64)
     out, width, block, w, step = None, 0, h, 1, 0
     while True:
         if k & 1:
@@ -95,12 +137,12 @@ def runs(h: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
                 out, width = block, w
             else:
                 n = max(len(h) - width - w + 1, 0)
-                out, width = out[:n] * factor[2 * step + 1] + block[width : width + n], width + w
+                out, width = _step(out[:n], points[2 * step + 1], block[width : width + n]), width + w
         k >>= 1
         if not k:
             return mix(out)
         n = max(len(h) - 2 * w + 1, 0)
-        block = block[:n] * factor[2 * step] + block[w : w + n]
+        block = _step(block[:n], points[2 * step], block[w : w + n])
         w, step = 2 * w, step + 1
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from .common import drop, durable, read, text_of
-from .numbers import U64, hash_words, inside, mix, parts, runs
+from .numbers import U64, Words, hash_words, inside, mix, parts, runs
 
 #: A window is known in the sketch by its least run of ANCHOR words.
 ANCHOR = 8
@@ -21,7 +23,8 @@ DEPTH, BLOCK = 2, 1 << 16
 #: Bounds of the sketch's cells in all; a cell is a bit when it is broadcast, so 128 MB at most.
 LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 30
 
-_PLACE = U64((1 << 26) - 1)
+_PLACE_BITS = 26
+_PLACE = U64((1 << _PLACE_BITS) - 1)
 
 
 def anchors(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,14 +38,17 @@ def anchors(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np
     r = runs(h, short)
     if not len(starts):
         return starts, starts, r
-    packed = (r & ~_PLACE) | np.arange(len(r), dtype=U64)
-    width, span = 1, size - short + 1
-    low = packed
-    while width * 2 <= span:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    low = np.minimum(low[starts], low[starts + span - width])
-    return starts, (low & _PLACE).astype(np.int64), r
+    span, places, piece = size - short + 1, [], 1 << (_PLACE_BITS - 1)
+    for lo in range(0, len(r) - span + 1, piece):  # a text may have more words than a place has bits
+        part = r[lo : lo + piece + span - 1]
+        low = (part & ~_PLACE) | np.arange(len(part), dtype=U64)
+        width = 1
+        while width * 2 <= span:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        here = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, lo + piece)] - lo
+        places.append((np.minimum(low[here], low[here + span - width]) & _PLACE).astype(np.int64) + lo)
+    return starts, np.concatenate(places), r
 
 
 def _cells(run: np.ndarray, per_row: int) -> list[np.ndarray]:
@@ -112,28 +118,32 @@ def _firsts(h: np.ndarray, g: np.ndarray, row: np.ndarray, rank: np.ndarray) ->
     return out
 
 
-def _repeated(size: int, per_row: int, bits):
-    """The windows whose anchors the sketch counts twice or more.
+_DIGEST = np.dtype([("h", "<i8"), ("g", "<i4")])
 
-    Those preceded within the batch are known to go and need no hash; the others have 96 bits.
+
+def _repeated(size: int, per_row: int, bits, salt: bytes):
+    """The windows whose anchors the sketch counts twice or more, each by a salted BLAKE2b digest of its words, 96 bits.
+
+    Those preceded within the batch are known to go and leave without it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = bits.value
         for b in parts(batches):
-            (h, g), first = hash_words(b.column("text"), (11, 23))
-            starts, place, r = anchors(h, first, size)
+            words = Words(b.column("text"))
+            first = words.first
+            starts, place, r = anchors(words.hashes(), first, size)
             if not len(starts):
                 continue
             ok = np.ones(len(starts), bool)
             for k, c in enumerate(_cells(r[place], per_row)):
                 ok &= (flags[k][c >> U64(3)] >> (U64(7) - (c & U64(7))).astype(np.uint8)) & 1 == 1
             starts = starts[ok]
-            one, two = runs(h, size)[starts].view(np.int64), (runs(g, size, 9)[starts] >> U64(32)).astype(np.uint32).view(np.int32)
+            known = np.frombuffer(b"".join([blake2b(w, digest_size=12, salt=salt).digest() for w in words.windows(starts, size)]), _DIGEST)
             row = np.searchsorted(first, starts, side="right") - 1
             _, rank = np.unique(b.column("d").to_numpy(zero_copy_only=False), return_inverse=True)
-            kept = _firsts(one, two, row, rank[row])
-            one, two = np.where(kept, one, 0), np.where(kept, two, 0)
+            kept = _firsts(known["h"], known["g"], row, rank[row])
+            one, two = np.where(kept, known["h"], 0), np.where(kept, known["g"], 0)
             for i in range(0, len(starts), 100_000):
                 part = slice(i, i + 100_000)
                 at = pa.array(row[part])
@@ -179,9 +189,10 @@ def repeated_windows(keyed: DataFrame, size: int, *, cells: int | None = None) -
     """d, t, starts of the windows in ``keyed`` (d, t, text) that occur earlier; d orders documents, and t tells texts apart.
 
     The sketch has about eight cells for each anchor, within its bounds.  A full sketch lets
-    more windows through to the second pass and loses none.  The second pass groups hashes of
-    whole windows: the least document of each is found by partial sums, and the others by a
-    join that Spark can split when one window is very frequent.
+    more windows through to the second pass and loses none.  The second pass groups whole
+    windows, each known by 96 bits of a BLAKE2b digest of its words under a salt drawn for the run, so that
+    two unlike ones of 10^13 windows meet with chance 1e-3 at most and no text can be made to: the least document of each is
+    found by partial sums, and the others by a join that Spark can split when one window is very frequent.
     """
     spark = keyed.sparkSession
     if cells is None:
@@ -189,7 +200,7 @@ def repeated_windows(keyed: DataFrame, size: int, *, cells: int | None = None) -
         cells = 1 << max(LEAST_CELLS.bit_length() - 1, min(MOST_CELLS.bit_length() - 1, int(8 * size_b / 6 * 2 / (size - min(ANCHOR, size) + 2)).bit_length()))
     bits = spark.sparkContext.broadcast(count_sketch(keyed.select("text"), size, cells))
     kind = keyed.schema["d"].dataType.simpleString()
-    found = durable(keyed.mapInArrow(_repeated(size, max(cells // DEPTH, BLOCK), bits), f"h long, g int, d {kind}, t long, start int, gone boolean"), "substring-windows")
+    found = durable(keyed.mapInArrow(_repeated(size, max(cells // DEPTH, BLOCK), bits, os.urandom(16)), f"h long, g int, d {kind}, t long, start int, gone boolean"), "substring-windows")
     bits.unpersist()
     here = found.where("NOT gone").select("h", "g", "d", "t", "start")
     first = durable(here.groupBy("h", "g").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("h", "g", "first"), "substring-firsts")
