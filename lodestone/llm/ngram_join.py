@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, read, text_of
@@ -21,7 +22,7 @@ BANDS, ROWS = 40, 5
 #: MinHash values compared before the posterior is looked at again.
 STEP = 20
 #: A tile compares blocks of at most this many sets and about this many shingles each.
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 4_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
 
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -62,9 +63,9 @@ def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
             sets = shingle_sets(b.column("text"), n)
-            node = [int(mix(np.array([mix(s).sum(dtype=U64)], U64) + U64(len(s)))[0].astype(np.int64)) if len(s) else None for s in sets]
+            known = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             bands = [_bands(signature(s)).astype(np.int64) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(known, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc", "set", "size", "bands"])
 
     return run
 
@@ -87,6 +88,25 @@ def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
     return tuple(out)
 
 
+def exact_shingles(texts: list[str], n: int) -> list[np.ndarray]:
+    """The shingles of each text as sorted distinct numbers that are equal if and only if the shingles are, word for word."""
+    words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+    code = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) if any(words) else np.zeros(0, np.int64)
+    first = np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(np.int64)
+    ids, vocabulary = code, int(code.max(initial=0)) + 1
+    for k in range(1, n):  # runs of k + 1 words: a run of k words and the next one, numbered anew
+        pairs = ids[: max(len(code) - k, 0)] * vocabulary + code[k:]
+        ids = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
+    short: dict[tuple[bytes, ...], int] = {}
+    out = []
+    for ws, a, b in zip(words, first[:-1], first[1:]):
+        if len(ws) >= n:
+            out.append(np.unique(ids[a : b - n + 1]))
+        else:
+            out.append(np.array([-1 - short.setdefault(tuple(ws), len(short))], np.int64) if ws else np.zeros(0, np.int64))
+    return out
+
+
 def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The sizes of the intersections of the pairs, by products of incidence rows if there are many."""
     if len(i) < 2 * len(sets):
@@ -106,17 +126,15 @@ def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
     return product[i, j].astype(np.int64)
 
 
-def linked_pairs(sets: list[np.ndarray], side: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the sets whose Jaccard similarity is ``threshold`` at least: all pairs of a block's own tile (side -1), else only pairs across, of which a tile with an empty block has none."""
-    own = side[0] < 0
-    if not own and (side == side[0]).all():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sig = np.stack([signature(s) for s in sets])
-    if not own:
+def likely_pairs(sig: np.ndarray, size: np.ndarray, side: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that may be of ``threshold`` similarity: all pairs of a block's own tile (side -1), else only pairs across, of which a tile with an empty block has none.
+
+    MinHash values are compared STEP at a time, and pairs whose posterior probability falls under ``tolerance`` go.
+    """
+    if side[0] >= 0:
         i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1), indexing="ij"))
     else:
-        i, j = np.triu_indices(len(sets), 1)
-    size = np.array([len(s) for s in sets], np.int64)
+        i, j = np.triu_indices(len(size), 1)
     near = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
     i, j = i[near], j[near]
     matches = np.zeros(len(i), np.int32)
@@ -127,57 +145,133 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray, threshold: float, tol
             matches[part] += (sig[i[part], at] == sig[j[part], at]).sum(axis=1, dtype=np.int32)
         keep = matches >= least
         i, j, matches = i[keep], j[keep], matches[keep]
+    return i, j
+
+
+def linked_pairs(texts: list[str], side: np.ndarray, n: int, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the texts whose Jaccard similarity is ``threshold`` at least, among those that ``likely_pairs`` leaves; these are held against each other word for word."""
+    if side[0] >= 0 and (side == side[0]).all():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sig, size = [], []
+    for lo in range(0, len(texts), 64):
+        for s in shingle_sets(pa.array(texts[lo : lo + 64], pa.large_string()), n):
+            sig.append(signature(s))
+            size.append(len(s))
+    i, j = likely_pairs(np.stack(sig), np.array(size, np.int64), side, threshold, tolerance)
     if not len(i):
         return i, j
-    both = _overlaps(sets, i, j)
-    sure = both >= threshold * (size[i] + size[j] - both) - 1e-9
+    some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    sets = exact_shingles([texts[k] for k in some], n)
+    both = _overlaps(sets, at[: len(i)], at[len(i) :])
+    real = np.array([len(s) for s in sets], np.int64)
+    sure = both >= threshold * (real[at[: len(i)]] + real[at[len(i) :]] - both) - 1e-9
     return i[sure], j[sure]
 
 
-def _tile(rows: list[tuple], threshold: float, tolerance: float) -> list[tuple[int, int, int]]:
-    """(node, least node linked within the tile, links) of the sets that have any; rows of (node, copies, side, shingles)."""
-    node, copies, side = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
-    i, j = linked_pairs([r[3] for r in rows], side, threshold, tolerance)
-    links = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
-    root = np.arange(len(rows))
-    while True:  # the least row reaches all rows linked to it
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least of the indices that pairs connect to each."""
+    root = np.arange(n)
+    while True:
         low = root.copy()
         np.minimum.at(low, i, root[j])
         np.minimum.at(low, j, root[i])
         low = low[low]
         if (low == root).all():
-            break
+            return root
         root = low
+
+
+def _tile(rows: list[tuple], n: int, threshold: float, tolerance: float) -> list[tuple[int, int, int]]:
+    """(node, least node linked within the tile, links) of the sets that have any; rows of (node, copies, side, text)."""
+    node, copies, side = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
+    i, j = linked_pairs([r[3] for r in rows], side, n, threshold, tolerance)
+    links = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
+    root = _roots(len(rows), i, j)
     return [(int(node[k]), int(node[root[k]]), int(links[k])) for k in np.flatnonzero(links)]
 
 
-def _tiles(threshold: float, tolerance: float):
+def _tiles(n: int, threshold: float, tolerance: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_, rows, out = None, [], []
         for b in batches:
-            for tile, node, copies, side, shingles in zip(b["tile"], b["node"], b["copies"], b["side"], b["shingles"]):
+            for tile, node, copies, side, text in zip(b["tile"], b["node"], b["copies"], b["side"], b["text"]):
                 if tile != open_:
-                    out += _tile(rows, threshold, tolerance) if len(rows) > 1 else []
+                    out += _tile(rows, n, threshold, tolerance) if len(rows) > 1 else []
                     open_, rows = tile, []
-                rows.append((node, copies, side, np.asarray(shingles, np.int64).view(U64)))
+                rows.append((node, copies, side, text))
             if len(out) > 10000:
                 yield pd.DataFrame(out, columns=["node", "other", "links"])
                 out = []
-        out += _tile(rows, threshold, tolerance) if len(rows) > 1 else []
+        out += _tile(rows, n, threshold, tolerance) if len(rows) > 1 else []
         yield pd.DataFrame(out, columns=["node", "other", "links"]).astype("int64")
 
     return run
 
 
-def _shingled(n: int):
+def _likely(threshold: float, tolerance: float):
+    """Within each part of a bucket, sorted by it: (u, v) from each set to the least one that likely pairs connect it to."""
+
+    def judged(rows: list[tuple]) -> list[tuple[int, int]]:
+        node, side, size = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64)
+        if side[0] >= 0 and (side == side[0]).all():
+            return []
+        root = _roots(len(rows), *likely_pairs(np.stack([np.asarray(r[3]) for r in rows]), size, side, threshold, tolerance))
+        return [(int(node[k]), int(node[root[k]])) for k in np.flatnonzero(root != np.arange(len(rows)))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_, rows = None, []
+        for b in batches:
+            out = []
+            for part, node, side, size, sig in zip(b["part"], b["node"], b["side"], b["size"], b["sig"]):
+                if part != open_:
+                    out += judged(rows) if len(rows) > 1 else []
+                    open_, rows = part, []
+                rows.append((node, side, size, sig))
+            yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+        yield pd.DataFrame(judged(rows) if len(rows) > 1 else [], columns=["u", "v"]).astype("int64")
+
+    return run
+
+
+def _signed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            sets = pa.array([s.view(np.int64) for s in shingle_sets(b.column("text"), n)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), b.column("tiles"), sets], names=["node", "copies", "tiles", "shingles"])
+            sig = pa.array([signature(s).view(np.int32) for s in shingle_sets(b.column("text"), n)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("size"), b.column("shared"), sig], names=["node", "size", "shared", "sig"])
 
     return run
 
 
+def refined(keyed: DataFrame, sets: DataFrame, band: DataFrame, comp: DataFrame, n: int, threshold: float, tolerance: float) -> DataFrame:
+    """``comp`` (node, root), where components too large for a tile are cut to what likely pairs connect.
+
+    Weak likeness chains buckets of the same band into components far larger than any class.  So in each bucket
+    of such a component MinHash values are compared pair by pair, and only pairs that may reach the threshold connect;
+    a bucket of more than BLOCK_SETS sets is compared block by block.  Signatures travel, not texts, and a part of a bucket returns
+    one edge a set.
+    """
+    sizes = sets.select("node", "size")
+    large = comp.join(sizes, "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("w")).where((F.col("n") > BLOCK_SETS) | (F.col("w") > BLOCK_SHINGLES)).select("root")
+    inside = durable(comp.join(large, "root").select("node", "root"), "jaccard-large")
+    if not inside.head(1):
+        return comp
+    own = band.join(inside.select("node"), "node", "left_semi")
+    full = own.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("blocks"))
+    shared = own.join(full, "band").groupBy("node").agg(F.collect_list(F.struct("band", "blocks")).alias("shared"))
+    texts = keyed.join(sets.join(shared, "node").select("doc", "node", "size", "shared").hint("merge"), "doc").dropDuplicates(["node"]).select("node", "size", "shared", "text")
+    signed = texts.mapInArrow(_signed(n), "node long, size int, shared array<struct<band:bigint,blocks:int>>, sig array<int>")
+    each = signed.select("node", "size", "sig", F.explode("shared").alias("s")).select("node", "size", "sig", "s.band", F.col("s.blocks").alias("blocks"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("s.blocks")).cast("int").alias("block"))
+    dealt = each.select("node", "size", "sig", F.explode(_dealt(F.col("blocks"), F.col("block"), lambda i, j: F.xxhash64("band", i, j))).alias("t")).select(F.col("t.tile").alias("part"), "node", F.col("t.side").alias("side"), "size", "sig")
+    edges = dealt.repartition("part").sortWithinPartitions("part").mapInPandas(_likely(threshold, tolerance), "u long, v long")
+    tight = components(durable(edges, "jaccard-likely"), "jaccard-refined")
+    return comp.join(inside.select("node"), "node", "left_anti").select("node", "root").unionByName(tight.select("node", "root"))
+
+
+def _dealt(blocks: Column, block: Column, tile) -> Column:
+    """The tiles of a set of one of ``blocks`` blocks: one with each other block, as side 0 or 1, and the block's own, as side -1."""
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(tile(F.least(block, j), F.greatest(block, j)).alias("tile"), F.when(block == j, -1).when(block > j, 1).otherwise(0).alias("side")))
+
+
 def tiled(sets: DataFrame, comp: DataFrame) -> DataFrame:
     """doc, node, copies, tiles: each set's candidates meet it in one of its tiles.
 
@@ -199,26 +293,26 @@ def tiled(sets: DataFrame, comp: DataFrame) -> DataFrame:
     tile = lambda a, b, i, j: F.xxhash64("root", a, b, i, j)
     k, up = F.col("cls"), F.col("cls") + 1
     upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    own = F.transform(upto(F.col("blocks")), lambda j: F.struct(tile(k, k, F.least("block", j), F.greatest("block", j)).alias("tile"), F.when(F.col("block") == j, -1).when(F.col("block") > j, 1).otherwise(0).alias("side")))
+    own = _dealt(F.col("blocks"), F.col("block"), lambda i, j: tile(k, k, i, j))
     higher = F.transform(upto(F.col("above")), lambda j: F.struct(tile(k, up, F.col("block"), j).alias("tile"), F.lit(0).alias("side")))
     lower = F.transform(upto(F.col("below")), lambda j: F.struct(tile(k - 1, k, j, F.col("block")).alias("tile"), F.lit(1).alias("side")))
     return c.select("doc", "node", "copies", F.concat(own, higher, lower).alias("tiles"))
 
 
-def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with doc, which tells rows apart that share an id but not a text, and takes null ids."""
-    return docs.withColumn("doc", F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash")))
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart that share an id but not a text, and takes null ids."""
+    return F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"))
 
 
 def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, first, class_id, n_links of each row: its class is what links of ``threshold`` or more connect.
 
     first is the least doc of the class, class_id its least doc_id, n_links the number of other
-    rows of that similarity.  Rows of one shingle set are a node, by the 64-bit hash of the set, and are not
-    compared.  Nodes that share a band of MinHash values are candidates; within what candidates
-    connect, pairs are compared tile by tile: MinHash values STEP at a time, dropping pairs
-    whose posterior probability of reaching ``threshold`` is under ``tolerance``, and exactly in
-    the end.  A tile gives its nodes' number of links and their least link, not the pairs.
+    rows of that similarity.  Rows of one shingle set are a node, by a 128-bit digest of the set, and are not
+    compared.  Nodes that share a band of MinHash values are candidates; what candidates
+    connect is compared tile by tile, after ``refined`` has cut what is too large for a tile: MinHash values STEP at a time, dropping pairs
+    whose posterior probability of reaching ``threshold`` is under ``tolerance``, and in
+    the end word for word.  A tile gives its nodes' number of links and their least link, not the pairs.
 
     Nulls: a null text is empty; a text without words has no links and is its own class; a
     text of fewer than ``n`` words is one shingle.  A null id doesn't name a class that has
@@ -227,23 +321,25 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tole
     """
     text = text_of(text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    keyed = with_key(docs.select(id_col, text_col), id_col, text_col).select("doc", text.alias("text"))
+    keyed = docs.select(row_key(id_col, text_col).alias("doc"), text.alias("text"))
     key = f"struct<doc_id:{kind},text_hash:bigint>"
-    seen = durable(keyed.mapInArrow(_sketch(n), f"doc {key}, node long, size int, bands array<long>"), "jaccard-sketches")
-    sets = durable(seen.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.min("doc.doc_id").alias("least"), F.first("size").alias("size"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "jaccard-sets")
+    seen = durable(keyed.mapInArrow(_sketch(n), f"doc {key}, set binary, size int, bands array<long>"), "jaccard-sketches")
+    grouped = seen.where("set IS NOT NULL").groupBy("set").agg(F.min("doc").alias("doc"), F.min("doc.doc_id").alias("least"), F.first("size").alias("size"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    sets = durable(grouped.select(F.monotonically_increasing_id().alias("node"), "*"), "jaccard-sets")
     band = sets.select("node", F.explode("bands").alias("band"))
     shared = band.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
     comp = components(band.join(shared, "band").select(F.col("node").alias("u"), F.col("low").alias("v")), "jaccard-candidates")
+    comp = refined(keyed, sets, band, comp, n, threshold, tolerance)
     placed = durable(tiled(sets, comp), "jaccard-tiles")
-    shingled = keyed.join(placed.hint("merge"), "doc").dropDuplicates(["node"]).select("node", "copies", "tiles", "text").mapInArrow(_shingled(n), "node long, copies long, tiles array<struct<tile:bigint,side:int>>, shingles array<long>")
-    dealt = shingled.select("node", "copies", "shingles", F.explode("tiles").alias("t")).select("t.tile", "node", "copies", "t.side", "shingles").repartition("tile").sortWithinPartitions("tile")
-    links = durable(dealt.mapInPandas(_tiles(threshold, tolerance), "node long, other long, links long"), "jaccard-links")
+    held = keyed.join(placed.hint("merge"), "doc").dropDuplicates(["node"]).select("node", "copies", "text", F.explode("tiles").alias("t"))
+    dealt = held.select("t.tile", "node", "copies", "t.side", "text").repartition("tile").sortWithinPartitions("tile")
+    links = durable(dealt.mapInPandas(_tiles(n, threshold, tolerance), "node long, other long, links long"), "jaccard-links")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("node").alias("u"), F.col("other").alias("v")), "jaccard-classes")
-    node = sets.select("node", "doc", "least", "copies").join(roots, "node", "left").join(counts, "node", "left").select("node", "doc", "least", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    node = sets.select("node", "set", "doc", "least", "copies").join(roots, "node", "left").join(counts, "node", "left").select("set", "doc", "least", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     least = node.groupBy("root").agg(F.min("least").alias("class_id"), F.min("doc").alias("first"))
-    node = node.drop("doc").join(least, "root").select("node", "first", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return seen.select("doc", "node").join(node, "node", "left").select("doc", F.coalesce("first", "doc").alias("first"), F.coalesce("class_id", "doc.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    node = node.drop("doc").join(least, "root").select("set", "first", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return seen.select("doc", "set").join(node, "set", "left").select("doc", F.coalesce("first", "doc").alias("first"), F.coalesce("class_id", "doc.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def jaccard_join(docs: DataFrame, **options) -> DataFrame:
@@ -252,9 +348,13 @@ def jaccard_join(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class, that of the least id; rows without words stay, but for repeated ones."""
-    first = jaccard_classes(docs, **options).where("doc = first").select("doc").distinct()
-    return with_key(docs).join(first, "doc", "left_semi").dropDuplicates(["doc"]).select(*docs.columns)
+    """One row of each class, that of the least id, with the columns of ``docs`` whatever their names.
+
+    Nulls: a null id comes first among those of a class; a null text is empty, and null and empty texts stay, but for
+    repeated rows.  Of rows with one id and text one stays.  An empty table gives no rows.
+    """
+    first = jaccard_classes(docs, **options).where("doc = first").select(F.col("doc").alias("__doc")).distinct()
+    return docs.select(row_key().alias("__doc"), *[F.col(c) for c in docs.columns]).join(first, "__doc", "left_semi").dropDuplicates(["__doc"]).drop("__doc")
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
