@@ -16,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RAREST = 3
 #: Test vocabularies of at most so many terms are broadcast to thin out words before they are counted.
 FEW_TERMS = 200_000
+#: Parts that the postings of a term are dealt into by document.
+PARTS = 16
 
 
 def plain_words(text: Column) -> Column:
@@ -48,11 +50,11 @@ def test_windows(items: DataFrame, size: int, id_col: str = "item_id", text_col:
     return windows, each.join(windows, "words").select("win", "item_id")
 
 
-def rarest_terms(words: DataFrame, windows: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """win, n, terms: the window's length and its rarest terms as (count, offset, term), rarest first.
+def rarest_terms(words: DataFrame, windows: DataFrame, rarest: int = RAREST) -> tuple[DataFrame, bool]:
+    """(win, n, terms), few: each window's length and its rarest terms as (count, offset, term), rarest first; and whether the test vocabulary has FEW_TERMS terms at most.
 
     Counts are over the whole corpus, summed before they are shuffled; a vocabulary of
-    FEW_TERMS or less thins out the words before.  A window with a term that the corpus lacks
+    few terms thins out the words before.  A window with a term that the corpus lacks
     can't occur and is left out.
     """
     asked = durable(windows.select(F.explode("words").alias("term")).distinct(), "windows-terms")
@@ -62,12 +64,28 @@ def rarest_terms(words: DataFrame, windows: DataFrame, rarest: int = RAREST) ->
     counts = counts if few else counts.join(asked, "term", "left_semi")
     terms = windows.select("win", F.size("words").alias("n"), F.posexplode("words").alias("at", "term")).groupBy("win", "n", "term").agg(F.min("at").alias("offset"))
     found = terms.join(counts, "term", "left").groupBy("win", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "offset", "term"))).alias("terms"))
-    return durable(found.where(F.col("terms")[0]["count"] > 0).select("win", "n", F.slice("terms", 1, rarest).alias("terms")), "windows-rarest")
+    return durable(found.where(F.col("terms")[0]["count"] > 0).select("win", "n", F.slice("terms", 1, rarest).alias("terms")), "windows-rarest"), few
 
 
-def postings(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: term, doc, pos of every occurrence of ``terms`` (term) in the corpus, as a table."""
-    return durable(words.select("doc", F.posexplode("words").alias("pos", "term")).join(terms.distinct(), "term").select("term", "doc", "pos"), "postings")
+def _part(doc: Column) -> Column:
+    """The part of a term's postings that those of a document are in."""
+    return F.pmod(F.xxhash64(doc, F.lit(17)), F.lit(PARTS))
+
+
+def _parts() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part")
+
+
+def postings(words: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
+    """The index: term, part, doc, pos of every occurrence of ``terms`` (term) in the corpus, as a table.
+
+    Few terms are broadcast, so no word is shuffled; else words meet them by term and part of
+    the documents, so that no task has all postings of a frequent term.
+    """
+    each = words.select("doc", _part(F.col("doc")).alias("part"), F.posexplode("words").alias("pos", "term"))
+    asked = terms.distinct()
+    met = each.join(F.broadcast(asked), "term", "left_semi") if few else each.join(asked.select("term", _parts()), ["term", "part"])
+    return durable(met.select("term", "part", "doc", "pos"), "postings")
 
 
 def candidates(index: DataFrame, rare: DataFrame, slop: int) -> DataFrame:
@@ -77,7 +95,7 @@ def candidates(index: DataFrame, rare: DataFrame, slop: int) -> DataFrame:
     positions, through buckets of positions, so that no occurrence of a term is paired with
     all of another; ``exact`` rows meet it, and the lists after it, at the very position.
     """
-    first = index.join(rare.select("win", "terms", F.col("terms")[0]["term"].alias("term")), "term").select("doc", "win", "terms", (F.col("pos") - F.col("terms")[0]["offset"]).alias("start")).where("start >= 0")
+    first = index.join(rare.select("win", "terms", F.col("terms")[0]["term"].alias("term"), _parts()), ["term", "part"]).select("doc", "win", "terms", (F.col("pos") - F.col("terms")[0]["offset"]).alias("start")).where("start >= 0")
     alone = first.where(F.size("terms") == 1).select("doc", "win", "start", F.lit(True).alias("exact"))
     wide = slop + 1
     aim = first.where(F.size("terms") > 1).select("*", (F.col("start") + F.col("terms")[1]["offset"]).alias("aim"), F.col("terms")[1]["term"].alias("term"))
@@ -121,8 +139,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 10, slop: in
     texts = keyed_texts(docs, id_col, text_col)
     words = keyed_words(texts)
     windows, of_items = test_windows(items, size, item_id_col, item_text_col)
-    rare = rarest_terms(words, windows)
-    index = postings(words, rare.select(F.explode("terms.term").alias("term")))
+    rare, few = rarest_terms(words, windows)
+    index = postings(words, rare.select(F.explode("terms.term").alias("term")), few)
     found = candidates(index, rare, slop)
     matched = durable(phrase_matches(texts, found, windows), "matches")
     named = matched.select("doc", F.explode(F.array_distinct("matches.win")).alias("win")).join(of_items, "win").groupBy("doc").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
@@ -137,15 +155,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 10, slop: in
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, size: int = 10) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and more) in which no window of ``items`` occurs, whole."""
+    """The rows of ``docs`` (doc_id, text and more) in which no window of ``items`` occurs, whole, with all columns whatever their names.
+
+    Nulls: a null text has no words and stays, as empty texts do; a null id is an id like others.  Items without words
+    have no windows.  Repeated rows stay or go alike, and rows that share an id are judged by their own text.  An empty
+    table gives no rows, and without items all rows stay.
+    """
     texts = keyed_texts(docs, "doc_id", "text")
     words = keyed_words(texts)
     windows, _ = test_windows(items, size)
-    rare = rarest_terms(words, windows)
-    found = candidates(postings(words, rare.select(F.explode("terms.term").alias("term"))), rare, 0)
-    hit = durable(phrase_matches(texts, found, windows).select(F.col("doc").alias("hit")), "contaminated")
+    rare, few = rarest_terms(words, windows)
+    found = candidates(postings(words, rare.select(F.explode("terms.term").alias("term")), few), rare, 0)
+    hit = durable(phrase_matches(texts, found, windows).select(F.col("doc").alias("__hit")), "contaminated")
     key = F.struct(F.col("doc_id"), F.xxhash64(text_of("text")).alias("text_hash"))
-    return docs.join(hit, key == F.col("hit"), "left_anti")
+    return docs.select(key.alias("__hit"), *[F.col(c) for c in docs.columns]).join(hit, "__hit", "left_anti").drop("__hit")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
