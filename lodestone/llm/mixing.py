@@ -78,7 +78,7 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repe
     plan = durable(source_targets(sized, weights, max_repeat).select("*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("whole")), "mixing-targets")
     cut = hash_thresholds(sized, plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
     plan = plan.join(cut.withColumnRenamed("source", "c_source"), plan["source"].eqNullSafe(F.col("c_source")))
-    return plan.select(F.col("source").alias("p_source"), "source_size", "target", "whole", "threshold")
+    return plan.select(F.col("source").alias("p_source"), "source_size", "target", "whole", F.when((F.col("target") > F.col("whole") * F.col("source_size")), F.col("threshold")).otherwise(0).alias("threshold"))
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -103,10 +103,16 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with copies, how often it takes them."""
-    plan = durable(mixing_plan(_sized(docs, "doc_id", "text", "source"), **options), "mixing-plan")
-    copies = (F.col("whole") + F.when(sample_key(F.col("doc_id")) < F.col("threshold"), 1).otherwise(0)).cast("long")
-    return docs.join(plan, docs["source"].eqNullSafe(plan["p_source"])).select(*[docs[c] for c in docs.columns], copies.alias("copies")).where("copies > 0")
+    """The rows of ``docs`` (doc_id, text, source and more) that the mix takes, with copies, how often it takes them.
+
+    All other columns stay as they are, whatever their names; one named copies is replaced.
+
+    Nulls, empty texts, repeated rows and empty tables as in ``mix_sources``.
+    """
+    plan = durable(mixing_plan(_sized(docs, "doc_id", "text", "source"), **options), "mixing-plan").select("whole", "threshold", "p_source").toDF("__whole", "__threshold", "__source")
+    copies = (F.col("__whole") + F.when(sample_key(F.col("doc_id")) < F.col("__threshold"), 1).otherwise(0)).cast("long")
+    held = docs.join(plan, docs["source"].eqNullSafe(plan["__source"])).withColumn("__copies", copies).where("__copies > 0")
+    return held.select(*[F.col(c) for c in docs.columns if c != "copies"], F.col("__copies").alias("copies"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
@@ -130,7 +136,7 @@ q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGI
 k AS (SELECT source, key, sum(size)::BIGINT AS n FROM sized GROUP BY source, key),
 r AS (SELECT k.source, k.key, k.n, sum(k.n) OVER (PARTITION BY k.source ORDER BY k.key) - k.n AS before, q.target - q.whole * q.source_size AS budget
       FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source),
-m AS (SELECT source, key FROM r WHERE before + n <= budget OR (before < budget AND (budget - before) * 2 >= n)),
+m AS (SELECT source, key FROM r WHERE budget > 0 AND (before + n <= budget OR (before < budget AND (budget - before) * 2 >= n))),
 x AS (SELECT source, max(key) AS last FROM m GROUP BY source)
 SELECT d.doc_id, d.source, d.size, q.source_size, q.target, (q.whole + CASE WHEN d.key <= x.last THEN 1 ELSE 0 END)::BIGINT AS copies,
        ((q.whole + CASE WHEN d.key <= x.last THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
