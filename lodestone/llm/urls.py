@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, read
@@ -44,13 +44,33 @@ def segments(path: Column) -> Column:
     return F.transform(parts, form)
 
 
+def _apart(n1: Column, g1: Column, n2: Column, g2: Column, z: float) -> Column:
+    """Whether the shares g1 / n1 and g2 / n2 differ by more than ``z`` standard errors of their common share."""
+    n1, n2 = F.greatest(n1, F.lit(1)), F.greatest(n2, F.lit(1))
+    p = (g1 + g2) / (n1 + n2)
+    return F.abs(g1 / n1 - g2 / n2) > F.sqrt(p * (1 - p) * (1 / n1 + 1 / n2)) * z
+
+
+def merged_branches(told: DataFrame, z: float) -> DataFrame:
+    """host, template, child, branch: the name of what each of the ``told`` children of a node (host, template, child, labelled, good) is merged into.
+
+    By their share of good labels, each is tested against the next one, and those that can't be told apart merge,
+    under the least of them; one alone keeps its name.
+    """
+    by = Window.partitionBy("host", "template").orderBy(F.col("good") / F.col("labelled"), "child")
+    differs = _apart(F.col("labelled"), F.col("good"), F.lag("labelled").over(by), F.lag("good").over(by), z)
+    cut = told.select("*", F.coalesce(differs, F.lit(True)).cast("int").alias("cut")).select("*", F.sum("cut").over(by).alias("group"))
+    group = Window.partitionBy("host", "template", "group")
+    return cut.select("host", "template", "child", F.when(F.count("*").over(group) > 1, F.concat(F.lit("~"), F.min("child").over(group))).otherwise(F.col("child")).alias("branch"))
+
+
 def path_templates(paths: DataFrame, *, min_support: int = 5, max_children: int = 16, z: float = 1.96) -> DataFrame:
     """host, segs, template of the distinct ``paths`` (host, segs, n, labelled, good).
 
     Goes down the trees of all hosts to the last segment.  At a node, a child that varies by form
-    stays.  One whose share of good labels can be told from that of its siblings stands alone,
-    however many they are.  Of the others, one of under ``min_support`` pages beside many becomes
-    ``*``, and the rest merge into ``+``.  Each round sums by node and child, so a hot host arrives
+    stays.  Those whose share of good labels can be told from that of their siblings, however
+    many they are, stand apart, where ``merged_branches`` joins those that are alike.  Of the others, one of under ``min_support`` pages beside many becomes
+    ``*``, and the rest, which no label tells from the whole, merge into ``+``.  Each round sums by node and child, so a hot host arrives
     as its distinct children; what all paths of a node share is gone down in one round, so there are as
     many rounds as a path has branchings.
     """
@@ -59,20 +79,19 @@ def path_templates(paths: DataFrame, *, min_support: int = 5, max_children: int
     done = [rows.where(ended)]
     while (still := rows.where(~ended)).head(1):
         inner = still.withColumn("rest", F.slice("segs", F.size("template") + 1, F.size("segs") - F.size("template"))).withColumn("child", F.col("rest")[0])
-        kids = inner.groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "good")], F.min("rest").alias("low"), F.max("rest").alias("high"))
-        node = kids.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_l"), F.sum("good").alias("all_g"))
+        kids = durable(inner.groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "good")], F.min("rest").alias("low"), F.max("rest").alias("high")), "url-children")
+        node = kids.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("labelled").alias("all_l"), F.sum("good").alias("all_g"))
         rest_l, rest_g = F.col("all_l") - F.col("labelled"), F.col("all_g") - F.col("good")
-        p = F.col("all_g") / F.greatest("all_l", F.lit(1))
-        spread = F.sqrt(p * (1 - p) * (1 / F.greatest("labelled", F.lit(1)) + 1 / F.greatest(rest_l, F.lit(1))))
-        apart = F.abs(F.col("good") / F.greatest("labelled", F.lit(1)) - rest_g / F.greatest(rest_l, F.lit(1)))
-        told = (F.col("labelled") > 0) & (rest_l > 0) & (apart > spread * z)
+        kids = kids.join(node, ["host", "template"])
+        told = kids.where((F.col("labelled") > 0) & (rest_l > 0) & _apart(F.col("labelled"), F.col("good"), rest_l, rest_g, z) & ~F.col("child").startswith("{"))
+        kids = kids.join(merged_branches(told.select("host", "template", "child", "labelled", "good"), z), ["host", "template", "child"], "left")
         rare = (F.col("kids") > max_children) & (F.col("n") < min_support)
-        name = F.when(F.col("child").startswith("{") | told, F.col("child")).when(rare, "*").otherwise("+")
+        name = F.coalesce(F.when(F.col("child").startswith("{"), F.col("child")), F.col("branch"), F.when(rare, "*").otherwise("+"))
         # the least and the greatest of an only child's paths share what all of them share
         differs = F.array_position(F.zip_with("low", "high", lambda x, y: ~x.eqNullSafe(y)), True).cast("int")
         shared = F.slice("low", F.lit(1), F.when(differs > 0, differs - 1).otherwise(F.size("low")))
         steps = F.when(F.col("kids") == 1, F.transform(shared, lambda s: F.when(s.startswith("{") | (F.col("n") >= min_support), s).otherwise("+"))).otherwise(F.array(name))
-        names = kids.join(node, ["host", "template"]).select("host", "template", "child", steps.alias("steps"))
+        names = kids.select("host", "template", "child", steps.alias("steps"))
         rows = durable(inner.join(names, ["host", "template", "child"]).withColumn("template", F.concat("template", "steps")).select(rows.columns), "url-templates")
         done.append(rows.where(ended))
     return reduce(DataFrame.unionByName, done).select("host", "segs", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "labelled", "good")
