@@ -119,13 +119,14 @@ def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(text=[fold(t).strip() for t in b["text"]])
 
 
-def learn_lexicon(rows: DataFrame, *, max_rows: int = 6000, max_entries: int = 2000, min_contexts: int = 8, min_ratio: float = 10.0, prefix_lengths: tuple[int, ...] = (4, 5, 6)) -> Lexicon:
+def learn_lexicon(rows: DataFrame, *, max_rows: int = 6000, min_contexts: int = 8, min_ratio: float = 10.0, prefix_lengths: tuple[int, ...] = (4, 5, 6)) -> Lexicon:
     """A lexicon from labelled rows (text, toxic, size of its class as class_n).
 
     ``max_rows`` bounds each class; those of smallest hash are taken by the caller.  A word's
     evidence is the number of different neighbourhoods in which it stands in rows of either
     class, so that copies of one text count once.  A prefix stands for its words if several of
-    them point the same way.
+    them point the same way.  All entries and phrases with the asked evidence are taken; the sample bounds
+    their number, as each needs ``min_contexts`` neighbourhoods or three places in it.
     """
     given = durable(rows.dropDuplicates(["text", "toxic"]).mapInPandas(_folded, "text string, toxic int, class_n long"), "toxic-sample")
     w = F.split("text", " ")
@@ -140,7 +141,7 @@ def learn_lexicon(rows: DataFrame, *, max_rows: int = 6000, max_entries: int = 2
     strong = (F.col("t") >= min_contexts) & (ratio >= math.log(min_ratio))
     stems = counts.select("*", F.explode(F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in prefix_lengths])).alias("stem")).where("stem IS NOT NULL")
     stems = stems.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count_if((F.col("t") >= 3) & (F.col("t") * all_c > min_ratio * (F.col("c") + 0.5) * all_t)).alias("words"))
-    pick = lambda df, name: [(r[name], r["w"]) for r in df.where(strong).select(name, ratio.alias("w"), "t").orderBy(F.desc(F.col("t") * F.col("w")), name).limit(max_entries).collect()]
+    pick = lambda df, name: [(r[name], r["w"]) for r in df.where(strong).select(name, ratio.alias("w"), "t").collect()]
     weights: dict[str, float] = {}
     for stem, x in sorted(pick(stems.where("words >= 3"), "stem"), key=lambda s: (len(s[0]), s[0])):
         if not any(" " + stem[:n] in weights for n in prefix_lengths):
@@ -164,7 +165,7 @@ def learn_lexicon(rows: DataFrame, *, max_rows: int = 6000, max_entries: int = 2
             yield pd.DataFrame(out, columns=["phrase", "toxic"]).astype({"toxic": "int32"})
 
     seen = given.mapInPandas(phrases, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    lexicon.phrases += tuple(r[0] for r in seen.where("t = 0 AND n >= 3").select("phrase").orderBy("phrase").limit(max_entries).collect())
+    lexicon.phrases += tuple(r[0] for r in seen.where("t = 0 AND n >= 3").select("phrase").orderBy("phrase").collect())
 
     def measure(batches):
         a = lexicon.automaton()
