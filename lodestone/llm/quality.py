@@ -1,23 +1,37 @@
-"""Quality classifier by co-training of a text view and a metadata view."""
+"""Quality classifier by co-training of a text-content view and a metadata view."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, read, text_of
+from .numbers import U64, hash_words, mix
 from .rules import FEATURES, text_statistics
 
 #: Metadata fields whose values each have a weight, and the most values of a field that are kept, the commonest of those trained on.
 VALUES = {"source": 20000, "lang": 200}
+#: Buckets that the words of a text are hashed into, and the scale of their shares.
+BUCKETS, SCALE = 256, 256.0
+
+
+def content_of(texts: pa.Array) -> pa.Array:
+    """BUCKETS bytes a text: the square root of the share of its words in each bucket, 255 at most."""
+    (h,), first = hash_words(texts)
+    row = np.repeat(np.arange(len(texts)), np.diff(first))
+    counts = np.zeros((len(texts), BUCKETS))
+    np.add.at(counts, (row, (mix(h) % U64(BUCKETS)).astype(np.int64)), 1)
+    shares = np.sqrt(counts / np.maximum(np.diff(first), 1)[:, None])
+    return pa.array([x.tobytes() for x in np.minimum(np.rint(shares * 256), 255).astype(np.uint8)], pa.binary())
 
 
 @dataclass
 class View:
-    """An additive model: a weight for each bin of each number and each value trained on, and the line that calibrates its logit; all other values weigh 0."""
+    """An additive model: a weight for each bin of each number, for each bucket of content and each value trained on, and the line that calibrates its logit; all other values weigh 0."""
 
     edges: dict[str, list[float]]
     weights: dict[str, list[float]]
@@ -25,6 +39,7 @@ class View:
     bias: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
+    content: list[float] = field(default_factory=list)
 
     def weighed(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the weight of each value, from a broadcast table."""
@@ -40,6 +55,10 @@ class View:
             out = out + F.element_at(F.array(*map(F.lit, w)), at + 1)
         for f in self.values:
             out = out + F.coalesce(f"weight_{f}", F.lit(0.0))
+        if self.content:
+            w = np.array(self.content)
+            weigh = F.arrow_udf(lambda x: pa.array(_shares(x.to_pylist()) @ w), "double")
+            out = out + weigh("content")
         return out * self.slope + self.shift
 
     def logits(self, rows) -> np.ndarray:
@@ -49,33 +68,48 @@ class View:
             out += np.array(w)[np.searchsorted(np.array(self.edges[f]), rows[f].to_numpy(float), side="right")]
         for f, w in self.values.items():
             out += rows[f].map(w).fillna(0.0).to_numpy(float)
+        if self.content:
+            out += _shares(rows["content"]) @ np.array(self.content)
         return out
 
 
-def _matrix(rows, edges: dict[str, list[float]]) -> np.ndarray:
-    """One column for each bin."""
-    return np.concatenate([np.eye(len(e) + 1)[np.searchsorted(np.array(e), rows[f].to_numpy(float), side="right")] for f, e in edges.items()], axis=1)
+def _shares(content) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, content)), np.uint8).reshape(-1, BUCKETS) / SCALE
+
+
+def _matrix(rows, edges: dict[str, list[float]], fields: dict[str, list[str]], content: bool) -> np.ndarray:
+    """One column for each bin, each bucket of content and each value of ``fields``."""
+    out = [np.zeros((len(rows), 0), np.float32)]
+    for f, e in edges.items():
+        out.append(np.eye(len(e) + 1, dtype=np.float32)[np.searchsorted(np.array(e), rows[f].to_numpy(float), side="right")])
+    if content:
+        out.append(_shares(rows["content"]).astype(np.float32))
+    for f, known in fields.items():
+        out.append((rows[f].to_numpy()[:, None] == np.array(known, object)[None, :]).astype(np.float32))
+    return np.concatenate(out, axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Weights, the bias first, and those of the groups (numbered from 0), by Newton steps.
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, group: np.ndarray | None = None, sure: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, the bias first, and those of the groups (numbered from 0), by Newton steps; ``sure`` weighs the rows.
 
     Each row is in one group at most (-1 is none), so the groups' part of the Hessian is diagonal and is eliminated.
     """
-    x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+    x = np.concatenate([np.ones((len(x), 1), x.dtype), x], axis=1)
+    sure = np.ones(len(y)) if sure is None else sure
     group = np.full(len(x), -1) if group is None else group
     n = int(group.max(initial=-1)) + 2  # the last is none
     total = lambda v: np.bincount(group % n, v, n)[:-1]
     b, s, keep = np.zeros(x.shape[1]), np.zeros(n - 1), np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ b + np.append(s, 0)[group], -30, 30)))
-        w = p * (1 - p) + 1e-6
-        cross, own = np.stack([total(w * c) for c in x.T]), total(w) + ridge
-        g, gs = x.T @ (y - p) - keep @ b, total(y - p) - ridge * s
-        step = np.linalg.solve(x.T @ (x * w[:, None]) + keep - (cross / own) @ cross.T, g - (cross / own) @ gs)
+        w, off = sure * (p * (1 - p) + 1e-6), sure * (y - p)
+        cross, own = (np.stack([total(w * c) for c in x.T]) if n > 1 else np.zeros((x.shape[1], 0))), total(w) + ridge
+        g, gs = x.T @ off - keep @ b, total(off) - ridge * s
+        hessian = sum(((x[i : i + 4096] * w[i : i + 4096, None].astype(x.dtype)).T @ x[i : i + 4096]).astype(float) for i in range(0, len(x), 4096))
+        step = np.linalg.solve(hessian + keep - (cross / own) @ cross.T, g - (cross / own) @ gs)
         move = (gs - cross.T @ step) / own
         b, s = b + step, s + move
-        if max(np.abs(step).max(), np.abs(move).max(initial=0)) < 1e-6:
+        if max(np.abs(step).max(), np.abs(move).max(initial=0)) < 1e-3:
             break
     return b, s
 
@@ -84,36 +118,44 @@ def _cut(values: np.ndarray, bins: int) -> list[float]:
     return sorted({float(v) for v in np.quantile(values, np.arange(1, bins) / bins)})
 
 
-def _fit(rows, y: np.ndarray, edges: dict[str, list[float]], fields: tuple[str, ...]) -> View:
+def _fit(rows, y: np.ndarray, edges: dict[str, list[float]], fields: tuple[str, ...], content: bool, sure: np.ndarray | None = None) -> View:
     """A view of ``rows``; sources, which may be many, are the groups of the fit."""
     kept = {f: list(rows[f].value_counts().sort_index().sort_values(ascending=False, kind="stable").index[: VALUES[f]]) for f in fields}
-    x = [_matrix(rows, edges)] + [(rows[f].to_numpy()[:, None] == np.array(kept[f], object)[None, :]).astype(float) for f in fields if f != "source"]
     at = {v: i for i, v in enumerate(kept.get("source", ()))}
-    b, s = _logistic(np.concatenate(x, axis=1), y, group=rows["source"].map(at).fillna(-1).to_numpy(int) if at else None)
-    place, weights, values = 1, {}, {}
+    x = _matrix(rows, edges, {f: v for f, v in kept.items() if f != "source"}, content)
+    b, s = _logistic(x, y, group=rows["source"].map(at).fillna(-1).to_numpy(int) if at else None, sure=sure)
+    place, weights, values, words = 1, {}, {}, []
     for f, e in edges.items():
         weights[f] = [float(c) for c in b[place : place + len(e) + 1]]
         place += len(e) + 1
+    if content:
+        words = [float(c) for c in b[place : place + BUCKETS]]
+        place += BUCKETS
     for f in fields:
         values[f] = dict(zip(kept[f], map(float, s if f == "source" else b[place : place + len(kept[f])])))
         place += 0 if f == "source" else len(kept[f])
-    return View(edges, weights, values, float(b[0]))
+    return View(edges, weights, values, float(b[0]), content=words)
 
 
-def surest(pool: DataFrame, view: View, share: float, confident: float, per_round: int):
-    """The rows of the whole ``pool`` that a view is surest of, with mark 1 or 0, in proportion of ``share``, as a bounded pandas table."""
-    p = _chance(view.logit())
-    rated = view.weighed(pool).select(*pool.columns, p.alias("p"))
-    top = lambda mark, sure, part: rated.select("*", F.lit(mark).alias("mark")).where(sure >= confident).orderBy(sure.desc(), F.xxhash64("doc_id"), "doc_id").limit(max(1, int(per_round * part)))
-    return top(1.0, F.col("p"), share).unionByName(top(0.0, 1 - F.col("p"), 1 - share)).toPandas()
+def surest(pool: DataFrame, view: View, lent, share: float, per_round: int):
+    """The ``per_round`` rows of the whole ``pool`` that a view is surest of and hasn't lent yet, with mark 1 or 0 in proportion of ``share``, as a bounded pandas table.
 
+    They are taken by rank, so a view of less spread lends as well; ``sure``, from 0 for an even chance to 1, is what they weigh.
+    ``lent`` is the bounded table of rows that the view has lent before.
+    """
+    rated = view.weighed(pool).select(*pool.columns, _chance(view.logit()).alias("p")).where("doc_id IS NOT NULL")
+    if len(lent):
+        rated = rated.join(F.broadcast(rated.sparkSession.createDataFrame([(x,) for x in lent["doc_id"].tolist()], rated.select("doc_id").schema)), "doc_id", "left_anti")
+    top = lambda mark, sure, part: rated.select("*", F.lit(mark).alias("mark"), (sure * 2 - 1).alias("sure")).where(sure > 0.5).orderBy(sure.desc(), F.xxhash64("doc_id"), "doc_id").limit(max(1, round(per_round * part)))
+    return top(1.0, F.col("p"), share).unionByName(top(0.0, 1 - F.col("p"), 1 - share)).toPandas().drop_duplicates("doc_id")
 
-def co_train(labelled, pool: DataFrame, *, rounds: int = 3, confident: float = 0.97, per_round: int = 1000, bins: int = 10) -> tuple[View, View, tuple[float, float, float]]:
+
+def co_train(labelled, pool: DataFrame, *, rounds: int = 3, per_round: int = 1000, bins: int = 10, log: list | None = None) -> tuple[View, View, tuple[float, float, float]]:
     """Both views and the weights (bias, text, metadata) that join their calibrated logits.
 
-    A fifth of the labelled rows calibrates and joins, the others train.  In each round a view
-    scores the whole pool and labels the rows it is surest of, for the other view to train on, as many of each kind
-    as the labels' shares allow.
+    A fifth of the labelled rows calibrates and joins, the others train.  In each round each view
+    scores the whole pool and labels the rows it is surest of among those it hasn't lent, for the other view to train on,
+    as many of each kind as the labels' shares allow, each weighed by how sure it is.  ``log``, if given, gets (round, lender, rows lent).
     """
     import pandas as pd
 
@@ -121,19 +163,23 @@ def co_train(labelled, pool: DataFrame, *, rounds: int = 3, confident: float = 0
     fit, hold = labelled["fold"].to_numpy() != 0, labelled["fold"].to_numpy() == 0
     if len(set(y[fit])) < 2 or len(set(y[hold])) < 2:
         fit = hold = np.ones(len(y), bool)
-    numeric, fields = {"text": FEATURES, "meta": ("log_chars",)}, {"text": (), "meta": tuple(VALUES)}
+    numeric, fields = {"text": FEATURES, "meta": ()}, {"text": (), "meta": tuple(VALUES)}
     edges = {v: {f: _cut(labelled[f].to_numpy(float), bins) for f in fs} for v, fs in numeric.items()}
-    lent = {v: labelled[:0].assign(mark=0.0) for v in numeric}  # of each view: rows that the other labelled
+    lent = {v: labelled[:0].assign(mark=0.0, sure=0.0) for v in numeric}  # by each view
     share, views = y[fit].mean(), {}
     for r in range(rounds + 1):
-        for v in numeric:
-            rows = pd.concat([labelled[fit], lent[v]]) if len(lent[v]) else labelled[fit]
-            views[v] = _fit(rows, np.concatenate([y[fit], lent[v]["mark"].to_numpy(float)]), edges[v], fields[v])
+        for v, lender in (("text", "meta"), ("meta", "text")):
+            got = lent[lender]
+            rows = pd.concat([labelled[fit], got]) if len(got) else labelled[fit]
+            marks = np.concatenate([y[fit], got["mark"].to_numpy(float)])
+            views[v] = _fit(rows, marks, edges[v], fields[v], v == "text", np.concatenate([np.ones(int(fit.sum())), got["sure"].to_numpy(float)]))
         if r == rounds:
             break
-        for v, other in (("text", "meta"), ("meta", "text")):
-            new = surest(pool, views[v], share, confident, per_round)
-            lent[other] = pd.concat([x for x in (lent[other], new) if len(x)] or [new]).drop_duplicates("doc_id")
+        for v in numeric:
+            new = surest(pool, views[v], lent[v], share, per_round)
+            if log is not None:
+                log.append((r, v, len(new)))
+            lent[v] = pd.concat([x for x in (lent[v], new) if len(x)] or [new])
     joined = []
     for v, view in views.items():
         z = view.logits(labelled[hold])
@@ -146,18 +192,21 @@ def co_train(labelled, pool: DataFrame, *, rounds: int = 3, confident: float = 0
 def described(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the fields of both views, and what else is carried, in one pass without shuffle."""
     value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    given = docs.select(F.struct(F.col(id_col).alias("id"), value(source_col).alias("source"), value(lang_col).alias("lang"), F.log1p(F.length(text_of(text_col)).cast("double")).alias("log_chars"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(carry)]).alias("key"), F.col(text_col).alias("text"))
+    content = F.arrow_udf(content_of, "binary")
+    given = docs.select(F.struct(F.col(id_col).alias("id"), value(source_col).alias("source"), value(lang_col).alias("lang"), content(text_of(text_col)).alias("content"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(carry)]).alias("key"), F.col(text_col).alias("text"))
     stats = text_statistics(given, "key", "text")
-    return stats.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.source").alias("source"), F.col("doc_id.lang").alias("lang"), F.col("doc_id.log_chars").alias("log_chars"), *FEATURES, *[F.col(f"doc_id.keep_{i}").alias(f"keep_{i}") for i in range(len(carry))])
+    return stats.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.source").alias("source"), F.col("doc_id.lang").alias("lang"), F.col("doc_id.content").alias("content"), *FEATURES, *[F.col(f"doc_id.keep_{i}").alias(f"keep_{i}") for i in range(len(carry))])
 
 
 def train(rows: DataFrame, labels: DataFrame, *, max_labelled: int = 20000, **training) -> tuple[View, View, tuple[float, float, float]] | None:
     """``co_train`` on ``described`` rows: at most ``max_labelled`` labelled ones, those of smallest id hash, and all others; None without labels of both kinds.
 
-    Only the labelled rows and those that a round picks come to the driver.
+    Of rows that share an id the one of least content trains.  Only the labelled rows and those that a round picks come to the driver.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    chosen = rows.join(known, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    ids = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    same = rows.join(F.broadcast(ids), "doc_id")
+    chosen = same.groupBy("doc_id").agg(F.min(F.struct("content", *[c for c in rows.columns if c not in ("doc_id", "content")], "quality")).alias("r")).select("doc_id", "r.*")
     labelled = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5))).toPandas().sort_values("doc_id")
     if labelled["quality"].nunique() < 2:
         return None
@@ -177,15 +226,15 @@ def scored(rows: DataFrame, model) -> DataFrame:
     if model is None:
         return rows.select("*", *[F.lit(0.5).alias(c) for c in ("p_text", "p_meta", "score")])
     text, meta, (bias, wt, wm) = model
-    zt, zm = text.logit(), meta.logit()
-    return meta.weighed(text.weighed(rows)).select("*", _chance(zt).alias("p_text"), _chance(zm).alias("p_meta"), _chance(bias + wt * _clip(zt) + wm * _clip(zm)).alias("score"))
+    z = meta.weighed(text.weighed(rows)).select(*rows.columns, text.logit().alias("__text"), meta.logit().alias("__meta"))
+    return z.select(*rows.columns, _chance(F.col("__text")).alias("p_text"), _chance(F.col("__meta")).alias("p_meta"), _chance(bias + wt * _clip(F.col("__text")) + wm * _clip(F.col("__meta"))).alias("score"))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **training) -> DataFrame:
     """doc_id, p_text, p_meta, score, keep of each row.
 
     Nulls: a null text is empty, null metadata are a value of their own, a null id has
-    no label.  Labels of one id are averaged, ties counting as good.  Empty texts are scored
+    no label and isn't lent.  Labels of one id are averaged, ties counting as good.  Empty texts are scored
     like others.  Repeated rows score alike.  Without labels of both kinds all scores are 0.5
     and all rows are kept.  An empty table gives no rows.  Other columns aren't read.
     """
@@ -194,7 +243,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **training) -> DataFrame:
-    """The rows of ``docs`` (with the columns of documents) that ``classify_quality`` keeps, whole."""
+    """The rows of ``docs`` (with the columns of documents, and any others) that ``classify_quality`` keeps, whole.
+
+    Nulls, ties, repeated rows, empty texts and tables as there; columns stay as they are, whatever their names.
+    """
     model = train(durable(described(docs), "quality-fields"), labels, **training)
     return scored(described(docs, carry=tuple(docs.columns)), model).where(F.col("score") >= threshold).select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
 

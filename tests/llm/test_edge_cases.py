@@ -179,6 +179,13 @@ def test_posterior_bound():
     assert list(least) == sorted(least) and 0 <= least[0] < 20 * 0.8 and least[-1] < 200 * 0.8
 
 
+def test_many_terms_give_the_same_rows(docs, spark, monkeypatch):
+    items = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(10, 22))), (2, "two"), (4, "x x x x x x x x x x x")], "item_id long, text string")
+    whole = sorted(map(str, decontamination.decontaminate(docs, items).collect()))
+    monkeypatch.setattr(decontamination, "FEW_TERMS", 0)
+    assert sorted(map(str, decontamination.decontaminate(docs, items).collect())) == whole
+
+
 def test_decontamination(docs, spark):
     items = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(10, 22))), (2, "two"), (3, None), (None, "words")], "item_id long, text string")
     got = {(r["doc_id"], r["n_words"]): (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontamination.decontaminate(docs, items).collect()}
@@ -201,6 +208,15 @@ def test_impure_templates_are_blocked(spark):
     assert all(r["verdict"] == ("block" if r["page_id"] % 2 else "allow") for r in got)
 
 
+def test_like_branches_merge_and_unlike_ones_do_not(spark):
+    rows = [(b * 100 + k, f"http://h.org/{'abcdefgh'[b]}/p{k}x") for b in range(8) for k in range(100)]
+    good = lambda b, k: int(b >= 4 or (b == 3 and k % 2 == 0))  # a, b, c are bad, d is half, the others good
+    marks = spark.createDataFrame([(b * 100 + k, good(b, k), 0) for b in range(8) for k in range(100)], "doc_id long, quality int, toxic int")
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), marks).collect()
+    first = {r["path"].split("/")[1]: r["template"].split("/")[1] for r in got}
+    assert first["a"] == first["b"] == first["c"] == "~a" and first["d"] not in ("~a", "~e") and first["e"] == first["h"] == "~e"
+
+
 def test_a_bad_branch_among_many_is_blocked(spark):
     rows = [(b * 20 + k, f"http://h.org/b{b}/p{'abcdefghijklmnopqrst'[k]}") for b in range(120) for k in range(20)]
     marks = spark.createDataFrame([(i, int(i // 20 != 60), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
@@ -253,8 +269,24 @@ def test_each_source_has_its_own_weight(spark):
 def test_pseudo_labels_come_from_all_documents(spark):
     rows = spark.range(30000).selectExpr("id AS doc_id", "IF(id = 29999, 'best', 'other') AS source")
     view = quality.View({}, {}, {"source": {"best": 5.0, "other": 4.0}})
-    got = quality.surest(rows, view, 0.5, 0.97, 10)
+    got = quality.surest(rows, view, rows.limit(0).toPandas(), 0.5, 10)
     assert len(got) == 5 and got["doc_id"][0] == 29999 and set(got["mark"]) == {1.0}
+    again = quality.surest(rows, view, got, 0.5, 10)
+    assert len(again) == 5 and not set(again["doc_id"]) & set(got["doc_id"])
+
+
+def test_both_views_lend_in_every_round(spark):
+    rows, marks = [], []
+    for i in range(3000):
+        good = i % 4 != 0
+        rows.append((i, " ".join(f"{'fine' if good or k % 5 else 'poor'}{(i * 7 + k) % 50}" for k in range(60)), "en", f"s{i % 4 if i % 9 else i % 3}"))
+        marks.append((i, int(good)))
+    d, m = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(marks[:1500], "doc_id long, quality int")
+    fields, log = quality.described(d).cache(), []
+    got = quality.scored(fields, quality.train(fields, m, per_round=200, log=log)).where("doc_id >= 1500").collect()
+    assert [x[:2] for x in log] == [(r, v) for r in range(3) for v in ("text", "meta")] and all(x[2] >= 100 for x in log)
+    right = lambda c: sum((r[c] >= 0.5) == (r["doc_id"] % 4 != 0) for r in got)
+    assert right("score") >= max(right("p_text"), right("p_meta")) and right("score") > 1400
 
 
 def test_mixing_meets_targets(spark):
