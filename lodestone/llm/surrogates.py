@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, let, read, text_of
 
-#: Titles that tell a person's gender.
-MALE = ("Mr", "Herr", "Señor", "Monsieur", "господин", "г-н")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "госпожа", "г-жа")
-_TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.?"
+#: Titles that tell a person's gender, and those that don't.
+MALE = ("Mr", "Herr", "Señor", "Sr", "Don", "Monsieur", "господин", "г-н", "κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Doña", "Madame", "Mademoiselle", "Mme", "Mlle", "госпожа", "г-жа", "κυρία")
+NEUTRAL = ("Dr", "Doctor", "Prof", "Professor", "д-р", "Δρ")
+#: Given names that introduce a person without a title.
+MEN = (
+    "Ahmed", "Alejandro", "Alexander", "Andreas", "Andrew", "Antonio", "Carlos", "Charles", "Christopher", "Daniel", "David", "Diego", "Dmitri", "Edward", "Fernando", "François", "Friedrich", "George", "Giorgos",
+    "Hans", "Heinrich", "Henri", "Ivan", "Jacques", "James", "Javier", "Jean", "John", "José", "Juan", "Jürgen", "Karl", "Klaus", "Luis", "Manuel", "Matthew", "Michael", "Miguel", "Mohammed", "Nicolas", "Olivier", "Pablo",
+    "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Robert", "Sergei", "Stefan", "Thomas", "William", "Wolfgang", "Иван", "Дмитрий", "Сергей", "Алексей", "Γιώργος", "Νίκος", "Κώστας",
+)
+WOMEN = (
+    "Alice", "Amélie", "Ana", "Anastasia", "Andrea", "Anna", "Anne", "Barbara", "Camille", "Carmen", "Catherine", "Céline", "Charlotte", "Chloé", "Claudia", "Elena", "Elizabeth", "Emily", "Emma", "Fatima", "Françoise",
+    "Gabriela", "Heidi", "Helen", "Ingrid", "Isabel", "Jane", "Jennifer", "Jessica", "Julia", "Karen", "Laura", "Linda", "Lucía", "María", "Marie", "Martha", "Mary", "Monika", "Natalia", "Olga", "Patricia", "Petra",
+    "Rosa", "Sabine", "Sarah", "Sofia", "Sophie", "Susan", "Svetlana", "Ursula", "Анна", "Елена", "Мария", "Ольга", "Ελένη", "Μαρία", "Σοφία",
+)
+_TITLE = "(?:(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.?|M\.)"
+_GIVEN = "(?:" + "|".join(MEN + WOMEN) + ")"
 
 #: Kinds by order of trial, as Java patterns.  Each begins at the begin of a token.
 PATTERNS = {
@@ -20,17 +35,26 @@ PATTERNS = {
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z+.(-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z-])",
-    "person": rf"(?<!\p{{L}}){_TITLE} \p{{Lu}}\p{{L}}{{1,40}}(?: \p{{Lu}}\p{{L}}{{1,40}})?(?!\p{{L}})",
+    "person": rf"(?<!\p{{L}})(?:{_TITLE} \p{{Lu}}\p{{L}}{{1,40}}(?: \p{{Lu}}\p{{L}}{{1,40}})?|{_GIVEN} \p{{Lu}}\p{{L}}{{1,40}})(?!\p{{L}})",
 }
 ANY = "|".join(PATTERNS.values())
 #: From this attempt on a number gains a digit an attempt, and an address leaves its private network: its format is crowded.
 CROWDED = 6
 #: A text without any of these has no entity.
-HINT = r"@|[0-9]{2}|[0-9][.-]|(?:^|[^\p{L}])" + _TITLE + r" \p{Lu}"
+HINT = r"@|[0-9]{2}|[0-9][.-]|(?:^|[^\p{L}])(?:" + _TITLE + "|" + _GIVEN + r") \p{Lu}"
 
-LATIN, CYRILLIC = ("b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "z", "br", "st"), ("б", "в", "г", "д", "ж", "з", "к", "л", "м", "н", "п", "р", "с", "т", "ч", "ст")
-VOWELS = {"latin": ("a", "e", "i", "o"), "cyrillic": ("а", "е", "и", "о")}
-ENDINGS = {("latin", "f"): ("a", "ia", "ina", "elle"), ("latin", "m"): ("o", "an", "er", "us"), ("cyrillic", "f"): ("а", "ия", "ина", "ья"), ("cyrillic", "m"): ("", "ий", "ан", "ей")}
+#: By script: what begins a syllable, what ends it, and the endings of first names by gender.
+SYLLABLES = {
+    "latin": ("b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "z", "br", "st"),
+    "cyrillic": ("б", "в", "г", "д", "ж", "з", "к", "л", "м", "н", "п", "р", "с", "т", "ч", "ст"),
+    "greek": ("β", "γ", "δ", "ζ", "θ", "κ", "λ", "μ", "ν", "π", "ρ", "σ", "τ", "φ", "κρ", "στ"),
+}
+VOWELS = {"latin": ("a", "e", "i", "o"), "cyrillic": ("а", "е", "и", "о"), "greek": ("α", "ε", "ι", "ο")}
+ENDINGS = {
+    "latin": {"f": ("a", "ia", "ina", "elle"), "m": ("o", "an", "er", "us"), "n": ("ey", "en", "is", "el")},
+    "cyrillic": {"f": ("а", "ия", "ина", "ья"), "m": ("", "ий", "ан", "ей"), "n": ("о", "и", "е", "у")},
+    "greek": {"f": ("α", "η", "ία", "ώ"), "m": ("ος", "ης", "ας", "ων"), "n": ("ι", "ο", "ου", "ε")},
+}
 
 
 def _byte(digest: Column, i) -> Column:
@@ -39,8 +63,8 @@ def _byte(digest: Column, i) -> Column:
     return F.conv(F.substring(digest, at * 2 + 1, F.lit(2)) if not isinstance(i, int) else F.substring(digest, i % 32 * 2 + 1, 2), 16, 10).cast("int")
 
 
-def _pick(values: tuple[str, ...], n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), n % len(values) + 1)
+def _pick(values: Column, n: Column) -> Column:
+    return F.element_at(values, n % F.size(values) + 1)
 
 
 def _masked(text: Column, digest: Column) -> Column:
@@ -60,14 +84,22 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda a, i: a + let(F.substring(digits, i, F.lit(1)).cast("int"), lambda d: F.when((n - i) % 2 == 1, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)))
 
 
+def _mod97(code: Column) -> Column:
+    """A code's number modulo 97, letters counting from 10; an IBAN's is taken with its first four signs at the end."""
+    place = F.sequence(F.lit(1), F.length(code))
+    return F.aggregate(place, F.lit(0), lambda a, i: let(F.substring(code, i, F.lit(1)), lambda c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)))
+
+
 def canonical(kind: Column, mention: Column) -> Column:
     """What mentions of one entity share: digits of a number, small letters of an address, the name without its title."""
     name = F.regexp_replace(mention, f"^{_TITLE} ", "")
-    title = F.regexp_extract(mention, f"^({_TITLE}) ", 1)
-    woman = F.regexp_replace(title, r"\.$", "").isin(*FEMALE)
+    title = F.regexp_replace(F.regexp_extract(mention, f"^({_TITLE}) ", 1), r"\.$", "")
+    given = F.when(F.size(F.split(name, " ")) > 1, F.substring_index(name, " ", 1)).otherwise("")
+    woman = title.isin(*FEMALE) | (~title.isin("M", *MALE) & given.isin(*WOMEN))
+    man = title.isin("M", *MALE) | given.isin(*MEN)
     return (
         F.when(kind == "email", F.lower(mention))
-        .when(kind == "person", F.concat(F.when(woman, "f").otherwise("m"), F.lit(" "), F.lower(name)))
+        .when(kind == "person", F.concat(F.when(woman, "f").when(man, "m").otherwise("n"), F.lit(" "), F.lower(name)))
         .when(kind == "ip", mention)
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .otherwise(F.regexp_replace(mention, "[^0-9]", ""))
@@ -105,25 +137,33 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
         return F.when(_luhn(entity) % 10 == 0, let(cut, lambda c: F.concat(c, ((10 - _luhn(F.concat(c, F.lit("0"))) % 10) % 10).cast("string")))).otherwise(body)
 
     def person(d: Column) -> Column:
-        script = lambda s, g: (
-            lambda i, n: F.concat(*[F.concat(_pick(LATIN if s == "latin" else CYRILLIC, _byte(d, i + 2 * k)), _pick(VOWELS[s], _byte(d, i + 2 * k + 1))) for k in range(n)])
-        )
-        def full(s: str, g: str) -> Column:
-            syllables = script(s, g)
-            first = F.initcap(F.concat(syllables(0, 2), _pick(LATIN if s == "latin" else CYRILLIC, _byte(d, 4)), _pick(ENDINGS[s, g], _byte(d, 5))))
+        """A first and a last name, or a last name alone, in the script and of the gender of the entity."""
+        script = lambda by: F.when(entity.rlike(r"\p{IsCyrillic}"), by("cyrillic")).when(entity.rlike(r"\p{IsGreek}"), by("greek")).otherwise(by("latin"))
+        values = lambda v: F.array(*map(F.lit, v))
+        gender = lambda s: F.when(F.substring(entity, 1, 1) == "f", values(ENDINGS[s]["f"])).when(F.substring(entity, 1, 1) == "m", values(ENDINGS[s]["m"])).otherwise(values(ENDINGS[s]["n"]))
+        sounds = F.struct(script(lambda s: values(SYLLABLES[s])).alias("begin"), script(lambda s: values(VOWELS[s])).alias("vowel"), script(gender).alias("end"))
+
+        def named(x: Column) -> Column:
+            syllables = lambda i, n: F.concat(*[F.concat(_pick(x["begin"], _byte(d, i + 2 * k)), _pick(x["vowel"], _byte(d, i + 2 * k + 1))) for k in range(n)])
+            first = F.initcap(F.concat(syllables(0, 2), _pick(x["begin"], _byte(d, 4)), _pick(x["end"], _byte(d, 5))))
             last = F.initcap(F.concat(syllables(8, 3), F.when(attempt >= 3, syllables(16, 3)).otherwise("")))
-            two = F.size(F.split(entity, " ")) > 2
-            return F.when(two, F.concat(first, F.lit(" "), last)).otherwise(last)
+            return F.when(F.size(F.split(entity, " ")) > 2, F.concat(first, F.lit(" "), last)).otherwise(last)
+
+        return let(sounds, named)
 
-        by = lambda s: F.when(F.substring(entity, 1, 1) == "f", full(s, "f")).otherwise(full(s, "m"))
-        return F.when(entity.rlike(r"\p{IsCyrillic}"), by("cyrillic")).otherwise(by("latin"))
+    def iban(d: Column) -> Column:
+        """As long, in the same country; with a right check if the entity has one."""
+        land, body = F.substring(entity, 1, 2), _masked(F.substring(entity, F.lit(5), F.length(entity)), d)
+        right = _mod97(F.concat(F.substring(entity, F.lit(5), F.length(entity)), F.substring(entity, 1, 4))) == 1
+        checked = let(body, lambda b: F.concat(land, F.lpad((98 - _mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b))
+        return F.when(right, checked).otherwise(F.concat(land, _masked(F.substring(entity, 3, 2), more), body))
 
     country = F.when(F.length(entity) > 10, F.length(entity) - 10).otherwise(0)
     return (
         F.when(kind == "email", email(digest))
         .when(kind == "ip", ip(digest))
         .when(kind == "card", card(digest))
-        .when(kind == "iban", F.concat(F.substring(entity, 1, 2), _masked(F.substring(entity, F.lit(3), F.length(entity)), digest)))
+        .when(kind == "iban", iban(digest))
         .when(kind == "person", person(digest))
         .when(kind == "phone", digits(digest, country))
         .otherwise(digits(digest, F.lit(0)))
@@ -164,7 +204,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     entities = left.select("kind", "entity")
     while True:
         drawn = durable(left.select("kind", "entity", "attempt", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key).alias("made")), "surrogates-drawn")
-        real = entities.select(F.col("kind"), F.regexp_replace("entity", "^[fm] ", "").alias("made"), F.lit(True).alias("real")).distinct()
+        real = entities.select(F.col("kind"), F.regexp_replace("entity", "^[fmn] ", "").alias("made"), F.lit(True).alias("real")).distinct()
         keeps = drawn.groupBy("kind", "made").agg(F.min("entity").alias("entity"))
         passed = keeps.join(real, [keeps["kind"] == real["kind"], F.lower(keeps["made"]) == real["made"]], "left_anti")
         if done is not None:
@@ -178,12 +218,16 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
 
 
 def with_full_names(each: DataFrame) -> DataFrame:
-    """``each`` mention (row, at, kind, entity, made), where a titled surname takes that of the full name of its row with the same gender and surname, if any."""
+    """``each`` mention (row, at, kind, entity, made), where a titled surname takes that of the full name of its row with the same gender and surname, if any; if either gender is unknown, with the same surname."""
     gender, surname = F.substring("entity", 1, 1), F.substring_index("entity", " ", -1)
     person, two = F.col("kind") == "person", F.size(F.split("entity", " ")) > 2
-    full = each.where(person & two).groupBy("row", gender.alias("gender"), surname.alias("surname")).agg(F.min_by(F.substring_index("made", " ", -1), "at").alias("part"))
+    named = each.where(person & two).select("row", "at", gender.alias("gender"), surname.alias("surname"), F.substring_index("made", " ", -1).alias("part"))
+    full = named.groupBy("row", "gender", "surname").agg(F.min_by("part", "at").alias("part"))
+    loose = named.groupBy("row", "surname").agg(F.min_by(F.struct("part", "gender"), "at").alias("any"))
     single = each.select("*", F.when(person & ~two, gender).alias("gender"), F.when(person & ~two, surname).alias("surname"))
-    return single.join(full, ["row", "gender", "surname"], "left").withColumn("made", F.coalesce("part", "made")).drop("gender", "surname", "part")
+    met = single.join(full, ["row", "gender", "surname"], "left").join(loose, ["row", "surname"], "left")
+    unsure = (F.col("gender") == "n") | (F.col("any.gender") == "n")
+    return met.withColumn("made", F.coalesce("part", F.when(unsure, F.col("any.part")), "made")).drop("gender", "surname", "part", "any")
 
 
 def bare_names(each: DataFrame) -> DataFrame:
@@ -196,13 +240,13 @@ def bare_names(each: DataFrame) -> DataFrame:
     return first.groupBy("row").agg(F.sort_array(F.collect_list(F.struct((-F.length("name")).alias("shorter"), "name", "value"))).alias("names"))
 
 
-def replace_personal_data(docs: DataFrame, *, key: str = "lodestone", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_personal_data(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, n_entities of each row: its text with each detected entity replaced by its surrogate.
 
-    One entity has one surrogate throughout, in the format of each mention.  A person is detected by a
-    title; in the same text, the name and the surname without the title, and the title with the
-    surname alone, are replaced by the same surrogate or its surname.  Names that no title of their
-    text introduces, and first names alone, stay.
+    One entity has one surrogate throughout, in the format of each mention; who lacks ``key`` can't redo the draw.  A person is detected by a
+    title or by a given name of MEN or WOMEN before a surname; in the same text, the name and the surname without the title, and the title with the
+    surname alone, are replaced by the same surrogate or its surname.  Names that neither introduces
+    in their text, and first names alone, stay.
 
     Nulls: a null text stays null, with 0 entities; a null id is an id like others.  Empty
     texts and texts without entities stay as they are.  Repeated rows come out alike, and rows
@@ -230,5 +274,9 @@ def replace_personal_data(docs: DataFrame, *, key: str = "lodestone", id_col: st
     return joined.select(F.col("row.doc_id").alias("doc_id"), F.when(F.col("instead").isNull(), F.col("text")).otherwise(filled).alias("text"), F.when(F.col("instead").isNull(), 0).otherwise(F.size("instead") + n_bare).cast("long").alias("n_entities"))
 
 
+#: The key where ``lodestone.surrogates.key`` names none: drawn anew for each process.
+_DRAWN = token_hex(16)
+
+
 def op5_surrogates(spark, sf_dir: str) -> DataFrame:
-    return replace_personal_data(read(spark, sf_dir, "documents"))
+    return replace_personal_data(read(spark, sf_dir, "documents"), key=spark.conf.get("lodestone.surrogates.key", _DRAWN))
