@@ -359,3 +359,16 @@ def keep_one_each(docs: DataFrame, **options) -> DataFrame:
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + 4), ' ') AS x FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(s) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both_n FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM b JOIN n a ON a.doc_id = u JOIN n c ON c.doc_id = v WHERE both_n * 10 >= 8 * (a.n + c.n - both_n)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+c AS (SELECT DISTINCT u AS doc_id, u AS root FROM e UNION SELECT e.v, c.root FROM c JOIN e ON e.u = c.doc_id)
+SELECT d.doc_id, coalesce(r.root, d.doc_id) AS class_id, coalesce(k.n, 0)::BIGINT AS n_links
+FROM d LEFT JOIN (SELECT doc_id, min(root) AS root FROM c GROUP BY doc_id) r USING (doc_id) LEFT JOIN (SELECT u AS doc_id, count(*) AS n FROM e GROUP BY u) k USING (doc_id)
+"""

@@ -4,5 +4,22 @@ from __future__ import annotations
 
 from . import decontamination, mixing, ngram_join, quality, rules, secrets, substrings, surrogates, toxicity, urls
 
-QUERIES = {"op1_secrets": secrets.op1_secrets, "op2_toxicity": toxicity.op2_toxicity, "op3_substrings": substrings.op3_substrings, "op4_ngram_join": ngram_join.op4_ngram_join, "op5_surrogates": surrogates.op5_surrogates, "op6_decontamination": decontamination.op6_decontamination, "op7_urls": urls.op7_urls, "op8_quality": quality.op8_quality, "op9_rules": rules.op9_rules, "op10_mixing": mixing.op10_mixing}
-ORACLES = {"op6_decontamination": decontamination.OP6_SQL, "op10_mixing": mixing.OP10_SQL}
+QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_substrings": substrings.op3_substrings,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_surrogates": surrogates.op5_surrogates,
+    "op6_decontamination": decontamination.op6_decontamination,
+    "op7_urls": urls.op7_urls,
+    "op8_quality": quality.op8_quality,
+    "op9_rules": rules.op9_rules,
+    "op10_mixing": mixing.op10_mixing,
+}
+ORACLES = {
+    "op1_secrets": secrets.OP1_SQL,
+    "op3_substrings": substrings.OP3_SQL,
+    "op4_ngram_join": ngram_join.OP4_SQL,
+    "op6_decontamination": decontamination.OP6_SQL,
+    "op10_mixing": mixing.OP10_SQL,
+}

@@ -145,4 +145,36 @@ def mask_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:
-    return find_secrets(read(spark, sf_dir, "documents"))
+    found = find_secrets(read(spark, sf_dir, "documents"))
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return found.select(*[listed(c) if c in ("span_owners", "span_repositories") else F.col(c) for c in found.columns])
+
+
+OP1_SQL = r"""
+WITH k(kind, name, pattern) AS (VALUES
+  (0, 'assign', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+  (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+'), (3, 'owner', '[A-Za-z0-9+/_=-]{20,}')),
+d AS (SELECT doc_id, coalesce(text, '') AS t, source AS owner, coalesce(source, '') || chr(1) || coalesce(lang, '') AS repository FROM documents),
+m AS (SELECT doc_id, t, owner, repository, kind, name, regexp_extract_all(t, pattern) AS hit, string_split_regex(t, pattern) AS gap FROM d, k),
+p AS (SELECT doc_id, owner, repository, kind, name, unnest(hit) AS hit, unnest(gap[:len(hit)]) AS gap, generate_subscripts(hit, 1) AS i FROM m WHERE len(hit) > 0),
+o AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS stop FROM p),
+v AS (SELECT doc_id, owner, repository, kind, name, stop - length(hit) AS start, stop,
+             CASE WHEN kind = 0 THEN regexp_extract(hit, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE hit END AS value FROM o),
+a AS (SELECT * FROM v WHERE kind < 3 AND length(value) >= CASE kind WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END),
+g AS (SELECT v.* FROM v WHERE kind = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
+      AND NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = v.doc_id AND a.start < v.stop AND a.stop > v.start)),
+f AS (SELECT * FROM a UNION ALL SELECT * FROM g),
+w AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS n_owners, count(DISTINCT repository) AS n_repositories FROM f GROUP BY value),
+j AS (SELECT f.*, n_owners, n_repositories, n_owners >= 3 AS copied,
+             n_owners = 1 AND n_repositories < 10 AND len(list_distinct(string_split(value, ''))) >= CASE kind WHEN 3 THEN 10 ELSE 6 END
+             AND NOT regexp_matches(lower(value), 'example|sample|dummy|changeme|placeholder|xxxx|1234|abcd') AS specific FROM f JOIN w USING (value)),
+s AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+             string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+             string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3 OR specific) AS spans,
+             string_agg(n_owners::VARCHAR, ',' ORDER BY start, kind) FILTER (kind < 3 OR specific) AS span_owners,
+             string_agg(n_repositories::VARCHAR, ',' ORDER BY start, kind) FILTER (kind < 3 OR specific) AS span_repositories,
+             count(*) FILTER (copied) AS n_copied, count(*) FILTER (specific) AS n_specific FROM j GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_copied, 0)::BIGINT AS n_copied, coalesce(n_specific, 0)::BIGINT AS n_specific, coalesce(span_owners, '') AS span_owners, coalesce(span_repositories, '') AS span_repositories
+FROM d LEFT JOIN s USING (doc_id)
+"""

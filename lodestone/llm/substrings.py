@@ -233,3 +233,13 @@ def dedup_substrings(docs: DataFrame, *, size: int = 20, cells: int | None = Non
 def op3_substrings(spark, sf_dir: str) -> DataFrame:
     return dedup_substrings(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, s, array_to_string(list_slice(w, s, s + 19), ' ') AS x FROM d, unnest(range(1, greatest(len(w) - 18, 1))) t(s)),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS k FROM x),
+g AS (SELECT DISTINCT doc_id, s + i AS place FROM r, unnest(range(20)) u(i) WHERE k > 1),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n FROM p ANTI JOIN g USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
