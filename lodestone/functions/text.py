@@ -133,6 +133,13 @@ def singular(word: Column) -> Column:
     return F.when((n > 4) & word.endswith("ies"), F.concat(F.substring(word, F.lit(1), n - 3), F.lit("y"))).when((n > 3) & word.endswith("s") & ~word.endswith("ss"), F.substring(word, F.lit(1), n - 1)).otherwise(word)
 
 
+def plural(word: Column) -> Column:
+    """The plural of a word of more than two letters that isn't one already."""
+    n = F.length(word)
+    made = F.when(word.rlike("[^aeiou]y$"), F.concat(F.substring(word, F.lit(1), n - 1), F.lit("ies"))).when(word.rlike("(x|ch|sh)$"), F.concat(word, F.lit("es"))).otherwise(F.concat(word, F.lit("s")))
+    return F.when((n < 3) | word.endswith("s"), word).otherwise(made)
+
+
 def light_stem(word: Column) -> Column:
     n = F.length(word)
     return F.when((n > 6) & word.endswith("ing"), F.substring(word, F.lit(1), n - 3)).when((n > 5) & word.endswith("ed"), F.substring(word, F.lit(1), n - 2)).otherwise(singular(word))
@@ -179,7 +186,7 @@ def classify_content(path: Column, size: Column, content: Column, max_size: int
             (size == 0, F.lit("skipped_empty")),
             (size > max_size, F.lit("skipped_large")),
             (content.startswith("version https://git-lfs.github.com/spec/"), F.lit("skipped_lfs")),
-            (content.contains("\x00"), F.lit("skipped_binary")),
+            (content.contains("\x00") | (F.length(F.regexp_replace(content, "[^\\x01-\\x08\\x0E-\\x1F\\x7F]+", "")) * 5 >= F.length(content)), F.lit("skipped_binary")),
             (language_of(path).isNotNull(), F.lit("supported")),
             (e.isin("md", "markdown", "mdx"), F.lit("markdown")),
             (e == "ipynb", F.lit("notebook")),

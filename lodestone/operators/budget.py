@@ -30,9 +30,9 @@ def knapsack(rows: DataFrame, by: str, order: str, cost: str, budget: int) -> Da
 
 
 def with_omitted(rows: DataFrame, order: list, limit: int) -> DataFrame:
-    """The first ``limit`` rows and on each how many more there were."""
-    n = rows.select("*", F.count("*").over(Window.partitionBy()).alias("n"))
-    return n.orderBy(*order).limit(limit).withColumn("omitted", F.greatest(F.col("n") - limit, F.lit(0))).drop("n")
+    """The first ``limit`` rows and on each how many more there were; counted by partial sums, not in a window over all rows."""
+    n = rows.agg(F.greatest(F.count("*") - limit, F.lit(0).cast("long")).alias("omitted"))
+    return rows.orderBy(*order).limit(limit).crossJoin(F.broadcast(n))
 
 
 def drop_sections(costs: list[tuple[str, int]], budget: int, order: list[str]) -> list[str]:
@@ -53,3 +53,9 @@ def confidence(mean_lcs: Column, spans: Column, length: Column, over: Column) ->
 
 def tier(score: Column, high: float = 0.85, review: float = 0.6) -> Column:
     return F.when(score >= high, "high").when(score >= review, "review_queue").otherwise("below_threshold")
+
+
+def demoted_tier(score: Column, weakest: Column, strong: float = 0.9) -> Column:
+    """The tier of a score, where high stands only if the weakest span is strong too."""
+    t = tier(score)
+    return F.when((t == "high") & (weakest < strong), "review_queue").otherwise(t)

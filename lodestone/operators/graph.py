@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .budget import with_omitted
+
 MAX_DEPTH, MAX_LIMIT = 3, 500
 MAX_CALL_DEPTH = 12
 
@@ -24,8 +26,7 @@ def inbound(edges: DataFrame, node: str, kind: str | None = None) -> DataFrame:
 def edges_report(edges: DataFrame, node: str, direction: str, limit: int = 100) -> DataFrame:
     """At most ``limit`` incident edges by (kind, src, dst), and how many were left out."""
     e = (outbound if direction == "outbound" else inbound)(edges, node)
-    e = e.select("*", F.count("*").over(Window.partitionBy()).alias("all"))
-    return e.orderBy("kind", "src", "dst").limit(max(1, min(limit, MAX_LIMIT))).select("src", "dst", "kind", F.greatest(F.col("all") - limit, F.lit(0)).alias("omitted"))
+    return with_omitted(e.select("src", "dst", "kind"), ["kind", "src", "dst"], max(1, min(limit, MAX_LIMIT)))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -52,22 +53,29 @@ def _ways(edges: DataFrame, direction: str) -> DataFrame:
     return {"outbound": out, "inbound": back}.get(direction) or out.unionByName(back)
 
 
-def neighborhood(edges: DataFrame, start: str, depth: int = 1, limit: int = 100, direction: str = "both") -> DataFrame:
-    """id, depth, degree of at most ``limit`` nodes near ``start``: level by level, within a level by (degree descending, id).
+def degrees_of(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, degree of the nodes ``ids`` (id) alone; edges of others aren't counted."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).join(ids, "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
+
+
+def neighborhood(edges: DataFrame, start: str, depth: int = 1, limit: int = 100, direction: str = "both", kinds: tuple[str, ...] = ()) -> DataFrame:
+    """id, depth, degree of at most ``limit`` nodes near ``start``, by edges of ``kinds`` if any are named: level by level, within a level by (degree descending, id).
 
-    What is kept is bounded by ``limit``, at most MAX_LIMIT rows; these alone go over the driver.
+    What is kept is bounded by ``limit``, at most MAX_LIMIT rows; these alone go over the driver, as literals that
+    reach the scans of the edges, and degrees are counted of the nodes met.
     """
     depth, limit = max(1, min(depth, MAX_DEPTH)), max(1, min(limit, MAX_LIMIT))
     spark, schema = edges.sparkSession, "id string, depth int, degree long"
-    ways, degree = _ways(edges, direction), degree_map(edges).select("id", "degree")
-    rows = [(r["id"], 0, r["degree"]) for r in degree.where(F.col("id") == start).collect()]
+    edges = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
+    ways = _ways(edges, direction)
+    own = edges.agg(F.sum((F.col("src") == start).cast("long") + (F.col("dst") == start).cast("long"))).first()[0]
+    rows = [(start, 0, own)] if own else []
     for d in range(1, depth + 1):
-        front = [r[:1] for r in rows if r[1] == d - 1]
+        front = [r[0] for r in rows if r[1] == d - 1]
         if not front or len(rows) >= limit:
             break
-        seen = spark.createDataFrame([r[:1] for r in rows], "id string")
-        near = ways.join(F.broadcast(spark.createDataFrame(front, "a string")), "a").select(F.col("b").alias("id")).distinct().join(F.broadcast(seen), "id", "left_anti")
-        near = near.join(degree, "id").orderBy(F.desc("degree"), "id").limit(limit - len(rows))
+        near = ways.where(F.col("a").isin(*front) & ~F.col("b").isin(*[r[0] for r in rows])).select(F.col("b").alias("id")).distinct()
+        near = degrees_of(edges, near).orderBy(F.desc("degree"), "id").limit(limit - len(rows))
         rows += [(r["id"], d, r["degree"]) for r in near.collect()]
     return spark.createDataFrame(rows, schema)
 

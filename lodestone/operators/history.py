@@ -15,8 +15,8 @@ def hotspots(commits: DataFrame, changes: DataFrame, limit: int = 20) -> DataFra
 def ownership(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """The author with most touches of each path, the least of equals."""
     each = changes.join(commits, "revision").groupBy("path", "author").agg(F.count("*").alias("n"))
-    best = each.groupBy("path").agg(F.sum("n").alias("touches"), F.max(F.struct(F.col("n"), (-F.col("author")).alias("neg"))).alias("b"))
-    return best.select("path", (-F.col("b.neg")).alias("author"), F.col("b.n").alias("author_touches"), "touches")
+    best = each.groupBy("path").agg(F.sum("n").alias("touches"), F.min(F.struct((-F.col("n")).alias("less"), "author")).alias("b"))
+    return best.select("path", F.col("b.author").alias("author"), (-F.col("b.less")).alias("author_touches"), "touches")
 
 
 def cochange_pairs(changes: DataFrame, max_paths: int = 100) -> DataFrame:
@@ -30,11 +30,11 @@ def cochange_pairs(changes: DataFrame, max_paths: int = 100) -> DataFrame:
 
 
 def cochange_edges(changes: DataFrame, known: DataFrame, min_count: int = 2, top: int = 100) -> DataFrame:
-    """The ``top`` pairs seen ``min_count`` times at least whose paths are both ``known`` (path)."""
-    p = cochange_pairs(changes).where(F.col("n") >= min_count)
+    """Of the ``top`` pairs those seen ``min_count`` times at least whose paths are both ``known`` (path)."""
+    p = cochange_pairs(changes).orderBy(F.desc("n"), "left_path", "right_path").limit(top).where(F.col("n") >= min_count)
     for side in ("left_path", "right_path"):
         p = p.join(known.select(F.col("path").alias(side)), side, "left_semi")
-    return p.select("left_path", "right_path", "n").orderBy(F.desc("n"), "left_path", "right_path").limit(top)
+    return p.select("left_path", "right_path", "n")
 
 
 def path_history(commits: DataFrame, changes: DataFrame, path: str) -> DataFrame:
@@ -44,6 +44,18 @@ def path_history(commits: DataFrame, changes: DataFrame, path: str) -> DataFrame
     return commits.join(near, "revision").select("revision", "author", "ts", "partners")
 
 
+def path_card(commits: DataFrame, changes: DataFrame, path: str, most: int = 5) -> DataFrame:
+    """path, touches, last_revision, owner, partners of one path; partners are the ``most`` changed with it most often."""
+    own = changes.where(F.col("path") == path)
+    t = own.join(commits, "revision")
+    hot = t.groupBy("path").agg(F.count("*").alias("touches"), F.max_by("revision", F.struct("ts", "revision")).alias("last_revision"))
+    owner = t.groupBy("path", "author").agg(F.count("*").alias("n")).groupBy("path").agg(F.min_by("author", F.struct(-F.col("n"), "author")).alias("owner"))
+    few = changes.join(own.select("revision"), "revision").groupBy("revision").agg(F.count("*").alias("n")).where("n <= 100").select("revision")
+    near = changes.join(few, "revision").where(F.col("path") != path).groupBy(F.col("path").alias("other")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "other").limit(most)
+    listed = near.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "other"))), lambda x: x["other"]).alias("partners"))
+    return hot.join(owner, "path").crossJoin(F.broadcast(listed))
+
+
 def first_last_revision(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """The oldest and the newest revision of each path."""
     t = changes.join(commits, "revision").groupBy("path").agg(F.min(F.struct("ts", "revision")).alias("a"), F.max(F.struct("ts", "revision")).alias("b"))

@@ -23,6 +23,16 @@ def changed(before: DataFrame, after: DataFrame, key: str, content: str) -> Data
     return j.select(key, F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("a") != F.col("b"), "modified").alias("change")).where("change IS NOT NULL")
 
 
+def changed_with_renames(before: DataFrame, after: DataFrame, key: str, content: str) -> DataFrame:
+    """key, change, new of ``changed``, where a removed and an added row of equal content are one rename (to ``new``, the least)."""
+    c = changed(before, after, key, content)
+    gone = c.where("change = 'removed'").select(key).join(before.select(key, F.col(content).alias("__c")), key)
+    new = c.where("change = 'added'").select(key).join(after.select(key, F.col(content).alias("__c")), key).groupBy("__c").agg(F.min(key).alias("new"))
+    moved = gone.groupBy("__c").agg(F.min(key).alias(key)).join(new, "__c").select(key, "new")
+    rest = c.join(moved.select(key), key, "left_anti").join(moved.select(F.col("new").alias(key)), key, "left_anti")
+    return rest.select(key, "change", F.lit(None).cast(moved.schema["new"].dataType).alias("new")).unionByName(moved.select(key, F.lit("renamed").alias("change"), "new"))
+
+
 def retire(stored: DataFrame, observed: DataFrame, key: str, revision: int) -> DataFrame:
     """Stored rows (key, retired_at): those not observed retire at ``revision``, those seen again come back."""
     j = stored.join(observed.select(key, F.lit(True).alias("seen")).distinct(), key, "left")

@@ -91,6 +91,12 @@ def handoffs(hot: DataFrame, limit: int = 20) -> DataFrame:
     return p.orderBy(F.desc("priority"), F.desc("touches"), "path").limit(limit)
 
 
+def all_handoffs(structural: DataFrame, annotated: DataFrame, limit: int = 20) -> DataFrame:
+    """item, priority, source of work to hand on (item, priority): by priority, and of equals what the graph shows before what annotations say."""
+    both = structural.select("item", "priority", F.lit("structural").alias("source"), F.lit(0).alias("rank")).unionByName(annotated.select("item", "priority", F.lit("overlay").alias("source"), F.lit(1).alias("rank")))
+    return both.orderBy(F.desc("priority"), "rank", "item").limit(limit).select("item", "priority", "source")
+
+
 def concept_links(concepts: DataFrame, symbols: DataFrame, min_length: int = 4) -> DataFrame:
     """(concept, symbol) where a word of a concept's text (concept, body) is a symbol's short name (symbol, qualified_name)."""
     words = concepts.select("concept", F.explode(F.array_distinct(F.split("body", "[^A-Za-z0-9_]+"))).alias("word")).where(F.length("word") >= min_length)

@@ -13,8 +13,8 @@ from ..functions import sets, text
 RRF_K, VECTOR_TIE = 60, 100
 
 
-def lexical(lines: DataFrame, pattern: str, *, literal: bool = False, ignore_case: bool = False, path: str | None = None, limit: int | None = None) -> DataFrame:
-    """Lines that hold ``pattern``, with the place of the first match, by (root, path, line)."""
+def lexical(lines: DataFrame, pattern: str, *, literal: bool = False, ignore_case: bool = False, path: str | None = None, types: tuple[str, ...] = (), not_types: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
+    """Lines that hold ``pattern``, with the place of the first match, by (root, path, line); of files of the named languages, or of all but those."""
     line = F.lower("line") if literal and ignore_case else F.col("line")
     if literal:
         hit = line.contains(pattern.lower() if ignore_case else pattern)
@@ -22,7 +22,9 @@ def lexical(lines: DataFrame, pattern: str, *, literal: bool = False, ignore_cas
     else:
         p = ("(?i)" if ignore_case else "") + pattern
         hit, at = line.rlike(p), F.regexp_instr(line, F.lit(p))
-    found = lines.where(hit & text.path_matches(F.col("path"), path)).select("root_id", "path", "line_number", "line", at.cast("int").alias("column"))
+    language = F.coalesce(text.language_of(F.col("path")), F.lit(""))
+    typed = (language.isin(*types) if types else F.lit(True)) & (~language.isin(*not_types) if not_types else F.lit(True))
+    found = lines.where(hit & text.path_matches(F.col("path"), path) & typed).select("root_id", "path", "line_number", "line", at.cast("int").alias("column"))
     return found.orderBy("root_id", "path", "line_number").limit(limit) if limit else found
 
 
@@ -86,15 +88,15 @@ def containment(items: DataFrame, docs: DataFrame, anchor: int = 5) -> DataFrame
     all_words = items.where(F.trim("text") != "").select("item_id", "text", words(F.col("text")).alias("w"))
     inner = all_words.where(F.size("w") >= 3).select("item_id", "text", F.slice("w", F.lit(2), F.greatest(F.least(F.size("w") - 2, F.lit(anchor)), F.lit(0))).alias("run"))
     bodies = docs.select("doc_id", F.col("text").alias("body"))
-    out = None
-    for n in range(1, anchor + 1):
-        keys = inner.where(F.size("run") == n).select("item_id", "text", F.array_join("run", " ").alias("run"))
-        runs = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= n + 2)
-        runs = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(2), F.size("w") - n), lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("run"))
-        part = runs.join(keys, "run").select("item_id", "doc_id", "text")
-        out = part if out is None else out.unionByName(part)
+    lengths = sorted(r[0] for r in inner.select(F.size("run").alias("n")).distinct().collect())  # at most ``anchor`` numbers
+    w = F.col("w")
+    found = bodies.limit(0).select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.col("body").alias("text"))
+    if lengths:
+        starts = lambda n: F.when(F.size(w) >= n + 2, F.transform(F.sequence(F.lit(2), F.greatest(F.size(w) - n, F.lit(2))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        runs = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*map(starts, lengths)))).alias("run"))
+        found = runs.join(inner.select("item_id", "text", F.array_join("run", " ").alias("run")), "run").select("doc_id", "item_id", "text")
     short = bodies.join(F.broadcast(all_words.where(F.size("w") < 3).select("item_id", "text")), F.col("body").contains(F.col("text")))
-    return out.join(bodies, "doc_id").where(F.col("body").contains(F.col("text"))).select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
+    return found.join(bodies, "doc_id").where(F.col("body").contains(F.col("text"))).select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
 
 
 def hit_at_k(results: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:

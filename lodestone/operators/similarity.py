@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 
 
 def similar_pairs(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
-    """old, new, similarity of the pairs of sets, as (file, element), of ``threshold`` Jaccard or more.
+    """old, new, similarity of the pairs of sets, as (file, element), of ``threshold`` Jaccard or more, above 0.
 
-    Meets on shared elements; pairs without one have similarity 0 and never come up.
+    Sets of the asked similarity share one of the rarest elements of each: all but the ``threshold`` share less one.
+    So only these meet, sets of too unlike sizes don't, and a frequent element costs what few sets need of it; the
+    pairs met are then counted exactly.
     """
-    sizes = lambda df, name: df.groupBy("file").agg(F.count("*").alias(name)).withColumnRenamed("file", name[2:])
-    both = old.select("element", F.col("file").alias("old")).join(new.select("element", F.col("file").alias("new")), "element").groupBy("old", "new").agg(F.count("*").alias("both"))
-    j = both.join(sizes(old, "n_old"), "old").join(sizes(new, "n_new"), "new")
-    return j.select("old", "new", (F.col("both") / (F.col("n_old") + F.col("n_new") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    often = old.select("element").unionByName(new.select("element")).groupBy("element").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("file").orderBy("often", "element")
+
+    def prefixes(df: DataFrame, name: str) -> DataFrame:
+        placed = df.join(often, "element").select("file", "element", F.row_number().over(rarest).alias("place"), F.count("*").over(Window.partitionBy("file")).alias("n"))
+        return placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("element", F.col("file").alias(name), F.col("n").alias(f"n_{name}"))
+
+    like = F.least("n_old", "n_new") >= F.greatest("n_old", "n_new") * threshold - 1e-9
+    met = prefixes(old, "old").join(prefixes(new, "new"), "element").where(like).select("old", "new", "n_old", "n_new").distinct()
+    both = met.join(old.select(F.col("file").alias("old"), "element"), "old").join(new.select(F.col("file").alias("new"), "element"), ["new", "element"])
+    both = both.groupBy("old", "new", "n_old", "n_new").agg(F.count("*").alias("both"))
+    return both.select("old", "new", (F.col("both") / (F.col("n_old") + F.col("n_new") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def drift(prior: DataFrame, current: DataFrame) -> DataFrame:
@@ -60,7 +70,7 @@ def rename_scores(old: DataFrame, new: DataFrame, old_samples: DataFrame, new_sa
     """old, new, similarity of the pairs that reach the threshold of a rename: 0.8 by symbols, and 0.72 by
     symbols or sampled content where either file has one symbol at most."""
     count = lambda df, name: df.groupBy(F.col("file").alias(name)).agg(F.count("*").alias(f"n_{name}"))
-    both = similar_pairs(old, new, 0.0).join(similar_pairs(old_samples, new_samples, 0.0).withColumnRenamed("similarity", "sampled"), ["old", "new"], "full")
+    both = similar_pairs(old, new, 0.72).join(similar_pairs(old_samples, new_samples, 0.72).withColumnRenamed("similarity", "sampled"), ["old", "new"], "full")
     both = both.join(count(old, "old"), "old", "left").join(count(new, "new"), "new", "left")
     poor = F.least(F.coalesce("n_old", F.lit(0)), F.coalesce("n_new", F.lit(0))) <= 1
     score = F.when(poor, F.greatest("similarity", "sampled")).otherwise(F.col("similarity"))  # greatest skips nulls

@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 def sessions(events: DataFrame, gap: str = "5 minutes", by: tuple[str, ...] = ()) -> DataFrame:
     """start, end, n of runs of events (ts) with less than ``gap`` between neighbours; the same for batch and, behind a watermark, for streams.
 
-    A stream needs a column in ``by``, such as the root that is watched.
+    A stream needs a column in ``by``, such as the root that is watched.  In batch, without one, days are cut
+    into runs side by side, and only the first and the last run of each day are then joined over midnight.
     """
-    s = events.groupBy(F.session_window("ts", gap).alias("w"), *by).agg(F.count("*").alias("n"))
-    return s.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    if by or events.isStreaming:
+        s = events.groupBy(F.session_window("ts", gap).alias("w"), *by).agg(F.count("*").alias("n"))
+        return s.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    day = events.select("ts", F.to_date("ts").alias("day")).groupBy(F.session_window("ts", gap).alias("w"), "day").agg(F.count("*").alias("n")).select("day", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    own = Window.partitionBy("day")
+    runs = day.select("*", ((F.col("start") == F.min("start").over(own)) | (F.col("start") == F.max("start").over(own))).alias("edge"))
+    order = Window.orderBy("start")  # two rows a day
+    edges = runs.where("edge").select("start", "end", "n", F.coalesce(F.col("start") >= F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int").alias("new"))
+    joined = edges.select("*", F.sum("new").over(order).alias("run")).groupBy("run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    return runs.where("NOT edge").select("start", "end", "n").unionByName(joined.select("start", "end", "n"))
 
 
 def pending(events: DataFrame, window: str = "1 day", cap: int = 50, most: int = 1000) -> DataFrame:
@@ -27,6 +36,13 @@ def pending_stream(events: DataFrame, window: str = "1 day", cap: int = 50, late
     return w.select(F.col("w.start").alias("start"), F.least("n", F.lit(cap)).alias("n_paths"), (F.col("n") > cap).alias("overflow"), F.col("e").alias("n_events"))
 
 
+def temp_base(path):
+    """The path that an editor's temporary sibling stands for: x of x.tmp, x~, .x.swp, .#x and x.tmp.123."""
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"(\.tmp(\.[0-9A-Za-z]+)?|~)$", ""), r"^\.#", ""), r"^\.(.+)\.sw[a-z]$", "$1")
+    return F.concat(F.regexp_extract(path, "^(.*/)?[^/]*$", 1), plain)
+
+
 def suppress(events: DataFrame, own: DataFrame, ttl_seconds: int = 600) -> DataFrame:
     """Events (id, path, ts) without those on a path that we wrote (path, written) within ``ttl_seconds`` before."""
     bucket = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / ttl_seconds)
@@ -55,6 +71,20 @@ def relevant(events: DataFrame, ignored: tuple[str, ...] = (".git", "target", "n
     return events.where(~F.col("path").rlike("(^|/)(" + "|".join(x.replace(".", r"\.") for x in ignored) + ")(/|$)"))
 
 
+class RevisionCache:
+    """Reads cached for one revision; a read at another one builds anew and lets the old one go."""
+
+    def __init__(self, build) -> None:
+        self.build, self.revision, self.rows = build, None, None
+
+    def at(self, revision) -> DataFrame:
+        if self.rows is None or revision != self.revision:
+            if self.rows is not None:
+                self.rows.unpersist()
+            self.revision, self.rows = revision, self.build().cache()
+        return self.rows
+
+
 def run_sync(stream: DataFrame, apply, checkpoint: str, interval: str = "1 second"):
     """Start a query that hands each micro-batch of events to ``apply(batch, id)``."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
