@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +9,8 @@ from ..functions import sets, text
 from ..operators import budget, graph, history, lifecycle, overlay, search, similarity
 from ..sources.views import Views, sql_with
 from ..streaming import watch
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    """Register a function of Views under its own name, with its SQL."""
-
-    def add(f):
-        name = f.__name__
-        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES
+from .registry import query as _query
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["hotspots"](spark, sf_dir)
@@ -53,7 +36,8 @@ def cochange_pairs(v: Views) -> DataFrame:
     return history.cochange_pairs(v.changes)
 
 
-@_query(sql_with("changes", PAIRS + "SELECT * FROM pairs WHERE n >= 2 AND left_path IN (SELECT 'part_' || p_partkey FROM part WHERE p_size <= 40) AND right_path IN (SELECT 'part_' || p_partkey FROM part WHERE p_size <= 40) ORDER BY n DESC, left_path, right_path LIMIT 100"))
+@_query(sql_with("changes", PAIRS + """, top AS (SELECT * FROM pairs ORDER BY n DESC, left_path, right_path LIMIT 100), known AS (SELECT 'part_' || p_partkey AS path FROM part WHERE p_size <= 40)
+SELECT * FROM top WHERE n >= 2 AND left_path IN (FROM known) AND right_path IN (FROM known)"""))
 def cochange_edges(v: Views) -> DataFrame:
     known = v.table("part").where("p_size <= 40").select(F.concat(F.lit("part_"), "p_partkey").alias("path"))
     return history.cochange_edges(v.changes, known)
@@ -248,10 +232,14 @@ def identity_cascade(v: Views) -> DataFrame:
     return similarity.identity_cascade(half("l_linenumber <= 3"), half("l_linenumber >= 2")).select("old", "outcome", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
 
 
-@_query(sql_with("files", "SELECT a.root_id, a.path AS old_path, min(b.path) AS new_path FROM files a JOIN files b ON a.root_id = b.root_id AND a.content_hash = b.content_hash AND split_part(a.id, '_', 2)::BIGINT % 2 = 0 AND split_part(b.id, '_', 2)::BIGINT % 2 = 1 GROUP BY ALL"))
+@_query("""WITH f AS (SELECT CASE WHEN text = lower(text) THEN 'lower' ELSE 'mixed' END AS root_id, lang || '/' || doc_id AS path, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents)
+SELECT a.root_id, a.path AS old_path, min(b.path) AS new_path FROM f a JOIN f b ON a.root_id = b.root_id AND a.text = b.text AND a.k = 1 AND b.k > 1 GROUP BY ALL""")
 def exact_rename(v: Views) -> DataFrame:
-    f = v.files.withColumn("odd", F.element_at(F.split("id", "_"), -1).cast("long") % 2)
-    return similarity.exact_renames(f.where("odd = 0"), f.where("odd = 1"))
+    from pyspark.sql import Window
+
+    f = v.files.withColumn("root_id", F.when(F.col("content") == F.lower("content"), "lower").otherwise("mixed"))
+    f = f.withColumn("k", F.row_number().over(Window.partitionBy("content_hash").orderBy(F.element_at(F.split("id", "_"), -1).cast("long"))))
+    return similarity.exact_renames(f.where("k = 1"), f.where("k > 1"))
 
 
 @_query("""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents), w AS (SELECT doc_id, unnest([0, least(greatest(n // 2 - 2048, 0), greatest(n - 4096, 0)), greatest(n - 4096, 0)]) AS s, text FROM t WHERE n >= 32 AND n <= 262144),
@@ -269,9 +257,9 @@ def sampled_shingle_dups(v: Views) -> DataFrame:
 
 # search
 
-@_query(sql_with("lines", "SELECT root_id, path, line_number::INT AS line_number, line, strpos(line, 'password')::INT AS \"column\" FROM lines WHERE contains(line, 'password')"))
+@_query(sql_with("lines", "SELECT root_id, path, line_number::INT AS line_number, line, strpos(line, 'License')::INT AS \"column\" FROM lines WHERE contains(line, 'License')"))
 def lexical_literal(v: Views) -> DataFrame:
-    return search.lexical(v.lines, "password", literal=True).withColumn("line_number", F.col("line_number").cast("int"))
+    return search.lexical(v.lines, "License", literal=True).withColumn("line_number", F.col("line_number").cast("int"))
 
 
 @_query(sql_with("lines", "SELECT root_id, path, line_number::INT AS line_number, line FROM lines WHERE regexp_matches(line, '[0-9]{3}-[0-9]{4}') AND starts_with(path, 'en/')"))
@@ -428,7 +416,11 @@ def omitted_counts(v: Views) -> DataFrame:
     return budget.with_omitted(v.table("customer").where("c_acctbal > 0").select("c_custkey", "c_acctbal"), [F.desc("c_acctbal"), F.col("c_custkey")], 25)
 
 
-@_query(None)
+@_query("""WITH c AS (SELECT l_orderkey AS request, l_linenumber AS o, max(l_quantity)::BIGINT AS c FROM lineitem GROUP BY ALL),
+g AS (SELECT request, list({'o': o, 'c': c} ORDER BY o) AS items FROM c GROUP BY request),
+r AS (SELECT request, list_reduce(items, lambda a, x: CASE WHEN a.spent + x.c <= 60 THEN {'spent': a.spent + x.c, 'kept': a.kept || CASE WHEN a.kept = '' THEN '' ELSE ',' END || x.o} ELSE a END, {'spent': 0::BIGINT, 'kept': ''}) AS r
+      FROM (SELECT request, list_transform(items, lambda x: {'c': x.c, 'o': x.o, 'spent': 0::BIGINT, 'kept': ''}) AS items FROM g))
+SELECT request, r.spent AS spent, r.kept AS kept FROM r""")
 def knapsack(v: Views) -> DataFrame:
     few = v.table("lineitem").select(F.col("l_orderkey").alias("request"), "l_linenumber", F.col("l_quantity").cast("long").alias("cost")).groupBy("request", "l_linenumber").agg(F.max("cost").alias("cost"))
     return budget.knapsack(few, "request", "l_linenumber", "cost", 60).select("request", "spent", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
@@ -607,9 +599,12 @@ def lcs_verify(v: Views) -> DataFrame:
     return similarity.verify_spans(s).withColumn("ratio", F.round("ratio", 6))
 
 
-@_query("WITH w AS (SELECT item_id, unnest(list_distinct(string_split_regex(text, '[^A-Za-z0-9_]+'))) AS word FROM benchmark), s AS (SELECT 'part_' || p_partkey AS symbol, string_split_regex(p_brand || '::' || p_name, '::|[.:]')[-1] AS word FROM part) SELECT DISTINCT item_id AS concept, symbol FROM w JOIN s USING (word) WHERE length(word) >= 4")
+@_query("""WITH w AS (SELECT item_id, unnest(list_distinct(string_split_regex(text, '[^A-Za-z0-9_]+'))) AS word FROM benchmark),
+s AS (SELECT conv_id || ':' || turn AS symbol, string_split_regex('chat::' || role || '.' || regexp_extract(text, '^[A-Za-z]+'), '::|[.:]')[-1] AS word FROM conversations)
+SELECT DISTINCT item_id AS concept, symbol FROM w JOIN s USING (word) WHERE length(word) >= 4""")
 def concept_links(v: Views) -> DataFrame:
-    return overlay.concept_links(v.table("benchmark").select(F.col("item_id").alias("concept"), F.col("text").alias("body")), v.table("part").select(F.concat(F.lit("part_"), "p_partkey").alias("symbol"), F.concat_ws("::", "p_brand", "p_name").alias("qualified_name")))
+    named = v.table("conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("symbol"), F.concat(F.lit("chat::"), "role", F.lit("."), F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("qualified_name"))
+    return overlay.concept_links(v.table("benchmark").select(F.col("item_id").alias("concept"), F.col("text").alias("body")), named)
 
 
 # metrics and streams
@@ -644,3 +639,4 @@ def head_moves(v: Views) -> DataFrame:
 @_query("WITH a AS (SELECT user_id AS key, event_id AS started, event_id + 5 AS finished, event_type <> 'error' AS completed FROM events), d AS (SELECT key, max(finished) AS last FROM a WHERE completed GROUP BY key) SELECT a.key, max(finished) AS finished, arg_max(completed, (finished, completed)) AS completed FROM a LEFT JOIN d USING (key) WHERE completed OR last IS NULL OR started >= last GROUP BY a.key")
 def newest_outcome(v: Views) -> DataFrame:
     return watch.keep_newest_outcome(v.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("started"), (F.col("event_id") + 5).alias("finished"), (F.col("event_type") != "error").alias("completed")))
+from . import cards, context, parsing, upkeep  # noqa: E402,F401  register their queries
