@@ -22,7 +22,7 @@ BANDS, ROWS = 40, 5
 #: MinHash values compared before the posterior is looked at again.
 STEP = 20
 #: A tile compares blocks of at most this many sets and about this many shingles each.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 4_000_000
 
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -215,7 +215,7 @@ def _likely(threshold: float, tolerance: float):
         node, side, size = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64)
         if side[0] >= 0 and (side == side[0]).all():
             return []
-        root = _roots(len(rows), *likely_pairs(np.stack([np.asarray(r[3]) for r in rows]), size, side, threshold, tolerance))
+        root = _roots(len(rows), *likely_pairs(np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(len(rows), -1), size, side, threshold, tolerance))
         return [(int(node[k]), int(node[root[k]])) for k in np.flatnonzero(root != np.arange(len(rows)))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,7 +236,7 @@ def _likely(threshold: float, tolerance: float):
 def _signed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            sig = pa.array([signature(s).view(np.int32) for s in shingle_sets(b.column("text"), n)], pa.list_(pa.int32()))
+            sig = pa.array([signature(s).astype("<u2").tobytes() for s in shingle_sets(b.column("text"), n)], pa.binary())  # the lower halves: those that differ seem equal once in 65,536
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("size"), b.column("shared"), sig], names=["node", "size", "shared", "sig"])
 
     return run
@@ -247,8 +247,8 @@ def refined(keyed: DataFrame, sets: DataFrame, band: DataFrame, comp: DataFrame,
 
     Weak likeness chains buckets of the same band into components far larger than any class.  So in each bucket
     of such a component MinHash values are compared pair by pair, and only pairs that may reach the threshold connect;
-    a bucket of more than BLOCK_SETS sets is compared block by block.  Signatures travel, not texts, and a part of a bucket returns
-    one edge a set.
+    a bucket of more than BLOCK_SETS sets is compared block by block.  Buckets that hold the same sets, told by 128 bits, are
+    compared once.  Signatures travel, not texts, and a part of a bucket returns one edge a set.
     """
     sizes = sets.select("node", "size")
     large = comp.join(sizes, "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("w")).where((F.col("n") > BLOCK_SETS) | (F.col("w") > BLOCK_SHINGLES)).select("root")
@@ -256,10 +256,11 @@ def refined(keyed: DataFrame, sets: DataFrame, band: DataFrame, comp: DataFrame,
     if not inside.head(1):
         return comp
     own = band.join(inside.select("node"), "node", "left_semi")
-    full = own.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("blocks"))
+    full = own.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y")).where("n > 1")
+    full = full.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("blocks"))
     shared = own.join(full, "band").groupBy("node").agg(F.collect_list(F.struct("band", "blocks")).alias("shared"))
     texts = keyed.join(sets.join(shared, "node").select("doc", "node", "size", "shared").hint("merge"), "doc").dropDuplicates(["node"]).select("node", "size", "shared", "text")
-    signed = texts.mapInArrow(_signed(n), "node long, size int, shared array<struct<band:bigint,blocks:int>>, sig array<int>")
+    signed = texts.mapInArrow(_signed(n), "node long, size int, shared array<struct<band:bigint,blocks:int>>, sig binary")
     each = signed.select("node", "size", "sig", F.explode("shared").alias("s")).select("node", "size", "sig", "s.band", F.col("s.blocks").alias("blocks"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("s.blocks")).cast("int").alias("block"))
     dealt = each.select("node", "size", "sig", F.explode(_dealt(F.col("blocks"), F.col("block"), lambda i, j: F.xxhash64("band", i, j))).alias("t")).select(F.col("t.tile").alias("part"), "node", F.col("t.side").alias("side"), "size", "sig")
     edges = dealt.repartition("part").sortWithinPartitions("part").mapInPandas(_likely(threshold, tolerance), "u long, v long")
