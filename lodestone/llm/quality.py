@@ -21,12 +21,15 @@ BUCKETS, SCALE = 256, 256.0
 
 def content_of(texts: pa.Array) -> pa.Array:
     """BUCKETS bytes a text: the square root of the share of its words in each bucket, 255 at most."""
-    (h,), first = hash_words(texts)
-    row = np.repeat(np.arange(len(texts)), np.diff(first))
-    counts = np.zeros((len(texts), BUCKETS))
-    np.add.at(counts, (row, (mix(h) % U64(BUCKETS)).astype(np.int64)), 1)
-    shares = np.sqrt(counts / np.maximum(np.diff(first), 1)[:, None])
-    return pa.array([x.tobytes() for x in np.minimum(np.rint(shares * 256), 255).astype(np.uint8)], pa.binary())
+    out = []
+    for lo in range(0, len(texts), 256):
+        part = texts[lo : lo + 256]
+        (h,), first = hash_words(part)
+        row = np.repeat(np.arange(len(part)), np.diff(first))
+        counts = np.bincount(row * BUCKETS + (mix(h) % U64(BUCKETS)).astype(np.int64), minlength=len(part) * BUCKETS).reshape(-1, BUCKETS)
+        shares = np.sqrt(counts / np.maximum(np.diff(first), 1)[:, None])
+        out += [x.tobytes() for x in np.minimum(np.rint(shares * 256), 255).astype(np.uint8)]
+    return pa.array(out, pa.binary())
 
 
 @dataclass
@@ -198,19 +201,24 @@ def described(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return stats.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.source").alias("source"), F.col("doc_id.lang").alias("lang"), F.col("doc_id.content").alias("content"), *FEATURES, *[F.col(f"doc_id.keep_{i}").alias(f"keep_{i}") for i in range(len(carry))])
 
 
-def train(rows: DataFrame, labels: DataFrame, *, max_labelled: int = 20000, **training) -> tuple[View, View, tuple[float, float, float]] | None:
-    """``co_train`` on ``described`` rows: at most ``max_labelled`` labelled ones, those of smallest id hash, and all others; None without labels of both kinds.
+def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``described`` rows with quality, 1 or 0, null where there is no label, as a table that training reads again and again."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+    return durable(rows.join(known.hint("merge"), "doc_id", "left"), "quality-fields")
+
+
+def train(rows: DataFrame, *, max_labelled: int = 20000, **training) -> tuple[View, View, tuple[float, float, float]] | None:
+    """``co_train`` on rows ``with_labels``: at most ``max_labelled`` labelled ones, those of smallest id hash, and all others; None without labels of both kinds.
 
     Of rows that share an id the one of least content trains.  Only the labelled rows and those that a round picks come to the driver.
     """
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    ids = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    same = rows.join(F.broadcast(ids), "doc_id")
-    chosen = same.groupBy("doc_id").agg(F.min(F.struct("content", *[c for c in rows.columns if c not in ("doc_id", "content")], "quality")).alias("r")).select("doc_id", "r.*")
+    known, fields = rows.where("quality IS NOT NULL"), [c for c in rows.columns if c not in ("doc_id", "content")]
+    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    chosen = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("content", *fields)).alias("r")).select("doc_id", "r.*")
     labelled = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5))).toPandas().sort_values("doc_id")
     if labelled["quality"].nunique() < 2:
         return None
-    return co_train(labelled, rows.join(known.select("doc_id"), "doc_id", "left_anti"), **training)
+    return co_train(labelled, rows.where("quality IS NULL").drop("quality"), **training)
 
 
 def _clip(z: Column) -> Column:
@@ -238,8 +246,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0
     like others.  Repeated rows score alike.  Without labels of both kinds all scores are 0.5
     and all rows are kept.  An empty table gives no rows.  Other columns aren't read.
     """
-    rows = durable(described(docs, id_col=id_col, text_col=text_col, source_col=source_col, lang_col=lang_col), "quality-fields")
-    return scored(rows, train(rows, labels, **training)).select("doc_id", "p_text", "p_meta", "score", (F.col("score") >= threshold).alias("keep"))
+    rows = with_labels(described(docs, id_col=id_col, text_col=text_col, source_col=source_col, lang_col=lang_col), labels)
+    return scored(rows, train(rows, **training)).select("doc_id", "p_text", "p_meta", "score", (F.col("score") >= threshold).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **training) -> DataFrame:
@@ -247,7 +255,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **t
 
     Nulls, ties, repeated rows, empty texts and tables as there; columns stay as they are, whatever their names.
     """
-    model = train(durable(described(docs), "quality-fields"), labels, **training)
+    model = train(with_labels(described(docs), labels), **training)
     return scored(described(docs, carry=tuple(docs.columns)), model).where(F.col("score") >= threshold).select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

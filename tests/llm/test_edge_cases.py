@@ -282,8 +282,8 @@ def test_both_views_lend_in_every_round(spark):
         rows.append((i, " ".join(f"{'fine' if good or k % 5 else 'poor'}{(i * 7 + k) % 50}" for k in range(60)), "en", f"s{i % 4 if i % 9 else i % 3}"))
         marks.append((i, int(good)))
     d, m = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(marks[:1500], "doc_id long, quality int")
-    fields, log = quality.described(d).cache(), []
-    got = quality.scored(fields, quality.train(fields, m, per_round=200, log=log)).where("doc_id >= 1500").collect()
+    fields, log = quality.with_labels(quality.described(d), m), []
+    got = quality.scored(fields, quality.train(fields, per_round=200, log=log)).where("doc_id >= 1500").collect()
     assert [x[:2] for x in log] == [(r, v) for r in range(3) for v in ("text", "meta")] and all(x[2] >= 100 for x in log)
     right = lambda c: sum((r[c] >= 0.5) == (r["doc_id"] % 4 != 0) for r in got)
     assert right("score") >= max(right("p_text"), right("p_meta")) and right("score") > 1400
