@@ -264,7 +264,7 @@ def replace_personal_data(docs: DataFrame, *, key: str, id_col: str = "doc_id",
     each = durable(found.dropDuplicates(["doc_id", "text_hash"]).select(row, F.posexplode("mentions").alias("at", "mention")).join(by, "mention"), "mentions-made")
     each = with_full_names(each)
     lists = each.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", formatted(F.col("kind"), F.col("mention"), F.col("made")).alias("instead")))), lambda x: x["instead"]).alias("instead"))
-    joined = keyed.select(row, "text").join(lists.join(bare_names(each), "row", "left"), "row", "left")
+    joined = keyed.select(row, "text").join(lists.join(bare_names(each), "row", "left").hint("merge"), "row", "left")
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform("names", lambda n: n["name"]), "|"), F.lit(r")(?!\p{L})"))
     hits = lambda x: F.regexp_extract_all(x, pattern, F.lit(0))
     value = lambda m: F.filter("names", lambda n: n["name"] == m)[0]["value"]
