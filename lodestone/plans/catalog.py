@@ -226,7 +226,12 @@ def merge_candidates(v: Views) -> DataFrame:
     return similarity.merges(_pairs(v, 0.25), 0.25).select("new", F.array_join(F.col("parts").cast("array<string>"), ",").alias("parts"))
 
 
-@_query(None)
+@_query("WITH x AS (SELECT 1)" + PAIR + """, rs AS (SELECT old, new, similarity FROM pairs JOIN no ON no.file = old JOIN nn ON nn.file = new WHERE similarity >= CASE WHEN least(no.n, nn.n) <= 1 THEN 0.72 ELSE 0.8 END),
+rk AS (SELECT *, row_number() OVER w AS rn, lead(similarity) OVER w AS nxt FROM rs WINDOW w AS (PARTITION BY old ORDER BY similarity DESC, new)), r AS (SELECT old, new FROM rk WHERE rn = 1 AND similarity - coalesce(nxt, 0) >= 0.15),
+l1 AS (SELECT * FROM pairs WHERE similarity >= 0.4 AND old NOT IN (SELECT old FROM r)), s AS (SELECT old, array_to_string(list_sort(list(DISTINCT new)), ',') AS targets FROM l1 GROUP BY old HAVING count(DISTINCT new) >= 2),
+l2 AS (SELECT * FROM l1 WHERE old NOT IN (SELECT old FROM s)), g AS (SELECT new, list(DISTINCT old) AS olds FROM l2 WHERE similarity >= 0.5 GROUP BY new HAVING count(DISTINCT old) >= 2),
+m AS (SELECT old, min(new) AS new FROM (SELECT unnest(olds) AS old, new FROM g) GROUP BY old), k AS (SELECT old, 'rename' AS outcome, new::VARCHAR AS targets FROM r UNION ALL SELECT old, 'split', targets FROM s UNION ALL SELECT old, 'merge', new::VARCHAR FROM m)
+SELECT * FROM k UNION ALL SELECT DISTINCT file, 'breakage', '' FROM old WHERE file NOT IN (SELECT old FROM k)""")
 def identity_cascade(v: Views) -> DataFrame:
     half = lambda c: v.table("lineitem").where(c).select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("element")).distinct()
     return similarity.identity_cascade(half("l_linenumber <= 3"), half("l_linenumber >= 2")).select("old", "outcome", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
@@ -249,7 +254,10 @@ def sampled_shingles(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", F.size(sets.sampled_shingles(F.col("text"))).cast("long").alias("n_shingles"))
 
 
-@_query(None)
+@_query("""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents), w AS (SELECT doc_id, unnest([0, least(greatest(n // 2 - 2048, 0), greatest(n - 4096, 0)), greatest(n - 4096, 0)]) AS s, text FROM t WHERE n >= 32 AND n <= 262144),
+p AS (SELECT DISTINCT doc_id, substr(substr(text, s + 1, 4096), i * 32 + 1, 32) AS h FROM w, unnest(range(0, length(substr(text, s + 1, 4096)) // 32)) u(i)), c AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
+b AS (SELECT x.doc_id AS old, y.doc_id AS new, count(*) AS both_n FROM p x JOIN p y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT old, new, round(both_n / (a.n + d.n - both_n), 6) AS similarity FROM b JOIN c a ON a.doc_id = old JOIN c d ON d.doc_id = new WHERE both_n / (a.n + d.n - both_n) >= 0.72""")
 def sampled_shingle_dups(v: Views) -> DataFrame:
     s = v.table("documents").select(F.col("doc_id").alias("file"), F.explode(sets.sampled_shingles(F.col("text"))).alias("element"))
     return similarity.similar_pairs(s, s, 0.72).where("old < new").withColumn("similarity", F.round("similarity", 6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,9 +185,7 @@ def cut_texts(v: Views) -> DataFrame:
 @query("SELECT vec_id, len(embedding) AS dim FROM embeddings")
 def stored_vectors(v: Views) -> DataFrame:
     """Vectors written with a check of their dimension and read back."""
-    import uuid
-
-    where = (v.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestone-tables").rstrip("/") + f"/vectors-{uuid.uuid4().hex}"
+    where = f"{sources.shared_dir(v.spark)}/vectors-{uuid.uuid4().hex}"
     sources.save_vectors(v.vectors, where, 64)
     return sources.load_vectors(v.spark, where, 64).select("vec_id", F.size("v").cast("long").alias("dim"))
 
@@ -193,9 +193,7 @@ def stored_vectors(v: Views) -> DataFrame:
 @query(sql_with("lines", "SELECT root_id, count(*) AS n FROM lines GROUP BY root_id"))
 def lexical_index(v: Views) -> DataFrame:
     """The index of lines, written by root and read back."""
-    import uuid
-
-    where = (v.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestone-tables").rstrip("/") + f"/lines-{uuid.uuid4().hex}"
+    where = f"{sources.shared_dir(v.spark)}/lines-{uuid.uuid4().hex}"
     sources.save_index(v.lines, where)
     return v.spark.read.parquet(where).groupBy(F.col("root_id").cast("string").alias("root_id")).agg(F.count("*").alias("n"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,18 @@ from ..functions import text
 COMMITS = T.StructType([T.StructField("revision", T.StringType()), T.StructField("summary", T.StringType()), T.StructField("author_name", T.StringType()), T.StructField("committed_at", T.TimestampType()), T.StructField("parent_count", T.IntegerType()), T.StructField("changed_paths", T.ArrayType(T.StringType()))])
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which ``spark.checkpoint.dir`` names; a local master may do without and gets a folder of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 def discover(spark: SparkSession, root: str, *, root_id: str = "primary", redact: tuple[str, ...] = (), max_size: int = 1 << 20) -> DataFrame:
     """root_id, path, size_bytes, class, content, content_hash of the files under a folder; redacted ones are left out."""
     base = root.rstrip("/") + "/"
