@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .graph import degree_map
+from ..sources import parse
+from .graph import degree_map, edges_report
+from .similarity import edge_drift
 
 #: Kinds of symbols that resolution knows.
 SYMBOL_KINDS = ("function", "method", "class", "trait", "interface", "module", "constant", "type")
@@ -185,10 +187,54 @@ def entry_points(symbols: DataFrame, limit: int = 20) -> DataFrame:
     return found.orderBy(rank, "location", "id").limit(limit).select("id", F.col("entry").alias("kind"), "location")
 
 
-def large_file_tags(path: Column, lines: Column, n_public: Column) -> Column:
-    """What to say of a large file: how large, and whether its public surface is wide."""
-    tags = F.array(F.when(lines >= 1000, "very_large").when(lines >= 500, "large"), F.when(n_public >= 20, "wide_api"), F.when(path.rlike("(^|/)(mod|lib|index|__init__)\\."), "module_root"))
-    return F.array_compact(tags)
+def large_file_tags(path: Column, language: Column, lines: Column, source: Column, n_symbols: Column) -> Column:
+    """What to say of a large file: its size and symbols, and where its language shows a root, modules or exports."""
+    name, script = text.file_name(path), language.isin("typescript", "tsx", "javascript")
+    some = F.array(
+        F.lit("large_file"),
+        F.when(lines >= 400, "over_repo_cap"),
+        F.when(n_symbols >= 10, "many_symbols"),
+        F.when((language == "rust") & name.isin("mod.rs", "lib.rs", "main.rs"), "rust_module_root"),
+        F.when((language == "rust") & source.rlike(r"(?m)^\s*(pub )?mod "), "declares_modules"),
+        F.when(script & source.contains("export "), "exports_api"),
+        F.when(script & name.rlike(r"^index\.[^.]*$"), "module_barrel_or_root"),
+    )
+    tags = F.array_compact(some)
+    return F.when(F.size(tags) == 1, F.array_append(tags, F.lit("extract_cohesive_units"))).otherwise(tags)
+
+
+def documented_api(files: DataFrame) -> DataFrame:
+    """path, name of what must be documented of the symbols that files (path, content) declare.
+
+    In JavaScript what is exported by ``export``, ``exports.x`` or ``module.exports``; in Python what ``__all__`` names,
+    what the ``__init__`` of its folder re-exports, and all public names of an ``__init__``; else what is public.
+    """
+    declared = parse.declarations(files).select("path", "language", "name", "visibility")
+    words = lambda pattern: F.regexp_extract_all("content", F.lit(pattern), F.lit(1))
+    listed = lambda lists: F.filter(F.flatten(F.transform(lists, lambda x: F.split(x, r"[^\w$]+"))), lambda x: x != "")
+    f = files.select("path", "content", text.language_of(F.col("path")).alias("language"))
+    script = F.concat(words(r"(?m)^[ \t]*export +(?:default +)?(?:async +)?(?:function|class|const|let|var)\*? +([\w$]+)"), words(r"(?<![\w.])(?:module\.)?exports\.([\w$]+) *="), listed(words(r"(?:export +|module\.exports *= *)\{([^}]*)\}")))
+    python = listed(words(r"__all__ *\+?= *[\[(]([^\])]*)[\])]"))
+    named = f.select("path", F.explode(F.when(F.col("language") == "javascript", script).when(F.col("language") == "python", python).otherwise(F.array().cast("array<string>"))).alias("name"))
+    init = f.where(F.col("path").rlike(r"(^|/)__init__\.py$")).select(F.regexp_replace("path", "__init__\\.py$", "").alias("folder"), F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^from +\.(\w+ +import +[\w, ]+)"), F.lit(1))).alias("line"))
+    again = init.select(F.concat("folder", F.regexp_extract("line", r"^(\w+)", 1), F.lit(".py")).alias("path"), F.explode(F.split(F.regexp_replace("line", r"^\w+ +import +", ""), " *, *")).alias("name")).select("path", F.trim("name").alias("name"))
+    own = declared.where((~F.col("language").isin("javascript", "python") | F.col("path").rlike(r"(^|/)__init__\.py$")) & (F.col("visibility") == "public")).select("path", "name")
+    return declared.select("path", "name").distinct().join(named.unionByName(again).unionByName(own).distinct(), ["path", "name"])
+
+
+def hit_files(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """root_id, path, n, file_id of search hits (root_id, path) by file (id, root_id, path); file_id is null where the graph has no such file."""
+    n = hits.groupBy("root_id", "path").agg(F.count("*").alias("n"))
+    return n.join(files.select("root_id", "path", F.col("id").alias("file_id")), ["root_id", "path"], "left")
+
+
+def edges_with_drift(edges: DataFrame, scores: DataFrame, query: str, limit: int = 100) -> DataFrame:
+    """src, dst, kind, omitted, drift of the edges that a query names: ``outbound <node> [kind]`` or ``inbound <node> [kind]``."""
+    direction, node, *kind = query.split()
+    if direction not in ("outbound", "inbound") or len(kind) > 1:
+        raise ValueError(f"no edge query: {query!r}")
+    asked = edges.where(F.col("kind") == edge_kind(kind[0])) if kind else edges
+    return edge_drift(edges_report(asked, node, direction, limit), scores, "omitted")
 
 
 def minimum_context(edges: DataFrame, partners: DataFrame, node: str, budget: str = "normal", most: int = 20) -> DataFrame:

@@ -36,6 +36,11 @@ def freshness(stored: Column, current: Column, valid: Column) -> Column:
     return F.when(~valid, "invalid").when(current.isNull(), "source_deleted").when(stored == current, "fresh").otherwise("stale")
 
 
+def commentary_freshness(stored: Column, current: Column) -> Column:
+    """invalid without a stored hash or a source, fresh if they are equal, else stale."""
+    return F.when(F.coalesce(stored, F.lit("")) == "", "invalid").when(current.isNull(), "invalid").when(stored == current, "fresh").otherwise("stale")
+
+
 def link_freshness(links: DataFrame, current: DataFrame) -> DataFrame:
     """Links (link, path, hash, valid) against current hashes (path, now)."""
     return links.join(current, "path", "left").select("link", freshness(F.col("hash"), F.col("now"), F.col("valid")).alias("freshness"))

@@ -35,12 +35,12 @@ def drift(prior: DataFrame, current: DataFrame) -> DataFrame:
     return g.select("file", score.alias("score")).where("score > 0")
 
 
-def edge_drift(edges: DataFrame, scores: DataFrame) -> DataFrame:
+def edge_drift(edges: DataFrame, scores: DataFrame, *keep: str) -> DataFrame:
     """Edges with the mean drift of their ends; an end without a score counts 0, an edge within one file is 0."""
     a, b = scores.select(F.col("file").alias("src"), F.col("score").alias("a")), scores.select(F.col("file").alias("dst"), F.col("score").alias("b"))
     j = edges.join(a, "src", "left").join(b, "dst", "left")
     mean = (F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))) / 2
-    return j.select("src", "dst", "kind", F.when(F.col("src") == F.col("dst"), 0.0).otherwise(mean).alias("drift"))
+    return j.select("src", "dst", "kind", *keep, F.when(F.col("src") == F.col("dst"), 0.0).otherwise(mean).alias("drift"))
 
 
 def exact_renames(gone: DataFrame, new: DataFrame) -> DataFrame:

@@ -191,18 +191,47 @@ def entry_points(v: Views) -> DataFrame:
     return cards.entry_points(_symbols(v))
 
 
-@query("""WITH c AS (SELECT lang || '/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '/mod.rs' ELSE '.rs' END AS path, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END * 40 AS lines, doc_id % 40 AS p FROM documents)
-SELECT path, lines::INT AS lines, array_to_string(list_filter([CASE WHEN lines >= 1000 THEN 'very_large' WHEN lines >= 500 THEN 'large' END, CASE WHEN p >= 20 THEN 'wide_api' END, CASE WHEN contains(path, '/mod.') THEN 'module_root' END], lambda x: x IS NOT NULL), ',') AS tags,
-greatest(count(*) OVER () - 20, 0) AS omitted FROM c WHERE lines > 300 ORDER BY lines DESC, path LIMIT 20""")
+@query("""WITH c AS (SELECT lang || '/' || CASE doc_id % 4 WHEN 0 THEN 'mod.rs' WHEN 1 THEN doc_id || '.rs' WHEN 2 THEN 'index.ts' ELSE doc_id || '.py' END AS path, doc_id, text, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END * 40 AS lines, doc_id % 4 AS k FROM documents),
+t AS (SELECT *, list_filter(['large_file', CASE WHEN lines >= 400 THEN 'over_repo_cap' END, CASE WHEN doc_id % 20 >= 10 THEN 'many_symbols' END, CASE WHEN k = 0 THEN 'rust_module_root' END, CASE WHEN k < 2 AND doc_id % 5 = 0 THEN 'declares_modules' END, CASE WHEN k = 2 AND doc_id % 3 = 0 THEN 'exports_api' END, CASE WHEN k = 2 THEN 'module_barrel_or_root' END], lambda x: x IS NOT NULL) AS g FROM c)
+SELECT doc_id, path, lines::INT AS lines, array_to_string(CASE WHEN len(g) = 1 THEN list_append(g, 'extract_cohesive_units') ELSE g END, ',') AS tags, greatest(count(*) OVER () - 20, 0) AS omitted FROM t WHERE lines > 300 ORDER BY t.lines DESC, doc_id LIMIT 20""")
 def large_file_tags(v: Views) -> DataFrame:
     from ..functions import text
     from ..operators import budget
 
-    d = v.table("documents")
-    path = F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, "/mod.rs").otherwise(".rs")))
-    f = d.select(path.alias("path"), (text.line_count(F.col("text")) * 40).cast("int").alias("lines"), (F.col("doc_id") % 40).alias("p")).where("lines > 300")
-    f = f.select("path", "lines", F.array_join(cards.large_file_tags(F.col("path"), F.col("lines"), F.col("p")), ",").alias("tags"))
-    return budget.with_omitted(f, [F.desc("lines"), F.col("path")], 20)
+    k, d = F.col("doc_id"), v.table("documents")
+    name = F.when(k % 4 == 0, "mod.rs").when(k % 4 == 1, F.concat(k.cast("string"), F.lit(".rs"))).when(k % 4 == 2, "index.ts").otherwise(F.concat(k.cast("string"), F.lit(".py")))
+    source = F.concat(F.when(k % 5 == 0, "  pub mod x;\n").otherwise(""), F.when(k % 3 == 0, "export const y").otherwise(""))
+    f = d.select("doc_id", F.concat_ws("/", "lang", name).alias("path"), (text.line_count(F.col("text")) * 40).cast("int").alias("lines"), source.alias("source")).where("lines > 300")
+    tags = cards.large_file_tags(F.col("path"), text.language_of(F.col("path")), F.col("lines"), F.col("source"), k % 20)
+    return budget.with_omitted(f.select("doc_id", "path", "lines", F.array_join(tags, ",").alias("tags")), [F.desc("lines"), F.col("doc_id")], 20)
+
+
+@query("""WITH f AS (SELECT page_id AS k FROM pages), n(path, name) AS (SELECT 'js/m' || k || '.js', unnest(['shown' || k, 'given', 'inner']) FROM f WHERE k % 4 = 0 UNION ALL SELECT 'pk' || k || '/a.py', unnest(['Listed', 'Again']) FROM f WHERE k % 4 = 1
+UNION ALL SELECT 'pk' || k || '/__init__.py', 'start' FROM f WHERE k % 4 = 1 UNION ALL SELECT 'src/m' || k || '.rs', 'seen' FROM f WHERE k % 4 = 2) SELECT path, name FROM n""")
+def documented_api(v: Views) -> DataFrame:
+    k = F.col("page_id")
+    js = F.concat(F.lit("export function shown"), k, F.lit("() {\n}\nfunction given() {\n}\nfunction hidden() {\n}\nmodule.exports = { given };\nexports.inner = 1;\nconst inner = 2;\n"))
+    py = F.lit("__all__ = ['Listed']\nclass Listed:\n    pass\nclass Again:\n    pass\ndef other():\n    pass\n")
+    rows = [(k % 4 == 0, F.concat(F.lit("js/m"), k, F.lit(".js")), js), (k % 4 == 1, F.concat(F.lit("pk"), k, F.lit("/a.py")), py), (k % 4 == 1, F.concat(F.lit("pk"), k, F.lit("/__init__.py")), F.lit("from .a import Again\ndef start():\n    pass\ndef _no():\n    pass\n")), (k % 4 == 2, F.concat(F.lit("src/m"), k, F.lit(".rs")), F.lit("pub fn seen() {\n}\nfn unseen() {\n}\n"))]
+    files = None
+    for held, path, content in rows:
+        part = v.table("pages").where(held).select(path.alias("path"), content.alias("content"))
+        files = part if files is None else files.unionByName(part)
+    return cards.documented_api(files)
+
+
+@query(sql_with("lines", "SELECT root_id, path, count(*) AS n, CASE WHEN doc_id % 3 <> 0 THEN 'file_' || doc_id END AS file_id FROM lines WHERE contains(line, 'the') GROUP BY root_id, path, doc_id"))
+def hit_files(v: Views) -> DataFrame:
+    known = v.files.where(F.element_at(F.split("id", "_"), -1).cast("long") % 3 != 0)
+    return cards.hit_files(v.lines.where(F.col("line").contains("the")), known)
+
+
+@query(sql_with("fingerprints defines", DRIFT + "SELECT src, dst, kind, greatest((SELECT count(*) FROM defines WHERE src = 'nation_3') - 20, 0) AS omitted, round(coalesce(score, 0) / 2, 6) AS drift FROM (SELECT * FROM defines WHERE src = 'nation_3' ORDER BY kind, src, dst LIMIT 20) d LEFT JOIN scores ON dst = 'customer_' || file"))
+def edges_with_drift(v: Views) -> DataFrame:
+    from .catalog import _scores
+
+    s = _scores(v).select(F.concat(F.lit("customer_"), "file").alias("file"), "score")
+    return cards.edges_with_drift(v.edges(), s, "outbound nation_3 Defines", 20).withColumn("drift", F.round("drift", 6))
 
 
 @query(sql_with("changes " + ALL, PARTNERS + f""", edges AS ({EDGES}), near AS (SELECT CASE WHEN src = 'part_7' THEN dst ELSE src END AS other, min(kind) AS kind FROM edges WHERE kind IN ('calls', 'imports') AND 'part_7' IN (src, dst) GROUP BY 1),

@@ -293,3 +293,40 @@ def path_classes(v: Views) -> DataFrame:
 @query(sql_with("files", "SELECT path FROM files WHERE regexp_matches(path, '^(en|fr)/[^/]*[13]$')"))
 def matched_paths(v: Views) -> DataFrame:
     return v.files.where(text.path_matches(F.col("path"), "{en,fr}/*[13]")).select("path")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'invalid' WHEN 1 THEN 'fresh' WHEN 2 THEN 'stale' ELSE 'invalid' END AS freshness FROM events")
+def commentary_freshness(v: Views) -> DataFrame:
+    k = F.col("event_id") % 4
+    return v.events.select("event_id", overlay.commentary_freshness(F.when(k == 0, "").otherwise("a"), F.when(k == 1, "a").when(k == 2, "b").when(k == 0, "a")).alias("freshness"))
+
+
+@query(sql_with("nodes defines", "SELECT 'graph-json' AS form, (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM defines) AS n_edges, (SELECT count(*) FROM nodes) + (SELECT count(*) FROM defines) AS n_lines"))
+def graph_manifest(v: Views) -> DataFrame:
+    where = f"{sources.shared_dir(v.spark)}/graph-{uuid.uuid4().hex}"
+    manifest = sources.export_graph(v.nodes, v.edges("defines"), where, "graph-json")
+    return manifest.crossJoin(v.spark.read.json(where).where("what IS NOT NULL").agg(F.count("*").alias("n_lines")))
+
+
+@query("SELECT event_id, event_id % 6 IN (0, 1, 4) AS ignored FROM events")
+def ignored_paths(v: Views) -> DataFrame:
+    path = F.element_at(F.array(*map(F.lit, ("target/a.rs", "x/b.log", "x/keep.log", "src/target.rs", "docs/private/n.md", "a/docs/private/n.md"))), (F.col("event_id") % 6 + 1).cast("int"))
+    return v.events.select("event_id", sources.ignored(path, ("# build", "target/", "*.log", "!keep.log", "/docs/private")).alias("ignored"))
+
+
+@query("""WITH b AS (SELECT event_type AS tool, user_id % 7 AS part, sum(value) AS total, max(value) AS worst FROM events GROUP BY ALL), k AS (SELECT tool, 'u' || part AS key, total FROM b)
+SELECT b.tool, round(sum(b.total), 6) AS total, max(worst) AS worst, (SELECT string_agg(key || '=' || round(total, 2), ',' ORDER BY key) FROM k WHERE k.tool = b.tool) AS by_user FROM b GROUP BY b.tool""")
+def merged_metrics(v: Views) -> DataFrame:
+    part = v.events.groupBy(F.col("event_type").alias("tool"), (F.col("user_id") % 7).alias("part")).agg(F.sum("value").alias("total"), F.max("value").alias("worst"))
+    nested = upkeep.key_sums(part.select("tool", F.create_map(F.concat(F.lit("u"), "part"), "total").alias("m")), "tool", "m")
+    by = nested.groupBy("tool").agg(F.array_join(F.array_sort(F.collect_list(F.concat("key", F.lit("="), F.round("total", 2).cast("string")))), ",").alias("by_user"))
+    return part.groupBy("tool").agg(F.round(F.sum("total"), 6).alias("total"), F.max("worst").alias("worst")).join(by, "tool")
+
+
+@query(sql_with("lines", "SELECT path, line_number::INT AS line_number FROM lines WHERE root_id = 'src2' AND contains(line, 'the')"))
+def branch_search(v: Views) -> DataFrame:
+    """A search of one branch reads the folder of its index alone."""
+    where = f"{sources.shared_dir(v.spark)}/branches-{uuid.uuid4().hex}"
+    sources.save_index(v.lines.withColumn("root_id", F.concat("root_id", F.lit("@main"))), where)
+    held = v.spark.read.parquet(where).where(F.col("root_id") == "src2@main")
+    return held.where(F.col("line").contains("the")).select("path", F.col("line_number").cast("int").alias("line_number"))

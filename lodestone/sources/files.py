@@ -88,6 +88,35 @@ def export(rows: DataFrame, path: str, form: str) -> None:
         raise ValueError(f"no export form {form!r}")
 
 
+def export_graph(nodes: DataFrame, edges: DataFrame, path: str, form: str) -> DataFrame:
+    """Nodes (id, type, label) and edges (src, dst, kind) as graph-json lines or as the lists of graph-html pages; returns the manifest: form, n_nodes, n_edges."""
+    if form == "graph-json":
+        n = nodes.select(F.to_json(F.struct(F.lit("node").alias("what"), "id", "type", "label")).alias("line"))
+        e = edges.select(F.to_json(F.struct(F.lit("edge").alias("what"), "src", "dst", "kind")).alias("line"))
+    elif form == "graph-html":
+        safe = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        n = nodes.select(F.concat(F.lit('<li class="'), safe("type"), F.lit('">'), safe("label"), F.lit("</li>")).alias("line"))
+        e = edges.select(F.concat(F.lit('<li class="edge">'), safe("src"), F.lit(" "), safe("kind"), F.lit(" "), safe("dst"), F.lit("</li>")).alias("line"))
+    else:
+        raise ValueError(f"no export form {form!r}")
+    n.unionByName(e).write.mode("overwrite").text(path)
+    return nodes.agg(F.count("*").alias("n_nodes")).crossJoin(edges.agg(F.count("*").alias("n_edges"))).select(F.lit(form).alias("form"), "n_nodes", "n_edges")
+
+
+def ignored(path: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether ignore patterns leave a path out: the last that fits decides, ``!`` takes back, a slash inside binds to the root, one at the end means folders."""
+    out = F.lit(False)
+    for raw in patterns:
+        p = raw.strip()
+        if not p or p.startswith("#"):
+            continue
+        back, p = p.startswith("!"), p.removeprefix("!")
+        body = text.glob_to_regex(p.strip("/"))[1:-1]
+        fits = path.rlike(("^" if "/" in p.rstrip("/") else "(^|/)") + body + ("/" if p.endswith("/") else "(/|$)"))
+        out = F.when(fits, F.lit(not back)).otherwise(out)
+    return out
+
+
 PATTERNS = {
     "python": (r"(?m)^[ \t]*(?:async +)?(def|class) +([A-Za-z_]\w*)", {"def": "function", "class": "class"}),
     "rust": (r"(?m)^[ \t]*(?:pub(?:\([a-z]+\))? +)?(?:async +)?(fn|struct|enum|trait|mod) +([A-Za-z_]\w*)", {"fn": "function", "struct": "class", "enum": "class", "trait": "trait", "mod": "module"}),

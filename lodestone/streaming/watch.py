@@ -85,6 +85,24 @@ class RevisionCache:
         return self.rows
 
 
+def watch_loop(stream: DataFrame, full_pass, apply, checkpoint: str, interval: str = "1 second", cap: int = 1000, after=None):
+    """A full pass, then a query that applies each micro-batch of events (path); a batch of more than ``cap`` distinct paths asks for a full pass instead.
+
+    ``after`` runs when a batch is done, for cheap repairs; an empty batch keeps the watch alive and does nothing.
+    """
+    full_pass()
+
+    def step(batch: DataFrame, number: int) -> None:
+        paths = batch.select("path").distinct().limit(cap + 1).count()
+        if not paths:
+            return
+        full_pass() if paths > cap else apply(relevant(batch), number)
+        if after is not None:
+            after(number)
+
+    return run_sync(stream, step, checkpoint, interval)
+
+
 def run_sync(stream: DataFrame, apply, checkpoint: str, interval: str = "1 second"):
     """Start a query that hands each micro-batch of events to ``apply(batch, id)``."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
