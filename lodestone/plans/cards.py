@@ -97,7 +97,8 @@ PATHS = """f AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'src/m/mod' || pag
   WHEN 3 THEN 'tests/mod' || (page_id - 3) || '.py' WHEN 4 THEN 'src/m/tests/any' || page_id || '.py' ELSE 'web/mod' || (page_id - 5) || '.spec.ts' END AS path FROM pages),
 n AS (SELECT page_id, path, split_part(path, '/', -1) AS name, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM f),
 t AS (SELECT *, regexp_extract(name, '^(.+)\\.[^.]*$', 1) AS stem FROM n),
-pairs AS (SELECT DISTINCT a.path AS source, b.path AS test FROM t a JOIN t b ON starts_with(b.name, a.stem || '_test') OR starts_with(b.name, 'test_' || a.stem) OR starts_with(b.name, a.stem || '.test') OR starts_with(b.name, a.stem || '.spec')
+pairs AS (SELECT DISTINCT a.path AS source, b.path AS test FROM t a JOIN t b ON starts_with(b.name, a.stem || '_test') OR starts_with(b.name, 'test_' || a.stem) OR
+starts_with(b.name, a.stem || '.test') OR starts_with(b.name, a.stem || '.spec')
   OR b.path IN ('tests/' || a.stem || '.rs', 'tests/' || a.stem || '.py') OR (a.folder <> '' AND (starts_with(b.path, a.folder || '/tests/') OR starts_with(b.path, a.folder || '/__tests__/'))))"""
 
 
@@ -118,7 +119,8 @@ def test_pairs(v: Views) -> DataFrame:
 
 @query(f"""WITH {PATHS}, y AS (SELECT page_id AS id, path, CASE page_id % 2 WHEN 0 THEN 'helper' || page_id ELSE 'test_it' || page_id END AS name FROM f),
 c AS (SELECT page_id AS src, page_id - 1 AS dst FROM pages WHERE page_id % 6 IN (1, 5))
-SELECT source, test, id AS symbol, CASE WHEN EXISTS (SELECT 1 FROM c JOIN y z ON z.id = c.dst WHERE c.src = y.id AND z.path = source) THEN 0.9 WHEN contains(name, 'test_') THEN 0.55 ELSE 0.3 END::DOUBLE AS risk, name FROM pairs JOIN y ON y.path = test""")
+SELECT source, test, id AS symbol, CASE WHEN EXISTS (SELECT 1 FROM c JOIN y z ON z.id = c.dst WHERE c.src = y.id AND z.path = source) THEN 0.9 WHEN contains(name,
+'test_') THEN 0.55 ELSE 0.3 END::DOUBLE AS risk, name FROM pairs JOIN y ON y.path = test""")
 def test_surface(v: Views) -> DataFrame:
     p = _paths(v)
     named = p.select(F.col("page_id").alias("id"), "path", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("helper"), "page_id")).otherwise(F.concat(F.lit("test_it"), "page_id")).alias("name"))
@@ -161,7 +163,8 @@ def file_cards(v: Views) -> DataFrame:
     return c.select("file", "n_symbols", *[F.array_join(x, ",").alias(x) for x in ("symbols", "imported_by", "imports", "co_changes")])
 
 
-@query(sql_with("calls", """SELECT 'part_' || p_partkey AS id, p_brand AS defined_at, CASE WHEN p_size % 5 <> 0 THEN p_type END AS doc, CASE WHEN p_size * 100 > 2400 THEN array_to_string(list_sort([p_type, p_name]), ',') ELSE '' END AS outline,
+@query(sql_with("calls", """SELECT 'part_' || p_partkey AS id, p_brand AS defined_at, CASE WHEN p_size % 5 <> 0 THEN p_type END AS doc, CASE WHEN p_size * 100 > 2400 THEN
+array_to_string(list_sort([p_type, p_name]), ',') ELSE '' END AS outline,
 coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM calls WHERE dst = 'part_' || p_partkey), '') AS callers, '' AS callees FROM part"""))
 def symbol_cards(v: Views) -> DataFrame:
     p = v.table("part").select(F.concat(F.lit("part_"), "p_partkey").alias("id"), F.col("p_brand").alias("file"), F.when(F.col("p_size") % 5 != 0, F.col("p_type")).alias("doc_comment"), (F.col("p_size") * 100).alias("body_bytes"), F.array("p_type", "p_name").alias("members"))
@@ -178,7 +181,8 @@ def module_cards(v: Views) -> DataFrame:
 
 
 @query(f"""WITH {SYMBOLS}, t AS (SELECT 'src/cmd/' || p_type || '.rs' AS path, max(l_shipdate) AS ts FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 45 GROUP BY ALL)
-SELECT id, CASE kind WHEN 'function' THEN 'cli_command' END AS entry_point, coalesce(ts >= (SELECT max(ts) FROM t) - INTERVAL 30 DAY, false) AS recent FROM s LEFT JOIN t USING (path) WHERE starts_with(path, 'src/cmd/') AND visibility <> 'private'""")
+SELECT id, CASE kind WHEN 'function' THEN 'cli_command' END AS entry_point, coalesce(ts >= (SELECT max(ts) FROM t) - INTERVAL 30 DAY, false) AS recent FROM s LEFT JOIN t
+USING (path) WHERE starts_with(path, 'src/cmd/') AND visibility <> 'private'""")
 def module_public_api(v: Views) -> DataFrame:
     sold = v.table("part").join(v.table("lineitem").where("l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey"))
     changed = sold.select(F.concat(F.lit("src/cmd/"), "p_type", F.lit(".rs")).alias("path"), F.col("l_shipdate").alias("ts"))
@@ -191,9 +195,14 @@ def entry_points(v: Views) -> DataFrame:
     return cards.entry_points(_symbols(v))
 
 
-@query("""WITH c AS (SELECT lang || '/' || CASE doc_id % 4 WHEN 0 THEN 'mod.rs' WHEN 1 THEN doc_id || '.rs' WHEN 2 THEN 'index.ts' ELSE doc_id || '.py' END AS path, doc_id, text, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END * 40 AS lines, doc_id % 4 AS k FROM documents),
-t AS (SELECT *, list_filter(['large_file', CASE WHEN lines >= 400 THEN 'over_repo_cap' END, CASE WHEN doc_id % 20 >= 10 THEN 'many_symbols' END, CASE WHEN k = 0 THEN 'rust_module_root' END, CASE WHEN k < 2 AND doc_id % 5 = 0 THEN 'declares_modules' END, CASE WHEN k = 2 AND doc_id % 3 = 0 THEN 'exports_api' END, CASE WHEN k = 2 THEN 'module_barrel_or_root' END], lambda x: x IS NOT NULL) AS g FROM c)
-SELECT doc_id, path, lines::INT AS lines, array_to_string(CASE WHEN len(g) = 1 THEN list_append(g, 'extract_cohesive_units') ELSE g END, ',') AS tags, greatest(count(*) OVER () - 20, 0) AS omitted FROM t WHERE lines > 300 ORDER BY t.lines DESC, doc_id LIMIT 20""")
+@query("""WITH c AS (SELECT lang || '/' || CASE doc_id % 4 WHEN 0 THEN 'mod.rs' WHEN 1 THEN doc_id || '.rs' WHEN 2 THEN 'index.ts' ELSE doc_id || '.py' END AS path, doc_id, text,
+CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END * 40 AS lines, doc_id % 4 AS k FROM
+documents),
+t AS (SELECT *, list_filter(['large_file', CASE WHEN lines >= 400 THEN 'over_repo_cap' END, CASE WHEN doc_id % 20 >= 10 THEN 'many_symbols' END, CASE WHEN k = 0 THEN
+'rust_module_root' END, CASE WHEN k < 2 AND doc_id % 5 = 0 THEN 'declares_modules' END, CASE WHEN k = 2 AND doc_id % 3 = 0 THEN 'exports_api' END, CASE WHEN k = 2 THEN
+'module_barrel_or_root' END], lambda x: x IS NOT NULL) AS g FROM c)
+SELECT doc_id, path, lines::INT AS lines, array_to_string(CASE WHEN len(g) = 1 THEN list_append(g, 'extract_cohesive_units') ELSE g END, ',') AS tags, greatest(count(*)
+OVER () - 20, 0) AS omitted FROM t WHERE lines > 300 ORDER BY t.lines DESC, doc_id LIMIT 20""")
 def large_file_tags(v: Views) -> DataFrame:
     from ..functions import text
     from ..operators import budget
@@ -206,7 +215,8 @@ def large_file_tags(v: Views) -> DataFrame:
     return budget.with_omitted(f.select("doc_id", "path", "lines", F.array_join(tags, ",").alias("tags")), [F.desc("lines"), F.col("doc_id")], 20)
 
 
-@query("""WITH f AS (SELECT page_id AS k FROM pages), n(path, name) AS (SELECT 'js/m' || k || '.js', unnest(['shown' || k, 'given', 'inner']) FROM f WHERE k % 4 = 0 UNION ALL SELECT 'pk' || k || '/a.py', unnest(['Listed', 'Again']) FROM f WHERE k % 4 = 1
+@query("""WITH f AS (SELECT page_id AS k FROM pages), n(path, name) AS (SELECT 'js/m' || k || '.js', unnest(['shown' || k, 'given', 'inner']) FROM f WHERE k % 4 = 0 UNION ALL
+SELECT 'pk' || k || '/a.py', unnest(['Listed', 'Again']) FROM f WHERE k % 4 = 1
 UNION ALL SELECT 'pk' || k || '/__init__.py', 'start' FROM f WHERE k % 4 = 1 UNION ALL SELECT 'src/m' || k || '.rs', 'seen' FROM f WHERE k % 4 = 2) SELECT path, name FROM n""")
 def documented_api(v: Views) -> DataFrame:
     k = F.col("page_id")
@@ -226,7 +236,8 @@ def hit_files(v: Views) -> DataFrame:
     return cards.hit_files(v.lines.where(F.col("line").contains("the")), known)
 
 
-@query(sql_with("fingerprints defines", DRIFT + "SELECT src, dst, kind, greatest((SELECT count(*) FROM defines WHERE src = 'nation_3') - 20, 0) AS omitted, round(coalesce(score, 0) / 2, 6) AS drift FROM (SELECT * FROM defines WHERE src = 'nation_3' ORDER BY kind, src, dst LIMIT 20) d LEFT JOIN scores ON dst = 'customer_' || file"))
+@query(sql_with("fingerprints defines", DRIFT + """SELECT src, dst, kind, greatest((SELECT count(*) FROM defines WHERE src = 'nation_3') - 20, 0) AS omitted, round(coalesce(score, 0) / 2, 6) AS drift FROM (SELECT * FROM
+defines WHERE src = 'nation_3' ORDER BY kind, src, dst LIMIT 20) d LEFT JOIN scores ON dst = 'customer_' || file"""))
 def edges_with_drift(v: Views) -> DataFrame:
     from .catalog import _scores
 
@@ -234,7 +245,8 @@ def edges_with_drift(v: Views) -> DataFrame:
     return cards.edges_with_drift(v.edges(), s, "outbound nation_3 Defines", 20).withColumn("drift", F.round("drift", 6))
 
 
-@query(sql_with("changes " + ALL, PARTNERS + f""", edges AS ({EDGES}), near AS (SELECT CASE WHEN src = 'part_7' THEN dst ELSE src END AS other, min(kind) AS kind FROM edges WHERE kind IN ('calls', 'imports') AND 'part_7' IN (src, dst) GROUP BY 1),
+@query(sql_with("changes " + ALL, PARTNERS + f""", edges AS ({EDGES}), near AS (SELECT CASE WHEN src = 'part_7' THEN dst ELSE src END AS other, min(kind) AS kind FROM edges WHERE kind IN ('calls', 'imports') AND
+'part_7' IN (src, dst) GROUP BY 1),
 gov AS (SELECT DISTINCT src AS other FROM edges WHERE kind = 'governs' AND dst = 'part_7'), co AS (SELECT other, n FROM partners WHERE file = 'part_7')
 SELECT 'focal' AS section, 'part_7' AS other, 0 AS place UNION ALL SELECT 'count', 'neighbours', count(*) FROM near UNION ALL SELECT 'count', 'governing', count(*) FROM gov UNION ALL SELECT 'count', 'co_changes', count(*) FROM co
 UNION ALL SELECT 'neighbour', other, row_number() OVER (ORDER BY kind, other) AS place FROM near QUALIFY place <= 20 UNION ALL SELECT 'governing', other, row_number() OVER (ORDER BY other) AS place FROM gov QUALIFY place <= 20
@@ -243,10 +255,12 @@ def minimum_context(v: Views) -> DataFrame:
     return cards.minimum_context(v.edges(), _partners(v), "part_7")
 
 
-@query(f"""WITH {SYMBOLS}, r AS (SELECT event_id AS ref, CASE event_id % 3 WHEN 0 THEN 'Brand#' || (event_id % 25 + 1) || '::' || p_name ELSE p_name END AS target, path AS file, root_id FROM events JOIN s ON id = 'part_' || (event_id % 150) JOIN part ON p_partkey = (event_id * 7) % 150),
+@query(f"""WITH {SYMBOLS}, r AS (SELECT event_id AS ref, CASE event_id % 3 WHEN 0 THEN 'Brand#' || (event_id % 25 + 1) || '::' || p_name ELSE p_name END AS target, path AS file,
+root_id FROM events JOIN s ON id = 'part_' || (event_id % 150) JOIN part ON p_partkey = (event_id * 7) % 150),
 w AS (SELECT ref, file, r.root_id, s.id, s.path AS s_file, visibility, s.root_id AS s_root FROM r JOIN s ON contains(target, '::') AND qualified_name = target),
 h AS (SELECT ref, file, r.root_id, s.id, s.path, visibility, s.root_id FROM r JOIN s ON name = split_part(target, '::', -1) WHERE ref NOT IN (SELECT ref FROM w)),
-c AS (SELECT ref, id, CASE WHEN file = s_file THEN 100 ELSE 0 END + CASE visibility WHEN 'public' THEN 20 WHEN 'crate' THEN 10 ELSE CASE WHEN file = s_file THEN 0 ELSE -100 END END AS score FROM (SELECT * FROM w UNION ALL SELECT * FROM h) WHERE root_id = s_root),
+c AS (SELECT ref, id, CASE WHEN file = s_file THEN 100 ELSE 0 END + CASE visibility WHEN 'public' THEN 20 WHEN 'crate' THEN 10 ELSE CASE WHEN file = s_file THEN 0 ELSE
+-100 END END AS score FROM (SELECT * FROM w UNION ALL SELECT * FROM h) WHERE root_id = s_root),
 b AS (SELECT *, rank() OVER (PARTITION BY ref ORDER BY score DESC) AS k FROM c) SELECT ref, min(id) AS symbol FROM b WHERE k = 1 AND score > 0 GROUP BY ref HAVING count(*) = 1""")
 def resolve_references(v: Views) -> DataFrame:
     s = _symbols(v)

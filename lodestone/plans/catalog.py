@@ -23,12 +23,14 @@ def hotspots(v: Views) -> DataFrame:
     return history.hotspots(v.commits, v.changes)
 
 
-@_query(sql_with("commits changes", ", n AS (SELECT path, author, count(*) AS n FROM changes JOIN commits USING (revision) GROUP BY ALL) SELECT path, arg_max(author, (n, -author)) AS author, max(n) AS author_touches, sum(n)::BIGINT AS touches FROM n GROUP BY path"))
+@_query(sql_with("commits changes", """, n AS (SELECT path, author, count(*) AS n FROM changes JOIN commits USING (revision) GROUP BY ALL) SELECT path, arg_max(author, (n, -author)) AS author, max(n) AS
+author_touches, sum(n)::BIGINT AS touches FROM n GROUP BY path"""))
 def ownership(v: Views) -> DataFrame:
     return history.ownership(v.commits, v.changes)
 
 
-PAIRS = ", few AS (SELECT revision FROM changes GROUP BY revision HAVING count(*) <= 100), pairs AS (SELECT a.path AS left_path, b.path AS right_path, count(*) AS n FROM few JOIN changes a USING (revision) JOIN changes b USING (revision) WHERE a.path < b.path GROUP BY ALL) "
+PAIRS = """, few AS (SELECT revision FROM changes GROUP BY revision HAVING count(*) <= 100), pairs AS (SELECT a.path AS left_path, b.path AS right_path, count(*) AS n FROM few JOIN
+changes a USING (revision) JOIN changes b USING (revision) WHERE a.path < b.path GROUP BY ALL) """
 
 
 @_query(sql_with("changes", PAIRS + "SELECT * FROM pairs"))
@@ -53,7 +55,8 @@ def first_last_revision(v: Views) -> DataFrame:
     return history.first_last_revision(v.commits, v.changes)
 
 
-@_query("""WITH o AS (SELECT 'user_' || user_id AS symbol, event_id AS revision, event_type AS body, lead(event_id) OVER w AS nxt, last_value(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+@_query("""WITH o AS (SELECT 'user_' || user_id AS symbol, event_id AS revision, event_type AS body, lead(event_id) OVER w AS nxt, last_value(event_type) OVER (PARTITION BY user_id
+ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT symbol, min(revision) AS first_seen_rev, max(CASE WHEN body <> now THEN revision END) AS last_modified_rev, arg_max(nxt, revision) FILTER (body <> now) AS changed_at_rev FROM o GROUP BY symbol""")
 def symbol_revisions(v: Views) -> DataFrame:
     return history.body_changes(v.events.select(F.concat(F.lit("user_"), "user_id").alias("symbol"), F.col("event_id").alias("seq"), F.col("event_id").alias("revision"), F.col("event_type").alias("body")))
@@ -68,7 +71,8 @@ def recent_commits(v: Views) -> DataFrame:
 
 EDGES = "SELECT * FROM defines UNION ALL SELECT * FROM calls UNION ALL SELECT * FROM imports UNION ALL SELECT * FROM governs"
 ALL = "defines calls imports governs"
-DEGREES = f", edges AS ({EDGES}), ends AS (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges), degrees AS (SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, count(*) AS degree FROM ends GROUP BY id) "
+DEGREES = f""", edges AS ({EDGES}), ends AS (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges), degrees AS (SELECT id, sum(i)::BIGINT AS in_degree,
+sum(o)::BIGINT AS out_degree, count(*) AS degree FROM ends GROUP BY id) """
 
 
 @_query(sql_with("nodes " + ALL, f", edges AS ({EDGES}) SELECT 'node:' || type AS what, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT 'edge:' || kind, count(*) FROM edges GROUP BY 1"))
@@ -91,7 +95,8 @@ def degree_map(v: Views) -> DataFrame:
     return graph.degree_map(v.edges())
 
 
-@_query(sql_with(ALL, DEGREES + ", top AS (SELECT id, degree FROM degrees ORDER BY degree DESC, id LIMIT 25), held AS (SELECT * FROM edges WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top)) SELECT id, degree, (SELECT count(*) FROM held WHERE src = id) + (SELECT count(*) FROM held WHERE dst = id) AS induced FROM top"))
+@_query(sql_with(ALL, DEGREES + """, top AS (SELECT id, degree FROM degrees ORDER BY degree DESC, id LIMIT 25), held AS (SELECT * FROM edges WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM
+top)) SELECT id, degree, (SELECT count(*) FROM held WHERE src = id) + (SELECT count(*) FROM held WHERE dst = id) AS induced FROM top"""))
 def top_degree_overview(v: Views) -> DataFrame:
     return graph.top_degree_overview(v.edges())
 
@@ -146,7 +151,9 @@ def neighborhood_edges(v: Views) -> DataFrame:
     return graph.neighborhood_edges(e, graph.neighborhood(e, "nation_3", 1))
 
 
-@_query(sql_with("defines", ", ways AS (SELECT src AS a, dst AS b FROM defines UNION ALL SELECT dst, src FROM defines), d1 AS (SELECT b AS id FROM ways WHERE a = 'region_1'), d2 AS (SELECT b AS id FROM ways WHERE a IN (SELECT id FROM d1)) SELECT id, min(d)::INT AS distance FROM (SELECT 'region_1' AS id, 0 AS d UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2) GROUP BY id"))
+@_query(sql_with("defines", """, ways AS (SELECT src AS a, dst AS b FROM defines UNION ALL SELECT dst, src FROM defines), d1 AS (SELECT b AS id FROM ways WHERE a = 'region_1'), d2 AS (SELECT b AS id
+FROM ways WHERE a IN (SELECT id FROM d1)) SELECT id, min(d)::INT AS distance FROM (SELECT 'region_1' AS id, 0 AS d UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2
+FROM d2) GROUP BY id"""))
 def shortest_distance_2(v: Views) -> DataFrame:
     return graph.distances(v.edges("defines"), "region_1", 2)
 
@@ -179,13 +186,15 @@ def high_drift(v: Views) -> DataFrame:
     return similarity.high_drift(_scores(v)).withColumn("score", F.round("score", 6))
 
 
-@_query(sql_with("fingerprints defines", DRIFT + ", n AS (SELECT 'customer_' || file AS file, score FROM scores) SELECT src, dst, kind, round((coalesce(a.score, 0) + coalesce(b.score, 0)) / 2, 6) AS drift FROM defines LEFT JOIN n a ON a.file = src LEFT JOIN n b ON b.file = dst"))
+@_query(sql_with("fingerprints defines", DRIFT + """, n AS (SELECT 'customer_' || file AS file, score FROM scores) SELECT src, dst, kind, round((coalesce(a.score, 0) + coalesce(b.score, 0)) / 2, 6) AS drift FROM defines
+LEFT JOIN n a ON a.file = src LEFT JOIN n b ON b.file = dst"""))
 def edge_drift_join(v: Views) -> DataFrame:
     s = _scores(v).select(F.concat(F.lit("customer_"), "file").alias("file"), "score")
     return similarity.edge_drift(v.edges("defines"), s).withColumn("drift", F.round("drift", 6))
 
 
-@_query(sql_with("fingerprints defines", DRIFT + ", n AS (SELECT 'customer_' || file AS file, score FROM scores) SELECT src AS concept, count(*) FILTER (score >= 0.5) AS n_stale, round(max(score), 6) AS worst FROM defines LEFT JOIN n ON file = dst GROUP BY src HAVING count(*) FILTER (score >= 0.5) > 0"))
+@_query(sql_with("fingerprints defines", DRIFT + """, n AS (SELECT 'customer_' || file AS file, score FROM scores) SELECT src AS concept, count(*) FILTER (score >= 0.5) AS n_stale, round(max(score), 6) AS worst FROM
+defines LEFT JOIN n ON file = dst GROUP BY src HAVING count(*) FILTER (score >= 0.5) > 0"""))
 def stale_rationale(v: Views) -> DataFrame:
     s = _scores(v).select(F.concat(F.lit("customer_"), "file").alias("file"), "score")
     return similarity.stale_rationale(v.edges("defines"), s).withColumn("worst", F.round("worst", 6))
@@ -211,7 +220,8 @@ def jaccard_pairs(v: Views) -> DataFrame:
     return _pairs(v, 0.4).withColumn("similarity", F.round("similarity", 6))
 
 
-@_query("WITH x AS (SELECT 1)" + PAIR + ", r AS (SELECT *, row_number() OVER w AS rn, lead(similarity) OVER w AS nxt FROM pairs WHERE similarity >= 0.4 WINDOW w AS (PARTITION BY old ORDER BY similarity DESC, new)) SELECT old, new, round(similarity, 6) AS similarity FROM r WHERE rn = 1 AND similarity >= 0.5 AND similarity - coalesce(nxt, 0) >= 0.15")
+@_query("WITH x AS (SELECT 1)" + PAIR + """, r AS (SELECT *, row_number() OVER w AS rn, lead(similarity) OVER w AS nxt FROM pairs WHERE similarity >= 0.4 WINDOW w AS (PARTITION BY old ORDER BY similarity DESC,
+new)) SELECT old, new, round(similarity, 6) AS similarity FROM r WHERE rn = 1 AND similarity >= 0.5 AND similarity - coalesce(nxt, 0) >= 0.15""")
 def rename_candidates(v: Views) -> DataFrame:
     return similarity.renames(_pairs(v, 0.4), 0.5).withColumn("similarity", F.round("similarity", 6))
 
@@ -230,7 +240,8 @@ def merge_candidates(v: Views) -> DataFrame:
 rk AS (SELECT *, row_number() OVER w AS rn, lead(similarity) OVER w AS nxt FROM rs WINDOW w AS (PARTITION BY old ORDER BY similarity DESC, new)), r AS (SELECT old, new FROM rk WHERE rn = 1 AND similarity - coalesce(nxt, 0) >= 0.15),
 l1 AS (SELECT * FROM pairs WHERE similarity >= 0.4 AND old NOT IN (SELECT old FROM r)), s AS (SELECT old, array_to_string(list_sort(list(DISTINCT new)), ',') AS targets FROM l1 GROUP BY old HAVING count(DISTINCT new) >= 2),
 l2 AS (SELECT * FROM l1 WHERE old NOT IN (SELECT old FROM s)), g AS (SELECT new, list(DISTINCT old) AS olds FROM l2 WHERE similarity >= 0.5 GROUP BY new HAVING count(DISTINCT old) >= 2),
-m AS (SELECT old, min(new) AS new FROM (SELECT unnest(olds) AS old, new FROM g) GROUP BY old), k AS (SELECT old, 'rename' AS outcome, new::VARCHAR AS targets FROM r UNION ALL SELECT old, 'split', targets FROM s UNION ALL SELECT old, 'merge', new::VARCHAR FROM m)
+m AS (SELECT old, min(new) AS new FROM (SELECT unnest(olds) AS old, new FROM g) GROUP BY old), k AS (SELECT old, 'rename' AS outcome, new::VARCHAR AS targets FROM r UNION
+ALL SELECT old, 'split', targets FROM s UNION ALL SELECT old, 'merge', new::VARCHAR FROM m)
 SELECT * FROM k UNION ALL SELECT DISTINCT file, 'breakage', '' FROM old WHERE file NOT IN (SELECT old FROM k)""")
 def identity_cascade(v: Views) -> DataFrame:
     half = lambda c: v.table("lineitem").where(c).select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("element")).distinct()
@@ -247,14 +258,16 @@ def exact_rename(v: Views) -> DataFrame:
     return similarity.exact_renames(f.where("k = 1"), f.where("k > 1"))
 
 
-@_query("""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents), w AS (SELECT doc_id, unnest([0, least(greatest(n // 2 - 2048, 0), greatest(n - 4096, 0)), greatest(n - 4096, 0)]) AS s, text FROM t WHERE n >= 32 AND n <= 262144),
+@_query("""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents), w AS (SELECT doc_id, unnest([0, least(greatest(n // 2 - 2048, 0), greatest(n - 4096, 0)), greatest(n -
+4096, 0)]) AS s, text FROM t WHERE n >= 32 AND n <= 262144),
 p AS (SELECT doc_id, md5(substr(substr(text, s + 1, 4096), i * 32 + 1, 32)) AS h FROM w, unnest(range(0, length(substr(text, s + 1, 4096)) // 32)) u(i))
 SELECT doc_id, count(DISTINCT h) AS n_shingles FROM p GROUP BY doc_id UNION ALL SELECT doc_id, 0 FROM t WHERE n < 32 OR n > 262144""")
 def sampled_shingles(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", F.size(sets.sampled_shingles(F.col("text"))).cast("long").alias("n_shingles"))
 
 
-@_query("""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents), w AS (SELECT doc_id, unnest([0, least(greatest(n // 2 - 2048, 0), greatest(n - 4096, 0)), greatest(n - 4096, 0)]) AS s, text FROM t WHERE n >= 32 AND n <= 262144),
+@_query("""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents), w AS (SELECT doc_id, unnest([0, least(greatest(n // 2 - 2048, 0), greatest(n - 4096, 0)), greatest(n -
+4096, 0)]) AS s, text FROM t WHERE n >= 32 AND n <= 262144),
 p AS (SELECT DISTINCT doc_id, substr(substr(text, s + 1, 4096), i * 32 + 1, 32) AS h FROM w, unnest(range(0, length(substr(text, s + 1, 4096)) // 32)) u(i)), c AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
 b AS (SELECT x.doc_id AS old, y.doc_id AS new, count(*) AS both_n FROM p x JOIN p y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL)
 SELECT old, new, round(both_n / (a.n + d.n - both_n), 6) AS similarity FROM b JOIN c a ON a.doc_id = old JOIN c d ON d.doc_id = new WHERE both_n / (a.n + d.n - both_n) >= 0.72""")
@@ -275,7 +288,9 @@ def lexical_regex(v: Views) -> DataFrame:
     return search.lexical(v.lines, "[0-9]{3}-[0-9]{4}", path="en/").select("root_id", "path", F.col("line_number").cast("int").alias("line_number"), "line")
 
 
-@_query(sql_with("lines", ", m AS (SELECT *, row_number() OVER (PARTITION BY root_id, path ORDER BY line_number) AS rn, CASE WHEN length(line) > 160 THEN substr(line, 1, 160) || '…' ELSE line END AS p FROM lines WHERE regexp_matches(line, '@|[0-9]{4}')) SELECT root_id, path, count(*) AS n_matches, string_agg(p, chr(10) ORDER BY rn) FILTER (rn <= 5) AS previews FROM m GROUP BY ALL"))
+@_query(sql_with("lines", """, m AS (SELECT *, row_number() OVER (PARTITION BY root_id, path ORDER BY line_number) AS rn, CASE WHEN length(line) > 160 THEN substr(line, 1, 160) || '…' ELSE line END
+AS p FROM lines WHERE regexp_matches(line, '@|[0-9]{4}')) SELECT root_id, path, count(*) AS n_matches, string_agg(p, chr(10) ORDER BY rn) FILTER (rn <= 5) AS previews
+FROM m GROUP BY ALL"""))
 def search_grouped(v: Views) -> DataFrame:
     return search.grouped(search.lexical(v.lines, "@|[0-9]{4}"))
 
@@ -285,7 +300,8 @@ def rooted_search(v: Views) -> DataFrame:
     return search.rooted(v.lines, "token", "src3").select("root_id", "path", F.col("line_number").cast("int").alias("line_number"))
 
 
-@_query(sql_with("lines", ", h AS (SELECT path, sum(contains(lower(line), 'token')::INT + contains(lower(line), 'password')::INT + contains(lower(line), 'email')::INT)::BIGINT AS hits FROM lines WHERE regexp_matches(lower(line), 'token|password|email') GROUP BY path) SELECT path, hits, hits * 20 AS score FROM h ORDER BY score DESC, path LIMIT 20"))
+@_query(sql_with("lines", """, h AS (SELECT path, sum(contains(lower(line), 'token')::INT + contains(lower(line), 'password')::INT + contains(lower(line), 'email')::INT)::BIGINT AS hits FROM lines
+WHERE regexp_matches(lower(line), 'token|password|email') GROUP BY path) SELECT path, hits, hits * 20 AS score FROM h ORDER BY score DESC, path LIMIT 20"""))
 def find_rank(v: Views) -> DataFrame:
     return search.find_rank(v.lines, ["token", "password", "email"])
 
@@ -302,8 +318,10 @@ def vector_topk(v: Views) -> DataFrame:
     return search.vector_topk(v.vectors, _probe(v))
 
 
-@_query(sql_with("vectors", """, x AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM vectors), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY ALL), c AS (SELECT label AS route, list(x ORDER BY i) AS c FROM m GROUP BY label),
-s AS (SELECT vec_id, label, route, round(list_cosine_similarity(v, c), 6) AS score FROM vectors, c) SELECT vec_id, label, CASE WHEN max(score) >= 0.1 THEN arg_max(route, (score, -route)) END AS route, max(score) AS score FROM s GROUP BY ALL"""))
+@_query(sql_with("vectors", """, x AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM vectors), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY ALL), c AS (SELECT label AS route,
+list(x ORDER BY i) AS c FROM m GROUP BY label),
+s AS (SELECT vec_id, label, route, round(list_cosine_similarity(v, c), 6) AS score FROM vectors, c) SELECT vec_id, label, CASE WHEN max(score) >= 0.1 THEN arg_max(route,
+(score, -route)) END AS route, max(score) AS score FROM s GROUP BY ALL"""))
 def semantic_route(v: Views) -> DataFrame:
     return search.nearest_centroid(v.vectors, 0.1)
 
@@ -342,14 +360,18 @@ def task_containment(v: Views) -> DataFrame:
     return search.containment(v.table("benchmark"), v.table("documents"))
 
 
-@_query("WITH e AS (SELECT vec_id AS task, label FROM embeddings), r AS (SELECT task, (task * 7 + k) % 10 AS doc, k AS rank FROM e, unnest(range(10)) u(k)) SELECT count(*) AS n_tasks, round(avg(hit), 6) AS hit_rate FROM (SELECT e.task, max(CASE WHEN r.rank < 5 THEN 1 ELSE 0 END) AS hit FROM e LEFT JOIN r ON r.task = e.task AND r.doc = e.label GROUP BY e.task)")
+@_query("""WITH e AS (SELECT vec_id AS task, label FROM embeddings), r AS (SELECT task, (task * 7 + k) % 10 AS doc, k AS rank FROM e, unnest(range(10)) u(k)) SELECT count(*) AS
+n_tasks, round(avg(hit), 6) AS hit_rate FROM (SELECT e.task, max(CASE WHEN r.rank < 5 THEN 1 ELSE 0 END) AS hit FROM e LEFT JOIN r ON r.task = e.task AND r.doc = e.label
+GROUP BY e.task)""")
 def bench_hit_at_k(v: Views) -> DataFrame:
     e = v.table("embeddings").select(F.col("vec_id").alias("task"), F.col("label").cast("long").alias("doc"))
     r = e.select("task", F.posexplode(F.sequence(F.lit(0), F.lit(9))).alias("rank", "k")).select("task", ((F.col("task") * 7 + F.col("k")) % 10).alias("doc"), "rank")
     return search.hit_at_k(r, e)
 
 
-@_query("WITH r AS (SELECT l_orderkey AS task, l_partkey AS doc FROM lineitem GROUP BY ALL), a AS (SELECT l_orderkey AS task, l_partkey AS doc FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL) SELECT r.task, CASE WHEN r.task IN (SELECT task FROM a) THEN round(1 - count(a.doc) / count(*), 6) END AS rate FROM r LEFT JOIN a ON a.task = r.task AND a.doc = r.doc GROUP BY r.task")
+@_query("""WITH r AS (SELECT l_orderkey AS task, l_partkey AS doc FROM lineitem GROUP BY ALL), a AS (SELECT l_orderkey AS task, l_partkey AS doc FROM lineitem WHERE l_returnflag =
+'A' GROUP BY ALL) SELECT r.task, CASE WHEN r.task IN (SELECT task FROM a) THEN round(1 - count(a.doc) / count(*), 6) END AS rate FROM r LEFT JOIN a ON a.task = r.task AND
+a.doc = r.doc GROUP BY r.task""")
 def wrong_context_rate(v: Views) -> DataFrame:
     r = v.table("lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_partkey").alias("doc"), "l_returnflag")
     return search.wrong_context_rate(r.select("task", "doc").distinct(), r.where("l_returnflag = 'A'").select("task", "doc").distinct())
@@ -359,7 +381,8 @@ def wrong_context_rate(v: Views) -> DataFrame:
 
 @_query(sql_with("fingerprints commits changes", DRIFT + PAIRS.replace(" pairs AS", " allpairs AS") + """, pairs AS (SELECT * FROM allpairs WHERE n >= 2), t AS (SELECT path, count(*) AS touches FROM changes JOIN commits USING (revision) GROUP BY path),
 e AS (SELECT path, count(*) AS n FROM (SELECT left_path AS path FROM pairs UNION ALL SELECT right_path FROM pairs) GROUP BY path),
-r AS (SELECT t.path, round(coalesce(d.score, 0) * 0.4 + least(coalesce(e.n, 0) / 10, 1.0) * 0.3 + least(touches / 10, 1.0) * 0.3, 6) AS score FROM t LEFT JOIN (SELECT 'part_' || file AS path, score FROM scores) d ON d.path = t.path LEFT JOIN e ON e.path = t.path)
+r AS (SELECT t.path, round(coalesce(d.score, 0) * 0.4 + least(coalesce(e.n, 0) / 10, 1.0) * 0.3 + least(touches / 10, 1.0) * 0.3, 6) AS score FROM t LEFT JOIN (SELECT
+'part_' || file AS path, score FROM scores) d ON d.path = t.path LEFT JOIN e ON e.path = t.path)
 SELECT *, CASE WHEN score >= 0.8 THEN 'critical' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS level FROM r"""))
 def change_risk(v: Views) -> DataFrame:
     touches = v.changes.join(v.commits, "revision").groupBy("path").agg(F.count("*").alias("touches"))
@@ -367,21 +390,27 @@ def change_risk(v: Views) -> DataFrame:
     return graph.change_risk(d, history.cochange_pairs(v.changes).where("n >= 2"), touches)
 
 
-@_query("SELECT p_brand AS module, count(*) AS n_symbols, count(*) FILTER (p_size % 3 = 0) AS n_public, count(*) FILTER (p_size % 3 = 1) AS n_restricted, count(*) FILTER (p_size % 3 = 2) AS n_private, count(DISTINCT p_type) AS n_children FROM part GROUP BY 1")
+@_query("""SELECT p_brand AS module, count(*) AS n_symbols, count(*) FILTER (p_size % 3 = 0) AS n_public, count(*) FILTER (p_size % 3 = 1) AS n_restricted, count(*) FILTER (p_size %
+3 = 2) AS n_private, count(DISTINCT p_type) AS n_children FROM part GROUP BY 1""")
 def module_rollup(v: Views) -> DataFrame:
     s = v.symbols
     return s.groupBy(F.col("file").alias("module")).agg(F.count("*").alias("n_symbols"), F.count_if(F.col("visibility") == "public").alias("n_public"), F.count_if(F.col("visibility") == "crate").alias("n_restricted"), F.count_if(F.col("visibility") == "private").alias("n_private"), F.count_distinct(F.element_at(F.split("qualified_name", "::"), 2)).alias("n_children"))
 
 
-@_query(sql_with("symbols commits changes", ", t AS (SELECT path, max(ts) AS ts FROM changes JOIN commits USING (revision) GROUP BY path), m AS (SELECT max(ts) AS now FROM commits) SELECT id, visibility, coalesce(t.ts >= now - INTERVAL 30 DAY, false) AS recent FROM symbols LEFT JOIN t ON path = id, m WHERE visibility IN ('public', 'crate')"))
+@_query(sql_with("symbols commits changes", """, t AS (SELECT path, max(ts) AS ts FROM changes JOIN commits USING (revision) GROUP BY path), m AS (SELECT max(ts) AS now FROM commits) SELECT id, visibility,
+coalesce(t.ts >= now - INTERVAL 30 DAY, false) AS recent FROM symbols LEFT JOIN t ON path = id, m WHERE visibility IN ('public', 'crate')"""))
 def public_api(v: Views) -> DataFrame:
     t = v.changes.join(v.commits, "revision").groupBy(F.col("path").alias("id")).agg(F.max("ts").alias("ts"))
     now = v.commits.agg(F.max("ts").alias("now"))
     return v.symbols.where(F.col("visibility").isin("public", "crate")).select("id", "visibility").join(t, "id", "left").join(F.broadcast(now)).select("id", "visibility", F.coalesce(F.col("ts") >= F.col("now") - F.expr("INTERVAL 30 DAYS"), F.lit(False)).alias("recent"))
 
 
-@_query("""WITH s AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'main' WHEN 1 THEN 'handle_' || page_id WHEN 2 THEN 'a::b' ELSE 'item' END AS q, CASE page_id % 7 WHEN 0 THEN 'src/main.rs' WHEN 1 THEN 'src/cmd/x.rs' WHEN 2 THEN 'src/router/x.rs' WHEN 3 THEN 'src/lib.rs' ELSE 'src/a/mod.rs' END AS p, CASE page_id % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'method' END AS k FROM pages)
-SELECT page_id, CASE WHEN q = 'main' AND p = 'src/main.rs' THEN 'binary' WHEN k = 'function' AND p = 'src/cmd/x.rs' THEN 'cli_command' WHEN starts_with(q, 'handle_') OR (p = 'src/router/x.rs' AND k IN ('function', 'method')) THEN 'http_handler' WHEN p IN ('src/lib.rs', 'src/a/mod.rs') AND k IN ('function', 'class') AND NOT contains(q, '::') THEN 'lib_root' END AS kind FROM s""")
+@_query("""WITH s AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'main' WHEN 1 THEN 'handle_' || page_id WHEN 2 THEN 'a::b' ELSE 'item' END AS q, CASE page_id % 7 WHEN 0 THEN
+'src/main.rs' WHEN 1 THEN 'src/cmd/x.rs' WHEN 2 THEN 'src/router/x.rs' WHEN 3 THEN 'src/lib.rs' ELSE 'src/a/mod.rs' END AS p, CASE page_id % 3 WHEN 0 THEN 'function' WHEN
+1 THEN 'class' ELSE 'method' END AS k FROM pages)
+SELECT page_id, CASE WHEN q = 'main' AND p = 'src/main.rs' THEN 'binary' WHEN k = 'function' AND p = 'src/cmd/x.rs' THEN 'cli_command' WHEN starts_with(q, 'handle_') OR
+(p = 'src/router/x.rs' AND k IN ('function', 'method')) THEN 'http_handler' WHEN p IN ('src/lib.rs', 'src/a/mod.rs') AND k IN ('function', 'class') AND NOT contains(q,
+'::') THEN 'lib_root' END AS kind FROM s""")
 def entrypoint_classify(v: Views) -> DataFrame:
     m = lambda k, *names: F.element_at(F.array(*map(F.lit, names)), (F.col("page_id") % k + 1).cast("int"))
     q = F.when(F.col("page_id") % 5 == 1, F.concat(F.lit("handle_"), "page_id")).otherwise(m(5, "main", "", "a::b", "item", "item"))
@@ -389,18 +418,21 @@ def entrypoint_classify(v: Views) -> DataFrame:
     return s.select("page_id", text.entry_point_kind(F.col("q"), F.col("p"), F.col("k")).alias("kind"))
 
 
-@_query(sql_with("files", ", c AS (SELECT path, language, len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END AS n FROM files WHERE content <> '') SELECT path, language, n::INT AS lines, greatest(count(*) OVER () - 20, 0) AS omitted FROM c WHERE n > 10 ORDER BY n DESC, path LIMIT 20"))
+@_query(sql_with("files", """, c AS (SELECT path, language, len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END AS n FROM files WHERE content <> '') SELECT
+path, language, n::INT AS lines, greatest(count(*) OVER () - 20, 0) AS omitted FROM c WHERE n > 10 ORDER BY n DESC, path LIMIT 20"""))
 def large_files(v: Views) -> DataFrame:
     f = v.files.select("path", "language", text.line_count(F.col("content")).alias("lines")).where((F.col("lines") > 10) & F.col("language").isNotNull() & ~text.is_test_path(F.col("path")))
     return budget.with_omitted(f, [F.desc("lines"), F.col("path")], 20)
 
 
-@_query(sql_with("files", ", c AS (SELECT language, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END END AS n FROM files) SELECT language, count(*) AS n_files, max(n)::INT AS max_lines FROM c GROUP BY language"))
+@_query(sql_with("files", """, c AS (SELECT language, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END END AS n FROM
+files) SELECT language, count(*) AS n_files, max(n)::INT AS max_lines FROM c GROUP BY language"""))
 def language_groups(v: Views) -> DataFrame:
     return v.files.select("language", text.line_count(F.col("content")).alias("n")).groupBy("language").agg(F.count("*").alias("n_files"), F.max("n").alias("max_lines"))
 
 
-@_query(sql_with("symbols", ", m AS (SELECT file, display_name, row_number() OVER (PARTITION BY file ORDER BY display_name, id) AS rn FROM symbols WHERE doc_comment IS NULL AND visibility IN ('public', 'crate')) SELECT file, count(*) AS n_missing, string_agg(display_name, ',' ORDER BY rn) FILTER (rn <= 5) AS preview FROM m GROUP BY file"))
+@_query(sql_with("symbols", """, m AS (SELECT file, display_name, row_number() OVER (PARTITION BY file ORDER BY display_name, id) AS rn FROM symbols WHERE doc_comment IS NULL AND visibility IN
+('public', 'crate')) SELECT file, count(*) AS n_missing, string_agg(display_name, ',' ORDER BY rn) FILTER (rn <= 5) AS preview FROM m GROUP BY file"""))
 def missing_docs(v: Views) -> DataFrame:
     m = v.symbols.where("doc_comment IS NULL AND visibility IN ('public', 'crate')")
     return m.groupBy("file").agg(F.count("*").alias("n_missing"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("display_name", "id"))), 1, 5), lambda x: x["display_name"]), ",").alias("preview"))
@@ -413,7 +445,8 @@ def token_estimate(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", text.token_estimate(F.col("text")).cast("long").alias("tokens"))
 
 
-@_query("WITH t AS (SELECT source, doc_id, greatest(strlen(text) // 3, 1) AS c FROM documents), r AS (SELECT *, sum(c) OVER w AS spent, row_number() OVER w AS rn FROM t WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT source, doc_id, spent::BIGINT AS spent FROM r WHERE spent <= 4000 OR rn = 1")
+@_query("""WITH t AS (SELECT source, doc_id, greatest(strlen(text) // 3, 1) AS c FROM documents), r AS (SELECT *, sum(c) OVER w AS spent, row_number() OVER w AS rn FROM t WINDOW w
+AS (PARTITION BY source ORDER BY doc_id)) SELECT source, doc_id, spent::BIGINT AS spent FROM r WHERE spent <= 4000 OR rn = 1""")
 def prefix_budget_cut(v: Views) -> DataFrame:
     t = v.table("documents").select("source", "doc_id", text.token_estimate(F.col("text")).cast("long").alias("c"))
     return budget.prefix_cut(t, "source", ["doc_id"], "c", 4000).select("source", "doc_id", "spent")
@@ -436,7 +469,8 @@ def knapsack(v: Views) -> DataFrame:
 
 # overlay
 
-@_query("WITH s AS (SELECT user_id AS link, event_id AS seq, CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'pending_promotion' WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'rejected' ELSE 'active' END AS s FROM events) SELECT link, arg_max(s, seq) AS state, count(*) AS n_events FROM s GROUP BY link")
+@_query("""WITH s AS (SELECT user_id AS link, event_id AS seq, CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'pending_promotion' WHEN 'purchase' THEN 'promoted' WHEN
+'error' THEN 'rejected' ELSE 'active' END AS s FROM events) SELECT link, arg_max(s, seq) AS state, count(*) AS n_events FROM s GROUP BY link""")
 def event_fold(v: Views) -> DataFrame:
     return overlay.fold_links(_link_events(v))
 
@@ -446,7 +480,9 @@ def _link_events(v: Views) -> DataFrame:
     return v.events.select(F.col("user_id").alias("link"), F.col("event_id").alias("seq"), F.when(e == "view", "generated").when(e == "click", "pending").when(e == "purchase", "promoted").when(e == "error", "rejected").otherwise("rolled_back").alias("event"))
 
 
-@_query("WITH s AS (SELECT user_id AS link, event_id AS seq, CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'pending_promotion' WHEN 'purchase' THEN 'promoted' WHEN 'error' THEN 'rejected' ELSE 'active' END AS s FROM events), f AS (SELECT link, arg_max(s, seq) AS state FROM s GROUP BY link) SELECT state, count(*) AS n FROM f GROUP BY state")
+@_query("""WITH s AS (SELECT user_id AS link, event_id AS seq, CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'pending_promotion' WHEN 'purchase' THEN 'promoted' WHEN
+'error' THEN 'rejected' ELSE 'active' END AS s FROM events), f AS (SELECT link, arg_max(s, seq) AS state FROM s GROUP BY link) SELECT state, count(*) AS n FROM f GROUP BY
+state""")
 def state_counts(v: Views) -> DataFrame:
     return overlay.state_counts(overlay.fold_links(_link_events(v)), "state")
 
@@ -467,14 +503,16 @@ def link_freshness(v: Views) -> DataFrame:
     return overlay.link_freshness(*_links(v)).groupBy("freshness").agg(F.count("*").alias("n"))
 
 
-@_query("WITH x AS (SELECT 1)" + LINKS + ", t AS (SELECT link, score, generated, freshness, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.6 THEN 'review_queue' ELSE 'below_threshold' END AS tier FROM fresh) SELECT * FROM (SELECT DISTINCT * FROM t) WHERE tier <> 'high' OR freshness = 'source_deleted' ORDER BY score DESC, generated DESC, link, freshness LIMIT 50")
+@_query("WITH x AS (SELECT 1)" + LINKS + """, t AS (SELECT link, score, generated, freshness, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.6 THEN 'review_queue' ELSE 'below_threshold' END AS tier FROM fresh)
+SELECT * FROM (SELECT DISTINCT * FROM t) WHERE tier <> 'high' OR freshness = 'source_deleted' ORDER BY score DESC, generated DESC, link, freshness LIMIT 50""")
 def findings(v: Views) -> DataFrame:
     l, now = _links(v)
     f = l.join(now, "path", "left").withColumn("freshness", overlay.freshness(F.col("hash"), F.col("now"), F.col("valid")))
     return overlay.findings(f.select("link", "score", "generated", "freshness").distinct())
 
 
-@_query("SELECT l_orderkey AS link, round(greatest(least(avg(l_discount * 10) * 0.7 + CASE WHEN count(*) >= 2 THEN 0.2 ELSE 0.1 END + least(sum(l_quantity) / 64, 1.0) * 0.1 - least(greatest(count(*) - 5, 0), 3) * 0.1, 1.0), 0.0) + 1e-9, 6) AS score FROM lineitem GROUP BY 1")
+@_query("""SELECT l_orderkey AS link, round(greatest(least(avg(l_discount * 10) * 0.7 + CASE WHEN count(*) >= 2 THEN 0.2 ELSE 0.1 END + least(sum(l_quantity) / 64, 1.0) * 0.1 -
+least(greatest(count(*) - 5, 0), 3) * 0.1, 1.0), 0.0) + 1e-9, 6) AS score FROM lineitem GROUP BY 1""")
 def confidence_score(v: Views) -> DataFrame:
     g = v.table("lineitem").groupBy(F.col("l_orderkey").alias("link")).agg(F.avg(F.col("l_discount") * 10).alias("m"), F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
     return g.select("link", F.round(budget.confidence(F.col("m"), F.col("n"), F.col("q"), F.greatest(F.col("n") - 5, F.lit(0))) + 1e-9, 6).alias("score"))
@@ -492,30 +530,35 @@ def note_drift(v: Views) -> DataFrame:
     return overlay.note_drift(l.select(F.floor(F.col("link") / 10).alias("note"), "path", "hash"), now)
 
 
-@_query("""WITH s AS (SELECT conv_id || ':' || turn AS id, turn AS updated, lower(text) AS t, role FROM conversations), h AS (SELECT id, updated, (CASE WHEN contains(t, 'the') THEN 5 ELSE 0 END + CASE WHEN contains(t, 'an') THEN 5 ELSE 0 END) AS held, role FROM s)
+@_query("""WITH s AS (SELECT conv_id || ':' || turn AS id, turn AS updated, lower(text) AS t, role FROM conversations), h AS (SELECT id, updated, (CASE WHEN contains(t, 'the') THEN
+5 ELSE 0 END + CASE WHEN contains(t, 'an') THEN 5 ELSE 0 END) AS held, role FROM s)
 SELECT id, (held + CASE WHEN role = 'assistant' THEN 2 ELSE 0 END + CASE WHEN role = 'user' THEN 1 ELSE 0 END)::INT AS score, updated FROM h WHERE held > 0 ORDER BY score DESC, updated DESC, id LIMIT 20""")
 def lesson_search(v: Views) -> DataFrame:
     c = v.table("conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("claim"), (F.col("role") == "assistant").alias("fresh"), (F.col("role") == "user").alias("verified"), F.col("turn").alias("updated"))
     return overlay.lesson_search(c, ["the", "an"])
 
 
-@_query("WITH o AS (SELECT o_orderkey AS id, o_orderdate AS ts, 'commit' AS kind FROM orders ORDER BY ts DESC, id LIMIT 50), e AS (SELECT event_id AS id, ts, 'event' AS kind FROM events ORDER BY ts DESC, id LIMIT 50) SELECT * FROM (SELECT * FROM o UNION ALL SELECT * FROM e) ORDER BY ts DESC, kind, id LIMIT 60")
+@_query("""WITH o AS (SELECT o_orderkey AS id, o_orderdate AS ts, 'commit' AS kind FROM orders ORDER BY ts DESC, id LIMIT 50), e AS (SELECT event_id AS id, ts, 'event' AS kind FROM
+events ORDER BY ts DESC, id LIMIT 50) SELECT * FROM (SELECT * FROM o UNION ALL SELECT * FROM e) ORDER BY ts DESC, kind, id LIMIT 60""")
 def recent_activity(v: Views) -> DataFrame:
     kinds = [("commit", v.commits.select(F.col("revision").alias("id"), "ts")), ("event", v.events.select(F.col("event_id").alias("id"), "ts"))]
     return overlay.recent_activity(kinds, limit=60)
 
 
-@_query(sql_with("commits changes", ", t AS (SELECT path, count(*) AS touches FROM changes JOIN commits USING (revision) GROUP BY path), p AS (SELECT path, touches, CASE WHEN touches >= 20 THEN 3 WHEN touches >= 10 THEN 2 WHEN touches >= 5 THEN 1 END AS priority FROM t) SELECT * FROM p WHERE priority IS NOT NULL ORDER BY priority DESC, touches DESC, path LIMIT 20"))
+@_query(sql_with("commits changes", """, t AS (SELECT path, count(*) AS touches FROM changes JOIN commits USING (revision) GROUP BY path), p AS (SELECT path, touches, CASE WHEN touches >= 20 THEN 3 WHEN
+touches >= 10 THEN 2 WHEN touches >= 5 THEN 1 END AS priority FROM t) SELECT * FROM p WHERE priority IS NOT NULL ORDER BY priority DESC, touches DESC, path LIMIT 20"""))
 def handoffs(v: Views) -> DataFrame:
     return overlay.handoffs(v.changes.join(v.commits, "revision").groupBy("path").agg(F.count("*").alias("touches")))
 
 
-@_query("WITH n AS (SELECT conv_id || ':' || turn AS note, conv_id, lead(conv_id || ':' || turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) SELECT note, CASE WHEN nxt IS NULL THEN 'active' ELSE 'superseded' END AS status, nxt AS \"by\" FROM n")
+@_query("""WITH n AS (SELECT conv_id || ':' || turn AS note, conv_id, lead(conv_id || ':' || turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) SELECT note,
+CASE WHEN nxt IS NULL THEN 'active' ELSE 'superseded' END AS status, nxt AS \"by\" FROM n""")
 def note_supersede(v: Views) -> DataFrame:
     return overlay.supersede(v.table("conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("note"), F.col("conv_id").alias("thread"), F.col("turn").alias("seq")))
 
 
-@_query(sql_with("symbols fingerprints", DRIFT + "SELECT 'drift' AS surface, CASE WHEN count(*) > 0 THEN 'actionable' ELSE 'clean' END AS severity, count(*) AS n FROM scores WHERE score >= 0.7 UNION ALL SELECT 'docs', CASE WHEN count(*) > 0 THEN 'report_only' ELSE 'clean' END, count(*) FROM symbols WHERE doc_comment IS NULL"))
+@_query(sql_with("symbols fingerprints", DRIFT + """SELECT 'drift' AS surface, CASE WHEN count(*) > 0 THEN 'actionable' ELSE 'clean' END AS severity, count(*) AS n FROM scores WHERE score >= 0.7 UNION ALL SELECT 'docs',
+CASE WHEN count(*) > 0 THEN 'report_only' ELSE 'clean' END, count(*) FROM symbols WHERE doc_comment IS NULL"""))
 def repair_report(v: Views) -> DataFrame:
     return overlay.repair_report([("drift", "actionable", similarity.high_drift(_scores(v))), ("docs", "report_only", v.symbols.where("doc_comment IS NULL"))])
 
@@ -559,14 +602,16 @@ def upsert_latest(v: Views) -> DataFrame:
     return lifecycle.upsert(o.where("seq % 2 = 0"), o.where("seq % 2 = 1"), ["id"], "seq")
 
 
-@_query(sql_with("files", ", r(root_id, prefix) AS (VALUES ('main', ''), ('english', 'en'), ('one', 'en/1')) SELECT path, CASE WHEN path = 'en/1' THEN 'one' WHEN starts_with(path, 'en/') THEN 'english' ELSE 'main' END AS root_id FROM files"))
+@_query(sql_with("files", """, r(root_id, prefix) AS (VALUES ('main', ''), ('english', 'en'), ('one', 'en/1')) SELECT path, CASE WHEN path = 'en/1' THEN 'one' WHEN starts_with(path, 'en/') THEN
+'english' ELSE 'main' END AS root_id FROM files"""))
 def owner_root(v: Views) -> DataFrame:
     return lifecycle.owner_root(v.files.select("path"), v.spark.createDataFrame([("main", ""), ("english", "en"), ("one", "en/1")], "root_id string, prefix string"))
 
 
 # text
 
-@_query("SELECT doc_id, CASE WHEN text = '' THEN 'skipped_empty' WHEN strlen(text) > 20000 THEN 'skipped_large' WHEN doc_id % 4 = 0 THEN 'supported' WHEN doc_id % 4 = 1 THEN 'markdown' WHEN doc_id % 4 = 2 THEN 'notebook' ELSE 'text' END AS class FROM documents")
+@_query("""SELECT doc_id, CASE WHEN text = '' THEN 'skipped_empty' WHEN strlen(text) > 20000 THEN 'skipped_large' WHEN doc_id % 4 = 0 THEN 'supported' WHEN doc_id % 4 = 1 THEN
+'markdown' WHEN doc_id % 4 = 2 THEN 'notebook' ELSE 'text' END AS class FROM documents""")
 def classify_docs(v: Views) -> DataFrame:
     path = F.concat(F.lit("x."), F.element_at(F.array(*map(F.lit, ("rs", "md", "ipynb", "txt"))), (F.col("doc_id") % 4 + 1).cast("int")))
     return v.table("documents").select("doc_id", text.classify_content(path, F.octet_length("text"), F.col("text"), 20000).alias("class"))
@@ -580,13 +625,15 @@ def line_count(v: Views) -> DataFrame:
 STOP = "['" + "','".join(text.STOPWORDS) + "']"
 
 
-@_query(f"SELECT p_partkey, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(p_type || 'HTTPServer_' || p_name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z0-9])([A-Z][a-z])', '\\1 \\2', 'g')), '[ _\\-/.:]+'), lambda x: x <> '' AND NOT list_contains({STOP}, x)), ' ') AS words FROM part")
+@_query(f"""SELECT p_partkey, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(p_type || 'HTTPServer_' || p_name, '([a-z])([A-Z])', '\\1 \\2', 'g'),
+'([A-Za-z0-9])([A-Z][a-z])', '\\1 \\2', 'g')), '[ _\\-/.:]+'), lambda x: x <> '' AND NOT list_contains({STOP}, x)), ' ') AS words FROM part""")
 def identifier_split(v: Views) -> DataFrame:
     return v.table("part").select("p_partkey", F.array_join(text.split_identifier(F.concat("p_type", F.lit("HTTPServer_"), "p_name")), " ").alias("words"))
 
 
 @_query(f"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '' AND NOT list_contains({STOP}, x)) AS w FROM conversations)
-SELECT conv_id, turn, len(list_distinct(list_transform(w, lambda x: CASE WHEN length(x) > 4 AND ends_with(x, 'ies') THEN substr(x, 1, length(x) - 3) || 'y' WHEN length(x) > 3 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN substr(x, 1, length(x) - 1) ELSE x END)))::BIGINT AS n_tokens FROM w""")
+SELECT conv_id, turn, len(list_distinct(list_transform(w, lambda x: CASE WHEN length(x) > 4 AND ends_with(x, 'ies') THEN substr(x, 1, length(x) - 3) || 'y' WHEN length(x)
+> 3 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN substr(x, 1, length(x) - 1) ELSE x END)))::BIGINT AS n_tokens FROM w""")
 def tokenise(v: Views) -> DataFrame:
     return v.table("conversations").select("conv_id", "turn", F.size(text.query_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
@@ -622,7 +669,9 @@ def metrics_merge(v: Views) -> DataFrame:
     return overlay.metrics(v.events.select(F.col("event_type").alias("tool"), "value"))
 
 
-@_query("WITH d AS (SELECT ts, CASE WHEN lag(ts) OVER (ORDER BY ts) IS NULL OR ts - lag(ts) OVER (ORDER BY ts) >= INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS b FROM events), s AS (SELECT ts, sum(b) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM d) SELECT min(ts) AS start, max(ts) + INTERVAL 5 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY k")
+@_query("""WITH d AS (SELECT ts, CASE WHEN lag(ts) OVER (ORDER BY ts) IS NULL OR ts - lag(ts) OVER (ORDER BY ts) >= INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS b FROM events), s AS
+(SELECT ts, sum(b) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM d) SELECT min(ts) AS start, max(ts) + INTERVAL 5 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY
+k""")
 def debounce_sessions(v: Views) -> DataFrame:
     return watch.sessions(v.events)
 
@@ -644,7 +693,9 @@ def head_moves(v: Views) -> DataFrame:
     return watch.head_moves(v.events.select(F.col("user_id").alias("branch"), F.col("event_id").alias("ts"), F.col("event_type").alias("head")))
 
 
-@_query("WITH a AS (SELECT user_id AS key, event_id AS started, event_id + 5 AS finished, event_type <> 'error' AS completed FROM events), d AS (SELECT key, max(finished) AS last FROM a WHERE completed GROUP BY key) SELECT a.key, max(finished) AS finished, arg_max(completed, (finished, completed)) AS completed FROM a LEFT JOIN d USING (key) WHERE completed OR last IS NULL OR started >= last GROUP BY a.key")
+@_query("""WITH a AS (SELECT user_id AS key, event_id AS started, event_id + 5 AS finished, event_type <> 'error' AS completed FROM events), d AS (SELECT key, max(finished) AS last
+FROM a WHERE completed GROUP BY key) SELECT a.key, max(finished) AS finished, arg_max(completed, (finished, completed)) AS completed FROM a LEFT JOIN d USING (key) WHERE
+completed OR last IS NULL OR started >= last GROUP BY a.key""")
 def newest_outcome(v: Views) -> DataFrame:
     return watch.keep_newest_outcome(v.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("started"), (F.col("event_id") + 5).alias("finished"), (F.col("event_type") != "error").alias("completed")))
 from . import cards, context, parsing, upkeep  # noqa: E402,F401  register their queries

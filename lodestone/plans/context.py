@@ -33,7 +33,8 @@ def _tasks(v: Views) -> DataFrame:
 
 
 @query(f"""WITH {TASKS}, r AS (SELECT task, path, {ROUTE} AS route FROM tasks)
-SELECT task, route, CASE route WHEN 'llm-required' THEN 0.86 WHEN 'var-to-const' THEN CASE WHEN path = 'a.ts' THEN 0.82 ELSE 0.64 END WHEN 'remove-debug-logging' THEN CASE WHEN path IS NULL THEN 0.55 ELSE 0.74 END WHEN 'replace-literal' THEN 0.68 WHEN 'rename-local' THEN 0.68
+SELECT task, route, CASE route WHEN 'llm-required' THEN 0.86 WHEN 'var-to-const' THEN CASE WHEN path = 'a.ts' THEN 0.82 ELSE 0.64 END WHEN 'remove-debug-logging' THEN
+CASE WHEN path IS NULL THEN 0.55 ELSE 0.74 END WHEN 'replace-literal' THEN 0.68 WHEN 'rename-local' THEN 0.68
 WHEN 'test-surface' THEN 0.82 WHEN 'risk-review' THEN 0.78 WHEN 'broad-context-question' THEN 0.74 WHEN 'context-search' THEN 0.76 ELSE 0.35 END::DOUBLE AS confidence FROM r""")
 def route_tasks(v: Views) -> DataFrame:
     r = _tasks(v).select("task", "path", routing.task_route(F.col("t")).alias("route"))
@@ -45,7 +46,8 @@ def recipes(v: Views) -> DataFrame:
     return _tasks(v).select("task", routing.recipe(F.col("t")).alias("recipe"))
 
 
-@query(sql_with("lines", """, m AS (SELECT *, row_number() OVER (PARTITION BY root_id, path ORDER BY line_number) AS rn, CASE WHEN length(line) > 160 THEN substr(line, 1, 160) || '…' ELSE line END AS p FROM lines WHERE regexp_matches(line, 'the|la'))
+@query(sql_with("lines", """, m AS (SELECT *, row_number() OVER (PARTITION BY root_id, path ORDER BY line_number) AS rn, CASE WHEN length(line) > 160 THEN substr(line, 1, 160) || '…' ELSE line END
+AS p FROM lines WHERE regexp_matches(line, 'the|la'))
 SELECT root_id, path, count(*) AS n_matches, string_agg(p, chr(10) ORDER BY rn) FILTER (rn <= 5) AS previews FROM m GROUP BY ALL ORDER BY root_id, path LIMIT 50"""))
 def search_compact(v: Views) -> DataFrame:
     return context.search_rows(v.lines, "the|la", "compact")
@@ -63,9 +65,11 @@ def path_first_search(v: Views) -> DataFrame:
     return context.with_path_matches("./en/7", v.files, items)
 
 
-@query(sql_with("lines", f""", t AS (SELECT item_id AS task, CASE WHEN item_id % 2 = 0 THEN regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', '', 'g') ELSE 'zzqx ' || regexp_replace(split_part(text, ' ', 2), '[^A-Za-z]', '', 'g') END AS text FROM benchmark),
+@query(sql_with("lines", f""", t AS (SELECT item_id AS task, CASE WHEN item_id % 2 = 0 THEN regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', '', 'g') ELSE 'zzqx ' ||
+regexp_replace(split_part(text, ' ', 2), '[^A-Za-z]', '', 'g') END AS text FROM benchmark),
 w AS (SELECT task, lower(trim(text)) AS q, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '' AND NOT list_contains({STOP}, x)) AS w FROM t),
-k AS (SELECT task, q, list_transform(w, lambda x: CASE WHEN length(x) > 4 AND ends_with(x, 'ies') THEN substr(x, 1, length(x) - 3) || 'y' WHEN length(x) > 3 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN substr(x, 1, length(x) - 1) ELSE x END) AS w FROM w),
+k AS (SELECT task, q, list_transform(w, lambda x: CASE WHEN length(x) > 4 AND ends_with(x, 'ies') THEN substr(x, 1, length(x) - 3) || 'y' WHEN length(x) > 3 AND
+ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN substr(x, 1, length(x) - 1) ELSE x END) AS w FROM w),
 a AS (SELECT task, 0 AS attempt, q AS query FROM k WHERE q <> '' UNION ALL
       SELECT task, CASE WHEN len(w) = 2 THEN i + 2 ELSE i END, w[i] FROM k, unnest(range(1, 3)) u(i) WHERE i <= len(w)
       UNION ALL SELECT task, 1, w[1] || '_' || w[2] FROM k WHERE len(w) = 2 UNION ALL SELECT task, 2, w[1] || ' ' || w[2] FROM k WHERE len(w) = 2),
@@ -102,7 +106,8 @@ LABELLED = "e AS (SELECT 'label_' || label AS src, 'vec_' || vec_id AS dst FROM
 
 @query(sql_with("vectors", f""", {LABELLED}, w AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e), d1 AS (SELECT b AS id FROM w WHERE a = 'label_3'), d2 AS (SELECT b AS id FROM w WHERE a IN (FROM d1)),
 d AS (SELECT id, min(d)::INT AS distance FROM (SELECT 'label_3' AS id, 0 AS d UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2) GROUP BY id),
-t AS (SELECT 'vec_' || vec_id AS id, round(list_cosine_similarity(v, {PROBE}), 6) AS score FROM vectors WHERE round(list_cosine_similarity(v, {PROBE}), 6) >= 0.02 ORDER BY score DESC, id LIMIT 20) SELECT id, score, distance FROM t JOIN d USING (id)"""))
+t AS (SELECT 'vec_' || vec_id AS id, round(list_cosine_similarity(v, {PROBE}), 6) AS score FROM vectors WHERE round(list_cosine_similarity(v, {PROBE}), 6) >= 0.02 ORDER
+BY score DESC, id LIMIT 20) SELECT id, score, distance FROM t JOIN d USING (id)"""))
 def semantic_candidates(v: Views) -> DataFrame:
     e = v.table("embeddings")
     vec = lambda off: F.concat(F.lit("vec_"), F.col("vec_id") + off)
@@ -110,7 +115,8 @@ def semantic_candidates(v: Views) -> DataFrame:
     return context.semantic_candidates(v.vectors.select(vec(0).alias("id"), "v"), edges, "label_3", _probe(v), 0.02)
 
 
-@query("""WITH x AS (SELECT item_id AS concept, 'file_' || doc_id AS symbol FROM benchmark JOIN documents ON doc_id = item_id * 2 WHERE item_id % 2 = 0), s AS (SELECT item_id AS concept, 'file_' || doc_id AS symbol FROM benchmark JOIN documents ON doc_id % 40 = item_id)
+@query("""WITH x AS (SELECT item_id AS concept, 'file_' || doc_id AS symbol FROM benchmark JOIN documents ON doc_id = item_id * 2 WHERE item_id % 2 = 0), s AS (SELECT item_id AS
+concept, 'file_' || doc_id AS symbol FROM benchmark JOIN documents ON doc_id % 40 = item_id)
 SELECT concept, symbol, 'exact' AS source FROM x UNION ALL SELECT concept, symbol, 'semantic' FROM s WHERE concept NOT IN (SELECT concept FROM x)""")
 def union_for_unmatched(v: Views) -> DataFrame:
     d, b = v.table("documents"), v.table("benchmark").select(F.col("item_id").alias("concept"))
@@ -119,7 +125,9 @@ def union_for_unmatched(v: Views) -> DataFrame:
     return context.union_for_unmatched(exact, b.join(d, F.col("doc_id") % 40 == F.col("concept")).select("concept", file))
 
 
-@query("""WITH c AS (SELECT o_custkey AS task, CASE o_orderkey % 5 WHEN 0 THEN 'src/m' || o_orderkey || '.rs' WHEN 1 THEN 'src/tests/m' || o_orderkey || '.rs' WHEN 2 THEN 'tests/m' || o_orderkey || '.rs' WHEN 3 THEN 'docs/m' || o_orderkey || '.md' ELSE 'openspec/changes/archive/m' || o_orderkey || '.md' END AS path, o_orderkey % 5 AS k, o_orderkey % 3 AS d, o_orderkey % 7 AS q, o_orderkey % 2 AS n, o_orderkey AS f FROM orders),
+@query("""WITH c AS (SELECT o_custkey AS task, CASE o_orderkey % 5 WHEN 0 THEN 'src/m' || o_orderkey || '.rs' WHEN 1 THEN 'src/tests/m' || o_orderkey || '.rs' WHEN 2 THEN 'tests/m'
+|| o_orderkey || '.rs' WHEN 3 THEN 'docs/m' || o_orderkey || '.md' ELSE 'openspec/changes/archive/m' || o_orderkey || '.md' END AS path, o_orderkey % 5 AS k, o_orderkey %
+3 AS d, o_orderkey % 7 AS q, o_orderkey % 2 AS n, o_orderkey AS f FROM orders),
 r AS (SELECT *, CASE k WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS rank, max(k < 3) OVER (PARTITION BY task) AS live, q * 20 - CASE WHEN k IN (1, 2) THEN 15 ELSE 0 END + CASE WHEN k < 2 THEN 5 ELSE 0 END AS score FROM c)
 SELECT task, path, row_number() OVER (PARTITION BY task ORDER BY rank DESC, d DESC, n DESC, d DESC, n DESC, n DESC, score DESC, q DESC, q, f, path)::INT AS place FROM r WHERE NOT (live AND k = 4) QUALIFY place <= 3""")
 def promoted_paths(v: Views) -> DataFrame:
@@ -131,8 +139,10 @@ def promoted_paths(v: Views) -> DataFrame:
 
 
 @query(sql_with("lines", """, h AS (SELECT path, line_number AS n FROM lines WHERE regexp_matches(line, '@|[0-9]{4}') AND doc_id % 7 <> 0), t AS (SELECT path, max(line_number) AS total FROM lines GROUP BY path),
-w AS (SELECT path, greatest(n - 2, 1) AS first, n + 2 AS last FROM h), c AS (SELECT *, CASE WHEN first > max(last) OVER (PARTITION BY path ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM w),
-i AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS island FROM c), s AS (SELECT path, island, min(first)::INT AS first, least(max(last), any_value(total))::INT AS last FROM i JOIN t USING (path) GROUP BY path, island)
+w AS (SELECT path, greatest(n - 2, 1) AS first, n + 2 AS last FROM h), c AS (SELECT *, CASE WHEN first > max(last) OVER (PARTITION BY path ORDER BY first, last ROWS
+BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM w),
+i AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS island FROM c), s AS (SELECT path, island, min(first)::INT AS first,
+least(max(last), any_value(total))::INT AS last FROM i JOIN t USING (path) GROUP BY path, island)
 SELECT s.path, first, last, string_agg(line_number || ': ' || line, chr(10) ORDER BY line_number) AS source FROM s JOIN lines l ON l.path = s.path AND line_number BETWEEN first AND last GROUP BY ALL"""))
 def source_slices(v: Views) -> DataFrame:
     files = v.files
@@ -142,10 +152,13 @@ def source_slices(v: Views) -> DataFrame:
     return s.select("path", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), "source")
 
 
-@query("""WITH p AS (SELECT conv_id AS request, 0 AS kind, 'turn:' || lpad(turn::VARCHAR, 3, '0') AS name, greatest(strlen(text) // 3, 1)::BIGINT AS cost FROM conversations UNION ALL SELECT DISTINCT conv_id, 1, 'note:' || role, 40::BIGINT FROM conversations),
+@query("""WITH p AS (SELECT conv_id AS request, 0 AS kind, 'turn:' || lpad(turn::VARCHAR, 3, '0') AS name, greatest(strlen(text) // 3, 1)::BIGINT AS cost FROM conversations UNION
+ALL SELECT DISTINCT conv_id, 1, 'note:' || role, 40::BIGINT FROM conversations),
 f AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY kind, name) AS n FROM p QUALIFY n <= 10),
 g AS (SELECT request, list({'c': cost, 'n': name, 'spent': 0::BIGINT, 'kept': ''} ORDER BY kind, name) AS items FROM f GROUP BY request),
-r AS (SELECT request, list_reduce(items, lambda a, x: CASE WHEN a.spent + x.c <= 300 THEN {'c': 0::BIGINT, 'n': '', 'spent': a.spent + x.c, 'kept': a.kept || CASE WHEN a.kept = '' THEN '' ELSE ',' END || x.n} ELSE a END, {'c': 0::BIGINT, 'n': '', 'spent': 0::BIGINT, 'kept': ''}) AS r FROM g)
+r AS (SELECT request, list_reduce(items, lambda a, x: CASE WHEN a.spent + x.c <= 300 THEN
+{'c': 0::BIGINT, 'n': '', 'spent': a.spent + x.c, 'kept': a.kept || CASE WHEN a.kept = '' THEN '' ELSE ',' END || x.n} ELSE a END,
+{'c': 0::BIGINT, 'n': '', 'spent': 0::BIGINT, 'kept': ''}) AS r FROM g)
 SELECT request, r.spent AS spent, r.kept AS kept FROM r""")
 def context_pack(v: Views) -> DataFrame:
     c = v.table("conversations")
@@ -169,7 +182,8 @@ def glob_cut(v: Views) -> DataFrame:
     return v.files.where(F.col("path").startswith(routing.glob_prefix(glob)) & text.path_matches(F.col("path"), glob)).select("path")
 
 
-ROUTE_PATHS = """f AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'app/routes/users.$id.p' || page_id || '.tsx' WHEN 1 THEN 'web/src/routes/blog/[slug]/p' || page_id || '/+page.svelte' WHEN 2 THEN 'src/routes/(app)/api/[...rest]/+server.ts'
+ROUTE_PATHS = """f AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'app/routes/users.$id.p' || page_id || '.tsx' WHEN 1 THEN 'web/src/routes/blog/[slug]/p' || page_id || '/+page.svelte'
+WHEN 2 THEN 'src/routes/(app)/api/[...rest]/+server.ts'
   WHEN 3 THEN 'app/routes/_index.tsx' WHEN 4 THEN 'src/lib/p' || page_id || '.ts' ELSE 'src/routes/+page.svelte' END AS path FROM pages)"""
 
 
@@ -181,7 +195,8 @@ def file_routes(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", routing.file_route(path).alias("route"))
 
 
-@query("""WITH b AS (SELECT vec_id AS task, label AS label FROM embeddings) SELECT count(*) AS n_tasks, count(*) FILTER (task % 9 < 5) AS hits_before, count(*) FILTER (label < 5) AS hits_after, count(*) FILTER (task % 9 >= 5 AND label < 5) AS improved,
+@query("""WITH b AS (SELECT vec_id AS task, label AS label FROM embeddings) SELECT count(*) AS n_tasks, count(*) FILTER (task % 9 < 5) AS hits_before, count(*) FILTER (label < 5)
+AS hits_after, count(*) FILTER (task % 9 >= 5 AND label < 5) AS improved,
 count(*) FILTER ((task % 9 < 5) = (label < 5)) AS matched, count(*) FILTER (task % 9 < 5 AND label >= 5) AS regressed FROM b""")
 def bench_summary(v: Views) -> DataFrame:
     from ..operators import upkeep
@@ -203,7 +218,8 @@ def vector_dots(v: Views) -> DataFrame:
     return v.vectors.crossJoin(F.broadcast(first)).select("vec_id", F.round(sets.dot(F.col("v"), F.col("q")), 5).alias("dot"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_slice(list_filter(string_split_regex(text, '[^A-Za-z0-9]+'), lambda x: x <> ''), 1, 12) AS a, list_slice(list_filter(string_split_regex(text, '[^A-Za-z0-9]+'), lambda x: x <> ''), 7, 18) AS b FROM documents),
+@query("""WITH t AS (SELECT doc_id, list_slice(list_filter(string_split_regex(text, '[^A-Za-z0-9]+'), lambda x: x <> ''), 1, 12) AS a,
+list_slice(list_filter(string_split_regex(text, '[^A-Za-z0-9]+'), lambda x: x <> ''), 7, 18) AS b FROM documents),
 j AS (SELECT doc_id, len(list_distinct(a)) AS na, len(list_distinct(b)) AS nb, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u FROM t)
 SELECT doc_id, round(CASE WHEN na = 0 AND nb = 0 THEN 1 WHEN na = 0 OR nb = 0 THEN 0 ELSE i / u END, 6)::DOUBLE AS jaccard, round(CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE i / u END, 6)::DOUBLE AS sample FROM j""")
 def set_similarities(v: Views) -> DataFrame:

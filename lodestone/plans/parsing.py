@@ -51,7 +51,8 @@ def call_refs(v: Views) -> DataFrame:
     return parse.call_refs(_files(v))
 
 
-@query("WITH d(path, target, resolved) AS (" + _said([(i, s[0], s[3][-1], s[0]) for i, s in enumerate(SAMPLES) if i != 3]) + ") SELECT * FROM d UNION ALL SELECT 'srv/m' || a.page_id || '.go', 'example.com/o/r/srv', 'srv/m' || b.page_id || '.go' FROM pages a JOIN pages b ON a.page_id % 6 = 3 AND b.page_id % 6 = 3")
+@query("WITH d(path, target, resolved) AS (" + _said([(i, s[0], s[3][-1], s[0]) for i, s in enumerate(SAMPLES) if i != 3]) + """) SELECT * FROM d UNION ALL SELECT 'srv/m' || a.page_id || '.go', 'example.com/o/r/srv', 'srv/m' || b.page_id || '.go' FROM pages a JOIN pages b ON a.page_id % 6 = 3 AND
+b.page_id % 6 = 3""")
 def imported_files(v: Views) -> DataFrame:
     f = _files(v)
     return parse.imported_files(parse.import_refs(f), f)
@@ -65,7 +66,8 @@ def git_log(v: Views) -> DataFrame:
     return parse.log_records(c.select(record.alias("record"))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("SELECT 'root_' || n_regionkey AS root_id, CASE WHEN min(n_nationkey % 4) = 0 THEN 'primary' WHEN min(n_nationkey % 4) = 1 THEN 'worktree' WHEN min(n_nationkey % 4) = 2 THEN 'submodule' ELSE 'branch' END AS kind, arg_min(n_name, (n_nationkey % 4, n_name)) AS location FROM nation GROUP BY n_regionkey")
+@query("""SELECT 'root_' || n_regionkey AS root_id, CASE WHEN min(n_nationkey % 4) = 0 THEN 'primary' WHEN min(n_nationkey % 4) = 1 THEN 'worktree' WHEN min(n_nationkey % 4) = 2
+THEN 'submodule' ELSE 'branch' END AS kind, arg_min(n_name, (n_nationkey % 4, n_name)) AS location FROM nation GROUP BY n_regionkey""")
 def discovered_roots(v: Views) -> DataFrame:
     k = F.col("n_nationkey") % 4
     return parse.roots(v.table("nation").select(F.concat(F.lit("root_"), "n_regionkey").alias("root_id"), F.when(k == 0, "primary").when(k == 1, "worktree").when(k == 2, "submodule").otherwise("branch").alias("kind"), F.col("n_name").alias("location")))
@@ -83,7 +85,8 @@ def changed_with_renames(v: Views) -> DataFrame:
 
 @query(sql_with("commits changes", PAIRS + """, t AS (SELECT revision, author, ts FROM changes JOIN commits USING (revision) WHERE path = 'part_7'), n AS (SELECT author, count(*) AS n FROM t GROUP BY author),
 p AS (SELECT CASE WHEN left_path = 'part_7' THEN right_path ELSE left_path END AS other, n FROM pairs WHERE 'part_7' IN (left_path, right_path) ORDER BY n DESC, other LIMIT 5)
-SELECT 'part_7' AS path, (SELECT count(*) FROM t) AS touches, (SELECT arg_max(revision, (ts, revision)) FROM t) AS last_revision, (SELECT arg_max(author, (n, -author)) FROM n) AS owner, (SELECT string_agg(other, ',' ORDER BY n DESC, other) FROM p) AS partners"""))
+SELECT 'part_7' AS path, (SELECT count(*) FROM t) AS touches, (SELECT arg_max(revision, (ts, revision)) FROM t) AS last_revision, (SELECT arg_max(author, (n, -author))
+FROM n) AS owner, (SELECT string_agg(other, ',' ORDER BY n DESC, other) FROM p) AS partners"""))
 def path_card(v: Views) -> DataFrame:
     return history.path_card(v.commits, v.changes, "part_7").withColumn("partners", F.array_join("partners", ","))
 
@@ -94,8 +97,10 @@ def demoted_tiers(v: Views) -> DataFrame:
     return g.select("link", F.round("score", 6).alias("score"), budget.demoted_tier(F.col("score"), F.col("weakest")).alias("tier"))
 
 
-@query(sql_with("commits changes", """, t AS (SELECT path AS item, count(*) AS n FROM changes JOIN commits USING (revision) GROUP BY path), s AS (SELECT item, CASE WHEN n >= 20 THEN 3 WHEN n >= 10 THEN 2 ELSE 1 END AS priority FROM t WHERE n >= 5),
-a AS (SELECT 'link_' || p_partkey AS item, CASE p_size % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS priority FROM part) SELECT item, priority, source FROM (SELECT item, priority, 'structural' AS source, 0 AS r FROM s UNION ALL SELECT item, priority, 'overlay', 1 FROM a) ORDER BY priority DESC, r, item LIMIT 30"""))
+@query(sql_with("commits changes", """, t AS (SELECT path AS item, count(*) AS n FROM changes JOIN commits USING (revision) GROUP BY path), s AS (SELECT item, CASE WHEN n >= 20 THEN 3 WHEN n >= 10 THEN 2 ELSE
+1 END AS priority FROM t WHERE n >= 5),
+a AS (SELECT 'link_' || p_partkey AS item, CASE p_size % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS priority FROM part) SELECT item, priority, source FROM (SELECT item,
+priority, 'structural' AS source, 0 AS r FROM s UNION ALL SELECT item, priority, 'overlay', 1 FROM a) ORDER BY priority DESC, r, item LIMIT 30"""))
 def all_handoffs(v: Views) -> DataFrame:
     hot = overlay.handoffs(v.changes.join(v.commits, "revision").groupBy("path").agg(F.count("*").alias("touches")), 1 << 30).select(F.col("path").alias("item"), "priority")
     size = F.col("p_size") % 3
@@ -103,14 +108,16 @@ def all_handoffs(v: Views) -> DataFrame:
     return overlay.all_handoffs(hot, said, 30)
 
 
-@query(sql_with("lines", "SELECT path, line_number::INT AS line_number FROM (SELECT path || CASE doc_id % 3 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' ELSE '.txt' END AS path, line_number, line FROM lines) WHERE contains(line, 'the') AND NOT ends_with(path, '.txt') AND NOT ends_with(path, '.py')"))
+@query(sql_with("lines", """SELECT path, line_number::INT AS line_number FROM (SELECT path || CASE doc_id % 3 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' ELSE '.txt' END AS path, line_number, line FROM
+lines) WHERE contains(line, 'the') AND NOT ends_with(path, '.txt') AND NOT ends_with(path, '.py')"""))
 def typed_search(v: Views) -> DataFrame:
     k = F.col("doc_id") % 3
     lines = v.lines.withColumn("path", F.concat("path", F.when(k == 0, ".rs").when(k == 1, ".py").otherwise(".txt")))
     return search.lexical(lines, "the", literal=True, types=("rust", "python"), not_types=("python",)).select("path", F.col("line_number").cast("int").alias("line_number"))
 
 
-@query(sql_with("lines", """, g AS (SELECT root_id, path, count(*) * 20 + sum(least(length(line), 160)) // 3 AS cost FROM lines WHERE contains(line, 'the') GROUP BY ALL), r AS (SELECT *, sum(cost) OVER w AS spent, row_number() OVER w AS rn FROM g WINDOW w AS (PARTITION BY root_id ORDER BY path))
+@query(sql_with("lines", """, g AS (SELECT root_id, path, count(*) * 20 + sum(least(length(line), 160)) // 3 AS cost FROM lines WHERE contains(line, 'the') GROUP BY ALL), r AS (SELECT *, sum(cost)
+OVER w AS spent, row_number() OVER w AS rn FROM g WINDOW w AS (PARTITION BY root_id ORDER BY path))
 SELECT root_id, path, spent::BIGINT AS spent FROM r WHERE spent <= 4000 OR rn = 1"""))
 def group_budget_cut(v: Views) -> DataFrame:
     g = v.lines.where(F.col("line").contains("the")).groupBy("root_id", "path").agg((F.count("*") * 20 + F.floor(F.sum(F.least(F.length("line"), F.lit(160))) / 3)).cast("long").alias("cost"))
@@ -129,7 +136,9 @@ def plural_words(v: Views) -> DataFrame:
     return v.events.select("event_id", text.plural(w).alias("plural"))
 
 
-@query(sql_with("files symbols", """, c AS (SELECT language, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END END AS n, split_part(id, '_', 2)::BIGINT % 25 + 1 AS b FROM files), m AS (SELECT file, count(*) AS missing FROM symbols WHERE doc_comment IS NULL AND visibility IN ('public', 'crate') GROUP BY file)
+@query(sql_with("files symbols", """, c AS (SELECT language, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END END AS n,
+split_part(id, '_', 2)::BIGINT % 25 + 1 AS b FROM files), m AS (SELECT file, count(*) AS missing FROM symbols WHERE doc_comment IS NULL AND visibility IN ('public',
+'crate') GROUP BY file)
 SELECT language, count(*) AS n_files, max(n)::INT AS max_lines, coalesce(max(missing), 0) AS max_missing FROM c LEFT JOIN m ON file = 'Brand#' || b GROUP BY language"""))
 def suggestion_groups(v: Views) -> DataFrame:
     missing = v.symbols.where("doc_comment IS NULL AND visibility IN ('public', 'crate')").groupBy("file").agg(F.count("*").alias("missing"))

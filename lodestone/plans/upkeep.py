@@ -30,7 +30,8 @@ def audit_of_link(v: Views) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT o_orderkey AS link, o_orderstatus AS state, o_totalprice AS score FROM orders WHERE o_orderkey % 3 <> 0), g AS (SELECT o_orderkey AS link, o_totalprice * 2 AS score FROM orders WHERE o_orderkey % 2 = 0)
-SELECT link, CASE WHEN g.score IS NOT NULL THEN 'active' ELSE state END AS state, coalesce(g.score, s.score) AS score, CASE WHEN g.score IS NULL THEN NULL WHEN state IS NULL THEN 'generated' ELSE 'regenerated' END AS event FROM s FULL JOIN g USING (link)""")
+SELECT link, CASE WHEN g.score IS NOT NULL THEN 'active' ELSE state END AS state, coalesce(g.score, s.score) AS score, CASE WHEN g.score IS NULL THEN NULL WHEN state IS
+NULL THEN 'generated' ELSE 'regenerated' END AS event FROM s FULL JOIN g USING (link)""")
 def candidate_upserts(v: Views) -> DataFrame:
     o = v.table("orders").select(F.col("o_orderkey").alias("link"), F.col("o_orderstatus").alias("state"), F.col("o_totalprice").alias("score"))
     after, audit = upkeep.upsert_candidates(o.where("link % 3 != 0"), o.where("link % 2 = 0").select("link", (F.col("score") * 2).alias("score")))
@@ -49,7 +50,8 @@ def refreshed_links(v: Views) -> DataFrame:
 NOTE_EVENT = "CASE event_id % 11 WHEN 10 THEN 'forgotten' WHEN 9 THEN 'superseded' WHEN 8 THEN 'linked' ELSE CASE event_id % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'verified' ELSE 'stale' END END"
 
 
-@query(f"""WITH e AS (SELECT event_id % 400 AS note, event_id AS seq, {NOTE_EVENT} AS event FROM events), g AS (SELECT note, bool_or(event = 'forgotten') AS f, bool_or(event = 'superseded') AS u, arg_max(event, seq) FILTER (event IN ('added', 'verified', 'stale')) AS l FROM e GROUP BY note)
+@query(f"""WITH e AS (SELECT event_id % 400 AS note, event_id AS seq, {NOTE_EVENT} AS event FROM events), g AS (SELECT note, bool_or(event = 'forgotten') AS f, bool_or(event =
+'superseded') AS u, arg_max(event, seq) FILTER (event IN ('added', 'verified', 'stale')) AS l FROM e GROUP BY note)
 SELECT note, CASE WHEN f THEN 'forgotten' WHEN u THEN 'superseded' WHEN l = 'stale' THEN 'stale' WHEN l = 'verified' THEN 'verified' ELSE 'active' END AS status FROM g""")
 def note_states(v: Views) -> DataFrame:
     k = F.col("event_id")
@@ -77,7 +79,8 @@ def scoped_recompute(v: Views) -> DataFrame:
     return upkeep.scoped_recompute(d, d.where("doc_id % 5 != 0").select("root_id", "doc_id", F.upper("lang").alias("lang")), touched)
 
 
-@query(sql_with("symbols", """, l AS (SELECT arg_max(event_type <> 'error', event_id) AS completed FROM events), r AS (SELECT 'export_surface' AS surface, count(*) AS n FROM symbols WHERE doc_comment IS NULL UNION ALL SELECT 'retired_observations', count(*) FROM part WHERE p_size % 10 = 0)
+@query(sql_with("symbols", """, l AS (SELECT arg_max(event_type <> 'error', event_id) AS completed FROM events), r AS (SELECT 'export_surface' AS surface, count(*) AS n FROM symbols WHERE doc_comment
+IS NULL UNION ALL SELECT 'retired_observations', count(*) FROM part WHERE p_size % 10 = 0)
 SELECT surface, n FROM r, l WHERE completed"""))
 def auto_sync(v: Views) -> DataFrame:
     outcomes = v.events.select(F.col("event_id").alias("finished"), (F.col("event_type") != "error").alias("completed"))
@@ -85,9 +88,12 @@ def auto_sync(v: Views) -> DataFrame:
 
 
 @query(sql_with("fingerprints " + ALL, DRIFT + f""", edges AS ({EDGES}), n(surface, severity, n) AS (
-SELECT 'structural_refresh', 'actionable', (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) UNION ALL SELECT 'declared_links', 'actionable', (SELECT count(*) FROM edges WHERE kind = 'governs' AND dst NOT IN (SELECT 'part_' || p_partkey FROM part WHERE p_size <= 40))
-UNION ALL SELECT 'commentary_overlay', 'actionable', (SELECT count(*) FROM conversations WHERE turn % 3 = 1) UNION ALL SELECT 'agent_notes', 'report_only', (SELECT count(*) FROM conversations WHERE role = 'nobody') UNION ALL SELECT 'edge_drift', 'report_only', (SELECT count(*) FROM scores WHERE score >= 0.7)
-UNION ALL SELECT 'retired_observations', 'actionable', (SELECT count(*) FROM part WHERE p_size % 10 = 0) UNION ALL SELECT 'proposed_links', 'report_only', (SELECT count(*) FROM lineitem WHERE l_discount * 10 < 0.6) UNION ALL SELECT 'stale_rationale', 'report_only', (SELECT count(*) FROM scores WHERE score >= 0.5)
+SELECT 'structural_refresh', 'actionable', (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) UNION ALL SELECT 'declared_links',
+'actionable', (SELECT count(*) FROM edges WHERE kind = 'governs' AND dst NOT IN (SELECT 'part_' || p_partkey FROM part WHERE p_size <= 40))
+UNION ALL SELECT 'commentary_overlay', 'actionable', (SELECT count(*) FROM conversations WHERE turn % 3 = 1) UNION ALL SELECT 'agent_notes', 'report_only', (SELECT
+count(*) FROM conversations WHERE role = 'nobody') UNION ALL SELECT 'edge_drift', 'report_only', (SELECT count(*) FROM scores WHERE score >= 0.7)
+UNION ALL SELECT 'retired_observations', 'actionable', (SELECT count(*) FROM part WHERE p_size % 10 = 0) UNION ALL SELECT 'proposed_links', 'report_only', (SELECT
+count(*) FROM lineitem WHERE l_discount * 10 < 0.6) UNION ALL SELECT 'stale_rationale', 'report_only', (SELECT count(*) FROM scores WHERE score >= 0.5)
 UNION ALL SELECT unnest(['writer_lock', 'store_maintenance', 'export_surface', 'legacy_installs']), NULL, 0)
 SELECT surface, CASE WHEN severity IS NULL THEN 'unsupported' WHEN n = 0 THEN 'clean' ELSE severity END AS severity, n FROM n"""))
 def repair_surfaces(v: Views) -> DataFrame:
@@ -127,7 +133,8 @@ def json_patched(v: Views) -> DataFrame:
     return stored.select("event_id", F.get_json_object("json", "$.k").cast("long").alias("k"), F.get_json_object("json", "$.retired_at_rev").cast("long").alias("retired_at"))
 
 
-@query("""WITH s AS (SELECT 'part_' || p_partkey AS id, p_size, p_retailprice AS score, CASE p_size % 4 WHEN 0 THEN 'active' ELSE 'rejected' END AS state FROM part), t AS (SELECT id AS link, score / 2000 AS score, p_size AS generated FROM s WHERE state = 'active')
+@query("""WITH s AS (SELECT 'part_' || p_partkey AS id, p_size, p_retailprice AS score, CASE p_size % 4 WHEN 0 THEN 'active' ELSE 'rejected' END AS state FROM part), t AS (SELECT
+id AS link, score / 2000 AS score, p_size AS generated FROM s WHERE state = 'active')
 SELECT link, round(score, 6) AS score, generated FROM t WHERE score < 0.6 ORDER BY t.score DESC, generated DESC, link LIMIT 50""")
 def overlay_candidates(v: Views) -> DataFrame:
     p = v.table("part").select(F.concat(F.lit("part_"), "p_partkey").alias("link"), F.when(F.col("p_size") % 4 == 0, "active").otherwise("rejected").alias("state"), (F.col("p_retailprice") / 2000).alias("score"), F.col("p_size").alias("generated"))
@@ -172,7 +179,8 @@ def relevant_events(v: Views) -> DataFrame:
     return watch.relevant(v.events.select("event_id", path.alias("path"))).select("event_id")
 
 
-@query("SELECT 'part_' || p_partkey AS id, CASE WHEN p_size % 5 <> 0 THEN p_brand || '::' || p_type || '::' || p_name || chr(10) || p_name || chr(10) || p_type ELSE p_brand || '::' || p_type || '::' || p_name || chr(10) || p_name END AS text FROM part")
+@query("""SELECT 'part_' || p_partkey AS id, CASE WHEN p_size % 5 <> 0 THEN p_brand || '::' || p_type || '::' || p_name || chr(10) || p_name || chr(10) || p_type ELSE p_brand ||
+'::' || p_type || '::' || p_name || chr(10) || p_name END AS text FROM part""")
 def chunk_texts(v: Views) -> DataFrame:
     return sources.chunks(v.symbols)
 
@@ -204,7 +212,8 @@ def united_roots(v: Views) -> DataFrame:
     return sources.union_roots(f.where("k % 2 = 0"), f.where("k % 3 = 0")).select("root_id", "path")
 
 
-@query("""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' ELSE 'rust' END AS l FROM pages), f AS (SELECT CASE l WHEN 'typescript' THEN 'web/m' || page_id || '/index.ts' WHEN 'python' THEN 'pkg/m' || page_id || '.py' ELSE 'src/m' || page_id || '/mod.rs' END AS path FROM p WHERE page_id % 2 = 0)
+@query("""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' ELSE 'rust' END AS l FROM pages), f AS (SELECT CASE l WHEN 'typescript' THEN
+'web/m' || page_id || '/index.ts' WHEN 'python' THEN 'pkg/m' || page_id || '.py' ELSE 'src/m' || page_id || '/mod.rs' END AS path FROM p WHERE page_id % 2 = 0)
 SELECT page_id, CASE l WHEN 'typescript' THEN 'web/m' || page_id || '/index.ts' WHEN 'python' THEN 'pkg/m' || page_id || '.py' ELSE 'src/m' || page_id || '/mod.rs' END AS resolved FROM p WHERE page_id % 2 = 0""")
 def resolved_imports(v: Views) -> DataFrame:
     k = F.col("page_id")
@@ -242,7 +251,9 @@ def clamped_limit(v: Views) -> DataFrame:
 
 
 #: Notes in markdown, made of items of the benchmark.
-NOTE = """m AS (SELECT item_id, '---' || chr(10) || CASE WHEN item_id % 2 = 0 THEN 'title: "Note ' || item_id || '"' || chr(10) ELSE '' END || 'status: open' || chr(10) || CASE WHEN item_id % 3 = 0 THEN 'aliases: [a' || item_id || ', ''b'']' ELSE 'aliases:' || chr(10) || '  - x' || item_id || chr(10) || '  - "y"' END || chr(10) || '---' || chr(10)
+NOTE = """m AS (SELECT item_id, '---' || chr(10) || CASE WHEN item_id % 2 = 0 THEN 'title: "Note ' || item_id || '"' || chr(10) ELSE '' END || 'status: open' || chr(10) || CASE
+WHEN item_id % 3 = 0 THEN 'aliases: [a' || item_id || ', ''b'']' ELSE 'aliases:' || chr(10) || '  - x' || item_id || chr(10) || '  - "y"' END || chr(10) || '---' ||
+chr(10)
  || '# Heading ' || item_id || chr(10) || chr(10) || 'First  line' || chr(10) || 'of ' || item_id || '.' || chr(10) || chr(10) || CASE WHEN item_id % 5 < 3 THEN '## Decision' || chr(10) || 'We do ' || item_id || chr(10) || chr(10) || '## Next' || chr(10) || 'z' ELSE 'DECISION: keep ' || item_id || chr(10) || 'DECISION:   go' END AS t FROM benchmark)"""
 
 
@@ -254,7 +265,8 @@ def _markdown(v: Views) -> DataFrame:
     return v.table("benchmark").select("item_id", F.concat(head, rest).alias("t"))
 
 
-@query(f"""WITH {NOTE} SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'Note ' || item_id ELSE 'Heading ' || item_id END AS title, 'open' AS status, CASE WHEN item_id % 3 = 0 THEN 'a' || item_id || ',b' ELSE 'x' || item_id || ',y' END AS aliases, 'First line of ' || item_id || '.' AS summary,
+@query(f"""WITH {NOTE} SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'Note ' || item_id ELSE 'Heading ' || item_id END AS title, 'open' AS status, CASE WHEN item_id % 3 = 0 THEN
+'a' || item_id || ',b' ELSE 'x' || item_id || ',y' END AS aliases, 'First line of ' || item_id || '.' AS summary,
 CASE WHEN item_id % 5 < 3 THEN 'We do ' || item_id END AS decision, CASE WHEN item_id % 5 < 3 THEN '' ELSE 'keep ' || item_id || ';go' END AS markers FROM m""")
 def markdown_notes(v: Views) -> DataFrame:
     t = F.col("t")
@@ -274,7 +286,8 @@ def normalised_texts(v: Views) -> DataFrame:
     return v.table("conversations").select("conv_id", "turn", text.normalised(F.col("text")).alias("t"))
 
 
-@query("SELECT doc_id, greatest(strlen(text) // 3, 1)::BIGINT AS raw, round(CASE WHEN greatest(strlen(text) // 3, 1) > 60 THEN (greatest(strlen(text) // 3, 1) - 60) / greatest(strlen(text) // 3, 1) ELSE 0 END, 6)::DOUBLE AS saved FROM documents")
+@query("""SELECT doc_id, greatest(strlen(text) // 3, 1)::BIGINT AS raw, round(CASE WHEN greatest(strlen(text) // 3, 1) > 60 THEN (greatest(strlen(text) // 3, 1) - 60) /
+greatest(strlen(text) // 3, 1) ELSE 0 END, 6)::DOUBLE AS saved FROM documents""")
 def card_savings(v: Views) -> DataFrame:
     raw = text.token_estimate(F.col("text")).cast("long")
     return v.table("documents").select("doc_id", raw.alias("raw"), F.round(text.savings_ratio(raw, F.lit(60)), 6).alias("saved"))
@@ -283,7 +296,8 @@ def card_savings(v: Views) -> DataFrame:
 EXTENSIONS = ("rs", "py", "ts", "tsx", "go", "jsx", "java", "kts", "cs", "php", "rb", "swift", "h", "hpp", "dart", "txt")
 
 
-@query("SELECT event_id, ['rust', 'python', 'typescript', 'tsx', 'go', 'javascript', 'java', 'kotlin', 'csharp', 'php', 'ruby', 'swift', 'c', 'cpp', 'dart', NULL][event_id % 16 + 1] AS language, event_id % 5 IN (0, 1, 2, 3) AS test, event_id % 4 = 0 AS inside FROM events")
+@query("""SELECT event_id, ['rust', 'python', 'typescript', 'tsx', 'go', 'javascript', 'java', 'kotlin', 'csharp', 'php', 'ruby', 'swift', 'c', 'cpp', 'dart', NULL][event_id % 16 +
+1] AS language, event_id % 5 IN (0, 1, 2, 3) AS test, event_id % 4 = 0 AS inside FROM events""")
 def path_classes(v: Views) -> DataFrame:
     pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("event_id") % len(xs) + 1).cast("int"))
     test = pick(("a/tests/b.rs", "a/__tests__/b.ts", "x_test.go", "a.spec.ts", "src/contest.rs"))

@@ -84,12 +84,16 @@ SQL = {
     "changes": "changes AS (SELECT DISTINCT l_orderkey AS revision, 'part_' || l_partkey AS path FROM lineitem)",
     "files": "files AS (SELECT 'file_' || doc_id AS id, source AS root_id, lang || '/' || doc_id AS path, text AS content, sha256(text) AS content_hash, strlen(text) AS size_bytes, lang AS language FROM documents)",
     "lines": "lines AS (SELECT doc_id, source AS root_id, lang || '/' || doc_id AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents)",
-    "nodes": "nodes AS (SELECT 'region_' || r_regionkey AS id, r_name AS label, 'region' AS type FROM region UNION ALL SELECT 'nation_' || n_nationkey, n_name, 'nation' FROM nation UNION ALL SELECT 'customer_' || c_custkey, c_name, 'customer' FROM customer UNION ALL SELECT 'supplier_' || s_suppkey, s_name, 'supplier' FROM supplier UNION ALL SELECT 'part_' || p_partkey, p_name, 'part' FROM part)",
-    "defines": "defines AS (SELECT 'region_' || n_regionkey AS src, 'nation_' || n_nationkey AS dst, 'defines' AS kind FROM nation UNION ALL SELECT 'nation_' || c_nationkey, 'customer_' || c_custkey, 'defines' FROM customer UNION ALL SELECT 'nation_' || s_nationkey, 'supplier_' || s_suppkey, 'defines' FROM supplier)",
+    "nodes": """nodes AS (SELECT 'region_' || r_regionkey AS id, r_name AS label, 'region' AS type FROM region UNION ALL SELECT 'nation_' || n_nationkey, n_name, 'nation' FROM nation
+UNION ALL SELECT 'customer_' || c_custkey, c_name, 'customer' FROM customer UNION ALL SELECT 'supplier_' || s_suppkey, s_name, 'supplier' FROM supplier UNION ALL SELECT
+'part_' || p_partkey, p_name, 'part' FROM part)""",
+    "defines": """defines AS (SELECT 'region_' || n_regionkey AS src, 'nation_' || n_nationkey AS dst, 'defines' AS kind FROM nation UNION ALL SELECT 'nation_' || c_nationkey, 'customer_'
+|| c_custkey, 'defines' FROM customer UNION ALL SELECT 'nation_' || s_nationkey, 'supplier_' || s_suppkey, 'defines' FROM supplier)""",
     "calls": "calls AS (SELECT DISTINCT 'supplier_' || l_suppkey AS src, 'part_' || l_partkey AS dst, 'calls' AS kind FROM lineitem)",
     "imports": "imports AS (SELECT DISTINCT 'customer_' || o_custkey AS src, 'part_' || l_partkey AS dst, 'imports' AS kind FROM orders JOIN lineitem ON o_orderkey = l_orderkey)",
     "governs": "governs AS (SELECT 'brand_' || p_brand AS src, 'part_' || p_partkey AS dst, 'governs' AS kind FROM part)",
-    "symbols": "symbols AS (SELECT 'part_' || p_partkey AS id, p_brand AS file, p_brand || '::' || p_type || '::' || p_name AS qualified_name, p_name AS display_name, CASE WHEN p_size % 5 <> 0 THEN p_type END AS doc_comment, CASE p_size % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'crate' ELSE 'private' END AS visibility, p_size, p_retailprice FROM part)",
+    "symbols": """symbols AS (SELECT 'part_' || p_partkey AS id, p_brand AS file, p_brand || '::' || p_type || '::' || p_name AS qualified_name, p_name AS display_name, CASE WHEN p_size %
+5 <> 0 THEN p_type END AS doc_comment, CASE p_size % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'crate' ELSE 'private' END AS visibility, p_size, p_retailprice FROM part)""",
     "fingerprints": "fingerprints AS (SELECT DISTINCT year(o_orderdate) AS rev, o_custkey AS file, l_partkey AS element FROM orders JOIN lineitem ON o_orderkey = l_orderkey)",
     "vectors": "vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)",
 }

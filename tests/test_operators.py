@@ -4,8 +4,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.functions import sets, text
-from lodestone.operators import budget, graph, history, overlay, search, similarity
-from lodestone.sources import files
+from lodestone.functions import prose, routing
+from lodestone.operators import budget, cards, context, graph, history, lifecycle, overlay, search, similarity, upkeep
+from lodestone.sources import files, parse
 from lodestone.streaming import watch
 
 
@@ -164,3 +165,116 @@ def test_streamed_sessions_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("sessions").collect())) == sorted(map(tuple, watch.sessions(rows, by=("root",)).collect()))
+
+
+def test_rare_elements_find_all_similar_pairs(spark):
+    import random
+
+    draw = random.Random(5)
+    sets_ = {f"f{i}": {draw.randrange(8) if draw.random() < 0.4 else draw.randrange(40) for _ in range(draw.randrange(1, 12))} for i in range(120)}
+    old, new = dict(list(sets_.items())[:60]), dict(list(sets_.items())[60:])
+    frame = lambda d: spark.createDataFrame([(f, e) for f, s in d.items() for e in s], "file string, element int")
+    for t in (0.25, 0.5, 0.8, 1.0):
+        got = {(r["old"], r["new"]) for r in similarity.similar_pairs(frame(old), frame(new), t).collect()}
+        assert got == {(a, b) for a, x in old.items() for b, y in new.items() if len(x & y) / len(x | y) >= t}
+
+
+def test_sessions_join_over_midnight(spark):
+    at = [0, 100, 86_300, 86_450, 86_500, 90_000, 172_790, 172_801, 172_802, 259_199, 259_200]
+    events = spark.createDataFrame([(x,) for x in at], "s long").select(F.timestamp_seconds("s").alias("ts"))
+    want = events.groupBy(F.session_window("ts", "5 minutes").alias("w")).agg(F.count("*").alias("n")).select("w.start", "w.end", "n")
+    assert sorted(map(tuple, watch.sessions(events).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_neighborhoods_by_kind(spark):
+    edges = spark.createDataFrame([("a", "b", "calls"), ("b", "c", "calls"), ("a", "d", "imports"), ("a", "a", "calls")], "src string, dst string, kind string")
+    got = lambda **k: {(r["id"], r["depth"], r["degree"]) for r in graph.neighborhood(edges, "a", 2, **k).collect()}
+    assert got(kinds=("calls",)) == {("a", 0, 3), ("b", 1, 2), ("c", 2, 1)}
+    assert got(direction="outbound") == {("a", 0, 4), ("b", 1, 2), ("d", 1, 1), ("c", 2, 1)}
+    assert graph.neighborhood(edges, "nobody").count() == 0
+
+
+def test_edge_kinds_and_queries(spark):
+    import pytest
+
+    assert cards.edge_kind("CoChangesWith") == cards.edge_kind("co_changes_with") == "co_changes_with"
+    with pytest.raises(ValueError):
+        cards.edge_kind("likes")
+    none = spark.createDataFrame([], "src string, dst string, kind string")
+    with pytest.raises(ValueError):
+        cards.edges_with_drift(none, spark.createDataFrame([], "file string, score double"), "sideways a")
+
+
+def test_owners_may_have_names(spark):
+    commits = spark.createDataFrame([(1, "zoe", "2024-01-01"), (2, "amy", "2024-01-02")], "revision long, author string, ts string")
+    changes = spark.createDataFrame([(1, "x"), (2, "x")], "revision long, path string")
+    assert tuple(history.ownership(commits, changes).first()) == ("x", "amy", 1, 2)
+
+
+def test_durations_paths_and_globs(spark):
+    assert [_one(spark, routing.ttl_seconds(F.lit(x))) for x in ("30d", "2w", "0m", "5", "-1d", "")] == [2592000, 1209600, None, None, None, None]
+    assert [_one(spark, routing.normal_path(F.lit(x))) for x in ("a/b/../c", "./a//b", "../../x")] == ["a/c", "a/b", "x"]
+    assert [routing.glob_prefix(x) for x in ("src/**/*.rs", "src/a.rs", "*.rs", "src/a?.rs")] == ["src/", "src/a.rs", "", "src/"]
+
+
+def test_notes_without_front_matter(spark):
+    t = F.lit("Plain first line\n\n## Context\nwhy\n")
+    assert _one(spark, prose.title(t, F.lit("docs/n.md"))) == "n.md" and _one(spark, prose.summary(t)) == "Plain first line" and _one(spark, prose.decision(t)) == "why"
+    assert _one(spark, prose.front_list(t, "aliases")) == [] and _one(spark, prose.front_scalar(t, "status")) is None and _one(spark, prose.decision(F.lit(""))) is None
+
+
+def test_staged_find_stops_when_the_text_itself_is_found(spark):
+    lines = spark.createDataFrame([("r", "a.rs", 1, "parse the config"), ("r", "b.rs", 1, "config only")], "root_id string, path string, line_number int, line string")
+    tasks = spark.createDataFrame([(1, "parse the config"), (2, "parse nothing config")], "task int, text string")
+    got = {(r["task"], r["attempt"], r["path"]) for r in context.staged_find(lines, tasks).collect()}
+    assert {x for x in got if x[0] == 1} == {(1, 0, "a.rs")} and {x[2] for x in got if x[0] == 2} == {"a.rs", "b.rs"}
+
+
+def test_references_that_tie_are_rejected(spark):
+    symbols = spark.createDataFrame([("s1", "f", "m::f", "x.rs", "public", "r"), ("s2", "f", "n::f", "y.rs", "public", "r"), ("s3", "g", "m::g", "x.rs", "private", "r")], "id string, name string, qualified_name string, file string, visibility string, root_id string")
+    refs = spark.createDataFrame([("a", "f", "z.rs", "r"), ("b", "m::f", "z.rs", "r"), ("c", "g", "x.rs", "r"), ("d", "g", "z.rs", "r"), ("e", "f", "y.rs", "r")], "ref string, target string, file string, root_id string")
+    none = spark.createDataFrame([], "file string, target_file string")
+    assert sorted(map(tuple, cards.resolve_references(refs, symbols, none).collect())) == [("b", "s1"), ("c", "s3"), ("e", "s2")]
+
+
+def test_renames_keep_the_rest(spark):
+    before = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, body string")
+    after = spark.createDataFrame([("x", "1"), ("b", "9"), ("d", "4")], "path string, body string")
+    assert sorted(map(str, map(tuple, lifecycle.changed_with_renames(before, after, "path", "body").collect()))) == sorted(map(str, [("a", "renamed", "x"), ("b", "modified", None), ("c", "removed", None), ("d", "added", None)]))
+
+
+def test_blocked_or_failed_passes_sync_nothing(spark):
+    outcomes = spark.createDataFrame([(1, True), (2, False)], "finished int, completed boolean")
+    rows = spark.range(3)
+    assert upkeep.auto_sync(outcomes, [("s", rows)]).count() == 0 and upkeep.auto_sync(outcomes.where("completed"), [("s", rows)], blocked=True).count() == 0
+    assert [tuple(r) for r in upkeep.auto_sync(outcomes.where("completed"), [("s", rows)]).collect()] == [("s", 3)]
+
+
+def test_ignore_patterns(spark):
+    fits = lambda p, *g: _one(spark, files.ignored(F.lit(p), g))
+    assert fits("a/b.log", "*.log") and not fits("a/keep.log", "*.log", "!keep.log") and fits("target/x", "target/") and not fits("target", "target/") and not fits("a/docs/x", "/docs")
+
+
+def test_watch_loop_falls_back_to_full_passes(spark, tmp_path):
+    full, steps, after = [], [], []
+    rows = spark.createDataFrame([(f"src/f{i}.rs",) for i in range(5)] + [(".git/x",)], "path string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for cap, name in ((10, "few"), (2, "many")):
+        q = watch.watch_loop(stream, lambda: full.append(1), lambda b, n: steps.append(b.count()), str(tmp_path / name), cap=cap, after=after.append)
+        q.processAllAvailable()
+        q.stop()
+    assert (len(full), steps, len(after)) == (3, [5], 2)
+
+
+def test_reads_are_cached_by_revision(spark):
+    built = []
+    cache = watch.RevisionCache(lambda: built.append(1) or spark.range(3))
+    assert cache.at(1).count() == cache.at(1).count() == 3 and len(built) == 1
+    cache.at(2)
+    assert len(built) == 2
+
+
+def test_calls_are_not_declarations(spark):
+    f = spark.createDataFrame([("a.py", "def run(x):\n    if (x):\n        return run(go(x))\n")], "path string, content string")
+    assert sorted(map(tuple, parse.call_refs(f).collect())) == [("a.py", "go", 1), ("a.py", "run", 1)]
