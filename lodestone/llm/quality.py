@@ -143,14 +143,20 @@ def _fit(rows, y: np.ndarray, edges: dict[str, list[float]], fields: tuple[str,
 def surest(pool: DataFrame, view: View, lent, share: float, per_round: int):
     """The ``per_round`` rows of the whole ``pool`` that a view is surest of and hasn't lent yet, with mark 1 or 0 in proportion of ``share``, as a bounded pandas table.
 
-    They are taken by rank, so a view of less spread lends as well; ``sure``, from 0 for an even chance to 1, is what they weigh.
-    ``lent`` is the bounded table of rows that the view has lent before.
+    They are taken by rank, to six places, equals by hash of the id, so a view of less spread lends as well; ``sure``, from 0 for an even
+    chance to 1, is what they weigh.  A quantile of all ranks, from partial sketches, leaves out the rest before anything is sorted, so the rows that meet
+    don't grow with the partitions.  ``lent`` is the bounded table of rows that the view has lent before.
     """
     rated = view.weighed(pool).select(*pool.columns, _chance(view.logit()).alias("p")).where("doc_id IS NOT NULL")
     if len(lent):
         rated = rated.join(F.broadcast(rated.sparkSession.createDataFrame([(x,) for x in lent["doc_id"].tolist()], rated.select("doc_id").schema)), "doc_id", "left_anti")
-    top = lambda mark, sure, part: rated.select("*", F.lit(mark).alias("mark"), (sure * 2 - 1).alias("sure")).where(sure > 0.5).orderBy(sure.desc(), F.xxhash64("doc_id"), "doc_id").limit(max(1, round(per_round * part)))
-    return top(1.0, F.col("p"), share).unionByName(top(0.0, 1 - F.col("p"), 1 - share)).toPandas().drop_duplicates("doc_id")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20) * 5e-7
+    ranked = rated.select("*", *[F.when(sure > 0.5, F.round(sure, 6) + place).alias(f"rank_{m}") for m, sure in ((1, F.col("p")), (0, 1 - F.col("p")))])
+    found = ranked.agg(F.count("rank_1"), F.count("rank_0")).first()
+    parts = {1: (max(1, round(per_round * share)), found[0]), 0: (max(1, round(per_round * (1 - share))), found[1])}
+    least = ranked.agg(*[F.percentile_approx(f"rank_{m}", max(0.0, 1 - 2 * k / max(n, 1)), 100_000).alias(f"least_{m}") for m, (k, n) in parts.items()]).first()
+    top = lambda m: ranked.where(F.col(f"rank_{m}") >= F.lit(least[f"least_{m}"])).orderBy(F.desc(f"rank_{m}"), "doc_id").limit(parts[m][0]).select(*pool.columns, F.lit(float(m)).alias("mark"), (F.abs(F.col("p") - 0.5) * 2).alias("sure"))
+    return top(1).unionByName(top(0)).toPandas().drop_duplicates("doc_id")
 
 
 def co_train(labelled, pool: DataFrame, *, rounds: int = 3, per_round: int = 1000, bins: int = 10, log: list | None = None) -> tuple[View, View, tuple[float, float, float]]:
