@@ -259,10 +259,15 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **training) -> DataFrame:
     """The rows of ``docs`` (with the columns of documents, and any others) that ``classify_quality`` keeps, whole.
 
-    Nulls, ties, repeated rows, empty texts and tables as there; columns stay as they are, whatever their names.
+    Rows are described once and met again by id and text.  Nulls, ties, repeated rows, empty texts and tables as there; columns stay as
+    they are, whatever their names.
     """
-    model = train(with_labels(described(docs), labels), **training)
-    return scored(described(docs, carry=tuple(docs.columns)), model).where(F.col("score") >= threshold).select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    text_hash = F.xxhash64(text_of("text"))
+    keyed = docs.select("doc_id", "text", "source", "lang", text_hash.alias("__hash"))
+    rows = with_labels(described(keyed, carry=("__hash",)), labels)
+    good = scored(rows, train(rows, **training)).where(F.col("score") >= threshold).select(F.struct("doc_id", F.col("keep_0").alias("hash")).alias("__key"))
+    held = docs.select(F.struct("doc_id", text_hash.alias("hash")).alias("__key"), *[F.col(c) for c in docs.columns])
+    return held.join(good.hint("merge"), "__key", "left_semi").drop("__key")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
