@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -22,7 +23,10 @@ BANDS, ROWS = 40, 5
 #: MinHash values compared before the posterior is looked at again.
 STEP = 20
 #: A tile compares blocks of at most this many sets and about this many shingles each.
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 4_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_000_000
+
+#: Bytes of text hashed at a time.
+BATCH = 2 << 20
 
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -61,7 +65,7 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches):
+        for b in parts(batches, BATCH):
             sets = shingle_sets(b.column("text"), n)
             known = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             bands = [_bands(signature(s)).astype(np.int64) if len(s) else None for s in sets]
@@ -90,20 +94,24 @@ def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
 
 def exact_shingles(texts: list[str], n: int) -> list[np.ndarray]:
     """The shingles of each text as sorted distinct numbers that are equal if and only if the shingles are, word for word."""
-    words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    code = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) if any(words) else np.zeros(0, np.int64)
-    first = np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(np.int64)
-    ids, vocabulary = code, int(code.max(initial=0)) + 1
+    known: defaultdict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__  # a new word gets the next number
+    coded, short = [], {}
+    for t in texts:
+        words = t.encode("utf-8", "surrogatepass").split()
+        coded.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+    code = np.concatenate([*coded, np.zeros(0, np.int64)])
+    first = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+    ids, vocabulary = code, len(known) + 1
     for k in range(1, n):  # runs of k + 1 words: a run of k words and the next one, numbered anew
         pairs = ids[: max(len(code) - k, 0)] * vocabulary + code[k:]
         ids = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
-    short: dict[tuple[bytes, ...], int] = {}
     out = []
-    for ws, a, b in zip(words, first[:-1], first[1:]):
-        if len(ws) >= n:
+    for c, a, b in zip(coded, first[:-1], first[1:]):
+        if len(c) >= n:
             out.append(np.unique(ids[a : b - n + 1]))
         else:
-            out.append(np.array([-1 - short.setdefault(tuple(ws), len(short))], np.int64) if ws else np.zeros(0, np.int64))
+            out.append(np.array([-1 - short.setdefault(tuple(c), len(short))], np.int64) if len(c) else np.zeros(0, np.int64))
     return out
 
 
@@ -235,7 +243,7 @@ def _likely(threshold: float, tolerance: float):
 
 def _signed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches):
+        for b in parts(batches, BATCH):
             sig = pa.array([signature(s).astype("<u2").tobytes() for s in shingle_sets(b.column("text"), n)], pa.binary())  # the lower halves: those that differ seem equal once in 65,536
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("size"), b.column("shared"), sig], names=["node", "size", "shared", "sig"])
 
