@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import routing, sets, text
+from ..sources.scratch import held
 from .budget import knapsack
 from .graph import distances
+from .postings import candidate_files, verified
 from .search import grouped, lexical
 
 
@@ -30,22 +32,30 @@ def with_path_matches(query: str, files: DataFrame, items: DataFrame, limit: int
     return both.groupBy("root_id", "path").agg(F.min("place").alias("place")).orderBy("place", "root_id", "path").limit(limit)
 
 
-def staged_find(lines: DataFrame, tasks: DataFrame, limit: int = 20, most_attempts: int = 24, most_rows: int = 50) -> DataFrame:
+def staged_find(lines: DataFrame, index: DataFrame, tasks: DataFrame, limit: int = 20, most_attempts: int = 24, most_rows: int = 50) -> DataFrame:
     """task, attempt, path of each task's (task, text) first attempt that finds anything, and of those after it until ``limit`` files are found.
 
     The task's own text comes first; its phrases and words (``text.phrases``) follow only if it finds nothing.
-    Attempts of all tasks meet the lines in one pass; ``most_rows`` lines count of each.
+    ``index`` has the postings (gram, file) of the lines' files.  Attempts that read alike are looked for once,
+    first those of all tasks' own texts, then those of the tasks left over; ``most_rows`` lines count of each.
     """
     tokens = text.query_tokens(F.col("text"))
     asked = tasks.select("task", F.slice(F.concat(F.array(F.lower(F.trim("text"))), text.phrases(tokens), tokens), 1, most_attempts).alias("all"))
-    attempts = asked.select("task", F.posexplode("all").alias("attempt", "query")).where("query != ''")
-    hits = lines.select("root_id", "path", "line_number", F.lower("line").alias("low")).join(F.broadcast(attempts), F.col("low").contains(F.col("query")))
-    kept = hits.select("*", F.row_number().over(Window.partitionBy("task", "attempt").orderBy("root_id", "path", "line_number")).alias("n")).where(F.col("n") <= most_rows)
-    files = kept.groupBy("task", "path").agg(F.min("attempt").alias("attempt"))
+    attempts = held(asked.select("task", F.posexplode("all").alias("attempt", "needle")).where("needle != ''"), "attempts")
+
+    candidates = held(candidate_files(index, attempts.select("needle"), ignore_case=True), "candidates")
+
+    def found(some: DataFrame) -> DataFrame:
+        hits = verified(lines, candidates.join(some.select("needle").distinct(), "needle"), ignore_case=True).select("needle", "root_id", "path", "line_number")
+        kept = hits.select("needle", "path", F.row_number().over(Window.partitionBy("needle").orderBy("root_id", "path", "line_number")).alias("n")).where(F.col("n") <= most_rows)
+        return some.join(kept.select("needle", "path").distinct(), "needle").groupBy("task", "path").agg(F.min("attempt").alias("attempt"))
+
+    own = held(found(attempts.where("attempt = 0")), "found-at-once")
+    left = attempts.where("attempt > 0").join(own.select("task").distinct(), "task", "left_anti")
+    files = held(found(left), "found-later")
     before = F.sum("new").over(Window.partitionBy("task").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1))
-    per = files.groupBy("task", "attempt").agg(F.count("*").alias("new")).select("task", "attempt", F.coalesce(before, F.lit(0)).alias("before"), F.first("attempt").over(Window.partitionBy("task").orderBy("attempt")).alias("first"))
-    run = per.where((F.col("before") < limit) & ((F.col("first") != 0) | (F.col("attempt") == 0)))
-    return files.join(run.select("task", "attempt"), ["task", "attempt"]).select("task", "attempt", "path")
+    per = files.groupBy("task", "attempt").agg(F.count("*").alias("new")).select("task", "attempt", F.coalesce(before, F.lit(0)).alias("before"))
+    return own.select("task", "attempt", "path").unionByName(files.join(per.where(F.col("before") < limit).select("task", "attempt"), ["task", "attempt"]).select("task", "attempt", "path"))
 
 
 def docs_search(notes: DataFrame, current: DataFrame, term: str, limit: int = 20) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import routing, sets, text
 from ..operators import context, search
 from ..sources.views import Views, sql_with
 from .catalog import PROBE, STOP, _probe
+from .indexed import index_of
 from .registry import query
 
 
@@ -80,7 +81,7 @@ SELECT f.task, f.attempt::INT AS attempt, f.path FROM f JOIN b ON f.task = b.tas
 def staged_find(v: Views) -> DataFrame:
     word = lambda i: F.regexp_replace(F.get(F.split("text", " "), i), "[^A-Za-z]", "")
     t = v.table("benchmark").select(F.col("item_id").alias("task"), F.when(F.col("item_id") % 2 == 0, word(0)).otherwise(F.concat(F.lit("zzqx "), word(1))).alias("text"))
-    return context.staged_find(v.lines, t).withColumn("attempt", F.col("attempt").cast("int"))
+    return context.staged_find(*index_of(v), t).withColumn("attempt", F.col("attempt").cast("int"))
 
 
 @query("""WITH n AS (SELECT conv_id || ':' || turn AS note, 'en/' || conv_id AS path, CASE turn % 3 WHEN 0 THEN md5(role) WHEN 1 THEN 'old' END AS hash, text AS body FROM conversations),

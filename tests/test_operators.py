@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import sets, text
 from lodestone.functions import prose, routing
-from lodestone.operators import budget, cards, context, graph, history, lifecycle, overlay, search, similarity, upkeep
+from lodestone.operators import budget, cards, context, graph, history, lifecycle, overlay, postings, search, similarity, upkeep
 from lodestone.sources import files, parse
 from lodestone.streaming import watch
 
@@ -226,7 +226,8 @@ def test_notes_without_front_matter(spark):
 def test_staged_find_stops_when_the_text_itself_is_found(spark):
     lines = spark.createDataFrame([("r", "a.rs", 1, "parse the config"), ("r", "b.rs", 1, "config only")], "root_id string, path string, line_number int, line string")
     tasks = spark.createDataFrame([(1, "parse the config"), (2, "parse nothing config")], "task int, text string")
-    got = {(r["task"], r["attempt"], r["path"]) for r in context.staged_find(lines, tasks).collect()}
+    index = postings.postings(lines.select("root_id", "path", F.col("line").alias("content")))
+    got = {(r["task"], r["attempt"], r["path"]) for r in context.staged_find(lines, index, tasks).collect()}
     assert {x for x in got if x[0] == 1} == {(1, 0, "a.rs")} and {x[2] for x in got if x[0] == 2} == {"a.rs", "b.rs"}
 
 
