@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, read, text_of
@@ -17,6 +17,8 @@ from .rules import FEATURES, text_statistics
 VALUES = {"source": 20000, "lang": 200}
 #: Buckets that the words of a text are hashed into, and the scale of their shares.
 BUCKETS, SCALE = 256, 256.0
+#: Rows of the bounded training table that are taken at a time, so that the driver holds it once and no copies of it.
+BLOCK = 2048
 
 
 def content_of(texts: pa.Array) -> pa.Array:
@@ -77,39 +79,55 @@ class View:
 
 
 def _shares(content) -> np.ndarray:
-    return np.frombuffer(b"".join(map(bytes, content)), np.uint8).reshape(-1, BUCKETS) / SCALE
+    return np.frombuffer(b"".join(map(bytes, content)), np.uint8).reshape(-1, BUCKETS).astype(np.float32) / np.float32(SCALE)
 
 
 def _matrix(rows, edges: dict[str, list[float]], fields: dict[str, list[str]], content: bool) -> np.ndarray:
-    """One column for each bin, each bucket of content and each value of ``fields``."""
-    out = [np.zeros((len(rows), 0), np.float32)]
+    """A column of ones, and one for each bin, each bucket of content and each value of ``fields``, in one table filled in place."""
+    n, width = len(rows), 1 + sum(len(e) + 1 for e in edges.values()) + (BUCKETS if content else 0) + sum(map(len, fields.values()))
+    out, at, each = np.zeros((n, width), np.float32), 1, np.arange(n)
+    out[:, 0] = 1
     for f, e in edges.items():
-        out.append(np.eye(len(e) + 1, dtype=np.float32)[np.searchsorted(np.array(e), rows[f].to_numpy(float), side="right")])
+        out[each, at + np.searchsorted(np.array(e), rows[f].to_numpy(float), side="right")] = 1
+        at += len(e) + 1
     if content:
-        out.append(_shares(rows["content"]).astype(np.float32))
+        for i in range(0, n, BLOCK):
+            out[i : i + BLOCK, at : at + BUCKETS] = _shares(rows["content"].iloc[i : i + BLOCK])
+        at += BUCKETS
     for f, known in fields.items():
-        out.append((rows[f].to_numpy()[:, None] == np.array(known, object)[None, :]).astype(np.float32))
-    return np.concatenate(out, axis=1)
+        place = rows[f].map({v: i for i, v in enumerate(known)})
+        met = place.notna().to_numpy()
+        out[each[met], at + place[met].to_numpy(int)] = 1
+        at += len(known)
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, group: np.ndarray | None = None, sure: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Weights, the bias first, and those of the groups (numbered from 0), by Newton steps; ``sure`` weighs the rows.
+    """Weights of ``x``, whose first column is ones, and those of the groups (numbered from 0), by Newton steps; ``sure`` weighs the rows.
 
     Each row is in one group at most (-1 is none), so the groups' part of the Hessian is diagonal and is eliminated.
     """
-    x = np.concatenate([np.ones((len(x), 1), x.dtype), x], axis=1)
     sure = np.ones(len(y)) if sure is None else sure
     group = np.full(len(x), -1) if group is None else group
-    n = int(group.max(initial=-1)) + 2  # the last is none
-    total = lambda v: np.bincount(group % n, v, n)[:-1]
-    b, s, keep = np.zeros(x.shape[1]), np.zeros(n - 1), np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+    n, width = int(group.max(initial=-1)) + 2, x.shape[1]  # the last group is none
+    b, s, keep = np.zeros(width), np.zeros(n - 1), np.diag([1e-6] + [ridge] * (width - 1))
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ b + np.append(s, 0)[group], -30, 30)))
-        w, off = sure * (p * (1 - p) + 1e-6), sure * (y - p)
-        cross, own = (np.stack([total(w * c) for c in x.T]) if n > 1 else np.zeros((x.shape[1], 0))), total(w) + ridge
-        g, gs = x.T @ off - keep @ b, total(off) - ridge * s
-        hessian = sum(((x[i : i + 4096] * w[i : i + 4096, None].astype(x.dtype)).T @ x[i : i + 4096]).astype(float) for i in range(0, len(x), 4096))
-        step = np.linalg.solve(hessian + keep - (cross / own) @ cross.T, g - (cross / own) @ gs)
+        g, gs, own, hessian, cross = -keep @ b, -ridge * np.append(s, 0), np.full(n, float(ridge)), keep.copy(), np.zeros((width, n))
+        for i in range(0, len(x), BLOCK):
+            rows, at = x[i : i + BLOCK], group[i : i + BLOCK] % n
+            p = 1 / (1 + np.exp(-np.clip(rows @ b + np.append(s, 0)[at], -30, 30)))
+            w, off = sure[i : i + BLOCK] * (p * (1 - p) + 1e-6), sure[i : i + BLOCK] * (y[i : i + BLOCK] - p)
+            weighed = rows * w[:, None].astype(x.dtype)
+            g += rows.T @ off
+            hessian += (weighed.T @ rows).astype(float)
+            gs += np.bincount(at, off, n)
+            own += np.bincount(at, w, n)
+            if n > 1:
+                order = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.diff(at[order], prepend=-1))
+                cross[:, at[order][first]] += np.add.reduceat(weighed[order], first, axis=0).T
+        gs, own, cross = gs[:-1], own[:-1], cross[:, :-1]
+        step = np.linalg.solve(hessian - (cross / own) @ cross.T, g - (cross / own) @ gs)
         move = (gs - cross.T @ step) / own
         b, s = b + step, s + move
         if max(np.abs(step).max(), np.abs(move).max(initial=0)) < 1e-3:
@@ -117,6 +135,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, group: np.ndarra
     return b, s
 
 
+def _with_ones(z: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(z)), z])
+
+
 def _cut(values: np.ndarray, bins: int) -> list[float]:
     return sorted({float(v) for v in np.quantile(values, np.arange(1, bins) / bins)})
 
@@ -140,29 +162,43 @@ def _fit(rows, y: np.ndarray, edges: dict[str, list[float]], fields: tuple[str,
     return View(edges, weights, values, float(b[0]), content=words)
 
 
-def surest(pool: DataFrame, view: View, lent, share: float, per_round: int):
-    """The ``per_round`` rows of the whole ``pool`` that a view is surest of and hasn't lent yet, with mark 1 or 0 in proportion of ``share``, as a bounded pandas table.
+def _last_taken(counts: DataFrame, by: str, quota: dict[int, int], before: dict[int, int]) -> dict[int, tuple]:
+    """For each mark the value of ``by`` at which its quota is filled, from above, and how many rows stand before it; from counts (mark, by, n)."""
+    upto = F.sum("n").over(Window.partitionBy("mark").orderBy(F.desc(by)))
+    wanted = F.when(F.col("mark") == 1, F.lit(quota[1] - before[1])).otherwise(F.lit(quota[0] - before[0]))
+    reached = counts.select("mark", by, "n", upto.alias("upto")).where(F.col("upto") - F.col("n") < wanted)
+    return {r["mark"]: (r["last"], r["n"]) for r in reached.groupBy("mark").agg(F.min_by(F.struct(F.col(by).alias("last"), (F.col("upto") - F.col("n")).alias("n")), by).alias("b")).select("mark", "b.*").collect()}
+
 
-    They are taken by rank, to six places, equals by hash of the id, so a view of less spread lends as well; ``sure``, from 0 for an even
-    chance to 1, is what they weigh.  A quantile of all ranks, from partial sketches, leaves out the rest before anything is sorted, so the rows that meet
-    don't grow with the partitions.  ``lent`` is the bounded table of rows that the view has lent before.
+def surest(pool: DataFrame, view: View, lent, share: float, per_round: int, least_sure: float = 0.9):
+    """Up to ``per_round`` rows of the whole ``pool`` that a view is surest of and hasn't lent yet, with mark 1 or 0 in proportion of ``share``, as a bounded pandas table.
+
+    Only rows whose calibrated chance of their mark is ``least_sure`` or more are lent, so a view that tells nothing lends nothing.
+    They are taken by that chance to six places, equals by hash of the id; ``sure``, the distance from an even
+    chance, is what they weigh.  Two histograms, of the chances and of the hashes at the last chance taken, give the exact bounds of the
+    quota at any number of rows, and only rows within them meet.  ``lent`` is the bounded table of rows that the view has lent before.
     """
     rated = view.weighed(pool).select(*pool.columns, _chance(view.logit()).alias("p")).where("doc_id IS NOT NULL")
     if len(lent):
         rated = rated.join(F.broadcast(rated.sparkSession.createDataFrame([(x,) for x in lent["doc_id"].tolist()], rated.select("doc_id").schema)), "doc_id", "left_anti")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20) * 5e-7
-    ranked = rated.select("*", *[F.when(sure > 0.5, F.round(sure, 6) + place).alias(f"rank_{m}") for m, sure in ((1, F.col("p")), (0, 1 - F.col("p")))])
-    found = ranked.agg(F.count("rank_1"), F.count("rank_0")).first()
-    parts = {1: (max(1, round(per_round * share)), found[0]), 0: (max(1, round(per_round * (1 - share))), found[1])}
-    least = ranked.agg(*[F.percentile_approx(f"rank_{m}", max(0.0, 1 - 2 * k / max(n, 1)), 100_000).alias(f"least_{m}") for m, (k, n) in parts.items()]).first()
-    top = lambda m: ranked.where(F.col(f"rank_{m}") >= F.lit(least[f"least_{m}"])).orderBy(F.desc(f"rank_{m}"), "doc_id").limit(parts[m][0]).select(*pool.columns, F.lit(float(m)).alias("mark"), (F.abs(F.col("p") - 0.5) * 2).alias("sure"))
-    return top(1).unionByName(top(0)).toPandas().drop_duplicates("doc_id")
-
-
-def co_train(labelled, pool: DataFrame, *, rounds: int = 3, per_round: int = 1000, bins: int = 10, log: list | None = None) -> tuple[View, View, tuple[float, float, float]]:
+    rated = rated.select("*", (F.col("p") > 0.5).cast("int").alias("mark"), F.round(F.greatest("p", 1 - F.col("p")), 6).alias("chance"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("place")).where(F.col("chance") >= least_sure)
+    quota = {1: max(1, round(per_round * share)), 0: max(1, round(per_round * (1 - share)))}
+    chances = _last_taken(rated.groupBy("mark", "chance").agg(F.count("*").alias("n")), "chance", quota, {0: 0, 1: 0})
+    if not chances:
+        return lent[:0]
+    per_mark = lambda of, default: F.when(F.col("mark") == 1, F.lit(of.get(1, default))).otherwise(F.lit(of.get(0, default)))
+    last = per_mark({m: c for m, (c, _) in chances.items()}, 2.0)
+    hashes = _last_taken(rated.where(F.col("chance") == last).groupBy("mark", F.shiftright("place", 4).alias("part")).agg(F.count("*").alias("n")), "part", quota, {m: chances[m][1] if m in chances else 0 for m in (0, 1)})
+    part = per_mark({m: c for m, (c, _) in hashes.items()}, 0)
+    within = rated.where((F.col("chance") > last) | (F.col("chance") == last) & (F.shiftright("place", 4) >= part))
+    top = lambda m: within.where(F.col("mark") == m).orderBy(F.desc("chance"), F.desc("place"), "doc_id").limit(quota[m]).select(*pool.columns, F.col("mark").cast("double").alias("mark"), (F.col("chance") * 2 - 1).alias("sure"))
+    return top(1).unionByName(top(0)).toArrow().to_pandas().drop_duplicates("doc_id")
+
+
+def co_train(labelled, pool: DataFrame, *, rounds: int = 3, per_round: int = 1000, least_sure: float = 0.9, bins: int = 10, log: list | None = None) -> tuple[View, View, tuple[float, float, float]]:
     """Both views and the weights (bias, text, metadata) that join their calibrated logits.
 
-    A fifth of the labelled rows calibrates and joins, the others train.  In each round each view
+    A fifth of the labelled rows calibrates each view in each round and joins them in the end, the others train.  In each round each view
     scores the whole pool and labels the rows it is surest of among those it hasn't lent, for the other view to train on,
     as many of each kind as the labels' shares allow, each weighed by how sure it is.  ``log``, if given, gets (round, lender, rows lent).
     """
@@ -175,26 +211,23 @@ def co_train(labelled, pool: DataFrame, *, rounds: int = 3, per_round: int = 100
     numeric, fields = {"text": FEATURES, "meta": ()}, {"text": (), "meta": tuple(VALUES)}
     edges = {v: {f: _cut(labelled[f].to_numpy(float), bins) for f in fs} for v, fs in numeric.items()}
     lent = {v: labelled[:0].assign(mark=0.0, sure=0.0) for v in numeric}  # by each view
-    share, views = y[fit].mean(), {}
+    held, share, views = labelled[hold], y[fit].mean(), {}
     for r in range(rounds + 1):
         for v, lender in (("text", "meta"), ("meta", "text")):
             got = lent[lender]
             rows = pd.concat([labelled[fit], got]) if len(got) else labelled[fit]
             marks = np.concatenate([y[fit], got["mark"].to_numpy(float)])
-            views[v] = _fit(rows, marks, edges[v], fields[v], v == "text", np.concatenate([np.ones(int(fit.sum())), got["sure"].to_numpy(float)]))
+            view = views[v] = _fit(rows, marks, edges[v], fields[v], v == "text", np.concatenate([np.ones(int(fit.sum())), got["sure"].to_numpy(float)]))
+            view.shift, view.slope = map(float, _logistic(_with_ones(view.logits(held)), y[hold], 0.01)[0])
         if r == rounds:
             break
         for v in numeric:
-            new = surest(pool, views[v], lent[v], share, per_round)
+            new = surest(pool, views[v], lent[v], share, per_round, least_sure)
             if log is not None:
                 log.append((r, v, len(new)))
             lent[v] = pd.concat([x for x in (lent[v], new) if len(x)] or [new])
-    joined = []
-    for v, view in views.items():
-        z = view.logits(labelled[hold])
-        view.shift, view.slope = map(float, _logistic(z[:, None], y[hold], 0.01)[0])
-        joined.append(np.clip(z * view.slope + view.shift, -30, 30))
-    both = _logistic(np.stack(joined, axis=1), y[hold], 0.1)[0]
+    joined = [np.clip(view.logits(held) * view.slope + view.shift, -30, 30) for view in views.values()]
+    both = _logistic(_with_ones(np.stack(joined, axis=1)), y[hold], 0.1)[0]
     return views["text"], views["meta"], tuple(float(b) for b in both)
 
 
@@ -221,7 +254,7 @@ def train(rows: DataFrame, *, max_labelled: int = 20000, **training) -> tuple[Vi
     known, fields = rows.where("quality IS NOT NULL"), [c for c in rows.columns if c not in ("doc_id", "content")]
     ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     chosen = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("content", *fields)).alias("r")).select("doc_id", "r.*")
-    labelled = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5))).toPandas().sort_values("doc_id")
+    labelled = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5))).toArrow().to_pandas().sort_values("doc_id")
     if labelled["quality"].nunique() < 2:
         return None
     return co_train(labelled, rows.where("quality IS NULL").drop("quality"), **training)

@@ -20,20 +20,33 @@ def repeat_words(words: Column) -> Column:
 
     Each window is one number, the upper bits of its 64-bit hash above the bits of its
     position, so that sorting numbers makes equal windows neighbours; neighbours are then
-    held against each other by the whole hash.  Texts whose windows all differ stop before.
+    held against each other by the whole hash.  Where neighbours share the upper bits alone, an
+    unlike window may stand between two equal ones, and the text's windows are sorted again as
+    pairs of whole hash and position.  Texts whose windows all differ stop before.  Windows of one
+    hash (two unlike ones of a text of n words: n * n / 2**65) count as equal.
     """
 
     def windows(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
 
+    def in_pairs(h: Column) -> Column:
+        same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+        return let(
+            F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
+            lambda s: F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1))), lambda x: x["i"])),
+        )
+
     def twice(h: Column) -> Column:
         room = F.element_at(F.array(*[F.lit((1 << b) - 1).cast("long") for b in (10, 13, 16, 20, 31)]), F.when(F.size(h) < 1 << 10, 1).when(F.size(h) < 1 << 13, 2).when(F.size(h) < 1 << 16, 3).when(F.size(h) < 1 << 20, 4).otherwise(5))
 
         def found(mask: Column) -> Column:
             def pick(s: Column) -> Column:
                 at = lambda x: x.bitwiseAND(mask).cast("int")
-                same = lambda x, y: F.coalesce((x.bitwiseXOR(y) <= mask) & (x.bitwiseXOR(y) >= 0) & (F.get(h, at(x)) == F.get(h, at(y))), F.lit(False))
-                return F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1))), at))
+                near = lambda x, y: (x.bitwiseXOR(y) <= mask) & (x.bitwiseXOR(y) >= 0)
+                whole = lambda x: F.get(h, at(x))
+                same = lambda x, y: F.coalesce(near(x, y) & (whole(x) == whole(y)), F.lit(False))
+                mixed = F.exists(F.transform(s, lambda x, j: F.coalesce(near(x, F.get(s, j - 1)) & (whole(x) != whole(F.get(s, j - 1))), F.lit(False))), lambda x: x)
+                return F.when(mixed, in_pairs(h)).otherwise(F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1))), at)))
 
             return let(F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))), pick)
 

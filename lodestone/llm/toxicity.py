@@ -89,13 +89,20 @@ def hits(folded: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int,
             harmless.append((start, end))
         elif start not in found or found[start][1] < w:
             found[start] = (end, w)
-    return [(s, e, w) for s, (e, w) in sorted(found.items()) if not any(a <= s and s < b for a, b in harmless)]
+    harmless.sort()
+    kept, k, upto = [], 0, 0
+    for s, (e, w) in sorted(found.items()):
+        while k < len(harmless) and harmless[k][0] <= s:
+            upto, k = max(upto, harmless[k][1]), k + 1
+        if s >= upto:
+            kept.append((s, e, w))
+    return kept
 
 
 def _measures(text: str, automaton: ahocorasick.Automaton) -> tuple[int, float, int]:
     f = fold(text)
     found = hits(f, automaton)
-    return len(found), sum(w for _, _, w in found), f.count(" ") - 1
+    return len(found), sum(w for _, _, w in found), len(f.split())
 
 
 def _curve(total: np.ndarray, n_words: np.ndarray) -> np.ndarray:
