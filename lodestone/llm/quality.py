@@ -162,37 +162,54 @@ def _fit(rows, y: np.ndarray, edges: dict[str, list[float]], fields: tuple[str,
     return View(edges, weights, values, float(b[0]), content=words)
 
 
-def _last_taken(counts: DataFrame, by: str, quota: dict[int, int], before: dict[int, int]) -> dict[int, tuple]:
-    """For each mark the value of ``by`` at which its quota is filled, from above, and how many rows stand before it; from counts (mark, by, n)."""
-    upto = F.sum("n").over(Window.partitionBy("mark").orderBy(F.desc(by)))
-    wanted = F.when(F.col("mark") == 1, F.lit(quota[1] - before[1])).otherwise(F.lit(quota[0] - before[0]))
-    reached = counts.select("mark", by, "n", upto.alias("upto")).where(F.col("upto") - F.col("n") < wanted)
-    return {r["mark"]: (r["last"], r["n"]) for r in reached.groupBy("mark").agg(F.min_by(F.struct(F.col(by).alias("last"), (F.col("upto") - F.col("n")).alias("n")), by).alias("b")).select("mark", "b.*").collect()}
+def _last_taken(counts: DataFrame, by: str, wanted: dict[tuple, int]) -> dict[tuple, tuple]:
+    """For each (view, mark) the value of ``by`` at which as many rows as ``wanted`` are met, from above, and how many stand before it; from counts (view, mark, by, n)."""
+    upto = F.sum("n").over(Window.partitionBy("view", "mark").orderBy(F.desc(by)))
+    reached = counts.select("view", "mark", by, "n", upto.alias("upto")).where(F.col("upto") - F.col("n") < _by_kind(wanted, 0))
+    return {(r["view"], r["mark"]): (r["last"], r["n"]) for r in reached.groupBy("view", "mark").agg(F.min_by(F.struct(F.col(by).alias("last"), (F.col("upto") - F.col("n")).alias("n")), by).alias("b")).select("view", "mark", "b.*").collect()}
 
 
-def surest(pool: DataFrame, view: View, lent, share: float, per_round: int, least_sure: float = 0.9):
-    """Up to ``per_round`` rows of the whole ``pool`` that a view is surest of and hasn't lent yet, with mark 1 or 0 in proportion of ``share``, as a bounded pandas table.
+def _by_kind(of: dict[tuple, float], default: float) -> Column:
+    out = F.lit(default)
+    for (view, mark), value in of.items():
+        out = F.when((F.col("view") == view) & (F.col("mark") == mark), F.lit(value)).otherwise(out)
+    return out
+
+
+def surest_of(pool: DataFrame, views: dict[str, View], lent: dict, share: float, per_round: int, least_sure: float = 0.9) -> dict:
+    """For each view up to ``per_round`` rows of the whole ``pool`` that it is surest of and hasn't lent yet, with mark 1 or 0 in proportion of ``share``, as a bounded pandas table.
 
     Only rows whose calibrated chance of their mark is ``least_sure`` or more are lent, so a view that tells nothing lends nothing.
     They are taken by that chance to six places, equals by hash of the id; ``sure``, the distance from an even
     chance, is what they weigh.  Two histograms, of the chances and of the hashes at the last chance taken, give the exact bounds of the
-    quota at any number of rows, and only rows within them meet.  ``lent`` is the bounded table of rows that the view has lent before.
+    quota at any number of rows, and only rows within them meet.  All views are scored in one pass.  ``lent`` has the bounded tables of rows that each view has lent before.
     """
-    rated = view.weighed(pool).select(*pool.columns, _chance(view.logit()).alias("p")).where("doc_id IS NOT NULL")
-    if len(lent):
-        rated = rated.join(F.broadcast(rated.sparkSession.createDataFrame([(x,) for x in lent["doc_id"].tolist()], rated.select("doc_id").schema)), "doc_id", "left_anti")
-    rated = rated.select("*", (F.col("p") > 0.5).cast("int").alias("mark"), F.round(F.greatest("p", 1 - F.col("p")), 6).alias("chance"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("place")).where(F.col("chance") >= least_sure)
-    quota = {1: max(1, round(per_round * share)), 0: max(1, round(per_round * (1 - share)))}
-    chances = _last_taken(rated.groupBy("mark", "chance").agg(F.count("*").alias("n")), "chance", quota, {0: 0, 1: 0})
-    if not chances:
-        return lent[:0]
-    per_mark = lambda of, default: F.when(F.col("mark") == 1, F.lit(of.get(1, default))).otherwise(F.lit(of.get(0, default)))
-    last = per_mark({m: c for m, (c, _) in chances.items()}, 2.0)
-    hashes = _last_taken(rated.where(F.col("chance") == last).groupBy("mark", F.shiftright("place", 4).alias("part")).agg(F.count("*").alias("n")), "part", quota, {m: chances[m][1] if m in chances else 0 for m in (0, 1)})
-    part = per_mark({m: c for m, (c, _) in hashes.items()}, 0)
-    within = rated.where((F.col("chance") > last) | (F.col("chance") == last) & (F.shiftright("place", 4) >= part))
-    top = lambda m: within.where(F.col("mark") == m).orderBy(F.desc("chance"), F.desc("place"), "doc_id").limit(quota[m]).select(*pool.columns, F.col("mark").cast("double").alias("mark"), (F.col("chance") * 2 - 1).alias("sure"))
-    return top(1).unionByName(top(0)).toArrow().to_pandas().drop_duplicates("doc_id")
+    rated, columns = pool.where("doc_id IS NOT NULL"), pool.columns
+    for view in views.values():
+        rated = view.weighed(rated)
+    chances = F.array(*[F.struct(F.lit(v).alias("view"), _chance(view.logit()).alias("p")) for v, view in views.items()])
+    rated = rated.select(*columns, F.explode(chances).alias("x")).select(*columns, "x.view", F.col("x.p").alias("p"))
+    rated = rated.select(*columns, "view", (F.col("p") > 0.5).cast("int").alias("mark"), F.round(F.greatest("p", 1 - F.col("p")), 6).alias("chance"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("place")).where(F.col("chance") >= least_sure)
+    known = [(v, x) for v, rows in lent.items() for x in rows["doc_id"].tolist()]
+    if known:
+        rated = rated.join(F.broadcast(rated.sparkSession.createDataFrame(known, rated.select("view", "doc_id").schema)), ["view", "doc_id"], "left_anti")
+    quota = {(v, m): max(1, round(per_round * part)) for v in views for m, part in ((1, share), (0, 1 - share))}
+    last = _last_taken(rated.groupBy("view", "mark", "chance").agg(F.count("*").alias("n")), "chance", quota)
+    if not last:
+        return {v: lent[v][:0] for v in views}
+    bound = _by_kind({k: c for k, (c, _) in last.items()}, 2.0)
+    part = F.shiftright("place", 4)
+    parts = _last_taken(rated.where(F.col("chance") == bound).groupBy("view", "mark", part.alias("part")).agg(F.count("*").alias("n")), "part", {k: quota[k] - n for k, (_, n) in last.items()})
+    within = rated.where((F.col("chance") > bound) | (F.col("chance") == bound) & (part >= _by_kind({k: c for k, (c, _) in parts.items()}, 0)))
+    rank = F.row_number().over(Window.partitionBy("view", "mark").orderBy(F.desc("chance"), F.desc("place"), "doc_id"))
+    top = within.select(*columns, "view", F.col("mark").cast("double").alias("mark"), (F.col("chance") * 2 - 1).alias("sure"), rank.alias("rank")).where(F.col("rank") <= max(quota.values()))
+    found = top.where(F.col("rank") <= _by_kind({(v, m): q for (v, m), q in quota.items()}, 0)).drop("rank").toArrow().to_pandas()
+    return {v: found[found["view"] == v].drop(columns="view").drop_duplicates("doc_id").reset_index(drop=True) for v in views}
+
+
+def surest(pool: DataFrame, view: View, lent, share: float, per_round: int, least_sure: float = 0.9):
+    """``surest_of`` a single view."""
+    return surest_of(pool, {"view": view}, {"view": lent}, share, per_round, least_sure)["view"]
 
 
 def co_train(labelled, pool: DataFrame, *, rounds: int = 3, per_round: int = 1000, least_sure: float = 0.9, bins: int = 10, log: list | None = None) -> tuple[View, View, tuple[float, float, float]]:
@@ -221,8 +238,7 @@ def co_train(labelled, pool: DataFrame, *, rounds: int = 3, per_round: int = 100
             view.shift, view.slope = map(float, _logistic(_with_ones(view.logits(held)), y[hold], 0.01)[0])
         if r == rounds:
             break
-        for v in numeric:
-            new = surest(pool, views[v], lent[v], share, per_round, least_sure)
+        for v, new in surest_of(pool, views, lent, share, per_round, least_sure).items():
             if log is not None:
                 log.append((r, v, len(new)))
             lent[v] = pd.concat([x for x in (lent[v], new) if len(x)] or [new])
