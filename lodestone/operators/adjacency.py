@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.scratch import held
+from ..sources.scratch import folder, held
 from .graph import MAX_DEPTH, MAX_LIMIT
 
 #: Edges of a node that stand in one part; a node of more, a hub, has as many parts as it takes, each in a bucket of its own.
@@ -20,6 +20,11 @@ HUB = 100_000
 BLOCK = 2048
 
 
+def _slot(id_: Column, part: Column) -> Column:
+    """The name of a part of a node, by which edges are dealt into buckets; a number after the last ``#`` keeps names apart."""
+    return F.concat(id_, F.lit("#"), part.cast("string"))
+
+
 class Adjacency:
     """Edges from either end, in buckets by node and part, and the degree of each node.
 
@@ -31,15 +36,16 @@ class Adjacency:
         self.spark, self.name = spark, name
 
     @classmethod
-    def save(cls, edges: DataFrame, name: str | None = None, buckets: int = 64, hub: int = HUB) -> Adjacency:
-        """Write edges (src, dst, kind) as tables ``name``_ways and ``name``_degrees of the warehouse."""
+    def save(cls, edges: DataFrame, name: str | None = None, where: str | None = None, buckets: int = 64, hub: int = HUB) -> Adjacency:
+        """Write edges (src, dst, kind) as tables ``name``_ways and ``name``_degrees under ``where``, by default a folder that goes with the process."""
         spark, name = edges.sparkSession, name or f"lodestone_{uuid.uuid4().hex}"
+        where = where or folder(spark, "adjacency")
         ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-        ends.select("id", "degree", F.ceil(F.col("degree") / hub).cast("int").alias("parts")).repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id").mode("overwrite").saveAsTable(f"{name}_degrees")
+        ends.select("id", "degree", F.ceil(F.col("degree") / hub).cast("int").alias("parts")).repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id").option("path", f"{where}/degrees").mode("overwrite").saveAsTable(f"{name}_degrees")
         d = spark.table(f"{name}_degrees").select(F.col("id").alias("a"), "parts")
         ways = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "kind", F.lit(True).alias("out")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "kind", F.lit(False).alias("out")))
-        ways = ways.join(d, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "kind", "out")
-        ways.repartition(buckets, "a", "part").write.bucketBy(buckets, "a", "part").sortBy("a", "part").mode("overwrite").saveAsTable(f"{name}_ways")
+        ways = ways.join(d, "a").select(_slot(F.col("a"), F.pmod(F.xxhash64("b"), F.col("parts"))).alias("slot"), "a", "b", "kind", "out")
+        ways.repartition(buckets, "slot").write.bucketBy(buckets, "slot").sortBy("slot").option("path", f"{where}/ways").mode("overwrite").saveAsTable(f"{name}_ways")
         return cls(spark, name)
 
     def drop(self) -> None:
@@ -57,7 +63,7 @@ class Adjacency:
     def incident(self, node: str, out: bool | None = None) -> DataFrame:
         """b, kind, out of the edges of one node; only the buckets of its parts are read."""
         found = self.degrees.where(F.col("id") == node).first()
-        w = self.ways.where((F.col("a") == node) & F.col("part").isin(*range(found["parts"] if found else 1)))
+        w = self.ways.where(F.col("slot").isin(*[f"{node}#{i}" for i in range(found["parts"] if found else 1)]))
         return (w if out is None else w.where(F.col("out") == out)).select("b", "kind", "out")
 
     def steps(self, front: DataFrame, direction: str = "both", kinds: tuple[str, ...] = ()) -> DataFrame:
@@ -66,7 +72,7 @@ class Adjacency:
         w = w.where(F.col("kind").isin(*kinds)) if kinds else w
         parts = self.degrees.select(F.col("id").alias("d_id"), "parts")
         asked = front.join(parts, F.col("id") == F.col("d_id")).select(*front.columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("d_part"))
-        return asked.join(w.select("a", "part", "b"), (F.col("id") == F.col("a")) & (F.col("d_part") == F.col("part"))).select(*front.columns, "b")
+        return asked.withColumn("slot", _slot(F.col("id"), F.col("d_part"))).join(w.select("slot", "b"), "slot").select(*front.columns, "b")
 
 
 def neighborhoods(store: Adjacency, starts: DataFrame, depth: int = 1, limit: int = 100, direction: str = "both") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources import parse
+from ..sources.scratch import held
 from .graph import degree_map, edges_report
 from .similarity import edge_drift
 
@@ -276,10 +277,11 @@ def resolve_references(refs: DataFrame, symbols: DataFrame, imported: DataFrame)
     return best.where(F.col("top") > 0).select("ref", top.alias("t")).where("size(t) = 1").select("ref", F.col("t")[0]["symbol"].alias("symbol"))
 
 
-def snapshot(df: DataFrame, key: Column, most_bytes: int = 128 << 20) -> DataFrame:
-    """The rows written out as a checkpoint, or as they were if their keys alone exceed ``most_bytes``.
+def snapshot(df: DataFrame, key: Column | None = None, most_bytes: int | None = None) -> DataFrame:
+    """The rows as they are now, written to a table of the shared folder and read from there.
 
-    The ceiling is that of a graph published in memory; a checkpoint needs the shared folder of the cluster.
+    With ``most_bytes``, the ceiling of a graph that is published in memory, it is an error if the keys alone exceed it.
     """
-    size = df.agg(F.sum(F.octet_length(key))).first()[0] or 0
-    return df.checkpoint() if size <= most_bytes and df.sparkSession.sparkContext.getCheckpointDir() else df
+    if most_bytes is not None and (size := df.agg(F.sum(F.octet_length(key))).first()[0] or 0) > most_bytes:
+        raise ValueError(f"the keys have {size} bytes, more than the {most_bytes} of a snapshot in memory")
+    return held(df, "snapshot")

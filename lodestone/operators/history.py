@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +24,11 @@ def ownership(commits: DataFrame, changes: DataFrame) -> DataFrame:
 def cochange_pairs(changes: DataFrame, max_paths: int = 100) -> DataFrame:
     """(left_path, right_path, n): unordered pairs changed together; larger commits tell nothing and are left out.
 
-    Pairs form inside the array of one commit, which the cap bounds, so no self join is needed.
+    Pairs form inside the array of one commit, so no self join is needed.  Of a larger commit only as many paths as tell that it is one are
+    kept, before anything is dealt out by commit.
     """
-    c = changes.groupBy("revision").agg(F.sort_array(F.collect_set("path")).alias("p")).where(F.size("p").between(2, max_paths))
+    first = changes.select("revision", "path", F.dense_rank().over(Window.partitionBy("revision").orderBy("path")).alias("rank")).where(F.col("rank") <= max_paths + 1)
+    c = first.groupBy("revision").agg(F.sort_array(F.collect_set("path")).alias("p")).where(F.size("p").between(2, max_paths))
     pairs = c.select(F.posexplode("p").alias("i", "left_path"), "p").select("left_path", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("right_path"))
     return pairs.groupBy("left_path", "right_path").agg(F.count("*").alias("n"))
 
@@ -75,6 +79,26 @@ def body_changes(observed: DataFrame) -> DataFrame:
     return g.select("symbol", F.col("a.revision").alias("first_seen_rev"), F.col("b.revision").alias("last_modified_rev"), F.col("b.next").alias("changed_at_rev"))
 
 
+def signed_pairs(added: DataFrame, retired: DataFrame, max_paths: int = 100) -> DataFrame:
+    """left_path, right_path, n: what the pairs of commits added, less those of commits retired, change in the counts."""
+    return cochange_pairs(added, max_paths).unionByName(cochange_pairs(retired, max_paths).withColumn("n", -F.col("n")))
+
+
+def signed_touches(added: DataFrame, retired: DataFrame) -> DataFrame:
+    """path, n: what commits added and retired change in the touches."""
+    count = lambda df, sign: df.groupBy("path").agg((F.count("*") * sign).alias("n"))
+    return count(added, 1).unionByName(count(retired, -1))
+
+
+def merged_counts(stored: DataFrame, *deltas: DataFrame) -> DataFrame:
+    """Stored counts (keys and n) with signed deltas of the same columns; what comes to nothing goes.
+
+    A rewritten branch is a delta of its new commits and, with the other sign, its old ones: history isn't counted anew.
+    """
+    every = reduce(DataFrame.unionByName, deltas, stored)
+    return every.groupBy(*[c for c in stored.columns if c != "n"]).agg(F.sum("n").alias("n")).where("n != 0")
+
+
 def recent_commits(commits: DataFrame, depth: int = 500) -> DataFrame:
     """The newest ``depth`` commits, newest first."""
     return commits.orderBy(F.desc("ts"), F.desc("revision")).limit(depth)

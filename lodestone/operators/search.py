@@ -77,12 +77,12 @@ def fuse(lexical_rank: DataFrame, vector_rank: DataFrame, *, by_document: bool =
     return both.select("doc", "source", F.round("share", 6).alias("score"), "best").orderBy(F.desc("score"), "best", "doc", "source").limit(limit)
 
 
-def containment(items: DataFrame, docs: DataFrame, anchor: int = 5) -> DataFrame:
+def containment(items: DataFrame, docs: DataFrame, anchor: int = 5, few: int = 1000) -> DataFrame:
     """(item_id, doc_id) of items whose whole text a document holds, as ``contains`` finds it.
 
     An item's first and last words may be parts of a document's words, as after a quote mark or
     before a comma; those between are whole.  Meets on the first ``anchor`` of these, then compares the texts.
-    Items of fewer than three words have none and are compared with all documents; blank ones are left out.
+    Items of fewer than three words have none: up to ``few`` of them are compared with all documents, more meet them by their grams.  Blank ones are left out.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     all_words = items.where(F.trim("text") != "").select("item_id", "text", words(F.col("text")).alias("w"))
@@ -95,7 +95,16 @@ def containment(items: DataFrame, docs: DataFrame, anchor: int = 5) -> DataFrame
         starts = lambda n: F.when(F.size(w) >= n + 2, F.transform(F.sequence(F.lit(2), F.greatest(F.size(w) - n, F.lit(2))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
         runs = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*map(starts, lengths)))).alias("run"))
         found = runs.join(inner.select("item_id", "text", F.array_join("run", " ").alias("run")), "run").select("doc_id", "item_id", "text")
-    short = bodies.join(F.broadcast(all_words.where(F.size("w") < 3).select("item_id", "text")), F.col("body").contains(F.col("text")))
+    brief = all_words.where(F.size("w") < 3).select("item_id", "text")
+    if brief.limit(few + 1).count() <= few:
+        short = bodies.join(F.broadcast(brief), F.col("body").contains(F.col("text")))
+    else:
+        from .postings import candidate_files, file_key, postings  # which search by the functions of this module
+
+        named = bodies.select(F.lit("").alias("root_id"), F.col("doc_id").cast("string").alias("path"), "doc_id", "body")
+        near = candidate_files(postings(named.select("root_id", "path", F.translate("body", "\n", " ").alias("content"))), brief.select(F.translate("text", "\n", " ").alias("needle")))
+        met = near.join(brief.withColumn("needle", F.translate("text", "\n", " ")), "needle").join(named.withColumn("file", file_key()), "file")
+        short = met.where(F.col("body").contains(F.col("text")))
     return found.join(bodies, "doc_id").where(F.col("body").contains(F.col("text"))).select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
 
 

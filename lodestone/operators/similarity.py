@@ -45,7 +45,8 @@ def edge_drift(edges: DataFrame, scores: DataFrame, *keep: str) -> DataFrame:
 
 def exact_renames(gone: DataFrame, new: DataFrame) -> DataFrame:
     """Gone and new files (path, root_id, content_hash) of equal content in one root; the least new path wins."""
-    j = gone.select("root_id", "content_hash", F.col("path").alias("old_path")).join(new.select("root_id", "content_hash", F.col("path").alias("new_path")), ["root_id", "content_hash"])
+    least = new.groupBy("root_id", "content_hash").agg(F.min("path").alias("new_path"))  # first, so that many files of one content don't meet in pairs
+    j = gone.select("root_id", "content_hash", F.col("path").alias("old_path")).join(least, ["root_id", "content_hash"])
     return j.groupBy("root_id", "old_path").agg(F.min("new_path").alias("new_path"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .budget import tier
@@ -62,6 +62,16 @@ def reconcile_counters(before: DataFrame, after: DataFrame, key: str, content: s
     return j.agg(F.count_if(F.col("was").isNull()).alias("inserted"), F.count_if(both & ~same).alias("updated"), F.count_if(F.col("is").isNull()).alias("retired"), F.count_if(both & same).alias("unchanged"))
 
 
+def observed_pass(before: DataFrame, after: DataFrame, key: str, content: str) -> tuple[DataFrame, Observation]:
+    """The rows of a pass (key, content, what: inserted, updated, retired or unchanged), and their counters, which come
+    with whatever job writes the rows and cost no job of their own."""
+    j = before.select(key, F.col(content).alias("b"), F.lit(True).alias("was")).join(after.select(key, F.col(content).alias("a"), F.lit(True).alias("is")), key, "full")
+    what = F.when(F.col("was").isNull(), "inserted").when(F.col("is").isNull(), "retired").when(F.col("a").eqNullSafe(F.col("b")), "unchanged").otherwise("updated")
+    rows = j.select(key, F.when(F.col("is").isNull(), F.col("b")).otherwise(F.col("a")).alias(content), what.alias("what"))
+    counters = Observation()
+    return rows.observe(counters, *[F.count_if(F.col("what") == w).alias(w) for w in ("inserted", "updated", "retired", "unchanged")]), counters
+
+
 def scoped_recompute(stored: DataFrame, computed: DataFrame, touched: DataFrame, root: str = "root_id") -> DataFrame:
     """``stored`` with the rows of the touched roots replaced by those computed; written by root this rewrites their folders alone."""
     t = touched.select(root).distinct()

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prose, text
 from ..operators import budget, lifecycle, overlay, similarity, upkeep
 from ..sources import files as sources
+from ..sources import scratch
 from ..sources.views import Views, sql_with
 from ..streaming import watch
 from .catalog import ALL, DRIFT, EDGES, LINKS, STOP, _link_events, _links, _scores
@@ -193,7 +192,7 @@ def cut_texts(v: Views) -> DataFrame:
 @query("SELECT vec_id, len(embedding) AS dim FROM embeddings")
 def stored_vectors(v: Views) -> DataFrame:
     """Vectors written with a check of their dimension and read back."""
-    where = f"{sources.shared_dir(v.spark)}/vectors-{uuid.uuid4().hex}"
+    where = scratch.folder(v.spark, "vectors")
     sources.save_vectors(v.vectors, where, 64)
     return sources.load_vectors(v.spark, where, 64).select("vec_id", F.size("v").cast("long").alias("dim"))
 
@@ -201,7 +200,7 @@ def stored_vectors(v: Views) -> DataFrame:
 @query(sql_with("lines", "SELECT root_id, count(*) AS n FROM lines GROUP BY root_id"))
 def lexical_index(v: Views) -> DataFrame:
     """The index of lines, written by root and read back."""
-    where = f"{sources.shared_dir(v.spark)}/lines-{uuid.uuid4().hex}"
+    where = scratch.folder(v.spark, "lines")
     sources.save_index(v.lines, where)
     return v.spark.read.parquet(where).groupBy(F.col("root_id").cast("string").alias("root_id")).agg(F.count("*").alias("n"))
 
@@ -317,7 +316,7 @@ def commentary_freshness(v: Views) -> DataFrame:
 
 @query(sql_with("nodes defines", "SELECT 'graph-json' AS form, (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM defines) AS n_edges, (SELECT count(*) FROM nodes) + (SELECT count(*) FROM defines) AS n_lines"))
 def graph_manifest(v: Views) -> DataFrame:
-    where = f"{sources.shared_dir(v.spark)}/graph-{uuid.uuid4().hex}"
+    where = scratch.folder(v.spark, "graph")
     manifest = sources.export_graph(v.nodes, v.edges("defines"), where, "graph-json")
     return manifest.crossJoin(v.spark.read.json(where).where("what IS NOT NULL").agg(F.count("*").alias("n_lines")))
 
@@ -340,7 +339,7 @@ def merged_metrics(v: Views) -> DataFrame:
 @query(sql_with("lines", "SELECT path, line_number::INT AS line_number FROM lines WHERE root_id = 'src2' AND contains(line, 'the')"))
 def branch_search(v: Views) -> DataFrame:
     """A search of one branch reads the folder of its index alone."""
-    where = f"{sources.shared_dir(v.spark)}/branches-{uuid.uuid4().hex}"
+    where = scratch.folder(v.spark, "branches")
     sources.save_index(v.lines.withColumn("root_id", F.concat("root_id", F.lit("@main"))), where)
     held = v.spark.read.parquet(where).where(F.col("root_id") == "src2@main")
     return held.where(F.col("line").contains("the")).select("path", F.col("line_number").cast("int").alias("line_number"))

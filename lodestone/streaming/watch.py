@@ -31,7 +31,7 @@ def pending(events: DataFrame, window: str = "1 day", cap: int = 50, most: int =
 
 
 def pending_stream(events: DataFrame, window: str = "1 day", cap: int = 50, late: str = "1 hour") -> DataFrame:
-    """``pending`` over a stream; a stream keeps a set of paths for each open window."""
+    """``pending`` over a stream; it keeps a set of paths for each open window, ``keyed.debounced`` no more than a cap of them."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w")).agg(F.size(F.collect_set("path")).alias("n"), F.count("*").alias("e"))
     return w.select(F.col("w.start").alias("start"), F.least("n", F.lit(cap)).alias("n_paths"), (F.col("n") > cap).alias("overflow"), F.col("e").alias("n_events"))
 
@@ -93,12 +93,16 @@ def watch_loop(stream: DataFrame, full_pass, apply, checkpoint: str, interval: s
     full_pass()
 
     def step(batch: DataFrame, number: int) -> None:
-        paths = batch.select("path").distinct().limit(cap + 1).count()
-        if not paths:
-            return
-        full_pass() if paths > cap else apply(relevant(batch), number)
-        if after is not None:
-            after(number)
+        batch.persist()  # counted and applied, read once
+        try:
+            paths = batch.select("path").distinct().limit(cap + 1).count()
+            if not paths:
+                return
+            full_pass() if paths > cap else apply(relevant(batch), number)
+            if after is not None:
+                after(number)
+        finally:
+            batch.unpersist()
 
     return run_sync(stream, step, checkpoint, interval)
 
