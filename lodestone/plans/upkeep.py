@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prose, text
 from ..operators import budget, lifecycle, overlay, similarity, upkeep
 from ..sources import files as sources
-from ..sources import scratch
+from ..sources import parse, scratch
 from ..sources.views import Views, sql_with
 from ..streaming import watch
 from .catalog import ALL, DRIFT, EDGES, LINKS, STOP, _link_events, _links, _scores
@@ -219,12 +221,8 @@ def resolved_imports(v: Views) -> DataFrame:
     m = lambda a, b: F.concat(F.lit(a), k, F.lit(b))
     path = F.when(k % 3 == 0, m("web/m", "/index.ts")).when(k % 3 == 1, m("pkg/m", ".py")).otherwise(m("src/m", "/mod.rs"))
     asked = [("typescript", 0, "web/main.ts", m("./m", "")), ("python", 1, "main.py", m("pkg.m", "")), ("rust", 2, "src/main.rs", m("crate::m", ""))]
-    refs = None
-    for lang, r, here, target in asked:
-        part = v.table("pages").where(k % 3 == r).select("page_id", F.lit(here).alias("path"), target.alias("target"))
-        part = part.select("page_id", "path", "target", sources.import_candidates(lang, F.col("path"), F.col("target")).alias("candidates"))
-        refs = part if refs is None else refs.unionByName(part)
-    found = sources.resolve_imports(refs, v.table("pages").where("page_id % 2 = 0").select(path.alias("path")))
+    refs = reduce(DataFrame.unionByName, [v.table("pages").where(k % 3 == r).select("page_id", F.lit(lang).alias("language"), F.lit(here).alias("path"), target.alias("target")) for lang, r, here, target in asked])
+    found = parse.imported_files(refs, v.table("pages").where("page_id % 2 = 0").select(path.alias("path")))
     return refs.select("page_id", "path", "target").join(found, ["path", "target"]).select("page_id", "resolved")
 
 
@@ -321,6 +319,20 @@ def graph_manifest(v: Views) -> DataFrame:
     return manifest.crossJoin(v.spark.read.json(where).where("what IS NOT NULL").agg(F.count("*").alias("n_lines")))
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey + 1 AS n FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part)) SELECT * FROM (
+SELECT 'pkg/a' || k % 10 || '/m' || k || '.py' AS path, '..a' || n % 10 || '.m' || n AS target, 'pkg/a' || n % 10 || '/m' || n || '.py' AS resolved FROM p
+UNION ALL SELECT 'crates/c/src/a' || k % 10 || '/m' || k || '.rs', 'super::super::a' || n % 10 || '::m' || n || '::Item', 'crates/c/src/a' || n % 10 || '/m' || n || '.rs' FROM p
+UNION ALL SELECT 'svc/g' || k || '/m.go', 'example.com/svc/g' || n, 'svc/g' || n || '/m.go' FROM p)""")
+def module_imports(v: Views) -> DataFrame:
+    """Relative imports of python and rust, and Go imports by the module of their go.mod: each file imports the one of the next number."""
+    k, n = F.col("p_partkey"), F.col("p_partkey") + 1
+    join = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    kinds = (("python", join("pkg/a", k % 10, "/m", k, ".py"), join("..a", n % 10, ".m", n)), ("rust", join("crates/c/src/a", k % 10, "/m", k, ".rs"), join("super::super::a", n % 10, "::m", n, "::Item")), ("go", join("svc/g", k, "/m.go"), join("example.com/svc/g", n)))
+    refs = reduce(DataFrame.unionByName, [v.table("part").select(F.lit(lang).alias("language"), path.alias("path"), target.alias("target")) for lang, path, target in kinds])
+    mod = v.spark.range(1).select(F.lit("svc/go.mod").alias("path"), F.lit("module example.com/svc\n\ngo 1.22\n").alias("content"))
+    return parse.imported_files(refs, refs.select("path"), parse.go_modules(mod))
+
+
 @query("SELECT event_id, event_id % 6 IN (0, 1, 4) AS ignored FROM events")
 def ignored_paths(v: Views) -> DataFrame:
     path = F.element_at(F.array(*map(F.lit, ("target/a.rs", "x/b.log", "x/keep.log", "src/target.rs", "docs/private/n.md", "a/docs/private/n.md"))), (F.col("event_id") % 6 + 1).cast("int"))

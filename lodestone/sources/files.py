@@ -115,47 +115,3 @@ def ignored(path: Column, patterns: tuple[str, ...]) -> Column:
         fits = path.rlike(("^" if "/" in p.rstrip("/") else "(^|/)") + body + ("/" if p.endswith("/") else "(/|$)"))
         out = F.when(fits, F.lit(not back)).otherwise(out)
     return out
-
-
-PATTERNS = {
-    "python": (r"(?m)^[ \t]*(?:async +)?(def|class) +([A-Za-z_]\w*)", {"def": "function", "class": "class"}),
-    "rust": (r"(?m)^[ \t]*(?:pub(?:\([a-z]+\))? +)?(?:async +)?(fn|struct|enum|trait|mod) +([A-Za-z_]\w*)", {"fn": "function", "struct": "class", "enum": "class", "trait": "trait", "mod": "module"}),
-    "typescript": (r"(?m)^[ \t]*(?:export +)?(?:default +)?(?:async +)?(function|class|interface) +([A-Za-z_$][\w$]*)", {"function": "function", "class": "class", "interface": "interface"}),
-    "go": (r"(?m)^(func|type) +(?:\([^)]*\) *)?([A-Za-z_]\w*)", {"func": "function", "type": "class"}),
-}
-
-
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """path, language, kind, name, position of the declarations in files (path, content), by patterns of each language."""
-    f = files.select("path", "content", text.language_of(F.col("path")).alias("language"))
-    words, names, kinds = F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"), F.lit(None).cast("map<string,string>")
-    for lang, (pattern, kind) in PATTERNS.items():
-        is_it = F.col("language") == lang
-        words = F.when(is_it, F.regexp_extract_all("content", F.lit(pattern), F.lit(1))).otherwise(words)
-        names = F.when(is_it, F.regexp_extract_all("content", F.lit(pattern), F.lit(2))).otherwise(names)
-        kinds = F.when(is_it, F.create_map(*[F.lit(x) for kv in kind.items() for x in kv])).otherwise(kinds)
-    return f.select("path", "language", kinds.alias("kinds"), F.posexplode(F.arrays_zip(words.alias("word"), names.alias("name"))).alias("position", "d")).select("path", "language", F.element_at("kinds", F.col("d.word")).alias("kind"), F.col("d.name").alias("name"), "position")
-
-
-def import_candidates(language: str, path: Column, target: Column) -> Column:
-    """The paths that an import may stand for, best first, as an array column."""
-    folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
-    joined = F.concat_ws("/", F.nullif(folder, F.lit("")), F.regexp_replace(target, r"^\./", ""))
-    if language in ("typescript", "javascript", "tsx"):
-        return F.array(*[F.concat(joined, F.lit(e)) for e in ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")])
-    if language == "python":
-        dotted = F.replace(target, F.lit("."), F.lit("/"))
-        return F.array(F.concat(dotted, F.lit(".py")), F.concat(dotted, F.lit("/__init__.py")))
-    if language == "rust":
-        inner = F.concat(F.lit("src/"), F.replace(F.regexp_replace(target, "^crate::", ""), F.lit("::"), F.lit("/")))
-        return F.array(F.concat(inner, F.lit(".rs")), F.concat(inner, F.lit("/mod.rs")))
-    if language in ("java", "kotlin"):
-        inner = F.replace(target, F.lit("."), F.lit("/"))
-        return F.array(*[F.concat(F.lit(f"src/main/{language}/"), inner, F.lit(e)) for e in (".java", ".kt")])
-    return F.array(F.concat(joined, F.lit("." + text.LANGUAGES[language][0])))
-
-
-def resolve_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """path, target, resolved: the first of each import's candidate paths (candidates) that is a file."""
-    c = refs.select("path", "target", F.posexplode("candidates").alias("rank", "candidate"))
-    return c.join(files.select(F.col("path").alias("candidate")), "candidate").groupBy("path", "target").agg(F.min_by("candidate", "rank").alias("resolved"))

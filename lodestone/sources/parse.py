@@ -89,19 +89,51 @@ def call_refs(files: DataFrame) -> DataFrame:
     return named.join(own, ["path", "name"], "left").select("path", "name", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0")
 
 
+def _rust_candidates(path: Column, target: Column) -> Column:
+    """Files of a rust path: from the ``src`` of the importing crate, its own module (``self::``) or one above for each ``super::``; the
+    whole path first, then without its last part, which may be an item of the module.  A path above the crate stands for none."""
+    src = F.regexp_extract(path, r"^((?:.*/)?src)/", 1)
+    inner = F.regexp_replace(F.substring(path, F.length(src) + F.when(src == "", 1).otherwise(2), F.length(path)), r"(^|/)(mod|lib|main)\.rs$|\.rs$", "")
+    own = F.filter(F.split(inner, "/"), lambda x: x != "")
+    said = F.split(target, "::")
+    ups = F.size(F.filter(said, lambda x: x == "super"))
+    rest = F.filter(said, lambda x: ~x.isin("crate", "self", "super", ""))
+    base = F.when(said[0] == "self", own).when(said[0] == "super", F.when(ups <= F.size(own), F.slice(own, F.lit(1), F.greatest(F.size(own) - ups, F.lit(0))))).otherwise(F.array().cast("array<string>"))
+    full = F.concat(base, rest)
+    whole, most = F.array_join(full, "/"), F.array_join(F.slice(full, F.lit(1), F.greatest(F.size(full) - 1, F.lit(0))), "/")
+    at = lambda inner, end: F.when(inner != "", F.concat_ws("/", F.nullif(src, F.lit("")), F.concat(inner, F.lit(end))))
+    return F.when(F.size(rest) > 0, F.array_compact(F.array(at(whole, ".rs"), at(whole, "/mod.rs"), at(most, ".rs"), at(most, "/mod.rs"))))
+
+
+def _python_candidates(folder: Column, target: Column) -> Column:
+    """Files of a python module, from the root or ``src``; leading dots count from the importing package, one more folder up for each."""
+    dots = F.length(F.regexp_extract(target, r"^(\.*)", 1))
+    inner = F.replace(F.regexp_replace(target, r"^\.+", ""), F.lit("."), F.lit("/"))
+    parts = F.filter(F.split(folder, "/"), lambda x: x != "")
+    up = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - dots + 1, F.lit(0))), "/")
+    beside = F.concat_ws("/", F.nullif(up, F.lit("")), F.nullif(inner, F.lit("")))
+    files = lambda base: [F.concat(base, F.lit(".py")), F.concat_ws("/", F.nullif(base, F.lit("")), F.lit("__init__.py"))]
+    return F.when(dots == 0, F.array(*files(inner), *files(F.concat(F.lit("src/"), inner)))).when(dots - 1 <= F.size(parts), F.array(*files(beside)))
+
+
+def go_modules(files: DataFrame) -> DataFrame:
+    """folder, module of the go.mod files among files (path, content)."""
+    m = files.where(F.col("path").rlike("(^|/)go\\.mod$"))
+    return m.select(F.regexp_extract("path", "^(.*)/go\\.mod$", 1).alias("folder"), F.regexp_extract("content", r'(?m)^module[ \t]+"?([^\s"]+)', 1).alias("module")).where("module != ''")
+
+
 def candidates(language: Column, path: Column, target: Column) -> Column:
     """The paths that an import may stand for, best first; a Go import stands for all files of its folder, as ``folder/*``."""
     folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
     beside = routing.normal_path(F.concat_ws("/", F.nullif(folder, F.lit("")), target))
     slashed = F.regexp_replace(target, r"\.", "/")
+    none = F.array().cast("array<string>")
     ends = lambda base, *xs: F.array(*[F.concat(base, F.lit(x)) for x in xs])
     script = F.when(target.startswith("."), ends(beside, "", ".ts", ".tsx", ".d.ts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")).otherwise(F.array().cast("array<string>"))
-    inner = F.regexp_replace(F.regexp_replace(target, "^crate::", ""), "::", "/")
-    up = F.regexp_replace(inner, "/[^/]*$", "")
     rules = {lang: script for lang in ("typescript", "tsx", "javascript")}
     rules |= {
-        "python": F.concat(ends(slashed, ".py", "/__init__.py"), ends(F.concat(F.lit("src/"), slashed), ".py", "/__init__.py")),
-        "rust": F.concat(ends(F.concat(F.lit("src/"), inner), ".rs", "/mod.rs"), ends(F.concat(F.lit("src/"), up), ".rs", "/mod.rs")),
+        "python": F.coalesce(_python_candidates(folder, target), none),
+        "rust": F.coalesce(_rust_candidates(path, target), none),
         "go": ends(F.regexp_replace(target, r"^[^/]+\.[^/]+/[^/]+/[^/]+/", ""), "/*"),
         "java": ends(F.concat(F.lit("src/main/java/"), slashed), ".java"), "kotlin": ends(F.concat(F.lit("src/main/kotlin/"), slashed), ".kt"),
         "dart": F.when(target.startswith("package:"), F.array(F.concat(F.lit("lib/"), F.regexp_replace(target, "^package:[^/]+/", "")))).otherwise(F.array(beside)), "c": F.array(beside, target), "cpp": F.array(beside, target),
@@ -109,9 +141,19 @@ def candidates(language: Column, path: Column, target: Column) -> Column:
     return _by_language(language, rules, F.array(beside))
 
 
-def imported_files(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """path, target, resolved of import references (path, language, target): the first candidate that is a file (path), or all Go files of a folder."""
+def imported_files(refs: DataFrame, files: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """path, target, resolved of import references (path, language, target): the first candidate that is a file (path), or all Go files of a folder.
+
+    With ``modules`` (folder, module, of ``go_modules``) a Go import stands for a folder of the longest module that its path begins with, and for none without one.
+    """
     c = refs.select("path", "target", F.posexplode(candidates(F.col("language"), F.col("path"), F.col("target"))).alias("rank", "candidate"))
+    if modules is not None:
+        parts = F.split("target", "/")
+        heads = refs.where("language = 'go'").select("path", "target", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("module"))
+        met = heads.join(modules, "module").groupBy("path", "target").agg(F.max_by(F.struct("folder", "module"), F.length("module")).alias("m"))
+        inside = F.expr("substring(target, length(m.module) + 2)")
+        folder = F.concat_ws("/", F.nullif(F.col("m.folder"), F.lit("")), F.nullif(inside, F.lit("")))
+        c = c.join(refs.where("language = 'go'").select("path", "target").distinct(), ["path", "target"], "left_anti").unionByName(met.select("path", "target", F.lit(0).alias("rank"), F.concat(folder, F.lit("/*")).alias("candidate")))
     known = files.select(F.col("path").alias("resolved")).distinct()
     one = c.join(known.select("resolved", F.col("resolved").alias("candidate")), "candidate").groupBy("path", "target").agg(F.min_by("resolved", "rank").alias("resolved"))
     folders = known.where(F.col("resolved").endswith(".go")).select("resolved", F.concat(F.regexp_extract("resolved", "^(.*)/[^/]*$", 1), F.lit("/*")).alias("candidate"))

@@ -142,7 +142,7 @@ def test_discover_and_extract(spark, tmp_path):
     (tmp_path / "secret.env").write_text("x")
     found = files.discover(spark, str(tmp_path), redact=("*.env",))
     assert {r["path"]: r["class"] for r in found.collect()} == {"src/a.py": "supported", "src/b.bin": "skipped_binary"}
-    assert [(r["kind"], r["name"]) for r in files.extract_symbols(found).orderBy("position").collect()] == [("class", "A"), ("function", "f")]
+    assert [(r["kind"], r["name"]) for r in parse.declarations(found).orderBy("position").collect()] == [("class", "A"), ("function", "f")]
 
 
 def test_log_counts_bad_lines(spark, tmp_path):
@@ -279,3 +279,19 @@ def test_reads_are_cached_by_revision(spark):
 def test_calls_are_not_declarations(spark):
     f = spark.createDataFrame([("a.py", "def run(x):\n    if (x):\n        return run(go(x))\n")], "path string, content string")
     assert sorted(map(tuple, parse.call_refs(f).collect())) == [("a.py", "go", 1), ("a.py", "run", 1)]
+
+
+def test_imports_of_modules(spark):
+    paths = ["src/lib.rs", "src/foo/mod.rs", "src/foo/a.rs", "src/foo/b.rs", "src/bar.rs", "crates/x/src/main.rs", "crates/x/src/deep/in.rs", "pkg/__init__.py", "pkg/a.py", "pkg/sub/__init__.py", "pkg/sub/b.py", "top.py", "svc/go.mod", "svc/util/u.go", "svc/util/v.go", "svc/inner/go.mod", "svc/inner/util/w.go"]
+    files = spark.createDataFrame([(p, {"svc/go.mod": "// x\nmodule example.com/svc\n", "svc/inner/go.mod": 'module "example.com/svc/inner"\n'}.get(p, "")) for p in paths], "path string, content string")
+    asked = [
+        ("rust", "src/foo/a.rs", "self::x", "src/foo/a.rs"), ("rust", "src/foo/a.rs", "super::b::T", "src/foo/b.rs"), ("rust", "src/foo/a.rs", "super::super::bar", "src/bar.rs"), ("rust", "src/foo/a.rs", "super::super::super::bar", None), ("rust", "src/foo/mod.rs", "self::a", "src/foo/a.rs"),
+        ("rust", "src/lib.rs", "crate::foo::a::f", "src/foo/a.rs"), ("rust", "src/lib.rs", "foo::Item", "src/foo/mod.rs"), ("rust", "src/lib.rs", "std::fmt", None), ("rust", "src/lib.rs", "crate", None), ("rust", "crates/x/src/main.rs", "crate::deep::in", "crates/x/src/deep/in.rs"),
+        ("python", "pkg/sub/b.py", ".", "pkg/sub/__init__.py"), ("python", "pkg/sub/b.py", "..a", "pkg/a.py"), ("python", "pkg/sub/b.py", "..", "pkg/__init__.py"), ("python", "pkg/sub/b.py", "...top", "top.py"), ("python", "pkg/sub/b.py", "....top", None), ("python", "top.py", "pkg.sub.b", "pkg/sub/b.py"),
+        ("go", "svc/m.go", "example.com/svc/util", "svc/util/u.go svc/util/v.go"), ("go", "svc/m.go", "example.com/svc/inner/util", "svc/inner/util/w.go"), ("go", "svc/m.go", "example.com/other/util", None), ("go", "svc/m.go", "fmt", None),
+    ]
+    refs = spark.createDataFrame([a[:3] for a in asked], "language string, path string, target string")
+    got = {}
+    for r in parse.imported_files(refs, files, parse.go_modules(files)).collect():
+        got.setdefault((r.path, r.target), []).append(r.resolved)
+    assert {k: " ".join(sorted(x)) for k, x in got.items()} == {(p, t): want for _, p, t, want in asked if want}
