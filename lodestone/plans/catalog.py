@@ -698,4 +698,4 @@ FROM a WHERE completed GROUP BY key) SELECT a.key, max(finished) AS finished, ar
 completed OR last IS NULL OR started >= last GROUP BY a.key""")
 def newest_outcome(v: Views) -> DataFrame:
     return watch.keep_newest_outcome(v.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("started"), (F.col("event_id") + 5).alias("finished"), (F.col("event_type") != "error").alias("completed")))
-from . import cards, context, indexed, parsing, replay, scopes, starts, upkeep, versions  # noqa: E402,F401  register their queries
+from . import cards, context, derived, indexed, parsing, replay, scopes, starts, upkeep, versions  # noqa: E402,F401  register their queries
