@@ -48,6 +48,6 @@ def url_path_classes(v: Views) -> DataFrame:
 
 
 @query(f"""WITH {PATHS} SELECT page_id, CASE WHEN regexp_matches(path, '(^|/)fr/') THEN true WHEN regexp_matches(path, '(^|/)[^/]*5\\.html(/|$)') THEN false WHEN regexp_matches(path, '(^|/)[^/]*\\.html(/|$)') THEN true
-WHEN regexp_matches(path, '^en/[0-9]*7(/|$)') THEN true ELSE false END AS ignored FROM p""")
+WHEN regexp_matches(path, '^en/[0-9][^/]*7(/|$)') THEN true ELSE false END AS ignored FROM p""")
 def ignored_urls(v: Views) -> DataFrame:
     return _paths(v).select("page_id", sources.ignored(F.col("path"), ("# numbers", "/en/[0-9]*7", "*.html", "!*5.html", "fr/")).alias("ignored"))
