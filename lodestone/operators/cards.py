@@ -263,18 +263,36 @@ def resolve_references(refs: DataFrame, symbols: DataFrame, imported: DataFrame)
     A target with ``::`` is met by whole name if any symbol has it, else by its last part, in the same root.  The score is that of calls:
     100 in the same file, 50 imported (file, target_file), 20 public, 10 crate, -100 private elsewhere.  The best stands if it is above 0 and alone.
     """
-    s = symbols.select(F.col("id").alias("symbol"), "name", "qualified_name", F.col("file").alias("s_file"), "visibility", F.col("root_id").alias("s_root"))
-    whole = refs.where(F.col("target").contains("::")).join(s, F.col("target") == F.col("qualified_name"))
+    s = symbols.select(F.col("id").alias("symbol"), "name", "qualified_name", F.col("file").alias("s_file"), "visibility", "root_id")
+    whole = refs.where(F.col("target").contains("::")).join(s.select(F.col("qualified_name").alias("target")).distinct(), "target", "left_semi")
     rest = refs.join(whole.select("ref").distinct(), "ref", "left_anti")
-    short = rest.withColumn("name", F.element_at(F.split("target", "::"), -1)).join(s, "name")
-    columns = ["ref", "file", "root_id", "symbol", "s_file", "visibility", "s_root"]
-    met = whole.select(columns).unionByName(short.select(columns)).where("root_id = s_root")
-    met = met.join(imported.select("file", F.col("target_file").alias("s_file"), F.lit(True).alias("known")).distinct(), ["file", "s_file"], "left")
-    same, seen = F.col("file") == F.col("s_file"), F.col("visibility")
-    score = F.when(same, 100).otherwise(0) + F.when(F.col("known"), 50).otherwise(0) + F.when(seen == "public", 20).when(seen == "crate", 10).when((seen == "private") & ~same, -100).otherwise(0)
-    best = met.select("ref", "symbol", score.alias("score")).groupBy("ref").agg(F.max("score").alias("top"), F.collect_list(F.struct("score", "symbol")).alias("all"))
-    top = F.filter("all", lambda x: x["score"] == F.col("top"))
-    return best.where(F.col("top") > 0).select("ref", top.alias("t")).where("size(t) = 1").select("ref", F.col("t")[0]["symbol"].alias("symbol"))
+    columns = ["ref", "called", "file", "root_id"]
+    met = _best_named(whole.withColumn("called", F.col("target")).select(columns), s.withColumnRenamed("qualified_name", "called"), imported)
+    met = met.unionByName(_best_named(rest.withColumn("called", F.element_at(F.split("target", "::"), -1)).select(columns), s.withColumnRenamed("name", "called"), imported))
+    some = met.groupBy("ref", "score").agg(F.sum("n").alias("n"), F.min("symbol").alias("symbol"))
+    best = some.groupBy("ref").agg(F.max(F.struct("score", "n", "symbol")).alias("b"))
+    return best.where("b.score > 0 AND b.n = 1").select("ref", F.col("b.symbol").alias("symbol"))
+
+
+def _best_named(refs: DataFrame, symbols: DataFrame, imported: DataFrame) -> DataFrame:
+    """ref, score, n, symbol: how many symbols (symbol, called, root_id, s_file, visibility) may stand for a reference (ref, called, file, root_id), and the least.
+
+    One in the same file is better than any imported, and one of these, unless private, than any elsewhere.  So symbols are counted first by name and root,
+    with their file and without, and a reference meets a count of its own file, one of each file that its own imports, and one of all files:
+    however many symbols have a name, they don't meet its references one by one.
+    """
+    seen = F.col("visibility")
+    shown = symbols.withColumn("score", F.when(seen == "public", 20).when(seen == "crate", 10).otherwise(0))
+
+    def counted(some: DataFrame, *keys: str) -> DataFrame:
+        n = some.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.min("symbol").alias("symbol"))
+        return n.groupBy(*keys).agg(F.max(F.struct("score", "n", "symbol")).alias("b")).select(*keys, "b.score", "b.n", "b.symbol")
+
+    told = lambda df, more: df.select("ref", (F.col("score") + more).alias("score"), "n", "symbol")
+    same = told(refs.withColumn("s_file", F.col("file")).join(counted(shown, "called", "root_id", "s_file"), ["called", "root_id", "s_file"]), 100)
+    known = imported.select("file", F.col("target_file").alias("s_file")).where("file != s_file").distinct()
+    near = told(refs.join(known, "file").join(counted(shown.where("NOT visibility <=> 'private'"), "called", "root_id", "s_file"), ["called", "root_id", "s_file"]), 50)
+    return same.unionByName(near).unionByName(told(refs.join(counted(shown.where("score > 0"), "called", "root_id"), ["called", "root_id"]), 0))
 
 
 def snapshot(df: DataFrame, key: Column | None = None, most_bytes: int | None = None) -> DataFrame:
