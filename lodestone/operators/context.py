@@ -129,9 +129,12 @@ def context_pack(parts: list[tuple[str, DataFrame]], budget: int, most: int = 10
     return k.select("request", "spent", F.array_join(F.transform("kept", lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["name"])), ",").alias("kept"))
 
 
-def ask_packets(asks: DataFrame, evidence: DataFrame, most: int = 20) -> DataFrame:
-    """ask, recipe, n_evidence, evidence of each question (ask, text): the recipe that its words call for and the first items (ask, item, score)."""
-    ranked = evidence.select("ask", "item", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "item")).alias("place")).where(F.col("place") <= most)
-    listed = ranked.groupBy("ask").agg(F.count("*").alias("n_evidence"), F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"]).alias("evidence"))
-    j = asks.select("ask", routing.recipe(F.col("text")).alias("recipe")).join(listed, "ask", "left")
-    return j.select("ask", "recipe", F.coalesce("n_evidence", F.lit(0).cast("long")).alias("n_evidence"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
+def ask_packets(asks: DataFrame, evidence: DataFrame, most: int = 20, by: str = "ask") -> DataFrame:
+    """ask, recipe, n_evidence, evidence of each question (ask, text): the recipe that its words call for and the first items (ask, item, score).
+
+    Where questions share their evidence, ``by`` is a column of both that names what they share: items are ranked once for all its questions.
+    """
+    ranked = evidence.select(by, "item", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "item")).alias("place")).where(F.col("place") <= most)
+    listed = ranked.groupBy(by).agg(F.count("*").alias("n_evidence"), F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"]).alias("evidence"))
+    j = asks.select(*dict.fromkeys((by, "ask")), routing.recipe(F.col("text")).alias("recipe"))
+    return j.join(listed, by, "left").select("ask", "recipe", F.coalesce("n_evidence", F.lit(0).cast("long")).alias("n_evidence"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
