@@ -77,10 +77,12 @@ def discovered_roots(v: Views) -> DataFrame:
 def changed_with_renames(v: Views) -> DataFrame:
     k, p = F.col("p_partkey"), v.table("part")
     body = F.concat(F.lit("body "), k)
-    before = p.select(k.alias("id"), body.alias("content")).where("id % 4 < 4")
-    after = p.where(k % 4 != 2).select(F.when(k % 4 == 0, k + 100000).otherwise(k).alias("id"), F.when(k % 4 == 1, F.concat(body, F.lit("!"))).otherwise(body).alias("content"))
-    more = p.where(k % 4 == 3).select((k + 200000).alias("id"), F.concat(F.lit("new "), k).alias("content"))
-    return lifecycle.changed_with_renames(before, after.unionByName(more), "id", "content")
+    name = lambda moved: (k * 3 + moved).alias("id")  # noqa: E731  kept, renamed and added files have numbers apart, however many parts there are
+    before = p.select(name(0), body.alias("content"))
+    after = p.where(k % 4 != 2).select(F.when(k % 4 == 0, name(1)).otherwise(name(0)).alias("id"), F.when(k % 4 == 1, F.concat(body, F.lit("!"))).otherwise(body).alias("content"))
+    more = p.where(k % 4 == 3).select(name(2), F.concat(F.lit("new "), k).alias("content"))
+    told = lambda c: (F.floor(F.col(c) / 3) + F.pmod(F.col(c), F.lit(3)) * 100000).alias(c)
+    return lifecycle.changed_with_renames(before, after.unionByName(more), "id", "content").select(told("id"), "change", told("new"))
 
 
 @query(sql_with("commits changes", PAIRS + """, t AS (SELECT revision, author, ts FROM changes JOIN commits USING (revision) WHERE path = 'part_7'), n AS (SELECT author, count(*) AS n FROM t GROUP BY author),
