@@ -45,10 +45,11 @@ def temp_base(path):
 
 def suppress(events: DataFrame, own: DataFrame, ttl_seconds: int = 600) -> DataFrame:
     """Events (id, path, ts) without those on a path that we wrote (path, written) within ``ttl_seconds`` before."""
-    bucket = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / ttl_seconds)
-    w = own.select("path", "written", F.explode(F.array(bucket(F.col("written")), bucket(F.col("written")) + 1)).alias("b"))
-    e = events.withColumn("b", bucket(F.col("ts")))
-    near = (F.col("ts") >= F.col("written")) & (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("written").cast("timestamp")) < ttl_seconds)
+    at, ttl = lambda c: F.unix_micros(F.col(c).cast("timestamp")), ttl_seconds * 1_000_000
+    bucket = lambda c: F.floor(at(c) / ttl)
+    w = own.select("path", "written", F.explode(F.array(bucket("written"), bucket("written") + 1)).alias("b"))
+    e = events.withColumn("b", bucket("ts"))
+    near = (F.col("ts") >= F.col("written")) & (at("ts") - at("written") < ttl)
     hit = e.join(w, ["path", "b"]).where(near).select("id").distinct()
     return events.join(hit, "id", "left_anti")
 
