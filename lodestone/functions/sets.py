@@ -28,14 +28,15 @@ def sample_similarity(a: Column, b: Column) -> Column:
 def sampled_shingles(content: Column, width: int = 32, window: int = 4096, cap: int = 256 * 1024) -> Column:
     """Hashes of the non-overlapping shingles of the first, the middle and the last window of a text."""
     n = F.length(content)
-    def within(start: Column) -> Column:
-        w = F.substring(content, start + 1, F.lit(window))
-        return F.when(F.length(w) >= width, F.transform(F.sequence(F.lit(0), F.floor(F.length(w) / width).cast("int") - 1), lambda i: F.md5(F.substring(w, i * width + 1, F.lit(width))))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def within(start: Column) -> Column:  # one pass over the window, where a substring for each shingle would begin anew
+        return F.transform(F.regexp_extract_all(F.substring(content, start + 1, F.lit(window)), F.lit(f"(?s).{{{width}}}"), F.lit(0)), F.md5)
 
     last = F.greatest(n - window, F.lit(0))
     middle = F.least(F.greatest(F.floor(n / 2).cast("int") - window // 2, F.lit(0)), last)
-    some = F.array_sort(F.array_distinct(F.concat(within(F.lit(0)), F.when(n > window, within(middle)).otherwise(F.array().cast("array<string>")), F.when(n > window, within(last)).otherwise(F.array().cast("array<string>")))))
-    return F.when((n > cap) | (n < width), F.array().cast("array<string>")).otherwise(some)
+    some = F.array_sort(F.array_distinct(F.concat(within(F.lit(0)), F.when(n > window, within(middle)).otherwise(none), F.when(n > window, within(last)).otherwise(none))))
+    return F.when((n > cap) | (n < width), none).otherwise(some)
 
 
 def dot(a: Column, b: Column) -> Column:
