@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import cards, context, similarity
 from lodestone.plans import catalog
+from lodestone.sources import scratch
+from lodestone.streaming import keyed
 
 
 def _plan(df):
@@ -73,3 +75,35 @@ def test_shingles_of_long_texts(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
     got = {r.i: r.s for r in df.select("i", sets.sampled_shingles(F.col("t")).alias("s")).collect()}
     assert {i: got[i] or [] for i in got} == {i: (want(x) or []) for i, x in enumerate(texts)}
+
+
+def test_pairs_of_tests_come_from_many_tasks(spark):
+    files = spark.createDataFrame([(f"a/s{i}.py",) for i in range(60)] + [(f"a/tests/t{i}.py",) for i in range(60)] + [("a/tests/s1_test.py",), ("b/s1.py",), ("b/s1.py",)], "path string")
+    df = cards.test_pairs(files)
+    rows = [tuple(r) for r in df.collect()]
+    own = {(f"a/s{i}.py", t) for i in range(60) for t in [f"a/tests/t{k}.py" for k in range(60)] + ["a/tests/s1_test.py"]}
+    assert len(rows) == len(set(rows)) and set(rows) == own | {("b/s1.py", "a/tests/s1_test.py")}
+    assert "hashpartitioning(source" not in _plan(df)  # no pairs are dealt out
+
+
+def test_hot_keys_are_dealt_into_parts(spark):
+    left, right = spark.createDataFrame([("k", i) for i in range(50)] + [("l", 0), ("n", 0)], "key string, a int"), spark.createDataFrame([("k", i) for i in range(70)] + [("l", 1), ("m", 2)], "key string, b int")
+    df = scratch.hot_join(left, right, "key", 10)
+    assert sorted(map(tuple, df.select("key", "a", "b").collect())) == sorted(map(tuple, left.join(right, "key").select("key", "a", "b").collect()))
+    sizes = sorted(r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+    assert len(sizes) > 1 and sizes[-1] < 3501  # in several tasks
+
+
+def test_a_quote_is_compared_once(spark, monkeypatch, tmp_path):
+    rows = [(i, "the quick brown fox", "the quick brown cat") for i in range(500)] + [(500, None, "x"), (501, "abc", None)]
+    df = similarity.verify_spans(spark.createDataFrame(rows, "id int, quoted string, source string"), 0.8)
+    assert "HashAggregate" in _plan(df)  # of equal quotes and sources
+    got = {r.id: (r.stage, round(r.ratio, 3)) for r in df.collect()}
+    assert len(got) == 502 and {got[i] for i in range(500)} == {("near", 0.842)} and got[500] == got[501] == ("missing", 0.0)
+
+
+def test_a_replay_deals_many_rows_into_more_batches(spark, tmp_path):
+    rows = spark.range(100).select(F.lit("r").alias("root"), F.concat(F.lit("p"), F.col("id") % 9).alias("path"), F.timestamp_seconds(F.col("id") * 60 + F.floor(F.col("id") / 20) * 900 + 86400).alias("ts"))
+    got = keyed.replayed(rows, lambda s: keyed.debounced(s, timedelta(minutes=5), 3), keyed.BURSTS, f"file://{tmp_path}/r", 1, most=30)
+    assert sorted(map(str, got.collect())) == sorted(map(str, keyed.debounced(rows, timedelta(minutes=5), 3).collect()))
+    assert len(list(tmp_path.glob("r/in/part=*"))) == 5  # four of them, and the end
