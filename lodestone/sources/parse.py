@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import routing, text
+from .scratch import hot_join
 
 _NAME = r"([A-Za-z_$][\w$]*)"
 _MODIFIERS = r"((?:(?:public|private|protected|internal|fileprivate|open|static|final|abstract|override|sealed|data|suspend|inline|virtual|async|export|default|declare) +)*)"
@@ -157,7 +158,7 @@ def imported_files(refs: DataFrame, files: DataFrame, modules: DataFrame | None
     known = files.select(F.col("path").alias("resolved")).distinct()
     one = c.join(known.select("resolved", F.col("resolved").alias("candidate")), "candidate").groupBy("path", "target").agg(F.min_by("resolved", "rank").alias("resolved"))
     folders = known.where(F.col("resolved").endswith(".go")).select("resolved", F.concat(F.regexp_extract("resolved", "^(.*)/[^/]*$", 1), F.lit("/*")).alias("candidate"))
-    return one.unionByName(c.where(F.col("candidate").endswith("/*")).join(folders, "candidate").select("path", "target", "resolved"))
+    return one.unionByName(hot_join(c.where(F.col("candidate").endswith("/*")), folders, "candidate").select("path", "target", "resolved"))
 
 
 def log_records(records: DataFrame) -> DataFrame:
