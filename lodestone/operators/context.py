@@ -11,7 +11,7 @@ from ..functions import routing, sets, text
 from ..sources.scratch import held
 from .budget import knapsack
 from .graph import distances
-from .postings import candidate_files, verified
+from .postings import candidate_files, lines_of, verified
 from .search import grouped, lexical
 
 
@@ -45,8 +45,10 @@ def staged_find(lines: DataFrame, index: DataFrame, tasks: DataFrame, limit: int
 
     candidates = held(candidate_files(index, attempts.select("needle"), ignore_case=True), "candidates")
 
+    lines = lines_of(lines, index)
+
     def found(some: DataFrame) -> DataFrame:
-        hits = verified(lines, candidates.join(some.select("needle").distinct(), "needle"), ignore_case=True).select("needle", "root_id", "path", "line_number")
+        hits = verified(lines, held(candidates.join(some.select("needle").distinct(), "needle"), "candidates"), ignore_case=True).select("needle", "root_id", "path", "line_number")
         kept = hits.select("needle", "path", F.row_number().over(Window.partitionBy("needle").orderBy("root_id", "path", "line_number")).alias("n")).where(F.col("n") <= most_rows)
         return some.join(kept.select("needle", "path").distinct(), "needle").groupBy("task", "path").agg(F.min("attempt").alias("attempt"))
 

@@ -99,12 +99,14 @@ def containment(items: DataFrame, docs: DataFrame, anchor: int = 5, few: int = 1
     if brief.limit(few + 1).count() <= few:
         short = bodies.join(F.broadcast(brief), F.col("body").contains(F.col("text")))
     else:
-        from .postings import candidate_files, file_key, postings  # which search by the functions of this module
+        from ..sources.scratch import held
+        from .postings import candidate_files, in_slots, lines_of, postings  # which search by the functions of this module
 
         named = bodies.select(F.lit("").alias("root_id"), F.col("doc_id").cast("string").alias("path"), "doc_id", "body")
-        near = candidate_files(postings(named.select("root_id", "path", F.translate("body", "\n", " ").alias("content"))), brief.select(F.translate("text", "\n", " ").alias("needle")))
-        met = near.join(brief.withColumn("needle", F.translate("text", "\n", " ")), "needle").join(named.withColumn("file", file_key()), "file")
-        short = met.where(F.col("body").contains(F.col("text")))
+        index = held(postings(named.select("root_id", "path", F.translate("body", "\n", " ").alias("content"))), "postings")
+        near = candidate_files(index, brief.select(F.translate("text", "\n", " ").alias("needle")))
+        met = held(near.join(brief.withColumn("needle", F.translate("text", "\n", " ")), "needle"), "candidates")
+        short = in_slots(lines_of(named, index), met).where(F.col("body").contains(F.col("text")))
     return found.join(bodies, "doc_id").where(F.col("body").contains(F.col("text"))).select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
 
 

@@ -19,15 +19,15 @@ def _index(v: Views) -> str:
     key = (v.spark.sparkContext.applicationId, v.sf_dir)
     if key not in _BUILT:
         where = scratch.folder(v.spark, "lexical-index")
-        postings.save_postings(scratch.spread(v.files), v.lines, where)
+        postings.save_postings(v.files, v.lines, where)
         _BUILT[key] = where
     return _BUILT[key]
 
 
 def index_of(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Its lines and its postings."""
+    """Its lines with their blocks, and its postings."""
     where = _index(v)
-    return v.spark.read.parquet(f"{where}/lines").drop("file"), v.spark.read.parquet(f"{where}/postings")
+    return v.spark.read.parquet(f"{where}/lines"), v.spark.read.parquet(f"{where}/postings")
 
 
 @query(sql_with("lines", "SELECT root_id, path, line_number::INT AS line_number, line, strpos(line, 'License')::INT AS \"column\" FROM lines WHERE contains(line, 'License')"))

@@ -107,3 +107,23 @@ def test_a_replay_deals_many_rows_into_more_batches(spark, tmp_path):
     got = keyed.replayed(rows, lambda s: keyed.debounced(s, timedelta(minutes=5), 3), keyed.BURSTS, f"file://{tmp_path}/r", 1, most=30)
     assert sorted(map(str, got.collect())) == sorted(map(str, keyed.debounced(rows, timedelta(minutes=5), 3).collect()))
     assert len(list(tmp_path.glob("r/in/part=*"))) == 5  # four of them, and the end
+
+
+def test_a_gram_has_a_row_a_block(spark, monkeypatch):
+    from lodestone.operators import postings
+    from lodestone.operators.search import lexical
+
+    monkeypatch.setattr(postings, "CHUNK", 50)
+    monkeypatch.setattr(postings, "FEW_CANDIDATES", 3)
+    texts = ["the same words\nin many files", "Kelvin K İ\x00\x00é😀", "", None, "x" * 49 + "yz" + "w" * 47 + "ab\nc"]
+    files = spark.createDataFrame([("r", f"{i}.rs", texts[0] if i < 600 else texts[i % 5]) for i in range(640)], "root_id string, path string, content string").repartition(3)
+    index = postings.postings(files)
+    got = index.groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("block").alias("blocks")).collect()
+    folded = lambda t: "".join({"K": "k", "İ": "i"}.get(c, c.lower() if c.isascii() else c) for c in t)
+    want = {line[i : i + n] for t in texts if t for line in folded(t).split("\n") for n in (1, 2, 3) for i in range(len(line) - n + 1)}
+    assert {r.gram for r in got} == want | {""}
+    assert max(r.blocks for r in got) <= 10  # of 640 files
+    lines = files.select("root_id", "path", F.posexplode(F.split("content", "\n")).alias("line_number", "line"))
+    for n in ("many", "xyz", "wab", "\x00\x00é", "😀", "q"):
+        found = postings.search_many(lines, index, spark.createDataFrame([(n,)], "needle string")).count()
+        assert found == lexical(lines, n, literal=True).count(), n
