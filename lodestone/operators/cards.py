@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources import parse
-from ..sources.scratch import held, hot_join
+from ..sources.scratch import held, hot_join, tasks_of
 from .graph import degree_map, edges_report
 from .similarity import edge_drift
 
+#: Partners of files that one task gathers.
+PARTNERS_A_TASK = 1_000_000
+
 #: Kinds of symbols that resolution knows.
 SYMBOL_KINDS = ("function", "method", "class", "trait", "interface", "module", "constant", "type")
 #: Kinds of edges, and where each comes from.
@@ -126,16 +129,26 @@ def file_cards(files: DataFrame, symbols: DataFrame, imports: DataFrame, pairs:
     """
     joined = lambda df, key, value, name: df.groupBy(F.col(key).alias("file")).agg(F.array_sort(F.collect_set(value)).alias(name))
     named = symbols.groupBy("file").agg(F.count("*").alias("n_symbols"), F.slice(F.array_sort(F.collect_list("name")), 1, most).alias("symbols"))
-    partners = pairs.select(F.col("left_path").alias("file"), F.col("right_path").alias("other")).unionByName(pairs.select(F.col("right_path").alias("file"), F.col("left_path").alias("other")))
-    partners = cochange_minus_imports(partners, imports)
-    out = files.join(named, "file", "left").join(joined(imports, "dst", "src", "imported_by"), "file", "left").join(joined(imports, "src", "dst", "imports"), "file", "left").join(joined(partners, "file", "other", "co_changes"), "file", "left")
+    pairs = held(pairs.select("left_path", "right_path"), "pairs")
+    n = tasks_of(files.sparkSession, 2 * pairs.count(), PARTNERS_A_TASK)
+    partners = pairs.select(F.col("left_path").alias("file"), F.col("right_path").alias("other")).unionByName(pairs.select(F.col("right_path").alias("file"), F.col("left_path").alias("other"))).repartition(n, "file")
+    out = files.repartition(n, "file").join(named, "file", "left").join(joined(imports, "dst", "src", "imported_by"), "file", "left").join(joined(imports, "src", "dst", "imports"), "file", "left").join(joined(partners, "file", "other", "partners"), "file", "left")
     none = F.array().cast("array<string>")
-    return out.select("file", F.coalesce("n_symbols", F.lit(0).cast("long")).alias("n_symbols"), *[F.coalesce(c, none).alias(c) for c in ("symbols", "imported_by", "imports", "co_changes")])
+    return out.select("file", F.coalesce("n_symbols", F.lit(0).cast("long")).alias("n_symbols"), *[F.coalesce(c, none).alias(c) for c in ("symbols", "imported_by", "imports")], F.array_except(F.coalesce("partners", none), F.coalesce("imports", none)).alias("co_changes"))
+
 
+def cochange_minus_imports(pairs: DataFrame, imports: DataFrame) -> DataFrame:
+    """file, other and more: partners of a file in pairs (left_path, right_path and more) that it doesn't import (src, dst) anyway, ties that only history shows.
 
-def cochange_minus_imports(partners: DataFrame, imports: DataFrame) -> DataFrame:
-    """Partners (file, other) of a file that it doesn't import (src, dst) anyway: ties that only history shows."""
-    return partners.join(imports.select(F.col("src").alias("file"), F.col("dst").alias("other")), ["file", "other"], "left_anti")
+    Imports meet the pairs as these lie, both ways, so the partners of all files aren't dealt out for it.
+    """
+    known = imports.select("src", "dst").distinct()
+    one = lambda left, right, name: known.select(F.col(left).alias("left_path"), F.col(right).alias("right_path"), F.lit(True).alias(name))
+    met = pairs.join(one("src", "dst", "imports"), ["left_path", "right_path"], "left").join(one("dst", "src", "imported"), ["left_path", "right_path"], "left")
+    way = lambda found, file, other: F.when(F.col(found).isNull(), F.struct(F.col(file).alias("file"), F.col(other).alias("other")))
+    ways = F.array_compact(F.array(way("imports", "left_path", "right_path"), way("imported", "right_path", "left_path")))
+    more = [c for c in pairs.columns if c not in ("left_path", "right_path")]
+    return met.select(F.explode(ways).alias("p"), *more).select("p.file", "p.other", *more)
 
 
 def symbol_cards(symbols: DataFrame, calls: DataFrame, budget: str = "normal", most: int = 40, container: int = 2400) -> DataFrame:

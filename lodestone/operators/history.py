@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import tasks_of
+
+#: Changes and pairs that one task groups.
+ROWS_A_TASK, PAIRS_A_TASK = 500_000, 500_000
+
 
 def hotspots(commits: DataFrame, changes: DataFrame, limit: int = 20) -> DataFrame:
     """The paths touched most, with the newest revision; order touches descending, path."""
@@ -21,16 +26,24 @@ def ownership(commits: DataFrame, changes: DataFrame) -> DataFrame:
     return best.select("path", F.col("b.author").alias("author"), (-F.col("b.less")).alias("author_touches"), "touches")
 
 
+def pair_tasks(changes: DataFrame, max_paths: int = 100) -> int:
+    """Among how many tasks the pairs of ``changes`` are dealt out."""
+    spark = changes.sparkSession
+    sizes = changes.select("revision").repartition(tasks_of(spark, changes.count(), ROWS_A_TASK), "revision").groupBy("revision").agg(F.least(F.count("*"), F.lit(max_paths)).alias("n"))
+    return tasks_of(spark, sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0, PAIRS_A_TASK)
+
+
 def cochange_pairs(changes: DataFrame, max_paths: int = 100) -> DataFrame:
-    """(left_path, right_path, n): unordered pairs changed together; larger commits tell nothing and are left out.
+    """(left_path, right_path, n): unordered pairs changed together; larger commits tell nothing and are left out, rows of ``changes`` may repeat.
 
-    Pairs form inside the array of one commit, so no self join is needed.  Of a larger commit only as many paths as tell that it is one are
-    kept, before anything is dealt out by commit.
+    Pairs form inside the array of one commit, so no self join is needed.  Of a larger commit only as many paths as tell that it is one are kept.
+    The number of tasks grows with that of the changes and of the pairs, not what one of them holds.
     """
-    first = changes.select("revision", "path", F.dense_rank().over(Window.partitionBy("revision").orderBy("path")).alias("rank")).where(F.col("rank") <= max_paths + 1)
+    dealt = changes.select("revision", "path").repartition(tasks_of(changes.sparkSession, changes.count(), ROWS_A_TASK), "revision")
+    first = dealt.select("revision", "path", F.dense_rank().over(Window.partitionBy("revision").orderBy("path")).alias("rank")).where(F.col("rank") <= max_paths + 1)
     c = first.groupBy("revision").agg(F.sort_array(F.collect_set("path")).alias("p")).where(F.size("p").between(2, max_paths))
     pairs = c.select(F.posexplode("p").alias("i", "left_path"), "p").select("left_path", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("right_path"))
-    return pairs.groupBy("left_path", "right_path").agg(F.count("*").alias("n"))
+    return pairs.repartition(pair_tasks(changes, max_paths), "left_path", "right_path").groupBy("left_path", "right_path").agg(F.count("*").alias("n"))
 
 
 def cochange_edges(changes: DataFrame, known: DataFrame, min_count: int = 2, top: int = 100) -> DataFrame:
@@ -90,13 +103,14 @@ def signed_touches(added: DataFrame, retired: DataFrame) -> DataFrame:
     return count(added, 1).unionByName(count(retired, -1))
 
 
-def merged_counts(stored: DataFrame, *deltas: DataFrame) -> DataFrame:
+def merged_counts(stored: DataFrame, *deltas: DataFrame, tasks: int | None = None) -> DataFrame:
     """Stored counts (keys and n) with signed deltas of the same columns; what comes to nothing goes.
 
     A rewritten branch is a delta of its new commits and, with the other sign, its old ones: history isn't counted anew.
+    Counts are dealt out among ``tasks``, if given.
     """
-    every = reduce(DataFrame.unionByName, deltas, stored)
-    return every.groupBy(*[c for c in stored.columns if c != "n"]).agg(F.sum("n").alias("n")).where("n != 0")
+    every, keys = reduce(DataFrame.unionByName, deltas, stored), [c for c in stored.columns if c != "n"]
+    return (every.repartition(tasks, *keys) if tasks else every).groupBy(*keys).agg(F.sum("n").alias("n")).where("n != 0")
 
 
 def recent_commits(commits: DataFrame, depth: int = 500) -> DataFrame:

@@ -29,8 +29,8 @@ SELECT a.path AS left_path, b.path AS right_path, count(*) AS n FROM c a JOIN c
 @query(sql_with("changes", PAIRS_KEPT))
 def pairs_after_rewrite(v: Views) -> DataFrame:
     """Counts of all commits, less those that a rewrite took away, are the counts of the rest."""
-    c = v.changes
-    return history.merged_counts(history.cochange_pairs(c), history.signed_pairs(c.limit(0), c.where("revision % 7 = 0")))
+    c = v.all_changes
+    return history.merged_counts(history.cochange_pairs(c), history.signed_pairs(c.limit(0), c.where("revision % 7 = 0")), tasks=history.pair_tasks(c))
 
 
 @query(sql_with("changes", "SELECT path, count(*) AS n FROM changes WHERE revision % 7 <> 0 GROUP BY path"))

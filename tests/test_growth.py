@@ -127,3 +127,26 @@ def test_a_gram_has_a_row_a_block(spark, monkeypatch):
     for n in ("many", "xyz", "wab", "\x00\x00é", "😀", "q"):
         found = postings.search_many(lines, index, spark.createDataFrame([(n,)], "needle string")).count()
         assert found == lexical(lines, n, literal=True).count(), n
+
+
+def test_pairs_of_commits_come_to_more_tasks(spark, monkeypatch):
+    from lodestone.operators import history
+
+    monkeypatch.setattr(history, "PAIRS_A_TASK", 10)
+    changes = spark.createDataFrame([(r, f"p{(r * k) % 17:02}") for r in range(40) for k in range(1, 6)] * 2, "revision long, path string")
+    commits = [sorted({f"p{(r * k) % 17:02}" for k in range(1, 6)}) for r in range(40)]
+    want = {}
+    for c in commits:
+        for i, x in enumerate(c):
+            for y in c[i + 1 :]:
+                want[x, y] = want.get((x, y), 0) + 1
+    df = history.cochange_pairs(changes)
+    assert {(r.left_path, r.right_path): r.n for r in df.collect()} == want  # rows of changes may repeat
+    assert "REPARTITION_BY_NUM" in _plan(df) and history.pair_tasks(changes) > 100  # of at most 45 pairs a commit with its repeated rows
+    imports = spark.createDataFrame([("p01", "p02"), ("p05", "p04"), ("p03", "p03")], "src string, dst string")
+    both = {(x, y, n) for (a, b), n in want.items() for x, y in ((a, b), (b, a)) if (x, y) not in {("p01", "p02"), ("p05", "p04")}}
+    assert {tuple(r) for r in cards.cochange_minus_imports(df, imports).collect()} == both
+    paths = sorted({p for c in commits for p in c})
+    files = spark.createDataFrame([(p,) for p in [*paths, "alone"]], "file string")
+    got = {r.file: r.co_changes for r in cards.file_cards(files, spark.createDataFrame([], "file string, name string"), imports, df).collect()}
+    assert got == {p: sorted(y for x, y, _ in both if x == p) for p in [*paths, "alone"]}
