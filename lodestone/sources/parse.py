@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import routing, text
-from .scratch import hot_join
+from .scratch import held, hot_join
 
 _NAME = r"([A-Za-z_$][\w$]*)"
 _MODIFIERS = r"((?:(?:public|private|protected|internal|fileprivate|open|static|final|abstract|override|sealed|data|suspend|inline|virtual|async|export|default|declare) +)*)"
@@ -147,7 +147,8 @@ def imported_files(refs: DataFrame, files: DataFrame, modules: DataFrame | None
 
     With ``modules`` (folder, module, of ``go_modules``) a Go import stands for a folder of the longest module that its path begins with, and for none without one.
     """
-    c = refs.select("path", "target", F.posexplode(candidates(F.col("language"), F.col("path"), F.col("target"))).alias("rank", "candidate"))
+    dealt = refs.select("path", "language", "target").repartition(4 * refs.sparkSession.sparkContext.defaultParallelism)  # the rules cost more than the rows
+    c = held(dealt.select("path", "target", F.posexplode(candidates(F.col("language"), F.col("path"), F.col("target"))).alias("rank", "candidate")), "import-candidates")
     if modules is not None:
         parts = F.split("target", "/")
         heads = refs.where("language = 'go'").select("path", "target", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("module"))

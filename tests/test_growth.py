@@ -150,3 +150,15 @@ def test_pairs_of_commits_come_to_more_tasks(spark, monkeypatch):
     files = spark.createDataFrame([(p,) for p in [*paths, "alone"]], "file string")
     got = {r.file: r.co_changes for r in cards.file_cards(files, spark.createDataFrame([], "file string, name string"), imports, df).collect()}
     assert got == {p: sorted(y for x, y, _ in both if x == p) for p in [*paths, "alone"]}
+
+
+def test_import_rules_run_once_in_many_tasks(spark, monkeypatch):
+    from lodestone.sources import parse
+
+    seen = []
+    monkeypatch.setattr(parse, "held", lambda df, tag: seen.append(df) or df)
+    refs = spark.createDataFrame([("rust", "c/src/a.rs", "super::b::X"), ("rust", "c/src/a.rs", "crate::b"), ("python", "p/a.py", ".b")], "language string, path string, target string").coalesce(1)
+    files = spark.createDataFrame([("c/src/b.rs",), ("p/b.py",)], "path string")
+    got = sorted(tuple(r) for r in parse.imported_files(refs, files).collect())
+    assert ("c/src/a.rs", "crate::b", "c/src/b.rs") in got and ("p/a.py", ".b", "p/b.py") in got
+    assert [df.rdd.getNumPartitions() for df in seen] == [4 * spark.sparkContext.defaultParallelism]
