@@ -22,6 +22,8 @@ ANCHOR = 8
 DEPTH, BLOCK = 2, 1 << 16
 #: Bounds of the sketch's cells in all; a cell is a bit when it is broadcast, so 128 MB at most.
 LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 30
+#: Bytes of text that are hashed at a time; of the rest of a batch only cells or digests are held.
+PIECE = 1 << 20
 
 _PLACE_BITS = 26
 _PLACE = U64((1 << _PLACE_BITS) - 1)
@@ -62,14 +64,17 @@ def _sketch(size: int, per_row: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            (h,), first = hash_words(b.column("text"))
-            starts, place, r = anchors(h, first, size)
-            if not len(starts):
+            found = []
+            for piece in parts(iter([b]), PIECE):
+                (h,), first = hash_words(piece.column("text"))
+                starts, place, r = anchors(h, first, size)
+                if len(starts):
+                    found.append(_cells(r[place[np.concatenate([[True], place[1:] != place[:-1]])]], per_row))
+            if not found:
                 continue
-            at = place[np.concatenate([[True], place[1:] != place[:-1]])]
             rows, blocks, cells = [], [], []
-            for k, c in enumerate(_cells(r[at], per_row)):
-                c = np.sort(c)
+            for k in range(DEPTH):
+                c = np.sort(np.concatenate([x[k] for x in found]))
                 c = c[np.concatenate([[True] * min(2, len(c)), c[2:] != c[:-2]])]  # two of each at most
                 block, low = c >> U64(16), (c & U64(BLOCK - 1)).astype("<u2")
                 cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
@@ -106,7 +111,7 @@ def _firsts(h: np.ndarray, g: np.ndarray, row: np.ndarray, rank: np.ndarray) ->
 
     The same window earlier in the row precedes it, and in a row whose document ranks before.
     """
-    order = np.lexsort((np.arange(len(h)), row, rank, g, h))
+    order = np.lexsort((rank, g, h))  # stable
     h, g, row, rank = h[order], g[order], row[order], rank[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
@@ -121,6 +126,21 @@ def _firsts(h: np.ndarray, g: np.ndarray, row: np.ndarray, rank: np.ndarray) ->
 _DIGEST = np.dtype([("h", "<i8"), ("g", "<i4")])
 
 
+def _seen(texts: pa.Array, size: int, per_row: int, flags: list[np.ndarray], salt: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(digests, rows, starts) of the windows in ``texts`` whose anchors the sketch counts twice or more, by row and start."""
+    words = Words(texts)
+    starts, place, r = anchors(words.hashes(), words.first, size)
+    ok = np.ones(len(starts), bool)
+    for k, c in enumerate(_cells(r[place], per_row)):
+        ok &= (flags[k][c >> U64(3)] >> (U64(7) - (c & U64(7))).astype(np.uint8)) & 1 == 1
+    starts = starts[ok]
+    if not len(starts):
+        return None
+    known = np.frombuffer(b"".join([blake2b(w, digest_size=12, salt=salt).digest() for w in words.windows(starts, size)]), _DIGEST)
+    row = np.searchsorted(words.first, starts, side="right") - 1
+    return known, row.astype(np.int32), (starts - words.first[row]).astype(np.int32)
+
+
 def _repeated(size: int, per_row: int, bits, salt: bytes):
     """The windows whose anchors the sketch counts twice or more, each by a salted BLAKE2b digest of its words, 96 bits.
 
@@ -130,24 +150,22 @@ def _repeated(size: int, per_row: int, bits, salt: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = bits.value
         for b in parts(batches):
-            words = Words(b.column("text"))
-            first = words.first
-            starts, place, r = anchors(words.hashes(), first, size)
-            if not len(starts):
+            found, at = [], 0
+            for piece in parts(iter([b]), PIECE):
+                if (x := _seen(piece.column("text"), size, per_row, flags, salt)) is not None:
+                    found.append((x[0], x[1] + np.int32(at), x[2]))
+                at += piece.num_rows
+            if not found:
                 continue
-            ok = np.ones(len(starts), bool)
-            for k, c in enumerate(_cells(r[place], per_row)):
-                ok &= (flags[k][c >> U64(3)] >> (U64(7) - (c & U64(7))).astype(np.uint8)) & 1 == 1
-            starts = starts[ok]
-            known = np.frombuffer(b"".join([blake2b(w, digest_size=12, salt=salt).digest() for w in words.windows(starts, size)]), _DIGEST)
-            row = np.searchsorted(first, starts, side="right") - 1
+            known, row, start = (np.concatenate([x[k] for x in found]) for k in range(3))
+            del found
             _, rank = np.unique(b.column("d").to_numpy(zero_copy_only=False), return_inverse=True)
-            kept = _firsts(known["h"], known["g"], row, rank[row])
-            one, two = np.where(kept, known["h"], 0), np.where(kept, known["g"], 0)
-            for i in range(0, len(starts), 100_000):
+            kept = _firsts(known["h"], known["g"], row, rank.astype(np.int32)[row])
+            for i in range(0, len(start), 100_000):
                 part = slice(i, i + 100_000)
-                at = pa.array(row[part])
-                yield pa.RecordBatch.from_arrays([pa.array(one[part]), pa.array(two[part]), b.column("d").take(at), b.column("t").take(at), pa.array((starts - first[row])[part].astype(np.int32)), pa.array(~kept[part])], names=["h", "g", "d", "t", "start", "gone"])
+                k, on = known[part], kept[part]
+                here = pa.array(row[part])
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(on, k["h"], 0)), pa.array(np.where(on, k["g"], 0)), b.column("d").take(here), b.column("t").take(here), pa.array(start[part]), pa.array(~on)], names=["h", "g", "d", "t", "start", "gone"])
 
     return run
 
