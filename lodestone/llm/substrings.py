@@ -24,6 +24,8 @@ DEPTH, BLOCK = 2, 1 << 16
 LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 30
 #: Bytes of text that are hashed at a time; of the rest of a batch only cells or digests are held.
 PIECE = 1 << 20
+#: Cells of a row that a task gathers before it sends or counts them.
+GATHERED = 1 << 20
 
 _PLACE_BITS = 26
 _PLACE = U64((1 << _PLACE_BITS) - 1)
@@ -59,51 +61,72 @@ def _cells(run: np.ndarray, per_row: int) -> list[np.ndarray]:
     return [((one >> U64(32 * k)) & U64(0xFFFFFFFF)) * U64(per_row) >> U64(32) for k in range(DEPTH)]
 
 
+def _by_block(found: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """By row and block the cells in ``found``, as sorted numbers, one that counts two or more twice."""
+    rows, blocks, cells = [], [], []
+    for k in range(DEPTH):
+        c = np.sort(np.concatenate([x[k] for x in found]))
+        c = c[np.concatenate([[True] * min(2, len(c)), c[2:] != c[:-2]])]  # two of each at most
+        block, low = c >> 16, (c & (BLOCK - 1)).astype("<u2")
+        cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        for i, j in zip(cut, [*cut[1:], len(c)]):
+            rows.append(k)
+            blocks.append(int(block[i]))
+            cells.append(low[i:j].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blocks, pa.int32()), pa.array(cells, pa.binary())], names=["row", "block", "cells"])
+
+
 def _sketch(size: int, per_row: int):
-    """A partition's sketch by row and block: its cells as sorted numbers, one that counts two or more twice."""
+    """A partition's sketch by row and block, a piece of about GATHERED anchors at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches):
-            found = []
-            for piece in parts(iter([b]), PIECE):
-                (h,), first = hash_words(piece.column("text"))
-                starts, place, r = anchors(h, first, size)
-                if len(starts):
-                    found.append(_cells(r[place[np.concatenate([[True], place[1:] != place[:-1]])]], per_row))
-            if not found:
+        found, n = [], 0
+        for piece in parts(batches, PIECE):
+            (h,), first = hash_words(piece.column("text"))
+            starts, place, r = anchors(h, first, size)
+            if not len(starts):
                 continue
-            rows, blocks, cells = [], [], []
-            for k in range(DEPTH):
-                c = np.sort(np.concatenate([x[k] for x in found]))
-                c = c[np.concatenate([[True] * min(2, len(c)), c[2:] != c[:-2]])]  # two of each at most
-                block, low = c >> U64(16), (c & U64(BLOCK - 1)).astype("<u2")
-                cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-                for i, j in zip(cut, [*cut[1:], len(c)]):
-                    rows.append(k)
-                    blocks.append(int(block[i]))
-                    cells.append(low[i:j].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blocks, pa.int32()), pa.array(cells, pa.binary())], names=["row", "block", "cells"])
+            at = place[np.concatenate([[True], place[1:] != place[:-1]])]
+            found.append([c.astype(np.uint32) for c in _cells(r[at], per_row)])
+            n += len(at)
+            if n >= GATHERED:
+                yield _by_block(found)
+                found, n = [], 0
+        if found:
+            yield _by_block(found)
 
     return run
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted by row and block: the sum of the sketches, as bits of cells that count two or more."""
-    open_, count, out = None, np.zeros(BLOCK, np.uint8), []
+    """Sorted by row and block: the sum of the sketches, as bits of cells that count two or more.
+
+    The cells of a block are gathered and counted at once, so a row costs no pass over all cells of its block.
+    """
+    open_, count, found, n = None, np.zeros(BLOCK, np.uint8), [], 0
 
-    def close():
-        if open_ is not None:
-            out.append((*open_, np.packbits(count >= 2).tobytes()))
+    def add():
+        nonlocal count, found, n
+        if found:
+            count = np.minimum(count + np.bincount(np.frombuffer(b"".join(found), "<u2"), minlength=BLOCK), 2).astype(np.uint8)
+        found, n = [], 0
 
     for b in batches:
+        out = []
         for row, block, cells in zip(b["row"], b["block"], b["cells"]):
             if (row, block) != open_:
-                close()
+                if open_ is not None:
+                    add()
+                    out.append((*open_, np.packbits(count >= 2).tobytes()))
                 open_, count = (row, block), np.zeros(BLOCK, np.uint8)
-            c = np.frombuffer(cells, "<u2")
-            count = np.minimum(count + np.bincount(c, minlength=BLOCK), 2).astype(np.uint8)
-    close()
-    yield pd.DataFrame(out, columns=["row", "block", "bits"])
+            found.append(cells)
+            n += len(cells) // 2
+            if n >= GATHERED:
+                add()
+        yield pd.DataFrame(out, columns=["row", "block", "bits"])
+    if open_ is not None:
+        add()
+        yield pd.DataFrame([(*open_, np.packbits(count >= 2).tobytes())], columns=["row", "block", "bits"])
 
 
 def _firsts(h: np.ndarray, g: np.ndarray, row: np.ndarray, rank: np.ndarray) -> np.ndarray:
