@@ -25,6 +25,11 @@ def sample_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(_ratio(a, b))
 
 
+def shingles(content: Column, width: int = 32) -> Column:
+    """All non-overlapping shingles of a text, in order; what is left at its end is no shingle."""
+    return F.regexp_extract_all(content, F.lit(f"(?s).{{{width}}}"), F.lit(0))
+
+
 def sampled_shingles(content: Column, width: int = 32, window: int = 4096, cap: int = 256 * 1024) -> Column:
     """Hashes of the non-overlapping shingles of the first, the middle and the last window of a text."""
     n = F.length(content)

@@ -162,3 +162,38 @@ def test_import_rules_run_once_in_many_tasks(spark, monkeypatch):
     got = sorted(tuple(r) for r in parse.imported_files(refs, files).collect())
     assert ("c/src/a.rs", "crate::b", "c/src/b.rs") in got and ("p/a.py", ".b", "p/b.py") in got
     assert [df.rdd.getNumPartitions() for df in seen] == [4 * spark.sparkContext.defaultParallelism]
+
+
+def _beside_sql(spark, tmp_path, name):
+    import duckdb
+
+    long = "".join(f"{i:08}" for i in range(40_000))  # 10,000 shingles
+    rows = [(1, long), (2, long[:9000] + "x" * 18_000 + long[27_000:]), (3, long[:9000] + "y" * 200_000 + long[209_000:]), (4, "short"), (5, None), (6, ""), (7, "é😀\n\r" * 8), (8, "é😀\n\r" * 16), (9, long)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(catalog.ORACLES[name]).fetchall())
+    return got
+
+
+def test_likeness_of_whole_texts(spark, tmp_path):
+    got = _beside_sql(spark, tmp_path, "sampled_shingle_dups")
+    assert [r[:2] for r in got] == [(1, 2), (1, 9), (2, 9), (7, 8)] and got[0][2] < 0.95  # the middle counts
+
+
+def test_similar_sets_are_all_found(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(similarity, "MET_AT_ONCE", 3)
+    monkeypatch.setattr(similarity, "SORTED_AT_ONCE", 7)
+    monkeypatch.setattr(similarity, "BUCKETS", (4, 4))
+    draw = random.Random(7)
+    some = [[draw.randrange(-30, 30) for _ in range(draw.randrange(0, 14))] for _ in range(60)]
+    near = [[*range(100, 130), 200 + i] for i in range(12)]
+    sets = {i: set(x) for i, x in enumerate([*some, *some[:9], *near, *near[:2], *near[:2]])}
+    df = spark.createDataFrame([(i, list(x)) for i, x in sets.items()], "file long, set array<long>")
+    for t in (0.25, 0.72, 1.0):
+        got = [tuple(r) for r in similarity.similar_sets(df, t).collect()]
+        want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and x & y and len(x & y) / len(x | y) >= t}
+        assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
