@@ -182,6 +182,11 @@ def test_likeness_of_whole_texts(spark, tmp_path):
     assert [r[:2] for r in got] == [(1, 2), (1, 9), (2, 9), (7, 8)] and got[0][2] < 0.95  # the middle counts
 
 
+def test_whole_texts_are_shingled(spark, tmp_path):
+    got = dict(_beside_sql(spark, tmp_path, "sampled_shingles"))
+    assert got[1] == 10_000 and got[4] == got[6] == 0 and got[7] == 1 and 5 not in got
+
+
 def test_similar_sets_are_all_found(spark, monkeypatch):
     import random
 
