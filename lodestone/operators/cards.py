@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources import parse
-from ..sources.scratch import held, hot_join, tasks_of
+from ..sources.scratch import held, hot_pairs, tasks_of
 from .graph import degree_map, edges_report
 from .similarity import edge_drift
 
@@ -87,12 +87,12 @@ def governing_concepts(governs: DataFrame, concepts: DataFrame, node: str) -> Da
     return governs.where(F.col("dst") == node).select(F.col("src").alias("id")).distinct().join(concepts, "id")
 
 
-def test_pairs(files: DataFrame) -> DataFrame:
-    """source, test: the files (path) that by name or place test another one.
+def _test_sides(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of files (path): source, stem, folder of each; test, inside, stem of those that test a stem by name; test, folder of those that test a folder by place.
 
     A name gives the stem that it may test and a folder ``tests`` or ``__tests__`` the folder, so both
     meet by equality.  A stem prefix is met at each of its ends, as ``a_test_b`` tests ``a`` and, by the looser rule of
-    prefixes, all that begins so.  A source has one stem and one folder, so it meets a test once by each: no pairs are dealt out to tell doubles.
+    prefixes, all that begins so.
     """
     files = files.select("path").distinct()
     name, folder = text.file_name(F.col("path")), F.regexp_extract("path", "^(.*)/[^/]*$", 1)
@@ -103,10 +103,21 @@ def test_pairs(files: DataFrame) -> DataFrame:
     plain = F.when(F.col("path").rlike(r"^tests/[^/]+\.(rs|py)$"), F.array(stem)).otherwise(F.array().cast("array<string>"))
     parts = F.split("path", "/")
     inside = F.filter(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))), lambda i: F.when(F.get(parts, i - 1).isin("tests", "__tests__") & (i < F.size(parts)), F.array_join(F.slice(parts, F.lit(1), i - 1), "/"))), lambda x: x.isNotNull())
-    by_stem = files.select(F.col("path").alias("test"), inside.alias("inside"), F.explode(F.array_distinct(F.concat(before, after, plain))).alias("stem")).join(source, "stem")
-    by_stem = by_stem.where((F.col("folder") == "") | ~F.array_contains("inside", F.col("folder"))).select("source", "test")
-    tests = files.select(F.col("path").alias("test"), F.explode(F.array_distinct(inside)).alias("folder"))
-    return by_stem.unionByName(hot_join(source.where("folder != ''").select("folder", "source"), tests, "folder").select("source", "test"))
+    by_name = files.select(F.col("path").alias("test"), inside.alias("inside"), F.explode(F.array_distinct(F.concat(before, after, plain))).alias("stem"))
+    by_place = files.select(F.col("path").alias("test"), F.explode(F.array_distinct(inside)).alias("folder"))
+    return source, by_name, by_place
+
+
+def _tested(source: DataFrame, by_name: DataFrame, by_place: DataFrame) -> DataFrame:
+    """source, test and what else the two sides of tests have.  A source has one stem and one folder, so it meets a test once by each: no pairs are dealt out to tell doubles."""
+    columns = ["source", "test", *[c for c in by_place.columns if c not in ("test", "folder")]]
+    named = by_name.join(source, "stem").where((F.col("folder") == "") | ~F.array_contains("inside", F.col("folder"))).select(*columns)
+    return named.unionByName(hot_pairs(source.where("folder != ''").select("folder", "source"), by_place, "folder").select(*columns))
+
+
+def test_pairs(files: DataFrame) -> DataFrame:
+    """source, test: the files (path) that by name or place test another one."""
+    return _tested(*_test_sides(files))
 
 
 def test_surface(pairs: DataFrame, symbols: DataFrame, calls: DataFrame, ordered: bool = True) -> DataFrame:
@@ -114,14 +125,17 @@ def test_surface(pairs: DataFrame, symbols: DataFrame, calls: DataFrame, ordered
 
     0.3 by path alone, 0.55 if the name is a test's too, 0.9 if it calls (src, dst) a symbol of the source; if ``ordered``, by risk descending, name.
     """
-    named = F.col("name").startswith("Test") | F.col("name").contains("test_") | F.col("name").contains("_test")
     tests = pairs.join(symbols.select(F.col("id").alias("symbol"), F.col("path").alias("test"), "name"), "test")
     called = calls.join(symbols.select(F.col("id").alias("dst"), F.col("path").alias("source")), "dst").select(F.col("src").alias("symbol"), "source", F.lit(True).alias("direct")).distinct()
-    j = tests.join(called, ["symbol", "source"], "left")
-    out = j.select("source", "test", "symbol", F.when(F.col("direct"), 0.9).when(named, 0.55).otherwise(0.3).alias("risk"), "name")
+    out = _at_risk(tests.join(called, ["symbol", "source"], "left"), F.col("direct"))
     return out.orderBy(F.desc("risk"), "name", "source", "symbol") if ordered else out
 
 
+def _at_risk(tests: DataFrame, direct: Column) -> DataFrame:
+    named = F.col("name").startswith("Test") | F.col("name").contains("test_") | F.col("name").contains("_test")
+    return tests.select("source", "test", "symbol", F.when(direct, 0.9).when(named, 0.55).otherwise(0.3).alias("risk"), "name")
+
+
 def file_cards(files: DataFrame, symbols: DataFrame, imports: DataFrame, pairs: DataFrame, most: int = 10) -> DataFrame:
     """file, n_symbols, symbols (the first ``most`` names), imported_by, imports, co_changes (partners not imported) of each file (file).
 

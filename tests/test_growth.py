@@ -202,3 +202,12 @@ def test_similar_sets_are_all_found(spark, monkeypatch):
         got = [tuple(r) for r in similarity.similar_sets(df, t).collect()]
         want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and x & y and len(x & y) / len(x | y) >= t}
         assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
+
+
+def test_both_sides_of_hot_keys_are_dealt(spark):
+    left, right = spark.createDataFrame([("k", i) for i in range(50)] + [("l", 0), ("n", 0)], "key string, a int"), spark.createDataFrame([("k", i, i % 3) for i in range(70)] + [("l", 1, None), ("m", 2, 2)], "key string, b int, c int")
+    df = scratch.hot_pairs(left, right, "key", 10, 10)
+    assert sorted(map(str, df.select("key", "a", "b", "c").collect())) == sorted(map(str, left.join(right, "key").select("key", "a", "b", "c").collect()))
+    sizes = sorted(r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+    assert df.rdd.getNumPartitions() == 18 and len(sizes) > 6 and sizes[-1] < 1500  # of 3501 pairs, about 200 a task
+    assert scratch.hot_pairs(left.limit(0), right, "key").count() == 0
