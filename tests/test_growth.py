@@ -211,3 +211,13 @@ def test_both_sides_of_hot_keys_are_dealt(spark):
     sizes = sorted(r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
     assert df.rdd.getNumPartitions() == 18 and len(sizes) > 6 and sizes[-1] < 1500  # of 3501 pairs, about 200 a task
     assert scratch.hot_pairs(left.limit(0), right, "key").count() == 0
+
+
+def test_risks_are_told_before_pairs(spark):
+    files = spark.createDataFrame([(f"a/s{i}.py",) for i in range(30)] + [(f"a/tests/t{i}.py",) for i in range(30)] + [("a/tests/s1_test.py",), ("b/s1.py",), ("b/s1.py",)], "path string")
+    symbols = spark.createDataFrame([(i, f"a/s{i}.py", f"f{i}") for i in range(30)] + [(100 + i, f"a/tests/t{i}.py", "helper" if i % 2 else "test_it") for i in range(29)] + [(200, "a/tests/s1_test.py", "TestOne"), (201, "a/tests/s1_test.py", None), (300, "b/s1.py", "g")], "id long, path string, name string")
+    calls = spark.createDataFrame([(100, 0), (100, 0), (100, 7), (101, 100), (200, 300), (201, 1), (None, 2), (300, 200), (5, 999)], "src long, dst long")
+    df = cards.test_surface_of(files, symbols, calls)
+    want = cards.test_surface(cards.test_pairs(files), symbols, calls, ordered=False)
+    assert sorted(map(str, df.collect())) == sorted(map(str, want.collect())) and df.where("risk = 0.9").count() == 4
+    assert "hashpartitioning(source" not in _plan(df) and "hashpartitioning(symbol" not in _plan(df)  # only what precedes the pairs
