@@ -221,3 +221,34 @@ def test_risks_are_told_before_pairs(spark):
     want = cards.test_surface(cards.test_pairs(files), symbols, calls, ordered=False)
     assert sorted(map(str, df.collect())) == sorted(map(str, want.collect())) and df.where("risk = 0.9").count() == 4
     assert "hashpartitioning(source" not in _plan(df) and "hashpartitioning(symbol" not in _plan(df)  # only what precedes the pairs
+
+
+def test_many_keys_are_replayed_in_few_batches(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(keyed, "ROWS_A_FILE", 10)
+    rows = spark.range(120).select(F.concat(F.lit("b"), F.col("id") % 11).alias("branch"), F.timestamp_seconds(F.col("id") * 60 + 86400).alias("ts"), F.concat(F.lit("h"), F.floor(F.col("id") / 30)).alias("head"))
+    got = keyed.replayed(rows, keyed.moved_heads, keyed.MOVES, f"file://{tmp_path}/r")
+    assert sorted((r.branch, r.head) for r in got.collect()) == sorted((f"b{b}", f"h{h}") for b in range(11) for h in range(4))
+    assert len(list(tmp_path.glob("r/in/part=*"))) == 13  # twelve of them, and the end
+    batches = sorted(int(x.name) for x in tmp_path.glob("r/cp/commits/[0-9]*"))
+    assert len(batches) <= 5, batches  # three, the end, and one for the timers
+
+
+def test_a_timer_is_set_once_and_waits_on(spark, tmp_path):
+    day = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    kinds = {
+        "heads": (keyed.moved_heads, "branch string, ts timestamp, head string", [[("b", day(0), "x"), ("c", day(1), "x")], [("b", day(20), "x")], [("b", day(45), "x")], [("c", day(90), "x")], [("c", day(91), "x")], [("b", day(100), "x")], [("late", day(900), "x")], [("late", day(901), "x")]], [("b", 0), ("b", 100), ("c", 1), ("late", 900)]),
+        "writes": (lambda s: keyed.unsuppressed(s, timedelta(days=30)), "path string, ts timestamp, id long, own boolean", [[("b", day(0), None, True), ("c", day(1), None, True)], [("b", day(20), 1, True)], [("b", day(45), 2, False), ("c", day(45), 3, False)], [("b", day(100), 4, False)], [("late", day(900), 5, False)], [("late", day(901), 6, False)]], [(3, 45), (4, 100), (5, 900), (6, 901)]),
+    }
+    for name, (watch, schema, batches, want) in kinds.items():
+        for k, v in keyed.STATE_STORE.items():
+            spark.conf.set(k, v)
+        for i, b in enumerate(batches):
+            spark.createDataFrame(b, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/in/part={i}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/{name}/in")
+        q = watch(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}/cp").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+        for k in keyed.STATE_STORE:
+            spark.conf.unset(k)
+        assert sorted((r[0], (r.ts - datetime(2024, 1, 1)).days) for r in spark.table(name).collect()) == want
+        assert max(kept) > kept[-1] and kept[-1] <= 4, (name, kept)
