@@ -24,9 +24,8 @@ def replayed_bursts(v: Views) -> DataFrame:
 
 @query("""SELECT event_id AS id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.event_type = 'error' AND o.user_id = e.user_id AND o.ts <= e.ts AND o.ts > e.ts - INTERVAL 6 HOUR)""")
 def replayed_suppression(v: Views) -> DataFrame:
-    """An error stands for our own write of the user's path; changes within six hours after it don't pass."""
-    path = F.concat(F.lit("user_"), "user_id").alias("path")
-    rows = v.events.select(path, F.col("event_id").alias("id"), "ts", F.lit(False).alias("own")).unionByName(v.events.where("event_type = 'error'").select(path, F.lit(None).cast("long").alias("id"), "ts", F.lit(True).alias("own")))
+    """An error stands for our own write of the user's path; changes within six hours after it don't pass, itself least of all, so it comes as a write only."""
+    rows = v.events.select(F.concat(F.lit("user_"), "user_id").alias("path"), F.col("event_id").alias("id"), "ts", F.coalesce(F.col("event_type") == "error", F.lit(False)).alias("own"))
     return keyed.replayed(rows, lambda s: keyed.unsuppressed(s, timedelta(hours=6)), keyed.PASSED, scratch.folder(v.spark, "suppression")).select("id")
 
 

@@ -252,3 +252,12 @@ def test_a_timer_is_set_once_and_waits_on(spark, tmp_path):
             spark.conf.unset(k)
         assert sorted((r[0], (r.ts - datetime(2024, 1, 1)).days) for r in spark.table(name).collect()) == want
         assert max(kept) > kept[-1] and kept[-1] <= 4, (name, kept)
+
+
+def test_an_event_is_replayed_once(spark, monkeypatch, tmp_path):
+    rows = [(1, 7, datetime(2024, 1, 1), "view"), (2, 7, datetime(2024, 1, 2), "error"), (3, 7, datetime(2024, 1, 3), None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    monkeypatch.setattr(keyed, "replayed", lambda rows, *more: seen.append(rows) or rows)
+    catalog.QUERIES["replayed_suppression"](spark, str(tmp_path))
+    assert sorted((r.id, r.own) for r in seen[0].collect()) == [(1, False), (2, True), (3, False)]
